@@ -78,6 +78,19 @@ def _matcher(rules: list[Rule], seen: dict[str, int]):
     return longest
 
 
+def _judge(rules: list[Rule], seen: dict[str, int]):
+    made = []
+
+    @F.pandas_udf("name string, verdict string")
+    def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        if not made:
+            made.append(_matcher(rules, seen))
+        found = [made[0](h, p) for h, p in zip(hosts, paths)]
+        return pd.DataFrame({"name": [r and r.name for r in found], "verdict": [r and r.verdict for r in found]}, dtype=object)
+
+    return judge
+
+
 def url_verdicts(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id_col, host, path, rule and verdict of every row of pages; repeated rows give a row each.
 
@@ -89,22 +102,14 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", u
     urls = pages.select(F.col(id_col), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rules = [r for r in rules if r.host]
     seen = token_frequencies(urls, rules)
-    parts = [rules[i : i + INDEX_RULES] for i in range(0, len(rules), INDEX_RULES)]
     best = None
-    for part in parts:
-        longest = None
-
-        @F.pandas_udf("name string, verdict string")
-        def judge(hosts: pd.Series, paths: pd.Series, part=part) -> pd.DataFrame:
-            nonlocal longest
-            longest = longest or _matcher(part, seen)
-            found = [longest(h, p) for h, p in zip(hosts, paths)]
-            return pd.DataFrame({"name": [r and r.name for r in found], "verdict": [r and r.verdict for r in found]}, dtype=object)
-
-        one = judge("host", "path")
-        rank = lambda c: F.coalesce(F.length(c["name"]), F.lit(-1)) * 2 + (F.coalesce(c["verdict"], F.lit("")) == "allow").cast("int")
-        urls = urls.withColumn("_one", one)
-        urls = urls.withColumn("_best", F.when(rank(F.col("_one")) > rank(F.col("_best")), F.col("_one")).otherwise(F.col("_best")) if best else F.col("_one"))
+    for low in range(0, len(rules), INDEX_RULES):
+        one = _judge(rules[low : low + INDEX_RULES], seen)("host", "path")
+        if best is None:
+            urls = urls.withColumn("_best", one)
+        else:
+            rank = lambda c: F.coalesce(F.length(c["name"]) * 2 + (c["verdict"] == "allow").cast("int"), F.lit(-1))
+            urls = urls.withColumn("_one", one).withColumn("_best", F.when(rank(F.col("_one")) > rank(F.col("_best")), F.col("_one")).otherwise(F.col("_best"))).drop("_one")
         best = True
     if not best:
         urls = urls.withColumn("_best", F.lit(None).cast("struct<name:string,verdict:string>"))
