@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnwise.llm import packing, token_counts, topk, url_filter
+from turnwise.llm import jaccard_join, packing, substring_dedup, token_counts, topk, url_filter
 
 RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
 
@@ -28,6 +28,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.parse_rules(RULES))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -36,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_topk, op6_url_filter, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
