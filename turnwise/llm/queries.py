@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnwise.llm import jaccard_join, packing, substring_dedup, token_counts, topk, url_filter
+from turnwise.llm import jaccard_join, packing, quality_rules, substring_dedup, token_counts, topk, toxicity, url_filter
 
 RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
 
@@ -19,6 +19,14 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.exact_topk(rows, rows.where(F.col("vec_id") % 100 == 0))
@@ -44,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_toxicity, op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
