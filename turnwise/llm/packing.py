@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: Words, and chunks between spaces, whose ids a worker keeps; a store is emptied when it is full. Documents tokenised at once.
-KEPT, CHUNKS_KEPT, AT_ONCE = 500_000, 300_000, 400
+KEPT, CHUNKS_KEPT, AT_ONCE = 800_000, 900_000, 400
 #: Tokens of a block; a block is packed by itself, in the task that has tokenised it.
 BLOCK_TOKENS = 1 << 20
 _LOADED: dict[str, "Words"] = {}
@@ -60,21 +60,23 @@ class Words(dict):
         else:
             self.update((w, self.encode(w).tobytes()) for w in words)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        plain = [None if self.odd.search(t) else t.lower().split() for t in texts]
-        new = {c: self.pattern.findall(c) for c in set().union(*filter(None, plain)) - self.chunks.keys()}
-        missing = set().union(*new.values()) - self.keys()
-        if len(self) + len(missing) > KEPT:
+    def take(self, chunks: set[str]) -> None:
+        """Put the ids of the chunks among those kept."""
+        new = {c: (c,) if c.isalpha() else self.pattern.findall(c) for c in chunks}
+        if len(self) + len(new) > KEPT:
             self.clear()
-            missing = set().union(*new.values())
-        if missing:
+        if missing := set().union(*new.values()) - self.keys():
             self.learn(list(missing))
+        self.chunks.update((c, self[w[0]] if len(w) == 1 else b"".join(map(self.__getitem__, w))) for c, w in new.items())
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        plain = [None if self.odd.search(t) else t.lower().split() for t in texts]
+        every = set().union(*filter(None, plain))
+        new = every - self.chunks.keys()
         if len(self.chunks) + len(new) > CHUNKS_KEPT:
             self.chunks.clear()
-            new = {c: self.pattern.findall(c) for c in set().union(*filter(None, plain))}
-            if missing := set().union(*new.values()) - self.keys():
-                self.learn(list(missing))
-        self.chunks.update((c, b"".join(map(self.__getitem__, w))) for c, w in new.items())
+            new = every
+        self.take(new)
         of = self.chunks.__getitem__
         return [self.encode(t).tobytes() if p is None else b"".join(map(of, p)) for t, p in zip(texts, plain)]
 
