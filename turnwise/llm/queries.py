@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnwise.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup, token_counts, topk, toxicity, url_filter
+from turnwise.llm import decontamination, jaccard_join, maxent_lm, packing, quality_rules, substring_dedup, token_counts, topk, toxicity, url_filter
 
 RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
 
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_toxicity, op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_decontamination, op3_quality_rules, op4_toxicity, op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
