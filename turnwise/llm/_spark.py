@@ -19,6 +19,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Ids that a task may hold (8 bytes each); beyond that they are joined by a shuffle.
+HELD_IDS = 1_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose `on` is (left_anti: isn't) in ids, a kept table; broadcast if the count of ids is within HELD_IDS."""
+    ids = ids.select(on)
+    return df.join(F.broadcast(ids) if ids.count() <= HELD_IDS else ids, on, how)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups, from batches that are sorted by integer keys; a group is never cut."""
     carry: list[pa.RecordBatch] = []

@@ -2,8 +2,9 @@
 
 A run hashes all n-grams anew. A set of n goes down to the bucket of each n-gram whose hash is below
 1 / (threshold * n): about one of the n-grams that two similar sets share is chosen by both. Buckets
-above the leaf size are split again on further chosen n-grams, with the bucket as the seed. Within a
-leaf, sets are compared by min-hash sketches. Runs are repeated until the target recall.
+above the leaf size are split again on further chosen n-grams, with the bucket as the seed, unless their
+sets are alike as they are. Within a leaf, sets are compared by min-hash sketches. Runs are repeated
+until the target recall.
 
 What shares a leaf and has a like sketch is a candidate; candidates form groups, in which all pairs are
 compared exactly, each set being sent once (to block pairs, where a group is large).
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.llm._spark import connected_components, group_bounds, kept, whole_groups
+from turnwise.llm._spark import connected_components, group_bounds, kept, only, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Hashes of a sketch. In a leaf, a set goes with a leader if LOOSE of them agree and leads itself unless TIGHT of
@@ -25,6 +26,8 @@ from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 SKETCH, TIGHT, LOOSE = 64, 0.70, 0.35
 #: Sets in a leaf, levels below the first, sets of a leaf that meet in one task, sets in a block of the exact comparison.
 LEAF, DEPTH, SALTED, BLOCK = 128, 4, 2048, 400
+#: A bucket is not split if its sets agree with its first in this share of hashes on the mean.
+DENSE = 0.25
 _U = np.uint64
 _DRAW = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _DRAW.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -104,7 +107,7 @@ def _sets(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
                 raw = grams.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["t", "grams"])
 
-    return texts.join(ids.select("t").distinct(), "t", "left_semi").mapInArrow(run, "t long, grams binary").dropDuplicates(["t"])
+    return only(texts, kept(ids.select("t").distinct()), "t").mapInArrow(run, "t long, grams binary").dropDuplicates(["t"])
 
 
 def _split(over: DataFrame, texts: DataFrame, ngram: int, threshold: float) -> DataFrame:
@@ -121,23 +124,37 @@ def _split(over: DataFrame, texts: DataFrame, ngram: int, threshold: float) -> D
     return over.select("t", "key").join(_sets(texts, over, ngram), "t").mapInArrow(run, "t long, key long")
 
 
+def _dense(over: DataFrame, signed: DataFrame) -> DataFrame:
+    """The keys of the buckets of over (t, key, n) whose sets are alike."""
+    marked = over.join(signed.select("t", "sketch"), "t")
+    first = marked.groupBy("key").agg(F.min(F.struct("t", "sketch")).alias("first")).select("key", F.col("first.sketch").alias("first"))
+
+    def run(batches):
+        for batch in batches:
+            own, first = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((own == first).mean(1))], ["key", "alike"])
+
+    alike = marked.join(first, "key").select("key", "sketch", "first").mapInArrow(run, "key long, alike double")
+    return alike.groupBy("key").agg(F.avg("alike").alias("alike")).where(F.col("alike") >= DENSE).select("key")
+
+
 def leaders(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (set, leader) and the leaders, of sets with sketches, in order."""
+    """Pairs (set, first set of those that leaders join to it) and the leaders, of sets with sketches, in order."""
     if len(ids) == 2:
         near = (marks[0] == marks[1]).mean() >= LOOSE
-        return (ids[1:], ids[:1], ids[:1] if near else ids) if near else (ids[:0], ids[:0], ids)
-    open_, a, b, led = np.ones(len(ids), bool), [], [], []
+        return (ids[1:], ids[:1], ids[:1]) if near else (ids[:0], ids[:0], ids)
+    open_, of, led = np.ones(len(ids), bool), np.arange(len(ids)), []
     while open_.any():
         k = int(open_.argmax())
         alike = (marks == marks[k]).mean(1)
-        alike[k] = 0
-        at = np.flatnonzero(alike >= LOOSE)
-        a.append(ids[at])
-        b.append(np.full(len(at), ids[k]))
+        joined = np.unique(of[alike >= LOOSE])
+        if len(joined) > 1:
+            of[np.isin(of, joined)] = joined[0]
         led.append(k)
-        open_[k] = False
         open_ &= alike < TIGHT
-    return np.concatenate(a), np.concatenate(b), ids[led]
+        open_[k] = False
+    at = np.flatnonzero(of != np.arange(len(ids)))
+    return ids[at], ids[of[at]], ids[led]
 
 
 def _candidates(members: DataFrame, signed: DataFrame) -> DataFrame:
@@ -274,11 +291,12 @@ def jaccard_classes(
     def sized(members: DataFrame) -> DataFrame:
         return members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
-    members = kept(sized(signed.select("t", F.explode(F.array_distinct("keys")).alias("key"))))
-    leaves, level = members.where(F.col("n") <= leaf), 0
-    over = members.where(F.col("n") > leaf)
+    members = kept(sized(signed.select("t", F.explode(F.array_distinct("keys")).alias("key"))).select("key", "t", "n"))
+    leaves, over, level = members.where(F.col("n") <= leaf), members.where(F.col("n") > leaf), 0
     while level < depth and not over.isEmpty():
-        members, level = kept(sized(_split(over, texts, ngram, threshold))), level + 1
+        alike = kept(_dense(over, signed))
+        leaves, over = leaves.union(over.join(alike, "key", "left_semi").select("key", "t", "n")), over.join(alike, "key", "left_anti")
+        members, level = kept(sized(_split(over, texts, ngram, threshold)).select("key", "t", "n")), level + 1
         leaves, over = leaves.union(members.where(F.col("n") <= leaf)), members.where(F.col("n") > leaf)
     groups = connected_components(_candidates(leaves.union(over), signed))
     found = _verified(groups, texts, copies, ngram, threshold, block)
