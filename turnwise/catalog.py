@@ -1,4 +1,4 @@
-"""The registered queries of the conversation operators, with the same in SQL."""
+"""All registered queries of the conversation operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from turnwise.plans import evaluation, people, records, segments, signals, statistics, texts, verification  # noqa: F401  they register their queries
+from turnwise.registry import ORACLE_SQL, QUERIES  # noqa: F401
