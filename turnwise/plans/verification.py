@@ -1 +1,97 @@
-"""Queries."""
+"""Queries over claims made of the tables: an order is a call's claim, its lines are evidence that cites turns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turnwise.functions import text as T
+from turnwise.operators import verifying as V
+from turnwise.registry import query
+from turnwise.plans.texts import NORM_SQL
+from turnwise.sources.tables import conversations, read
+
+CHANNELS = ["lexical", "timing", "prosody", "interaction"]
+SHOWABLE, BANNED = ["2-HIGH", "1-URGENT", "3-MEDIUM"], "(?i)(ee|zz)"
+EVIDENCE_SQL = f"""n AS (SELECT conv_id AS call_id, turn AS turn_idx, role AS speaker, {NORM_SQL.replace('{t}', 'text')} AS t FROM conversations),
+    c AS (SELECT max(conv_id) + 1 AS m FROM conversations),
+    ev AS (SELECT l_orderkey % m AS call_id, l_orderkey AS claim, l_linenumber - 1 AS turn_idx, CASE WHEN l_linestatus = 'O' THEN 'user' ELSE 'assistant' END AS claim_speaker,
+        CASE WHEN l_partkey % 3 = 0 THEN 'the' WHEN l_partkey % 3 = 1 THEN '' ELSE 'Of' END AS quote, CASE l_suppkey % 4 WHEN 0 THEN 'lexical' WHEN 1 THEN 'timing' WHEN 2 THEN 'prosody' ELSE 'interaction' END AS channel FROM lineitem, c),
+    ck AS (SELECT ev.*, CASE WHEN n.speaker IS NULL THEN 'turn_missing' WHEN n.speaker <> claim_speaker THEN 'wrong_speaker' WHEN quote <> '' AND NOT contains(' ' || n.t || ' ', ' ' || lower(quote) || ' ') THEN 'quote_mismatch' END AS problem
+        FROM ev LEFT JOIN n USING (call_id, turn_idx))"""
+REASON_SQL = f"""{EVIDENCE_SQL}, ch AS (SELECT call_id, claim, list_sort(list(DISTINCT channel) FILTER (problem IS NULL)) AS channels, coalesce(bool_or(problem = 'quote_mismatch'), false) AS q FROM ck GROUP BY ALL),
+    cl AS (SELECT o_orderkey % m AS call_id, o_orderkey AS claim, o_custkey % 10 <> 0 AS has_baseline, o_orderpriority AS likelihood, o_orderkey % 7 <> 0 AS alt, printf('%x', o_orderkey) AS body, o_totalprice, o_orderstatus AS speaker FROM orders, c),
+    rs AS (SELECT cl.*, CASE WHEN NOT has_baseline THEN 'no_baseline' WHEN NOT (len(coalesce(channels, [])) >= 2 AND (list_contains(coalesce(channels, []), 'lexical') OR list_contains(coalesce(channels, []), 'interaction'))) THEN CASE WHEN coalesce(q, false) THEN 'quote_mismatch' ELSE 'convergence' END
+        WHEN likelihood NOT IN ('2-HIGH', '1-URGENT', '3-MEDIUM') THEN 'not_likely_enough' WHEN NOT alt THEN 'no_alternative' WHEN regexp_matches(body, '(?i)(ee|zz)') THEN 'wording' END AS reason FROM cl LEFT JOIN ch USING (call_id, claim))"""
+CAPS_SQL = f"""{REASON_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY o_totalprice DESC, claim) AS own FROM rs WHERE reason IS NULL),
+    caps AS (SELECT call_id, claim, row_number() OVER (PARTITION BY call_id, own <= 3 ORDER BY o_totalprice DESC, claim) AS place, own FROM p)"""
+
+
+def _modulus(spark, sf_dir):
+    return F.broadcast(read(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("m")))
+
+
+def _evidence(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").crossJoin(_modulus(spark, sf_dir))
+    channel = F.element_at(F.array(*map(F.lit, CHANNELS)), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    quote = F.when(F.col("l_partkey") % 3 == 0, "the").when(F.col("l_partkey") % 3 == 1, "").otherwise("Of")
+    made = line.select((F.col("l_orderkey") % F.col("m")).alias("call_id"), F.col("l_orderkey").alias("claim"), (F.col("l_linenumber") - 1).cast("long").alias("turn_idx"), F.when(F.col("l_linestatus") == "O", "user").otherwise("assistant").alias("claim_speaker"), quote.alias("quote"), channel.alias("channel"))
+    return V.check_evidence(made, conversations(spark, sf_dir))
+
+
+def _reasons(spark, sf_dir):
+    order = read(spark, sf_dir, "orders").crossJoin(_modulus(spark, sf_dir))
+    claims = order.select((F.col("o_orderkey") % F.col("m")).alias("call_id"), F.col("o_orderkey").alias("claim"), (F.col("o_custkey") % 10 != 0).alias("has_baseline"), F.col("o_orderpriority").alias("likelihood"), F.array(F.when(F.col("o_orderkey") % 7 != 0, "other").otherwise(" ")).alias("alternatives"), F.lower(F.hex("o_orderkey")).alias("text"), "o_totalprice", F.col("o_orderstatus").alias("speaker"))
+    return V.claim_reasons(claims, _evidence(spark, sf_dir), SHOWABLE, BANNED)
+
+
+def _capped(spark, sf_dir):
+    return V.ranked_caps(_reasons(spark, sf_dir).where("reason is null"), [F.desc("o_totalprice"), F.col("claim")])
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT coalesce(problem, 'holds') AS problem, channel, count(*) AS items FROM ck GROUP BY ALL")
+def vf_evidence(spark, sf_dir):
+    return _evidence(spark, sf_dir).groupBy(F.coalesce("problem", F.lit("holds")).alias("problem"), "channel").agg(F.count("*").alias("items"))
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT call_id, claim, turn_idx, quote, problem FROM ck WHERE problem = 'quote_mismatch'")
+def vf_quote(spark, sf_dir):
+    return _evidence(spark, sf_dir).where("problem = 'quote_mismatch'").select("call_id", "claim", "turn_idx", "quote", "problem")
+
+
+@query(f"WITH {REASON_SQL} SELECT call_id, claim, reason FROM rs")
+def vf_convergence(spark, sf_dir):
+    return _reasons(spark, sf_dir).select("call_id", "claim", "reason")
+
+
+@query(f"WITH {REASON_SQL} SELECT call_id, coalesce(reason, 'kept') AS reason, count(*) AS claims FROM rs GROUP BY ALL")
+def vf_accounting(spark, sf_dir):
+    return V.accounting(_reasons(spark, sf_dir))
+
+
+@query(f"WITH {CAPS_SQL} SELECT call_id, claim, place, own > 3 OR place > 8 AS capped FROM caps")
+def ranked_caps(spark, sf_dir):
+    return _capped(spark, sf_dir).select("call_id", "claim", "place", "capped")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS claim, min(l_linenumber) * 1000 AS a, max(l_linenumber) * 1000 + CAST(max(l_quantity) * 1000 AS BIGINT) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT claim, greatest(a - 1500, 0) AS from_ms, least(b, greatest(a - 1500, 0) + 30000) AS to_ms FROM t""")
+def vf_audio_range(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim")).agg((F.min("l_linenumber") * 1000).cast("long").alias("start_ms"), (F.max("l_linenumber") * 1000 + (F.max("l_quantity") * 1000).cast("long")).alias("end_ms"))
+    turns = line.select(F.lit("c").alias("call_id"), F.col("claim").alias("turn_idx"), "start_ms", "end_ms")
+    evidence = read(spark, sf_dir, "orders").select(F.lit("c").alias("call_id"), F.col("o_orderkey").alias("claim"), F.col("o_orderkey").alias("turn_idx"))
+    return V.audio_range(evidence, turns, longest=30_000).select("claim", "from_ms", "to_ms")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, '```json' || chr(10) || text || '{"a": 1}' || chr(10) || '```' AS reply FROM conversations), b AS (SELECT *, regexp_replace(reply, '```[a-z]*', '', 'g') AS s FROM r)
+    SELECT conv_id, turn, CASE WHEN instr(s, '{') > 0 THEN s[instr(s, '{'):length(s) - instr(reverse(s), '}') + 1] END AS body FROM b""")
+def strip_response(spark, sf_dir):
+    reply = F.concat(F.lit("```json\n"), F.col("text"), F.lit('{"a": 1}\n```'))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.json_object(reply).alias("body"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'topics' ELSE '' END AS missing, CASE WHEN user_id % 2 = 0 THEN 'extra' ELSE '' END AS unknown FROM events")
+def slot_diff(spark, sf_dir):
+    template = F.concat(F.lit("a {{goal}} "), F.when(F.col("event_type") == "view", "{{topics}}").otherwise(""))
+    given = F.filter(F.array(F.lit("goal"), F.when(F.col("user_id") % 2 == 0, "extra")), lambda x: x.isNotNull())
+    missing, unknown = V.slots(template, given)
+    return read(spark, sf_dir, "events").select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(unknown, ",").alias("unknown"))
