@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from turnwise.functions.lexicons import HEDGES, NEGATIVE, NEGATORS, POSITIVE
+
 
 def turn_id(index: Column) -> Column:
     return F.format_string("T%03d", index + 1)
@@ -29,18 +31,13 @@ def letter_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), F.lit(1))
 
 
-def among(token: Column, words: Sequence[str]) -> Column:
-    """Whether a token is one of the words; a literal set, hashed by the engine when long."""
-    return token.isin(*words) if words else F.lit(False)
-
-
-def sentiment(text: Column, positive: Sequence[str], negative: Sequence[str], negators: Sequence[str], flip: float = -0.6, alpha: float = 15.0) -> Column:
-    """Sum of word scores, turned around by `flip` after a negator, over the root of its square plus alpha; 3 places."""
+def sentiment(text: Column, scores: Mapping[str, float] = POSITIVE | NEGATIVE, negators: Sequence[str] = NEGATORS, flip: float = -0.6, alpha: float = 15.0) -> Column:
+    """Sum of word scores, each turned around by `flip` after a negator, over the root of its square plus alpha; 3 places. No words: 0."""
     tokens = letter_tokens(text)
-    score = lambda t: F.when(among(t, positive), 1.0).when(among(t, negative), -1.0).otherwise(0.0)
+    known = F.create_map(*(F.lit(x) for pair in scores.items() for x in (pair[0], float(pair[1]))))
     # a token with the one before it; the first follows nothing
-    pairs = F.zip_with(tokens, F.concat(F.array(F.lit("")), tokens), lambda t, p: F.struct(t.alias("t"), p.alias("p")))
-    scored = F.transform(pairs, lambda x: F.coalesce(F.when(among(x["p"], negators), score(x["t"]) * flip).otherwise(score(x["t"])), F.lit(0.0)))
+    pairs = F.filter(F.zip_with(tokens, F.concat(F.array(F.lit("")), tokens), lambda t, p: F.struct(t.alias("t"), p.alias("p"))), lambda x: x["t"].isin(*scores))
+    scored = F.transform(pairs, lambda x: F.element_at(known, x["t"]) * F.when(x["p"].isin(*negators), flip).otherwise(1.0))
     total = F.aggregate(scored, F.lit(0.0), lambda a, x: a + x)
     return F.coalesce(F.round(total / F.sqrt(total * total + alpha), 3), F.lit(0.0))
 
@@ -74,19 +71,19 @@ def questions(text: Column) -> Column:
     return (F.length(clean) - F.length(F.replace(clean, F.lit("?"), F.lit("")))).cast("long")
 
 
-def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:
+def phrase_hits(text: Column, phrases: Sequence[str] = HEDGES) -> Column:
     """How often the phrases occur as whole tokens of a-z and '."""
     spaced = F.concat(F.lit(" "), F.array_join(letter_tokens(text), "  "), F.lit(" "))
     hits = F.lit(0)
     for phrase in phrases:
-        wanted = " " + "  ".join(phrase.split()) + " "
+        wanted = " " + "  ".join(phrase.lower().split()) + " "
         hits = hits + F.floor((F.length(spaced) - F.length(F.replace(spaced, F.lit(wanted), F.lit("")))) / len(wanted))
     return hits.cast("long")
 
 
 def terms(text: Column) -> Column:
     """Comma or line separated terms, trimmed, without empty ones, the first of each kept."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, r"[,\n]"), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[,\n]"), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def call_id(path: Column, size: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnwise.functions.lexicons import NOTES
 from turnwise.functions.numbers import exclusive_quartile, spread, z_score
 
 LEAST, BEHIND, NOTABLE = 12, 30, 1.5
@@ -74,6 +75,23 @@ def long_features(rows: DataFrame, keys: list[str], features: list[str]) -> Data
     return rows.select(*keys, *(F.col(f).cast("double").alias(f) for f in features)).unpivot(keys, features, "feature", "value").where(finite(F.col("value")))
 
 
+def observations(departed: DataFrame, keys: list[str], notable: float = NOTABLE, notes=NOTES, guards: dict[str, Column] | None = None) -> DataFrame:
+    """What is said of each row's departures (keys, feature, z), in the order of the notes; a guard must hold for its feature.
+
+    The notes are a short literal table, so no join is needed; features without wording for a direction say nothing.
+    """
+    above, below, order = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    for k, (feature, high, low) in enumerate(notes):
+        own = F.col("feature") == feature
+        above, below, order = F.when(own, F.lit(high)).otherwise(above), F.when(own, F.lit(low)).otherwise(below), F.when(own, F.lit(k)).otherwise(order)
+    allowed = F.lit(True)
+    for feature, guard in (guards or {}).items():
+        allowed = allowed & ((F.col("feature") != feature) | F.coalesce(guard, F.lit(False)))
+    note = F.when(F.col("z") > 0, above).otherwise(below)
+    said = departed.where((F.abs("z") >= notable) & allowed).withColumn("note", note).withColumn("place", order).where("note is not null")
+    return said.select(*keys, "feature", "z", "note", "place")
+
+
 def mismatches(rows: DataFrame, words: str = "words_z", voice: str = "voice_z", least: float = 2.0) -> DataFrame:
     """Rows on which two departures are both large and of opposite signs."""
     return rows.where((F.abs(words) >= least) & (F.abs(voice) >= least) & ((F.col(words) > 0) != (F.col(voice) > 0)))

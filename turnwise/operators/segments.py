@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.functions.numbers import exact_sum
 
-_CALL = Window.partitionBy("call_id")
+def _call():
+    return Window.partitionBy("call_id")
 
 
 def islands(rows: DataFrame, begins: Column, order: list, keys: tuple[str, ...] = ("call_id",), name: str = "island") -> DataFrame:
@@ -21,7 +22,7 @@ def islands(rows: DataFrame, begins: Column, order: list, keys: tuple[str, ...]
 
 def with_turns(segments: DataFrame, gap: float = 2.0) -> DataFrame:
     """Each segment's turn_idx: a turn goes on while the speaker stays and starts at most `gap` after the last segment's end."""
-    order = _CALL.orderBy("seg_idx")
+    order = _call().orderBy("seg_idx")
     goes_on = (F.col("speaker") == F.lag("speaker").over(order)) & (F.col("start_s") - F.lag("end_s").over(order) <= gap)
     return islands(segments, ~goes_on, ["seg_idx"], name="turn_idx")
 
@@ -37,7 +38,7 @@ def build_turns(segments: DataFrame, gap: float = 2.0) -> DataFrame:
 
 def reply_latencies(turns: DataFrame) -> DataFrame:
     """reply_latency: from the turn before to this one, if the speaker changed."""
-    order = _CALL.orderBy("turn_idx")
+    order = _call().orderBy("turn_idx")
     changed = F.col("speaker") != F.lag("speaker").over(order)
     return turns.withColumn("reply_latency", F.when(changed, F.round(F.col("start_s") - F.lag("end_s").over(order), 2)))
 
@@ -83,7 +84,7 @@ def overlap_by_speaker(events: DataFrame) -> DataFrame:
 
 def call_summary(turns: DataFrame, scored_seconds: float = 4.0) -> DataFrame:
     """Turns, changes of speaker, speech, seconds a change, the longest turn (the first of equals) and scored turns of each call."""
-    order = _CALL.orderBy("turn_idx")
+    order = _call().orderBy("turn_idx")
     marked = turns.withColumn("_change", (F.col("speaker") != F.lag("speaker").over(order)).cast("long"))
     changes = F.coalesce(F.sum("_change"), F.lit(0))
     return marked.groupBy("call_id").agg(
@@ -94,7 +95,7 @@ def call_summary(turns: DataFrame, scored_seconds: float = 4.0) -> DataFrame:
 
 def silences(turns: DataFrame, least: float = 2.0) -> DataFrame:
     """Gaps between turns of a call, whoever speaks."""
-    gap = F.col("start_s") - F.lag("end_s").over(_CALL.orderBy("turn_idx"))
+    gap = F.col("start_s") - F.lag("end_s").over(_call().orderBy("turn_idx"))
     return turns.withColumn("_gap", gap).where(F.col("_gap") >= least).select("call_id", "turn_idx", F.round("_gap", 2).alias("seconds"))
 
 
@@ -121,7 +122,7 @@ def as_of(points: DataFrame, turns: DataFrame, at: str = "at_s") -> DataFrame:
     """The latest turn that starts at or before each point; null before the first. One sorted pass over a call, no pair of rows is made."""
     marks = turns.select("call_id", F.col("start_s").alias(at), F.lit(None).cast("long").alias("point"), F.col("turn_idx").alias("_turn"), F.lit(0).alias("_late"))
     asked = points.select("call_id", at, "point", F.lit(None).cast("long").alias("_turn"), F.lit(1).alias("_late"))
-    order = _CALL.orderBy(at, "_late", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = _call().orderBy(at, "_late", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = marks.union(asked).withColumn("turn_idx", F.last("_turn", ignorenulls=True).over(order))
     return both.where("point is not null").select("call_id", "point", at, "turn_idx")
 
@@ -135,7 +136,7 @@ def first_covering(spans: DataFrame, clips: DataFrame) -> DataFrame:
 def clip_windows(turns: DataFrame, pad: float, media_seconds: Column) -> DataFrame:
     """Distinct windows around turns, within the medium, numbered by time."""
     wide = turns.select("call_id", F.greatest(F.col("start_s") - pad, F.lit(0.0)).alias("clip_start"), F.least(F.col("end_s") + pad, media_seconds).alias("clip_end")).distinct()
-    return wide.withColumn("clip", F.row_number().over(_CALL.orderBy("clip_start", "clip_end")).cast("long"))
+    return wide.withColumn("clip", F.row_number().over(_call().orderBy("clip_start", "clip_end")).cast("long"))
 
 
 def nearest_label(points: DataFrame, spans: DataFrame, at: str = "at_s") -> DataFrame:
@@ -146,17 +147,17 @@ def nearest_label(points: DataFrame, spans: DataFrame, at: str = "at_s") -> Data
 
 def other_speaker_nearby(turns: DataFrame) -> DataFrame:
     """The next other speaker's label, or else the one before."""
-    order = _CALL.orderBy("turn_idx")
+    order = _call().orderBy("turn_idx")
     runs = islands(turns, F.col("speaker") != F.lag("speaker").over(order), ["turn_idx"], name="run")
     near = runs.groupBy("call_id", "run").agg(F.min("speaker").alias("speaker"))
-    by_run = _CALL.orderBy("run")
+    by_run = _call().orderBy("run")
     near = near.withColumn("nearby", F.coalesce(F.lead("speaker").over(by_run), F.lag("speaker").over(by_run)))
     return runs.join(near.select("call_id", "run", "nearby"), ["call_id", "run"]).drop("run")
 
 
 def monotone(words: DataFrame, order: list[str]) -> DataFrame:
     """One clock: starts never go back, ends are cut at the next start and not before the own start."""
-    by = _CALL.orderBy(*order)
+    by = _call().orderBy(*order)
     begun = words.withColumn("clock_start", F.max("start_s").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     end = F.greatest("end_s", "clock_start")
     return begun.withColumn("clock_end", F.greatest(F.least(end, F.coalesce(F.lead("clock_start").over(by), end)), F.col("clock_start")))

@@ -7,16 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnwise.functions.lexicons import FILLERS, VOCALISATIONS
 from turnwise.operators.segments import islands
 
-#: fixed values: how words are told apart by class
-FILLED, VOCAL = ("um", "uh", "uhm", "umm", "uhh", "erm", "er", "ehm"), ("mhm", "hm", "hmm", "huh", "ah", "oh")
-
-
 def word_class(word: Column) -> Column:
     """filler, vocalisation, event ([...]), cutoff (a closing -) or content."""
     bare = F.regexp_replace(F.lower(word), r"^[^a-z0-9\[]+|[^a-z0-9\]-]+$", "")
-    return F.when(F.substring(bare, 1, 1) == "[", "event").when(bare.isin(*FILLED), "filler").when(bare.isin(*VOCAL), "vocalisation").when(bare.endswith("-"), "cutoff").otherwise("content")
+    return F.when(F.substring(bare, 1, 1) == "[", "event").when(bare.isin(*FILLERS), "filler").when(bare.isin(*VOCALISATIONS), "vocalisation").when(bare.endswith("-"), "cutoff").otherwise("content")
 
 
 def split_by_speaker(words: DataFrame, least_words: int = 4, least_seconds: float = 1.0) -> DataFrame:

@@ -9,7 +9,7 @@ from turnwise.registry import dround, query
 from turnwise.sources.tables import WORDS_SQL, conversations, words
 
 OPENING, ADDRESS = r"(?:^|\. )([A-Z][a-z]+)", r"([A-Z][a-z]+)\.$"
-CLASS_SQL = r"""CASE WHEN b[1:1] = '[' THEN 'event' WHEN b IN ('um','uh','uhm','umm','uhh','erm','er','ehm') THEN 'filler' WHEN b IN ('mhm','hm','hmm','huh','ah','oh') THEN 'vocalisation' WHEN ends_with(b, '-') THEN 'cutoff' ELSE 'content' END"""
+CLASS_SQL = r"""CASE WHEN b[1:1] = '[' THEN 'event' WHEN b IN ('um','uh','uhm','umm','uhh','erm','er','ehm','em') THEN 'filler' WHEN b IN ('hmm','hm','mm','mhm','mmm','mm-hmm','uh-huh','mhmm') THEN 'vocalisation' WHEN ends_with(b, '-') THEN 'cutoff' ELSE 'content' END"""
 KIND_SQL = rf"""{WORDS_SQL}, kb AS (SELECT *, regexp_replace(lower(word), '^[^a-z0-9\[]+|[^a-z0-9\]-]+$', '', 'g') AS b FROM words), kw AS (SELECT *, {CLASS_SQL} AS kind FROM kb)"""
 PAUSE_SQL = f"""{WORDS_SQL}, pl AS (SELECT *, lead(word) OVER o AS bw, lead(start_s) OVER o AS s2, lead(end_s) OVER o AS e2 FROM words WINDOW o AS (PARTITION BY call_id, turn_idx ORDER BY word_idx)),
     pauses AS (SELECT call_id, turn_idx, {dround("end_s", 2)} AS at, {dround("(s2 - end_s)", 2)} AS seconds, word AS after_word, bw AS before_word FROM pl

@@ -114,3 +114,13 @@ def weighted_mean(spark, sf_dir):
 def clip_scores(spark, sf_dir):
     x = F.col("value") / 100 - 0.1
     return read(spark, sf_dir, "events").select("event_id", F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), 3).alias("clipped"), F.round(x, 6).alias("raw"), ((x < 0) | (x > 1)).alias("out_of_range"))
+
+
+@query(f"""WITH {REFERENCE_SQL}, z AS (SELECT ev.event_id, ev.event_type, CASE WHEN r.n >= 12 THEN {dround("((ev.value - r.median) / nullif(r.scale, 0))", 2)} END AS z FROM events ev LEFT JOIN ref r ON ev.user_id = r.series),
+    n(event_type, high, low, place) AS (VALUES ('click', 'faster', 'slower', 0), ('error', NULL, 'fewer errors', 1), ('view', 'longer', NULL, 2))
+    SELECT event_id, event_type AS feature, z, CASE WHEN z > 0 THEN high ELSE low END AS note, place FROM z JOIN n USING (event_type) WHERE abs(z) >= 1.0 AND CASE WHEN z > 0 THEN high ELSE low END IS NOT NULL AND (event_type <> 'view' OR event_id % 2 = 0)""")
+def observations(spark, sf_dir):
+    rows = series(spark, sf_dir)
+    departed = B.departures(rows, B.references(rows, KEYS), KEYS).select("event_id", F.col("event_type").alias("feature"), "z")
+    notes = (("click", "faster", "slower"), ("error", None, "fewer errors"), ("view", "longer", None))
+    return B.observations(departed, ["event_id"], 1.0, notes, {"view": F.col("event_id") % 2 == 0})

@@ -18,7 +18,7 @@ TOKENS_SQL = "regexp_extract_all(lower(text), '([a-z'']+)', 1)"
         * (CASE WHEN i > 1 AND tk[i - 1] IN ({_in(NEGATORS)}) THEN -0.6::DOUBLE ELSE 1.0::DOUBLE END), 0.0::DOUBLE))) AS total FROM t)
     SELECT doc_id, coalesce({dround("round(total / sqrt(total * total + 15), 12)", 3)}, 0.0) AS lexical FROM s""")
 def lexical_sentiment(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.sentiment(F.col("text"), POSITIVE, NEGATIVE, NEGATORS).alias("lexical"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.sentiment(F.col("text"), {**dict.fromkeys(POSITIVE, 1.0), **dict.fromkeys(NEGATIVE, -1.0)}, NEGATORS).alias("lexical"))
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\b(?:the|of|to)\b[,.]?', '', 'g'), '\[[^\]]*\]', '', 'g') AS t FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*')) SELECT conv_id, turn, md5(t) AS hash FROM s""")
@@ -66,7 +66,7 @@ def token_estimate(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[,\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS a FROM conversations)
-    SELECT conv_id, turn, len(list_distinct(a)) AS terms, md5(array_to_string(list_sort(list_transform(list_distinct(a), lambda x: trim(x))), '|')) AS hash FROM t""")
+    SELECT conv_id, turn, len(list_distinct(a)) AS terms, md5(array_to_string(list_sort(list_distinct(a)), '|')) AS hash FROM t""")
 def split_terms(spark, sf_dir):
     found = T.terms(F.col("text"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(found).cast("long").alias("terms"), F.md5(F.array_join(F.array_sort(found), "|")).alias("hash"))
