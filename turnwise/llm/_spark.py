@@ -19,6 +19,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids that a task may hold (8 bytes each); beyond that they are joined by a shuffle.
 HELD_IDS = 1_000_000
 

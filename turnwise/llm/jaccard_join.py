@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.llm._spark import connected_components, group_bounds, kept, only, whole_groups
+from turnwise.llm._spark import connected_components, fresh, group_bounds, kept, only, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Hashes of a sketch. In a leaf, a set goes with a leader if LOOSE of them agree and leads itself unless TIGHT of
@@ -308,10 +308,10 @@ def jaccard_classes(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs less all but one of each class: the one with the least id stays, and one of equal rows."""
-    if clash := {"_t"} & set(docs.columns):
-        raise ValueError(f"columns {clash} are used here")
+    """The rows of docs less all but one of each class: the one with the least id stays, and one of equal rows. Null ids stay."""
     classes = jaccard_classes(docs, id_col, text_col, **options)
     stay = classes.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct()
-    marked = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return marked.join(stay, id_col, "left_semi").dropDuplicates([id_col, "_t"]).drop("_t").select(docs.columns)
+    mark = fresh(docs, "_t")
+    marked = docs.where(F.col(id_col).isNotNull()).withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    one = marked.join(stay, id_col, "left_semi").dropDuplicates([id_col, mark]).select(docs.columns)
+    return one.union(docs.where(F.col(id_col).isNull()))

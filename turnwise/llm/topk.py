@@ -74,7 +74,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         wanted = spark.sparkContext.broadcast(block)
 
         def run(batches, wanted=wanted):
-            state = {}
+            state, plain = {}, set()
             for batch in batches:
                 lengths = np.asarray(batch.column(1).value_lengths())
                 ids, lists = np.asarray(batch.column(0)), batch.column(1)
@@ -85,10 +85,14 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
                     here = np.flatnonzero(lengths == size)
                     part = quantise(np.asarray(lists.take(pa.array(here)).flatten()).reshape(len(here), size), scale)
                     state.setdefault(int(size), (np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)))
-                    exact = q if max(np.abs(q).max(), np.abs(part).max()) < SAFE else q.astype(object)
+                    if max(np.abs(q).max(), np.abs(part).max()) >= SAFE:
+                        plain.add(int(size))  # from here on: what is found so far may not be exact in floats
                     for low in range(0, len(here), ROW_BLOCK):
-                        sub = part[low : low + ROW_BLOCK]
-                        state[int(size)] = search_block(exact, q_ids, sub, ids[here[low : low + ROW_BLOCK]], list(state[int(size)]), k, levels) if exact is q else _plain(q, q_ids, sub, ids[here[low : low + ROW_BLOCK]], state[int(size)], k)
+                        sub, sub_ids = part[low : low + ROW_BLOCK], ids[here[low : low + ROW_BLOCK]]
+                        if int(size) in plain:
+                            state[int(size)] = _plain(q, q_ids, sub, sub_ids, state[int(size)], k)
+                        else:
+                            state[int(size)] = search_block(q, q_ids, sub, sub_ids, list(state[int(size)]), k, levels)
             for size, (scores, found_) in state.items():
                 q_ids = wanted.value[size][0]
                 at = np.nonzero(np.isfinite(scores.astype(float)))
