@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from turnwise.llm._spark import kept, only
 from turnwise.llm._text import buffers, shingle_hashes, slices, word_hashes
 
 #: Words of a unit, items of an index (and bytes of their texts), postings of a block, and BM25's constants.
@@ -247,6 +248,6 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is not that of a contaminated one; a null id is kept out only by its own text."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
+    """The rows of docs whose id is not that of a contaminated one. Null ids stay."""
+    bad = contaminated(docs, benchmark, id_col, text_col, **options).where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    return only(docs, kept(bad), id_col, "left_anti").select(docs.columns)

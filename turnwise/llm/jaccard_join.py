@@ -309,9 +309,13 @@ def jaccard_classes(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs less all but one of each class: the one with the least id stays, and one of equal rows. Null ids stay."""
-    classes = jaccard_classes(docs, id_col, text_col, **options)
-    stay = classes.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct()
+    classes = jaccard_classes(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    by_id = kept(classes.groupBy(id_col).agg(F.max((F.col(id_col) == F.col("class_id")).cast("int")).alias("first"), F.count("*").alias("rows")).where("first = 1"))
+    known = docs.where(F.col(id_col).isNotNull())
+    stay = only(known, by_id.where("rows = 1"), id_col).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    again = by_id.where("rows > 1")
+    if again.isEmpty():
+        return stay
     mark = fresh(docs, "_t")
-    marked = docs.where(F.col(id_col).isNotNull()).withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    one = marked.join(stay, id_col, "left_semi").dropDuplicates([id_col, mark]).select(docs.columns)
-    return one.union(docs.where(F.col(id_col).isNull()))
+    repeated = only(known, again, id_col).withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return stay.union(repeated.dropDuplicates([id_col, mark]).select(docs.columns))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnwise.llm._spark import kept
+from turnwise.llm._spark import kept, only
 from turnwise.llm._text import buffers, slices, word_hashes
 
 STATISTICS = (
@@ -206,8 +206,6 @@ def quality_scores(
 
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are predicted to be good. Ids with any good text stay; a null id stays if its text is good."""
-    if not docs.columns:
-        return docs
-    marked = quality_scores(docs, labels, id_col, text_col, **options).where("predicted = 1").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(marked, docs[id_col].eqNullSafe(marked["_id"]), "left_semi")
+    """The rows of docs that are predicted to be good: those whose id has a good text. Null ids stay."""
+    good = quality_scores(docs, labels, id_col, text_col, **options).where(F.col(id_col).isNotNull() & (F.col("predicted") == 1)).select(id_col).distinct()
+    return only(docs, kept(good), id_col).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
