@@ -35,24 +35,33 @@ class Words(dict):
     def __init__(self, text: str):
         super().__init__()
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.chunks: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # words are in lower case and apart already, so they need the merges alone
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         # fixed values: the pre-tokenizer pattern of the word-end vocabulary
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]|<\|")
+        self.plain = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+
+    def odd(self, text: str) -> bool:
+        try:
+            return bool(text.encode("latin-1").translate(None, self.plain)) or "<|" in text
+        except UnicodeEncodeError:
+            return True
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
-        ids = self.encode(" ".join(words))
+        ids = np.array(self.merges.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
         if len(ends) == len(words) and ends[-1] == len(ids):
             raw = ids.tobytes()
@@ -70,7 +79,7 @@ class Words(dict):
         self.chunks.update((c, self[w[0]] if len(w) == 1 else b"".join(map(self.__getitem__, w))) for c, w in new.items())
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        plain = [None if self.odd.search(t) else t.lower().split() for t in texts]
+        plain = [None if self.odd(t) else t.lower().split() for t in texts]
         every = set().union(*filter(None, plain))
         new = every - self.chunks.keys()
         if len(self.chunks) + len(new) > CHUNKS_KEPT:
