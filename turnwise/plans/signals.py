@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from turnwise.functions.text import semitones as to_semitones
 from turnwise.operators import acoustics as A
+from turnwise.operators.pitch import tracked
 from turnwise.registry import query
 from turnwise.sources.tables import read
 
@@ -64,3 +65,9 @@ _dot = lambda k: " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * {WEIGHTS[k][i
 def softmax_score(spark, sf_dir):
     scored = read(spark, sf_dir, "embeddings").withColumn("p", A.linear_scores(F.col("embedding"), WEIGHTS, [0.0, 0.0, 0.0]))
     return scored.select("vec_id", F.round(F.col("p")[0], 4).alias("p0"), F.round(F.col("p")[1], 4).alias("p1"), F.round(F.col("p")[0] - F.col("p")[2], 4).alias("certainty"))
+
+
+@query()
+def pitch_track(spark, sf_dir):
+    samples = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track"), F.posexplode("embedding").alias("i", "x"))
+    return tracked(samples.withColumn("i", F.col("i").cast("long")), 600)
