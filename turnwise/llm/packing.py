@@ -16,8 +16,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Words, and chunks between spaces, whose ids a worker keeps; a store is emptied when it is full. Documents tokenised at once.
-KEPT, CHUNKS_KEPT, AT_ONCE = 800_000, 900_000, 400
+from turnwise.llm.token_counts import byte_alphabet
+
+#: Words, and chunks between spaces, whose ids a worker keeps; a full store keeps what the texts at hand use. Documents tokenised at once.
+KEPT, CHUNKS_KEPT, AT_ONCE = 350_000, 450_000, 400
+#: New words in one call of the tokenizer; longer calls take more time a word.
+LEARNT = 200
 #: Tokens of a block; a block is packed by itself, in the task that has tokenised it.
 BLOCK_TOKENS = 1 << 20
 _LOADED: dict[str, "Words"] = {}
@@ -41,9 +45,10 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # words are in lower case and apart already, so they need the merges alone
+        # words are in lower case and apart already, so they need the merges alone, over the letters that stand for their bytes
         self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in enumerate(byte_alphabet()) if b != 0x20}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -61,7 +66,9 @@ class Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
-        ids = np.array(self.merges.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        joined = [" ".join(words[i : i + LEARNT]) for i in range(0, len(words), LEARNT)]
+        joined = [x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in joined]
+        ids = np.concatenate([np.array(self.merges.encode(x, add_special_tokens=False).ids, "<u4") for x in joined])
         ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
         if len(ends) == len(words) and ends[-1] == len(ids):
             raw = ids.tobytes()
@@ -72,9 +79,13 @@ class Words(dict):
     def take(self, chunks: set[str]) -> None:
         """Put the ids of the chunks among those kept."""
         new = {c: (c,) if c.isalpha() else self.pattern.findall(c) for c in chunks}
-        if len(self) + len(new) > KEPT:
+        needed = set().union(*new.values())
+        missing = needed - self.keys()
+        if len(self) + len(missing) > KEPT:
+            held = {w: self[w] for w in needed - missing}
             self.clear()
-        if missing := set().union(*new.values()) - self.keys():
+            self.update(held)
+        if missing:
             self.learn(list(missing))
         self.chunks.update((c, self[w[0]] if len(w) == 1 else b"".join(map(self.__getitem__, w))) for c, w in new.items())
 
@@ -83,8 +94,7 @@ class Words(dict):
         every = set().union(*filter(None, plain))
         new = every - self.chunks.keys()
         if len(self.chunks) + len(new) > CHUNKS_KEPT:
-            self.chunks.clear()
-            new = every
+            self.chunks = {c: self.chunks[c] for c in every - new}
         self.take(new)
         of = self.chunks.__getitem__
         return [self.encode(t).tobytes() if p is None else b"".join(map(of, p)) for t, p in zip(texts, plain)]
