@@ -108,3 +108,40 @@ def test_hashes_do_not_depend_on_neighbours():
     assert np.diff(b).tolist() == [2, 0, 2, 1, 2] and h[0] == h[3] == h[6] and h[1] == h[2]
     g, at = shingle_hashes(h, b, 2)
     assert np.diff(at).tolist() == [1, 0, 1, 1, 1] and len(set(g.tolist())) == 4
+
+
+def without_some(words, places):
+    return [f"x{k}" if k in places else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("side", [400, 2])
+def test_later_copies_of_a_changed_text_are_found(spark, side):
+    """F, an older text, is near neither A nor B, which are near each other; both share values with it."""
+    r = np.random.default_rng(8)
+    rows = []
+    for k in range(24):
+        a = [f"w{x}" for x in r.integers(0, 10**6, 60)]
+        f, b = without_some(a, {9, 27, 45}), without_some(a, {30})  # Jaccard 41/71 of F and A, 51/61 of A and B
+        rows += [(3 * k, " ".join(f)), (3 * k + 1, " ".join(a)), (3 * k + 2, " ".join(b))]
+    for k in range(12):  # one passage in many texts
+        rows.append((900 + k, " ".join([f"y{x}" for x in r.integers(0, 10**6, 30)] + [f"p{x}" for x in range(60)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = S.repeated_passages(frame, side=side).collect()
+    found = {(x.doc_id, x.class_id) for x in got if not x.first}
+    assert sum((3 * k + 2, 3 * k + 1) in found for k in range(24)) == 24
+    assert {900 + k for k in range(1, 12)} <= {d for d, _ in found}
+    assert not {3 * k for k in range(24)} & {d for d, _ in found}
+
+
+def test_pairs_of_windows_are_left_out_only_if_an_earlier_one_has_what_they_share():
+    r = np.random.default_rng(4)
+    passage = np.arange(50, dtype="<u4")
+    windows = [np.concatenate([r.integers(1000, 2**32, 20).astype("<u4"), passage]) for _ in range(30)]
+    pairs = S.near_pairs(np.arange(30), windows, 30, 46, 0.8)
+    assert sorted(pairs) == [(0, k) for k in range(1, 30)]
+    a = r.integers(0, 2**32, 60).astype("<u4")
+    f, b = a.copy(), a.copy()
+    f[10:25], b[57:] = 1, 2
+    assert (1, 2) in S.near_pairs(np.arange(3), [f, a, b], 3, 46, 0.8)
+    copies = [np.where(np.arange(60) == k, 7, a).astype("<u4") for k in range(20)]
+    assert sorted(S.near_pairs(np.arange(20), copies, 20, 46, 0.8)) == [(0, k) for k in range(1, 20)]

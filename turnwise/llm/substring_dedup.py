@@ -5,8 +5,10 @@ subsequences in its range that hold its n-gram, which is their min-hash. Nodes w
 wide as a passage must be are just the runs of equal minima of windows of that width, so they are found
 without building the narrower part of the tree: about 2 / width of the positions remain.
 
-Windows that share hash and value are joined to the first of them (within a task, then over all). Pairs of
-documents whose windows meet under enough hashes are aligned and their common passages verified exactly.
+Windows that share hash and value are joined to the first of them (within a task, then over all), and where
+three or more different ones share them, all are compared with one another by their n-grams, in blocks. Pairs of
+documents whose windows meet under enough hashes, or have enough n-grams in common, are aligned and their common
+passages verified exactly.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.llm._spark import fresh, kept, only, whole_groups
+from turnwise.llm._spark import fresh, group_bounds, kept, only, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Hash functions (8 at most: the number is kept in a key's low bits) and how many must meet.
 HASHES, ENOUGH = 5, 2
 #: Windows that a task joins among themselves before it sends one for each value.
 BLOCK_WINDOWS = 1_500_000
+#: Windows of one value in a block of their comparison.
+SIDE = 400
 _U = np.uint64
 _DRAW = np.random.Generator(np.random.PCG64(23))
 _XOR, _MULTIPLY = _DRAW.integers(0, 2**63, 8, dtype=np.uint64), _DRAW.integers(0, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
@@ -61,13 +65,13 @@ def compact_windows(grams: np.ndarray, bounds: np.ndarray, width: int, hashes: i
 
 
 def _to_first(keys: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, id and span; for each row in that order its key's first row, and whether it is another document's."""
+    """Order by key, id and span; for each row in that order its key's first row, and whether it is another row."""
     order = np.lexsort((spans, ids, keys))
     keys, ids = keys[order], ids[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, order[first], ids != ids[first]
+    return order, order[first], ~new
 
 
 _LINK = "key long, id long, span long, to_id long, to_span long"
@@ -126,6 +130,101 @@ def _joined(windows: DataFrame) -> DataFrame:
     return windows.select("key", "id", "span").repartition("key").sortWithinPartitions("key").mapInArrow(run, _LINK)
 
 
+def near_pairs(ids: np.ndarray, grams: list[np.ndarray], left: int, width: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of windows (in order of id) that may hold similar passages; with left < len(ids), only pairs across left.
+
+    Passages as similar as asked have enough n-grams in common. A pair is left out only if its later window as a whole
+    is as similar as asked to an earlier one that it is paired with, or if an earlier window is in pairs with both and has
+    all that they share, in one unbroken run: each then has with that one what it has with the other.
+    """
+    n = len(ids)
+    lengths = np.array([len(x) for x in grams])
+    rows, starts = np.repeat(np.arange(n), lengths), np.cumsum(lengths) - lengths
+    place = np.arange(len(rows)) - starts[rows]
+    values, column = np.unique(np.concatenate(grams), return_inverse=True)
+    cells = np.unique(column.astype(np.int64) * n + rows)
+    columns, members = cells // n, cells % n
+    least = np.maximum(1, width - lengths + np.bincount(members, minlength=n))  # different n-grams of a passage
+    shared = np.bincount(columns, minlength=len(values)) > 1
+    inside = shared[columns]
+    dense, who = (np.cumsum(shared) - 1)[columns[inside]], members[inside]
+    common, step = np.zeros((n, n), np.float32), max(1, (1 << 23) // n)
+    for low in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(dense, [low, low + step])
+        grid = np.zeros((n, min(step, int(shared.sum()) - low)), np.float32)
+        grid[who[a:b], dense[a:b] - low] = 1
+        common += grid @ grid.T
+    near = (common >= similarity * np.maximum(least[:, None], least[None, :]) - 1e-6) & (ids[:, None] != ids[None, :])
+    if left < n:
+        near[:left, :left] = False
+        near[left:, left:] = False
+    open_, out = near.copy(), []
+    for h in np.argsort(ids, kind="stable").tolist():
+        to = np.flatnonzero(open_[h])
+        if not len(to):
+            continue
+        out += [(h, k) for k in to.tolist()]
+        open_[h] = open_[:, h] = False
+        if not open_.any():
+            break
+        own = column[starts[h] : starts[h] + lengths[h]]
+        names, at = np.unique(own, return_inverse=True)
+        index = np.minimum(np.searchsorted(names, column), len(names) - 1)
+        hit = names[index] == column
+        has = np.zeros((n, len(names)), np.float32)
+        has[rows[hit], index[hit]] = 1
+        run = has[:, at] > 0
+        whole = run.sum(1) == run.shape[1] - run[:, ::-1].argmax(1) - run.argmax(1)
+        first, last = np.full(n, len(rows)), np.full(n, -1)
+        np.minimum.at(first, rows[hit], place[hit])
+        np.maximum.at(last, rows[hit], place[hit])
+        whole &= (np.bincount(rows[hit], minlength=n) == last - first + 1) & near[h] & (ids > ids[h])
+        spread, many = np.where(run.any(1), run.shape[1] - run[:, ::-1].argmax(1) - run.argmax(1), 0), has.sum(1)
+        similar = many >= similarity * (np.bincount(members, minlength=n) + np.maximum(spread, width) - many) - 1e-6
+        settled = near[h] & (ids > ids[h]) & similar & (last - first + 1 >= width)
+        later = settled[None, :] & (ids[:, None] < ids[None, :])
+        open_ &= ~(later | later.T)
+        open_ &= ~(whole[:, None] & whole[None, :] & (has @ has.T == common))
+    return out
+
+
+def _among(links: DataFrame, texts: DataFrame, width: int, ngram: int, similarity: float, side: int) -> DataFrame:
+    """Links among all windows of the values that three or more have, less those that near_pairs leaves out."""
+    ends = links.select("key", "id", "span").union(links.select("key", F.col("to_id").alias("id"), F.col("to_span").alias("span"))).distinct()
+    many = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 2 and low < high").select("key")
+    members = kept(ends.join(many, "key"))
+    ids = kept(members.select("id").distinct())
+    cut = F.expr("substring(grams, 4 * cast(shiftright(span, 32) as int) + 1, 4 * cast((span & 4294967295L) - shiftright(span, 32) + 1 as int))")
+    members = members.join(_sequences(texts, ids, ngram), "id").select("key", "id", "span", cut.alias("grams"))
+    # windows of the same n-grams are met as the first of them
+    first = F.min(F.struct("id", "span", "grams")).alias("first")
+    same = kept(members.groupBy("key", F.xxhash64("grams").alias("t")).agg(first, F.collect_set(F.struct("id", "span")).alias("all")))
+    equal = same.select("key", "first", F.explode("all").alias("m")).select("key", F.col("m.id").alias("id"), F.col("m.span").alias("span"), F.col("first.id").alias("to_id"), F.col("first.span").alias("to_span")).where("id <> to_id")
+    sized = same.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    unlike = same.select("key", "t", "first.*").join(sized, "key").withColumn("blocks", F.expr(f"cast(ceil(n / {side}) as int)"))
+    dealt = unlike.withColumn("own", F.expr("cast(pmod(xxhash64(t, 3), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "span", "grams")
+
+    def run(batches):
+        for table in whole_groups(batches, ["key", "i", "j"]):
+            bounds = group_bounds(table, ["key", "i", "j"])
+            keys, i, j, own, ids, spans = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "span"))
+            raw = table.column("grams").combine_chunks()
+            a, b = [], []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                if high - low < 2:
+                    continue
+                left = int((own[low:high] == i[low]).sum()) if i[low] < j[low] else high - low
+                pairs = near_pairs(ids[low:high], [np.frombuffer(raw[k].as_buffer(), "<u4") for k in range(low, high)], left, width, similarity)
+                a += [low + x for x, _ in pairs]
+                b += [low + y for _, y in pairs]
+            if a:
+                yield _batch(keys[a], ids[a], spans[a], ids[b], spans[b])
+
+    order = ["key", "i", "j"]
+    return equal.union(dealt.repartition(*order).sortWithinPartitions(*order, "own", "id", "span").mapInArrow(run, _LINK))
+
+
 def _sequences(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     """(id, grams): the n-gram hashes of each text in order, upper 32 bits, of the ids given."""
 
@@ -200,7 +299,7 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, ngram: int, simila
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, similarity: float, enough: int) -> DataFrame:
-    """(id, first, end, to_id, to_first, to_end) in words, of pairs (id, to_id, met: structs of hash, spans)."""
+    """(id, first, end, to_id, to_first, to_end) in words, of pairs (id, to_id, met: structs of hash, spans, whether one hash is enough)."""
     ends = lambda name: (F.expr(f"array_min(transform(met, m -> shiftright(m.{name}, 32)))").cast("int"), F.expr(f"array_max(transform(met, m -> m.{name} & 4294967295L))").cast("int"))
     (low, high), (to_low, to_high) = ends("span"), ends("to_span")
     ranged = pairs.select("*", low.alias("low"), high.alias("high"), to_low.alias("to_low"), to_high.alias("to_high"))
@@ -212,7 +311,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                if not meeting([(m["f"], m["span"] >> 32, m["span"] & 0xFFFFFFFF) for m in r["met"]], width, enough):
+                if not any(m["alone"] for m in r["met"]) and not meeting([(m["f"], m["span"] >> 32, m["span"] & 0xFFFFFFFF) for m in r["met"]], width, enough):
                     continue
                 for a, b, p, q in common_passages(np.frombuffer(r["own"], "<u4"), np.frombuffer(r["other"], "<u4"), width, ngram, similarity):
                     rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1))
@@ -223,7 +322,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, similarity: float = 0.8, ngram: int = 5, hashes: int = HASHES, enough: int = ENOUGH,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, similarity: float = 0.8, ngram: int = 5, hashes: int = HASHES, enough: int = ENOUGH, side: int = SIDE,
 ) -> DataFrame:
     """Passages of at least min_words words that are near-duplicates of one in another document.
 
@@ -245,12 +344,15 @@ def repeated_passages(
     # a copy's windows count as those of its first copy; the later document is linked to the earlier one
     first_copy = again.groupBy("id").agg(F.min("least").alias("least"))
     links = links.join(first_copy, "id", "left").withColumn("id", F.coalesce("least", "id")).drop("least")
-    links = links.join(first_copy.withColumnRenamed("id", "to_id"), "to_id", "left").withColumn("to_id", F.coalesce("least", "to_id")).where("id <> to_id")
+    links = links.join(first_copy.withColumnRenamed("id", "to_id"), "to_id", "left").withColumn("to_id", F.coalesce("least", "to_id")).drop("least").select("key", "id", "span", "to_id", "to_span")
+    links = kept(links)
+    among = _among(links, texts, width, ngram, similarity, side).withColumn("alone", F.lit(True))
+    links = links.where("id <> to_id").withColumn("alone", F.lit(False)).union(among)
     late = F.col("id") > F.col("to_id")
     swap = lambda a, b: F.when(late, F.col(a)).otherwise(F.col(b))
-    met = F.struct((F.col("key").bitwiseAND(7)).cast("int").alias("f"), swap("span", "to_span").alias("span"), swap("to_span", "span").alias("to_span"))
+    met = F.struct((F.col("key").bitwiseAND(7)).cast("int").alias("f"), swap("span", "to_span").alias("span"), swap("to_span", "span").alias("to_span"), "alone")
     pairs = links.select(swap("id", "to_id").alias("id"), swap("to_id", "id").alias("to_id"), met.alias("m")).groupBy("id", "to_id").agg(F.collect_set("m").alias("met"))
-    pairs = kept(pairs.where(F.size(F.expr("array_distinct(met.f)")) >= enough))
+    pairs = kept(pairs.where((F.size(F.expr("array_distinct(met.f)")) >= enough) | F.exists("met", lambda m: m["alone"])))
     needed = kept(pairs.select("id").union(pairs.select("to_id").withColumnRenamed("to_id", "id")).distinct())
     sequences = kept(_sequences(texts, needed, ngram))
     found = kept(_verified(pairs, sequences, width, ngram, similarity, enough))
