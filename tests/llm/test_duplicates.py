@@ -145,3 +145,17 @@ def test_pairs_of_windows_are_left_out_only_if_an_earlier_one_has_what_they_shar
     assert (1, 2) in S.near_pairs(np.arange(3), [f, a, b], 3, 46, 0.8)
     copies = [np.where(np.arange(60) == k, 7, a).astype("<u4") for k in range(20)]
     assert sorted(S.near_pairs(np.arange(20), copies, 20, 46, 0.8)) == [(0, k) for k in range(1, 20)]
+
+
+def test_pairs_that_meet_only_in_split_buckets_reach_the_recall(spark):
+    assert [J.runs_for(0.9999, 0.8, k) for k in (1, 2, 5)] == [10, 15, 30]
+    r = np.random.default_rng(6)
+    common = [f"c{x}" for x in range(100)]  # lines that all texts are made of, in other orders
+    rows = []
+    for k in range(150):
+        text = [w for x in r.choice(10, 6, replace=False) for w in common[10 * x : 10 * x + 10]]
+        for j, at in enumerate([None, 20]):
+            rows.append((2 * k + j, " ".join(w if i != at else "changed" for i, w in enumerate(text))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = J.jaccard_classes(frame, leaf=4).collect()
+    assert sorted((x.doc_id, x.class_id, x.n_links) for x in got) == classes_by_hand(rows)

@@ -34,10 +34,13 @@ _FACTORS = _DRAW.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np
 _SHIFTS = _DRAW.integers(0, 2**32, SKETCH, dtype=np.uint32)
 
 
-def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold has shared a chosen n-gram with this probability."""
+def runs_for(recall: float, threshold: float, levels: int = 1) -> int:
+    """Runs after which a pair at the threshold has shared a path of chosen n-grams of so many levels with this probability."""
     shared = 1.0  # expected n-grams that both choose, at the threshold and with sizes as unlike as it allows
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.exp(-shared)))))
+    meets = 1.0
+    for _ in range(levels):
+        meets = 1 - math.exp(-shared * meets)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
 def sets_of(column: pa.Array, ngram: int):
@@ -73,8 +76,8 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _signed(texts: DataFrame, ngram: int, runs: int, threshold: float) -> DataFrame:
-    """(t, keys, sketch) of each distinct text with words."""
+def _signed(texts: DataFrame, ngram: int, runs: range, threshold: float) -> DataFrame:
+    """(t, keys, sketch) of each distinct text with words; keys of these runs."""
 
     def run(batches):
         seen: set[int] = set()
@@ -83,7 +86,7 @@ def _signed(texts: DataFrame, ngram: int, runs: int, threshold: float) -> DataFr
             for rows, grams, bounds in sets_of(batch.column(1), ngram):
                 sizes = np.repeat(np.diff(bounds), np.diff(bounds))
                 marks = sketches(grams, bounds)
-                index, keys = map(np.concatenate, zip(*(chosen(grams, sizes, (r + 1) * 0x9E3779B97F4A7C15, threshold) for r in range(runs))))
+                index, keys = map(np.concatenate, zip(*(chosen(grams, sizes, (r + 1) * 0x9E3779B97F4A7C15, threshold) for r in runs)))
                 of = np.searchsorted(bounds, index, "right") - 1
                 order = np.argsort(of, kind="stable")
                 counts = np.bincount(of, minlength=len(rows))
@@ -286,12 +289,22 @@ def jaccard_classes(
     texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text"))
     ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
     copies = kept(ids.where("words").groupBy("t").agg(F.count("*").alias("rows"), F.min("id").alias("least")))
-    signed = kept(_signed(texts, ngram, runs_for(recall, threshold), threshold))
+    each = (1 + recall) / 2  # half of what may be missed is for pairs that share no bucket, half for those whose buckets are split
+    first, deepest = runs_for(each, threshold), runs_for(each, threshold, depth + 1)
+    signed = kept(_signed(texts, ngram, range(first), threshold))
 
     def sized(members: DataFrame) -> DataFrame:
         return members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
-    members = kept(sized(signed.select("t", F.explode(F.array_distinct("keys")).alias("key"))).select("key", "t", "n"))
+    def met(signed: DataFrame) -> DataFrame:
+        return sized(signed.select("t", F.explode(F.array_distinct("keys")).alias("key"))).select("key", "t", "n")
+
+    members = kept(met(signed))
+    # a pair all of whose buckets are split has to share longer paths: its sets take further runs
+    split = members.where(F.col("n") > leaf)
+    if depth and not split.isEmpty():
+        split = kept(split.join(kept(_dense(split, signed)), "key", "left_anti").select("t").distinct())
+        members = members.union(kept(met(_signed(only(texts, split, "t"), ngram, range(first, deepest), threshold))))
     leaves, over, level = members.where(F.col("n") <= leaf), members.where(F.col("n") > leaf), 0
     while level < depth and not over.isEmpty():
         alike = kept(_dense(over, signed))
