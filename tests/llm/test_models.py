@@ -98,15 +98,59 @@ def test_language_model_counts_and_gain(spark, no_docs):
     assert L.lm_scores(no_docs).count() == 0
 
 
+def small_model(n=200, rows=64, seed=0):
+    r = np.random.default_rng(seed)
+    shares = np.concatenate([np.sort(r.integers(1, 5000, n))[::-1].astype(float), np.full(L.REST, 0.1)])
+    tree = L.class_tree(shares)
+    return L.Model(np.arange(n, dtype=np.uint64), np.arange(n), np.ones(n, np.int64), 50, shares[n:], tree, *L.spans(tree, shares, rows), r.normal(size=(rows, L.BRANCHES)).astype(np.float32), np.full(rows, L.CALM))
+
+
 def test_language_model_is_a_distribution():
-    """The probabilities of all words of the classes, and of the classes, add up to one in any context."""
-    r = np.random.default_rng(3)
-    n = 200
-    model = L.Model(np.arange(n, dtype=np.uint64), np.arange(n), np.log(np.full(L.CLASSES, 1 / L.CLASSES)).astype(np.float32), np.full((L.CLASSES, L.MEMBERS), -np.log(L.MEMBERS), np.float32), np.ones(L.REST), r.normal(size=(L.CLASS_ROWS, L.CLASSES)).astype(np.float32), r.normal(size=(L.WORD_ROWS, L.MEMBERS)).astype(np.float32))
-    units, bounds = np.array([5, 9, L.WORDS + 3, 0]), np.array([0, 4])
-    total = 0.0
-    for last in [*range(L.WORDS), *range(L.WORDS, L.WORDS + L.REST)]:
-        total += np.exp(L.score_units(model, np.array([*units[:3], last]), bounds)[3]) if last % 64 == 0 or last >= L.WORDS else 0
-    every = np.concatenate([np.array([*units[:3], w]) for w in [*range(L.WORDS), *range(L.WORDS, L.WORDS + L.REST)]])
-    p = np.exp(L.score_units(model, every, np.arange(0, len(every) + 1, 4))[3::4])
-    assert abs(p.sum() - 1) < 1e-4 and 0 < total < 1
+    model = small_model()
+    leaves = len(model.tree.starts) - 1
+    before = [5, 9, 203]
+    every = np.concatenate([np.array([*before, w]) for w in range(leaves)])
+    rest = np.where(every >= 200, every - 200, 0)
+    p = np.exp(L.score_units(model, every, rest, np.arange(0, len(every) + 1, 4))[3::4])
+    assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
+
+
+def test_untrained_language_model_gives_the_shares_of_the_counts():
+    model = small_model()
+    model.weights[:] = 0
+    shares = np.concatenate([np.exp(L.score_units(model, np.array([u]), np.array([0]), np.array([0, 1]))) for u in range(200)])
+    total = np.exp(L.score_units(model, np.arange(200 + L.REST), np.zeros(200 + L.REST, np.int64), np.array([0, 200 + L.REST]))).sum()
+    assert abs(total - 1) < 1e-4 and (np.diff(shares) <= 1e-9).all()
+
+
+def test_paths_are_shorter_for_higher_shares_and_no_path_begins_another():
+    for n in (1, 2, 31, 32, 33, 1000):
+        weights = np.random.default_rng(n).permutation(n) + 1.0
+        tree = L.class_tree(weights)
+        paths = [tuple(zip(tree.nodes[a:b].tolist(), tree.branches[a:b].tolist())) for a, b in zip(tree.starts[:-1], tree.starts[1:])]
+        assert len(set(paths)) == n and not any(p != q and q[: len(p)] == p for p in paths[:40] for q in paths)
+        order = np.argsort(-weights, kind="stable")
+        assert (np.diff([len(paths[i]) for i in order]) >= 0).all()
+        assert np.allclose([np.exp(sum(tree.prior[i, b] for i, b in p)) for p in paths], weights / weights.sum(), rtol=1e-3)
+
+
+def test_gradient_steps_equal_plain_ones():
+    """One token of one softmax at a time against the written-out gradient of its log probability."""
+    model = small_model(seed=4)
+    units, rest, bounds = np.array([3, 1, 7, 2]), np.zeros(4, np.int64), np.array([0, 4])
+    L_step, L.STEP = L.STEP, 1
+    try:
+        own = L.Learner(model, 0.3)
+        own.learn(units, rest, bounds)
+        weights, squares = model.weights.astype(float).copy(), model.squares.astype(float).copy()
+        for _, node, branch, rows in L.softmaxes(model, units, rest, bounds):
+            z = model.tree.prior[node[0]].astype(float) + sum(weights[r[0]] for r in rows)
+            slope = -np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            slope[branch[0]] += 1
+            for r in rows[:, 0]:
+                squares[r] += (slope**2).sum()
+                weights[r] += 0.3 / np.sqrt(squares[r]) * slope
+    finally:
+        L.STEP = L_step
+    assert np.allclose(own.weights, weights, atol=1e-4) and np.allclose(own.squares, squares, rtol=1e-4)
+    assert np.allclose(own.new, squares - model.squares, atol=1e-4)

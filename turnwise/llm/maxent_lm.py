@@ -1,19 +1,21 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-The probability of a token is that of its class given the tokens before, times its own within the class.
-The WORDS most frequent tokens are in classes of MEMBERS words by frequency; their probability within the
-class is a softmax too. All other tokens fall into classes by their last letters and have there their
-(smoothed) share of the class's count, the same for any context; unknown tokens count as one more of each
-such class. Both softmaxes add up weights of hashed features: the word before, the ones two and three
-before (skips), and the pair before (an n-gram). Weights begin at 0 on top of the plain frequencies.
-
-Training is in rounds over disjoint parts of the training texts. In a round each task takes gradient steps
-over its texts from the weights of the round before; a feature row becomes the mean over the tasks, by how
+The probability of a token is a product along a tree of classes: a softmax over at most BRANCHES classes, again
+over the classes within the one chosen, down to the word. Frequent words have short paths. The leaves are the
+words of the highest training counts, as many as a task may hold, and REST classes of all other tokens by their
+last letters. A rare word has, within its leaf, its (smoothed) share of the counts there, the same for any context;
+unknown tokens count as one more word of each such leaf. Every softmax adds up weights of hashed features to the
+plain frequencies: the word before, the ones two and three before (skips), and the pair before (an n-gram).
+
+Vocabulary, contexts and weight rows grow with the counted tokens, up to what a task may hold (HELD_WORDS,
+MOST_ROWS). Training is in rounds over disjoint parts of the training texts. In a round each task takes gradient
+steps over its texts from the weights of the round before; a row of weights becomes the mean over the tasks, by how
 often each has met it. Counts are of all training texts.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +27,18 @@ from turnwise.llm._spark import kept
 from turnwise.llm._text import buffers, mix, slices, word_hashes
 from turnwise.llm.quality_rules import remainder
 
-#: Modelled words, words of a class, classes for the rest, hashed rows of the class and of the word weights.
-WORDS, MEMBERS, REST, CLASS_ROWS, WORD_ROWS = 4096, 64, 64, 1 << 14, 1 << 14
-CLASSES = WORDS // MEMBERS + REST
-#: Counts that every task holds (the highest); the others are joined. Tokens of a step, rows of a block sent between tasks.
-HELD_COUNTS, STEP, SENT_ROWS, ROUNDS, RATE = 1 << 19, 4096, 64, 3, 0.15
-FEATURES = 4
+#: Classes of a softmax, and classes of the words that no task holds, by their last letters.
+BRANCHES, REST = 32, 4096
+#: What a task may hold: words with their counts and paths, and rows of BRANCHES weights.
+HELD_WORDS, MOST_ROWS, LEAST_ROWS = 1 << 19, 1 << 20, 1 << 14
+#: Training tokens to a row of weights, and to a word that is a context of its own.
+ROW_TOKENS, CONTEXT_TOKENS = 1 << 10, 1 << 13
+#: Tokens of a task of a round (or so many to each row of weights, so that what is sent stays small beside what is read).
+TASK_TOKENS, TASK_ROW_TOKENS = 1 << 21, 32
+#: Softmaxes of a step, rows of a block sent between tasks, rounds, step size, features.
+STEP, SENT_ROWS, ROUNDS, RATE, FEATURES = 2048, 256, 2, 0.25, 4
+#: A row's squared gradients before any.
+CALM = np.float32(1e-2)
 _U = np.uint64
 END = _U(0x0E0F0E0F0E0F0E0F)
 
@@ -45,148 +53,222 @@ def tokens(column: pa.Array):
         to = np.arange(len(words)) + np.repeat(np.arange(high - low), np.diff(bounds))
         out[to] = words
         if len(words):
-            last = sum(part[np.maximum(ends - 1 - j, 0)].astype(np.uint64) << _U(8 * j) for j in range(2))
-            upper = part[ends - 1]
-            last = np.where((upper >= 65) & (upper <= 90), last + _U(32), last)
+            last = np.zeros(len(words), np.uint64)
+            for j in range(3):
+                byte = part[np.maximum(ends - 1 - j, 0)].astype(np.uint64)
+                last |= (byte + ((byte >= 65) & (byte <= 90)).astype(np.uint64) * _U(32)) << _U(8 * j)
             rest[to] = (mix(last, 17) % _U(REST)).astype(np.int64)
         yield low, high, out, bounds + np.arange(high - low + 1), rest
 
 
+@dataclass
+class Tree:
+    """Paths of leaves, end to end: those of leaf u are at starts[u] to starts[u + 1], from the root down."""
+
+    starts: np.ndarray
+    nodes: np.ndarray
+    branches: np.ndarray
+    prior: np.ndarray  # nodes, BRANCHES: log share of each branch
+
+
+def class_tree(weights: np.ndarray, branches: int = BRANCHES) -> Tree:
+    """The tree in which a leaf's path is the shorter the higher its weight: the least weights are joined first."""
+    n = len(weights)
+    least = sorted(zip(weights.tolist(), range(n)))
+    if n == 1:
+        least.append((1e-9, -1))
+    first = (len(least) - 2) % (branches - 1) + 2  # so that the root is full
+    parent, place, prior = np.full(n + len(least), -1, np.int64), np.zeros(n + len(least), np.int64), []
+    # leaves in order of weight, and joined classes: those come in order of weight too
+    leaves, joined, at, size = least, [], 0, n
+    while True:
+        chosen = []
+        while len(chosen) < first and (at < len(leaves) or joined):
+            if joined and (at == len(leaves) or joined[0] < leaves[at]):
+                chosen.append(heapq.heappop(joined))
+            else:
+                chosen.append(leaves[at])
+                at += 1
+        total = sum(w for w, _ in chosen)
+        row = np.full(branches, -30.0, np.float32)
+        for k, (w, of) in enumerate(reversed(chosen)):
+            row[k] = np.log(w / total)
+            if of >= 0:
+                parent[of], place[of] = size, k
+        prior.append(row)
+        if at == len(leaves) and not joined:
+            break
+        heapq.heappush(joined, (total, size))
+        size, first = size + 1, branches
+    root = size
+    steps, own, up = [], np.arange(n), np.arange(n)
+    while len(own):
+        steps.append((own, parent[up] - n, place[up]))
+        up = parent[up]
+        own, up = own[up != root], up[up != root]
+    leaf, node, branch = (np.concatenate(x) for x in zip(*steps))
+    depth = np.concatenate([np.full(len(s[0]), k) for k, s in enumerate(steps)])
+    order = np.lexsort((-depth, leaf))
+    return Tree(np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))]), node[order].astype(np.int16 if size - n < 1 << 15 else np.int32), branch[order].astype(np.int8), np.array(prior))
+
+
 @dataclass
 class Model:
-    heads: np.ndarray  # hashes of the modelled words, ascending
+    heads: np.ndarray  # hashes of the held words, ascending
     rank: np.ndarray  # their places by frequency
-    class_prior: np.ndarray  # log share of each class
-    word_prior: np.ndarray  # log share of each word in its class; classes, members
+    counts: np.ndarray  # their counts, in the order of heads
+    contexts: int  # so many of the most frequent are contexts of their own
     rest_total: np.ndarray  # what the (smoothed) counts of a class of the rest add up to
-    class_weights: np.ndarray
-    word_weights: np.ndarray
+    tree: Tree  # of the held words by frequency, then the REST
+    first: np.ndarray  # first row of weights of each node
+    size: np.ndarray  # how many rows it has
+    weights: np.ndarray  # rows, BRANCHES
+    squares: np.ndarray  # of each row's gradients so far
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among heads, and whether the token is there."""
+        if not len(self.heads):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1)
+        return at, self.heads[at] == hashes
 
     def units(self, hashes: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """A modelled word's place by frequency, or WORDS and the class among the rest."""
-        at = np.minimum(np.searchsorted(self.heads, hashes), max(0, len(self.heads) - 1))
-        known = self.heads[at] == hashes if len(self.heads) else np.zeros(len(hashes), bool)
-        return np.where(known, self.rank[at] if len(self.heads) else 0, WORDS + rest)
+        """A token's leaf: a held word's place by frequency, or their number and the class among the rest."""
+        at, known = self.find(hashes)
+        return np.where(known, self.rank[at] if len(self.heads) else 0, len(self.heads) + rest)
 
 
-def contexts(units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Keys of the features of each token: words one, two and three before, and the two before together; starts of texts differ."""
+def contexts(model: Model, units: np.ndarray, rest: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Keys (32 bits) of each token's features: words one, two and three before, and the two before together; starts of texts differ."""
     n = len(units)
+    context = np.where(units < model.contexts, units, model.contexts + rest)
     place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
     before = []
     for k in (1, 2, 3):
-        b = np.full(n, WORDS + REST, np.int64)
-        b[k:] = units[:-k] if n > k else b[k:]
-        b[place < k] = WORDS + REST
+        b = np.full(n, model.contexts + REST, np.int64)
+        b[k:] = context[:-k] if n > k else b[k:]
+        b[place < k] = model.contexts + REST
         before.append(b.astype(np.uint64))
-    keys = [before[0], before[1] + _U(1 << 20), before[2] + _U(2 << 20), before[0] * _U(1 << 16) + before[1] + _U(1 << 40)]
-    return np.stack([mix(k) for k in keys])
-
-
-def class_rows(keys: np.ndarray) -> np.ndarray:
-    return (keys & _U(CLASS_ROWS - 1)).astype(np.int64)
-
-
-def word_rows(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Rows of the features within the classes: the first two only."""
-    return (mix(keys[:2] + of.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) & _U(WORD_ROWS - 1)).astype(np.int64)
-
-
-def log_softmax(prior: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = prior + weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def score_units(model: Model, units: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token's class, and within it for modelled words."""
-    keys, out = contexts(units, bounds), np.empty(len(units))
-    of = np.where(units < WORDS, units // MEMBERS, WORDS // MEMBERS + units - WORDS)
-    for low in range(0, len(units), STEP):
-        own = slice(low, low + STEP)
-        z = log_softmax(model.class_prior, model.class_weights, class_rows(keys[:, own]))
-        out[own] = z[np.arange(len(z)), of[own]]
-    for at in np.split(np.flatnonzero(units < WORDS), range(STEP, len(units), STEP)):
-        if len(at):
-            z = log_softmax(model.word_prior[of[at]], model.word_weights, word_rows(keys[:, at], of[at]))
-            out[at] += z[np.arange(len(z)), units[at] % MEMBERS]
+    keys = [before[0], before[1] + _U(1 << 40), before[2] + _U(2 << 40), before[0] * _U(1 << 20) + before[1] + _U(3 << 40)]
+    return np.stack([mix(k) >> _U(32) for k in keys], 1)
+
+
+def spans(tree: Tree, weights: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each node's rows of weights, and how many: by its share of the softmaxes; small nodes overlap."""
+    passed = np.bincount(tree.nodes, np.repeat(weights, np.diff(tree.starts)), minlength=len(tree.prior))
+    size = np.clip(passed / passed.sum() * rows, 8, rows).astype(np.int64)
+    return np.minimum((np.cumsum(size) - size) % rows, rows - size), size
+
+
+def softmaxes(model: Model, units: np.ndarray, rest: np.ndarray, bounds: np.ndarray):
+    """Steps of the softmaxes of all tokens, those of a node together: (token, node, branch, rows of weights by feature)."""
+    keys, tree = contexts(model, units, rest, bounds), model.tree
+    many = tree.starts[units + 1] - tree.starts[units]
+    token = np.repeat(np.arange(len(units)), many)
+    at = np.arange(len(token)) + np.repeat(tree.starts[units] - np.cumsum(many) + many, many)
+    order = np.argsort(tree.nodes[at], kind="stable")
+    for low in range(0, len(order), STEP):
+        own = order[low : low + STEP]
+        node = tree.nodes[at[own]].astype(np.int64)
+        rows = (np.take(keys, token[own], 0) * model.size[node].astype(np.uint64)[:, None] >> _U(32)).astype(np.int64)
+        rows += model.first[node][:, None]
+        yield token[own], node, tree.branches[at[own]].astype(np.int64), np.ascontiguousarray(rows.T)
+
+
+class Softmax:
+    """Softmaxes in arrays that are used again."""
+
+    def __init__(self, model: Model, weights: np.ndarray):
+        self.prior, self.weights, self.ones = model.tree.prior, weights, np.ones(BRANCHES, np.float32)
+        self.z, self.part = np.empty((STEP, BRANCHES), np.float32), np.empty((STEP, BRANCHES), np.float32)
+
+    def __call__(self, node: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of each branch's sum (overwritten by the next call), and their totals."""
+        z, part = self.z[: len(node)], self.part[: len(node)]
+        np.take(self.prior, node, 0, out=z, mode="clip")
+        for r in rows:
+            z += np.take(self.weights, r, 0, out=part, mode="clip")
+        np.clip(z, -60, 60, out=z)
+        np.exp(z, out=z)
+        return z, z @ self.ones
+
+
+def score_units(model: Model, units: np.ndarray, rest: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token's leaf."""
+    softmax, out = Softmax(model, model.weights), np.zeros(len(units))
+    for token, node, branch, rows in softmaxes(model, units, rest, bounds):
+        z, total = softmax(node, rows)
+        np.add.at(out, token, np.log(z[np.arange(len(z)), branch] / total))
     return out
 
 
 class Learner:
-    """Gradient steps over tokens, with a step size for each feature row (its squared gradients so far)."""
+    """Gradient steps over tokens, with a step size for each row of weights (its squared gradients so far)."""
 
     def __init__(self, model: Model, rate: float = RATE):
-        self.model, self.rate = model, rate
-        self.weights = [model.class_weights.copy(), model.word_weights.copy()]
-        self.squares = [np.full(len(w), 1e-3, np.float32) for w in self.weights]
-        self.met = [np.zeros(len(w), np.float32) for w in self.weights]
-
-    def learn(self, units: np.ndarray, bounds: np.ndarray) -> None:
-        keys = contexts(units, bounds)
-        of = np.where(units < WORDS, units // MEMBERS, WORDS // MEMBERS + units - WORDS)
-        for low in range(0, len(units), STEP):
-            own = np.arange(low, min(low + STEP, len(units)))
-            self._step(0, self.model.class_prior, class_rows(keys[:, own]), of[own])
-            own = own[units[own] < WORDS]
-            if len(own):
-                self._step(1, self.model.word_prior[of[own]], word_rows(keys[:, own], of[own]), units[own] % MEMBERS)
-
-    def _step(self, k: int, prior: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-        weights, squares, met = self.weights[k], self.squares[k], self.met[k]
-        error = np.exp(log_softmax(prior, weights, rows))
-        error[np.arange(len(error)), target] -= 1
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            which, first, count = np.unique(r[order], return_index=True, return_counts=True)
-            total = np.add.reduceat(error[order], first)
-            squares[which] += (total * total).sum(1) / total.shape[1] * 4
-            weights[which] -= (self.rate / np.sqrt(squares[which]))[:, None] * total
-            met[which] += count
+        self.model, self.rate = model, np.float32(rate)
+        self.weights, self.squares, self.new = model.weights.copy(), model.squares.copy(), np.zeros(len(model.weights), np.float32)
+
+    def learn(self, units: np.ndarray, rest: np.ndarray, bounds: np.ndarray) -> None:
+        softmax, wide = Softmax(self.model, self.weights), BRANCHES // 2
+        pairs = self.weights.reshape(-1).view(np.complex64)  # two weights at once
+        step, across, cells = np.empty((STEP, BRANCHES), np.float32), np.arange(wide), np.empty((STEP, wide), np.int64)
+        before = self.squares.copy()
+        for _, node, branch, rows in softmaxes(self.model, units, rest, bounds):
+            error, total = softmax(node, rows)
+            n = len(error)
+            error /= -total[:, None]
+            error[np.arange(n), branch] += 1
+            size = np.einsum("ij,ij->i", error, error)
+            for r in rows:
+                np.add.at(self.squares, r, size)
+                np.multiply(error, (self.rate / np.sqrt(self.squares[r]))[:, None], out=step[:n])
+                np.add((r * wide)[:, None], across, out=cells[:n])
+                np.add.at(pairs, cells[:n].reshape(-1), step[:n].reshape(-1).view(np.complex64))
+        self.new += self.squares - before
 
     def blocks(self):
-        """(block of rows, how often each row was met, met times weight) of what was met."""
-        for k, (weights, met) in enumerate(zip(self.weights, self.met)):
-            for low in range(0, len(met), SENT_ROWS):
-                own = met[low : low + SENT_ROWS]
-                if own.any():
-                    yield k * CLASS_ROWS + low, own, weights[low : low + SENT_ROWS] * own[:, None]
+        """(block of rows, what was added to their squared gradients, their weights) of what was met."""
+        for low in range(0, len(self.new), SENT_ROWS):
+            new = self.new[low : low + SENT_ROWS]
+            if new.any():
+                yield low, new, self.weights[low : low + SENT_ROWS].astype(np.float16)
 
 
-def _train_round(model: Model, texts: DataFrame, rate: float) -> None:
+def _train_round(model: Model, texts: DataFrame, rate: float, tasks: int) -> None:
+    """texts: text. Rows of weights become the mean over the tasks, by the squared gradients that each has added."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         learner = Learner(shared.value, rate)
         for batch in batches:
             for _, _, hashes, bounds, rest in tokens(batch.column(0)):
-                learner.learn(learner.model.units(hashes, rest), bounds)
-        rows = list(learner.blocks())
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.float32).tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.float32).tobytes() for r in rows], pa.binary())], ["block", "met", "sums"])
+                learner.learn(learner.model.units(hashes, rest), rest, bounds)
+        for low in range(0, len(rows := list(learner.blocks())), 64):
+            block, new, weights = zip(*rows[low : low + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array([x.tobytes() for x in own], pa.binary()) for own in (new, weights))], ["block", "new", "weights"])
 
     def add(batches):
-        sums: dict[int, list[np.ndarray]] = {}
+        sums: dict[int, list] = {}
         for batch in batches:
             for block, *raw in zip(*(c.to_pylist() for c in batch.columns)):
-                new = [np.frombuffer(x, np.float32) for x in raw]
-                old = sums.setdefault(block, [np.zeros(len(x), np.float64) for x in new])
-                for o, x in zip(old, new):
-                    o += x
+                new = np.frombuffer(raw[0], np.float32).astype(np.float64)
+                own = sums.setdefault(block, [0, np.zeros(len(new)), np.zeros((len(new), BRANCHES))])
+                own[0] += new > 0
+                own[1] += new
+                own[2] += np.frombuffer(raw[1], np.float16).reshape(-1, BRANCHES) * new[:, None]
         if sums:
-            means = [(s.reshape(len(m), -1) / np.maximum(m, 1e-9)[:, None]).astype(np.float32) for m, s in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(m > 0).tobytes() for m, _ in sums.values()], pa.binary()), pa.array([x.tobytes() for x in means], pa.binary())], ["block", "met", "sums"])
+            new = [(n / np.maximum(tasks, 1)).astype(np.float32).tobytes() for tasks, n, _ in sums.values()]
+            means = [(w / np.maximum(n, 1e-30)[:, None]).astype(np.float16).tobytes() for _, n, w in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(new, pa.binary()), pa.array(means, pa.binary())], ["block", "new", "weights"])
 
-    schema = "block int, met binary, sums binary"
-    fewer = max(12, texts.rdd.getNumPartitions() // 4)  # a task sends all weights it has met, so it should have many texts
-    learnt = texts.coalesce(fewer).mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
-    for block, met, means in learnt.collect():  # as many blocks as the fixed number of rows makes
-        weights, low = (model.class_weights, block) if block < CLASS_ROWS else (model.word_weights, block - CLASS_ROWS)
-        at = low + np.flatnonzero(np.frombuffer(met, bool))
-        weights[at] = np.frombuffer(means, np.float32).reshape(-1, weights.shape[1])[at - low]
+    schema = "block int, new binary, weights binary"
+    learnt = texts.coalesce(tasks).mapInArrow(run, schema).repartition("block").mapInArrow(add, schema)
+    for block, new, weights in learnt.collect():  # MOST_ROWS at most
+        new = np.frombuffer(new, np.float32)
+        at = block + np.flatnonzero(new > 0)
+        model.weights[at] = np.frombuffer(weights, np.float16).reshape(-1, BRANCHES)[at - block]
+        model.squares[at] += new[at - block]
 
 
 def _counts(texts: DataFrame) -> DataFrame:
@@ -218,34 +300,33 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long, rest int").groupBy("h").agg(F.sum("c").alias("c"), F.min("rest").alias("rest"))
 
 
-def fit(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Model, np.ndarray, np.ndarray, int, int]:
-    """The model, the highest counts (hashes ascending, counts), and the numbers of tokens and of distinct ones. texts: text, part."""
-    by_count = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))
-    least, total = None, 0
-    for row in by_count.toLocalIterator():
+def fit(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Model, int, int]:
+    """The model, and the numbers of tokens and of distinct ones. texts: text, part."""
+    whole = counts.agg(F.sum("c"), F.count("*")).first()
+    n, distinct = int(whole[0] or 0), int(whole[1])
+    least, total = 2**62, 0  # the lowest count of a held word: all words of a count are held, or none
+    for row in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
         total += row["n"]
-        if total > HELD_COUNTS:
+        if total > HELD_WORDS:
             break
         least = row["c"]
-    held = counts.where(F.col("c") >= (least if least is not None else 2**62)).toPandas().sort_values(["c", "h"], ascending=[False, True], kind="stable")
-    whole = counts.agg(F.sum("c"), F.count("*")).first()
-    n, distinct = int(whole[0] or 0), int(whole[1])
-    head = held.iloc[:WORDS]
-    hashes = head["h"].to_numpy(np.int64).view(np.uint64)
+    held = counts.where(F.col("c") >= least).select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True], kind="stable")
+    hashes = held["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    rest = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(h),) for h in head["h"]], "h long")), "h", "left_anti").groupBy("rest").agg(F.sum("c"), F.count("*")).collect()
     rest_total = np.full(REST, 0.1)
-    for k, c, types in rest:
+    for k, c, types in counts.where(F.col("c") < least).groupBy("rest").agg(F.sum("c"), F.count("*")).collect():
         rest_total[k] += c + 0.1 * types
-    word_counts = np.full((CLASSES, MEMBERS), 1e-9)
-    word_counts.reshape(-1)[: len(head)] += head["c"].to_numpy(float) + 0.1
-    of_class = word_counts.sum(1)
-    of_class[WORDS // MEMBERS :] = rest_total
-    model = Model(hashes[order], order, np.log(of_class / of_class.sum()).astype(np.float32), np.log(word_counts / word_counts.sum(1, keepdims=True)).astype(np.float32), rest_total, np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, MEMBERS), np.float32))
+    shares = np.concatenate([held["c"].to_numpy(float) + 0.1, rest_total])
+    tree = class_tree(shares)
+    rows = int(np.clip(n // ROW_TOKENS, LEAST_ROWS, MOST_ROWS))
+    own = min(len(hashes), max(1024, n // CONTEXT_TOKENS))
+    zeros, calm = np.zeros((rows, BRANCHES), np.float32), np.full(rows, CALM)
+    model = Model(hashes[order], order, held["c"].to_numpy(np.int64)[order], own, rest_total, tree, *spans(tree, shares, rows), zeros, calm)
+    partitions = texts.rdd.getNumPartitions()
+    tasks = int(np.clip(-(-n // rounds // max(TASK_TOKENS, TASK_ROW_TOKENS * rows)), 1, max(1, partitions)))
     for part in range(rounds):
-        _train_round(model, texts.where(F.col("part") == part).select("text"), rate)
-    by_hash = held.assign(h=held["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
-    return model, by_hash["h"].to_numpy(np.uint64), by_hash["c"].to_numpy(np.int64), n, distinct
+        _train_round(model, texts.where(F.col("part") == part).select("text"), rate, tasks)
+    return model, n, distinct
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
@@ -256,31 +337,29 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     base_score: log10 probability by training frequencies with 0.1 added, one unknown token being a further type.
     score: the model's. Both take in all tokens of the whole text. Repeated rows give a row each (and count each in
     training); without any training row all tokens are unknown. Further columns are left out. Tokens are told apart by
-    64-bit hashes. The driver and tasks hold weights and the highest counts, of fixed sizes; other counts are joined.
+    64-bit hashes. The driver and tasks hold weights and the highest counts, MOST_ROWS and HELD_WORDS of them at most;
+    other counts are joined.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     held_out = F.coalesce(remainder(F.col("id"), folds) == 0, F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held_out", held_out)
     training = rows.where(~F.col("held_out")).select("text", F.pmod(F.xxhash64("id"), F.lit(rounds)).alias("part"))
     counts = kept(_counts(training.select("text")))
-    model, hashes, high, n, distinct = fit(training, counts, rounds, rate)
-    shared = docs.sparkSession.sparkContext.broadcast((model, hashes, high))
+    model, n, distinct = fit(training, counts, rounds, rate)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     log_total = float(np.log10(n + 0.1 * (distinct + 1)))
 
     def run(batches):
-        model, hashes, high = shared.value
+        model = shared.value
         number = TaskContext.get().partitionId() << 33
         rest_log = np.log10(model.rest_total)
         for batch in batches:
             for low, high_, own, bounds, rest in tokens(batch.column(1)):
                 units = model.units(own, rest)
-                score = score_units(model, units, bounds) / np.log(10)
-                score -= np.where(units >= WORDS, rest_log[np.maximum(units - WORDS, 0)], 0.0)
-                at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
-                found = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
-                c = np.where(found, high[at] if len(high) else 0, 0)
-                log_c = np.where(found, np.log10(c + 0.1), 0.0)
-                score += np.where(units >= WORDS, log_c, 0.0)
+                score = score_units(model, units, rest, bounds) / np.log(10)
+                at, found = model.find(own)
+                score -= np.where(found, 0.0, rest_log[rest])
+                log_c = np.where(found, np.log10((model.counts[at] if len(model.counts) else 0) + 0.1), 0.0)
                 row = np.repeat(np.arange(high_ - low), np.diff(bounds))
                 sums = [np.add.reduceat(x, bounds[:-1]) for x in (log_c, score, found.astype(np.int64))]
                 late = np.flatnonzero(~found)
