@@ -102,7 +102,8 @@ def small_model(n=200, rows=64, seed=0):
     r = np.random.default_rng(seed)
     shares = np.concatenate([np.sort(r.integers(1, 5000, n))[::-1].astype(float), np.full(L.REST, 0.1)])
     tree = L.class_tree(shares)
-    return L.Model(np.arange(n, dtype=np.uint64), np.arange(n), np.ones(n, np.int64), 50, shares[n:], tree, *L.spans(tree, shares, rows), r.normal(size=(rows, L.BRANCHES)).astype(np.float32), np.full(rows, L.CALM))
+    heads = np.arange(n, dtype=np.uint64)
+    return L.Model(heads, np.ones(n, np.int64), L.hash_slots(heads), 50, shares[n:], tree, *L.spans(tree, shares, rows), r.normal(size=(rows, L.BRANCHES)).astype(np.float32), np.full(rows, L.CALM))
 
 
 def test_language_model_is_a_distribution():
@@ -134,6 +135,17 @@ def test_paths_are_shorter_for_higher_shares_and_no_path_begins_another():
         assert np.allclose([np.exp(sum(tree.prior[i, b] for i, b in p)) for p in paths], weights / weights.sum(), rtol=1e-3)
 
 
+def test_held_words_are_found():
+    for n in (0, 1, 5, 5000):
+        heads = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        heads[: n // 2] >>= np.uint64(40)  # crowded slots
+        heads = np.unique(heads)[::-1].copy()
+        model = small_model()
+        model.heads, model.slots = heads, L.hash_slots(heads)
+        assert (model.find(heads) == np.arange(len(heads))).all()
+        assert (model.find(np.random.default_rng(9).integers(0, 2**63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) == -1).all()
+
+
 def test_gradient_steps_equal_plain_ones():
     """One token of one softmax at a time against the written-out gradient of its log probability."""
     model = small_model(seed=4)

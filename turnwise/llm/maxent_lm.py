@@ -32,9 +32,9 @@ BRANCHES, REST = 32, 4096
 #: What a task may hold: words with their counts and paths, and rows of BRANCHES weights.
 HELD_WORDS, MOST_ROWS, LEAST_ROWS = 1 << 19, 1 << 20, 1 << 14
 #: Training tokens to a row of weights, and to a word that is a context of its own.
-ROW_TOKENS, CONTEXT_TOKENS = 1 << 10, 1 << 13
+ROW_TOKENS, CONTEXT_TOKENS = 1 << 11, 1 << 13
 #: Tokens of a task of a round (or so many to each row of weights, so that what is sent stays small beside what is read).
-TASK_TOKENS, TASK_ROW_TOKENS = 1 << 21, 32
+TASK_TOKENS, TASK_ROW_TOKENS = 1 << 21, 64
 #: Softmaxes of a step, rows of a block sent between tasks, rounds, step size, features.
 STEP, SENT_ROWS, ROUNDS, RATE, FEATURES = 2048, 256, 2, 0.25, 4
 #: A row's squared gradients before any.
@@ -114,9 +114,9 @@ def class_tree(weights: np.ndarray, branches: int = BRANCHES) -> Tree:
 
 @dataclass
 class Model:
-    heads: np.ndarray  # hashes of the held words, ascending
-    rank: np.ndarray  # their places by frequency
-    counts: np.ndarray  # their counts, in the order of heads
+    heads: np.ndarray  # hashes of the held words, by frequency
+    counts: np.ndarray  # their counts
+    slots: np.ndarray  # where in heads a hash is: at the slot of its upper bits, or the next ones up to an empty slot (-1)
     contexts: int  # so many of the most frequent are contexts of their own
     rest_total: np.ndarray  # what the (smoothed) counts of a class of the rest add up to
     tree: Tree  # of the held words by frequency, then the REST
@@ -125,17 +125,35 @@ class Model:
     weights: np.ndarray  # rows, BRANCHES
     squares: np.ndarray  # of each row's gradients so far
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places among heads, and whether the token is there."""
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places among heads, or -1."""
+        slot = (hashes >> _U(65 - len(self.slots).bit_length())).astype(np.int64)
+        out = self.slots[slot]
         if not len(self.heads):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1)
-        return at, self.heads[at] == hashes
+            return out
+        open_ = np.flatnonzero((out >= 0) & (self.heads[out] != hashes))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+            out[open_] = self.slots[slot[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.heads[out[open_]] != hashes[open_])]
+        return out
 
     def units(self, hashes: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """A token's leaf: a held word's place by frequency, or their number and the class among the rest."""
-        at, known = self.find(hashes)
-        return np.where(known, self.rank[at] if len(self.heads) else 0, len(self.heads) + rest)
+        """A token's leaf: a held word's place, or the number of held words and the class among the rest."""
+        at = self.find(hashes)
+        return np.where(at >= 0, at, len(self.heads) + rest)
+
+
+def hash_slots(heads: np.ndarray) -> np.ndarray:
+    """The slots of Model.find, four times as many as heads at least, so that most are found at once."""
+    bits = max(4, (4 * len(heads)).bit_length())
+    out, slot, own = np.full(1 << bits, -1, np.int32), (heads >> _U(64 - bits)).astype(np.int64), np.arange(len(heads), dtype=np.int32)
+    while len(own):
+        free = out[slot] < 0
+        out[slot[free]] = own[free]
+        left = out[slot] != own
+        slot, own = (slot[left] + 1) & ((1 << bits) - 1), own[left]
+    return out
 
 
 def contexts(model: Model, units: np.ndarray, rest: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -312,7 +330,6 @@ def fit(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float =
         least = row["c"]
     held = counts.where(F.col("c") >= least).select("h", "c").toPandas().sort_values(["c", "h"], ascending=[False, True], kind="stable")
     hashes = held["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
     rest_total = np.full(REST, 0.1)
     for k, c, types in counts.where(F.col("c") < least).groupBy("rest").agg(F.sum("c"), F.count("*")).collect():
         rest_total[k] += c + 0.1 * types
@@ -321,7 +338,7 @@ def fit(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float =
     rows = int(np.clip(n // ROW_TOKENS, LEAST_ROWS, MOST_ROWS))
     own = min(len(hashes), max(1024, n // CONTEXT_TOKENS))
     zeros, calm = np.zeros((rows, BRANCHES), np.float32), np.full(rows, CALM)
-    model = Model(hashes[order], order, held["c"].to_numpy(np.int64)[order], own, rest_total, tree, *spans(tree, shares, rows), zeros, calm)
+    model = Model(hashes, held["c"].to_numpy(np.int64), hash_slots(hashes), own, rest_total, tree, *spans(tree, shares, rows), zeros, calm)
     partitions = texts.rdd.getNumPartitions()
     tasks = int(np.clip(-(-n // rounds // max(TASK_TOKENS, TASK_ROW_TOKENS * rows)), 1, max(1, partitions)))
     for part in range(rounds):
@@ -352,14 +369,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def run(batches):
         model = shared.value
         number = TaskContext.get().partitionId() << 33
-        rest_log = np.log10(model.rest_total)
+        rest_log, count_log = np.log10(model.rest_total), np.log10(model.counts + 0.1)
         for batch in batches:
             for low, high_, own, bounds, rest in tokens(batch.column(1)):
                 units = model.units(own, rest)
                 score = score_units(model, units, rest, bounds) / np.log(10)
-                at, found = model.find(own)
+                found = units < len(model.heads)
                 score -= np.where(found, 0.0, rest_log[rest])
-                log_c = np.where(found, np.log10((model.counts[at] if len(model.counts) else 0) + 0.1), 0.0)
+                log_c = np.zeros(len(own))
+                log_c[found] = count_log[units[found]]
                 row = np.repeat(np.arange(high_ - low), np.diff(bounds))
                 sums = [np.add.reduceat(x, bounds[:-1]) for x in (log_c, score, found.astype(np.int64))]
                 late = np.flatnonzero(~found)
