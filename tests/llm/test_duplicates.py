@@ -114,8 +114,7 @@ def without_some(words, places):
     return [f"x{k}" if k in places else w for k, w in enumerate(words)]
 
 
-@pytest.mark.parametrize("side", [400, 2])
-def test_later_copies_of_a_changed_text_are_found(spark, side):
+def test_later_copies_of_a_changed_text_are_found(spark):
     """F, an older text, is near neither A nor B, which are near each other; both share values with it."""
     r = np.random.default_rng(8)
     rows = []
@@ -126,25 +125,63 @@ def test_later_copies_of_a_changed_text_are_found(spark, side):
     for k in range(12):  # one passage in many texts
         rows.append((900 + k, " ".join([f"y{x}" for x in r.integers(0, 10**6, 30)] + [f"p{x}" for x in range(60)])))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = S.repeated_passages(frame, side=side).collect()
+    got = S.repeated_passages(frame).collect()
     found = {(x.doc_id, x.class_id) for x in got if not x.first}
     assert sum((3 * k + 2, 3 * k + 1) in found for k in range(24)) == 24
     assert {900 + k for k in range(1, 12)} <= {d for d, _ in found}
     assert not {3 * k for k in range(24)} & {d for d, _ in found}
 
 
-def test_pairs_of_windows_are_left_out_only_if_an_earlier_one_has_what_they_share():
-    r = np.random.default_rng(4)
-    passage = np.arange(50, dtype="<u4")
-    windows = [np.concatenate([r.integers(1000, 2**32, 20).astype("<u4"), passage]) for _ in range(30)]
-    pairs = S.near_pairs(np.arange(30), windows, 30, 46, 0.8)
-    assert sorted(pairs) == [(0, k) for k in range(1, 30)]
-    a = r.integers(0, 2**32, 60).astype("<u4")
-    f, b = a.copy(), a.copy()
-    f[10:25], b[57:] = 1, 2
-    assert (1, 2) in S.near_pairs(np.arange(3), [f, a, b], 3, 46, 0.8)
-    copies = [np.where(np.arange(60) == k, 7, a).astype("<u4") for k in range(20)]
-    assert sorted(S.near_pairs(np.arange(20), copies, 20, 46, 0.8)) == [(0, k) for k in range(1, 20)]
+@pytest.mark.parametrize("passage, line", [(60, 40), (55, 45), (60, 0), (52, 48)])
+def test_passages_beside_a_common_line_are_found(spark, passage, line):
+    """A has a line of a passage that B and C share; the first windows are often A's."""
+    r = np.random.default_rng(passage)
+    some = lambda n: [f"w{x}" for x in r.integers(0, 10**7, n)]
+    common, rows = some(line), []
+    for k in range(60):
+        own = some(passage - line)
+        shared = own[: k % (passage - line)] + (common if k % 2 else (line_ := some(line))) + own[k % (passage - line) :]
+        rows += [(3 * k, some(30) + (common if k % 2 else line_) + some(30)), (3 * k + 1, some(25) + shared + some(20)), (3 * k + 2, some(35) + shared + some(40))]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(5)
+    found = {(x.doc_id, x.class_id) for x in S.repeated_passages(frame).collect() if not x.first}
+    assert {(3 * k + 2, 3 * k + 1) for k in range(60)} <= found
+    assert not {d for d, _ in found} & {3 * k for k in range(60)}
+
+
+def test_recall_of_near_passages_beside_common_lines(spark):
+    """Passages of 80 words, changed so that they are just as similar as asked, beside lines that all texts have."""
+    r = np.random.default_rng(31)
+    some = lambda n: [f"w{x}" for x in r.integers(0, 10**7, n)]
+    lines, rows = [some(30) for _ in range(3)], []
+    for k in range(150):
+        own, at = some(80), set(r.choice(np.arange(6, 74, 9), 1).tolist())
+        changed = [w if i not in at else "changed" for i, w in enumerate(own)]
+        a, b = grams(" ".join(own)), grams(" ".join(changed))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.9
+        rows += [(2 * k, lines[k % 3] + own + some(30)), (2 * k + 1, some(15) + lines[(k + 1) % 3] + changed)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(5)
+    found = {(x.doc_id, x.class_id) for x in S.repeated_passages(frame).collect() if not x.first}
+    assert sum((2 * k + 1, 2 * k) in found for k in range(150)) >= 0.95 * 150
+
+
+def test_stretches_and_cover():
+    assert S.stretches([(0, 0, 9), (1, 4, 20), (0, 12, 30)], 5, 2) == [(4, 5), (12, 16)]
+    assert S.stretches([(0, 0, 9), (0, 2, 12)], 5, 2) == [] and S.stretches([], 5, 1) == []
+    assert S.covered(np.array([0, 10]), np.array([9, 19]), [(2, 7), (16, 18)]).tolist() == [True, False]
+
+
+def test_masked_windows_are_those_of_the_rest():
+    r = np.random.default_rng(2)
+    grams, width = r.integers(0, 2**63, 60).astype(np.uint64), 7
+    whole = np.array([[0, 53]])
+    none = np.zeros(0, np.int64)
+    key, first, last = S.masked_windows(grams, width, whole, none, none.view(np.uint64), 2)
+    plain = S.compact_windows(grams, np.array([0, 60]), width, 2)
+    assert (key == plain[1]).all() and (first == plain[2]).all() and (last == plain[3]).all()
+    again, *_ = S.masked_windows(grams, width, whole, none, key[:3], 2)
+    assert not set(key[:3].tolist()) & set(again.tolist()) and len(again)
+    assert not len(S.masked_windows(grams, width, whole, np.arange(60), key[:0], 2)[0])
+    assert set(S.masked_windows(grams, width, np.array([[5, 8]]), none, key[:0], 2)[1].tolist()) <= {5, 6, 7, 8}
 
 
 def test_pairs_that_meet_only_in_split_buckets_reach_the_recall(spark):

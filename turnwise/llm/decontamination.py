@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
 The index is of the items, cut into units of UNIT words at most; a unit's impacts are its BM25 weights over
-their sum, so a passage that holds the whole unit scores 1. Every window of 2 * UNIT words of every document,
+their sum, so a passage that holds the whole unit scores 1. Document frequencies and lengths are of all units, so
+that a score doesn't depend on how items are dealt to indexes. Every window of 2 * UNIT words of every document,
 UNIT words apart, is a query, so each unit lies whole in a window. Windows whose terms can't reach the
 threshold for any unit, by the impacts of its rarer terms and by what the common terms give any one unit together,
 are settled for a whole slice of texts at once; for the others WAND finds all units at or above it. What is found is verified by the n-grams of its question and of its answer.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,33 +40,59 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, np.array([0, len(words)]), size)[0])
 
 
+def item_units(question: str, answer: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """An item's words, those of its question and of its answer, and its units."""
+    q, a = _words(question), _words(answer)
+    words = np.concatenate([q, a])
+    return q, a, np.array_split(words, max(1, -(-len(words) // UNIT))) if len(words) else []
+
+
+@dataclass
+class Frequencies:
+    """Of all units: their number, their mean length, and in how many each term is (terms ascending; of an index's terms at least)."""
+
+    units: int
+    length: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+    @staticmethod
+    def own(items: list[tuple]) -> "Frequencies":
+        units = [u for _, question, answer in items for u in item_units(question, answer)[2]]
+        terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, units)]), return_counts=True)
+        return Frequencies(len(units), sum(map(len, units)) / max(1, len(units)), terms, df)
+
+
 class Index:
     """Terms (sorted hashes), each with its postings: units ascending, impacts, and the largest impact of each block."""
 
-    def __init__(self, items: list[tuple[int, str, str]], ngram: int = 5):
+    def __init__(self, items: list[tuple], ngram: int = 5, frequencies: Frequencies | None = None):
+        every = frequencies or Frequencies.own(items)
         self.ids, self.questions, self.answers, self.lengths = [], [], [], []
         units, self.item_of = [], []
         for id_, question, answer in items:
-            q, a = _words(question), _words(answer)
-            words = np.concatenate([q, a])
-            if not len(words):
+            q, a, parts = item_units(question, answer)
+            if not parts:
                 continue
             self.ids.append(id_)
             self.questions.append(_grams(q, ngram))
             self.answers.append(_grams(a, ngram))
-            self.lengths.append(len(words))
-            parts = max(1, -(-len(words) // UNIT))
-            for part in np.array_split(words, parts):
+            self.lengths.append(len(q) + len(a))
+            for part in parts:
                 units.append(np.unique(part, return_counts=True))
                 self.item_of.append(len(self.ids) - 1)
         n = len(units)
-        every = np.concatenate([u[0] for u in units]) if n else np.zeros(0, np.uint64)
-        self.terms, places, df = np.unique(every, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        terms = np.concatenate([u[0] for u in units]) if n else np.zeros(0, np.uint64)
+        self.terms, places, df = np.unique(terms, return_inverse=True, return_counts=True)
+        whole = every.of(self.terms) if n else df
+        idf = np.log(1 + (every.units - whole + 0.5) / (whole + 0.5))
         length = np.array([u[1].sum() for u in units], float)
         unit = np.repeat(np.arange(n), [len(u[0]) for u in units])
         tf = np.concatenate([u[1] for u in units]).astype(float) if n else np.zeros(0)
-        weight = idf[places] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[unit] / max(1e-9, length.mean() if n else 1)))
+        weight = idf[places] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[unit] / max(1e-9, every.length)))
         impact = weight / np.bincount(unit, weight, minlength=n)[unit] if n else weight
         order = np.lexsort((unit, places))
         cuts = np.concatenate([[0], np.cumsum(df)])
@@ -164,11 +192,15 @@ def search(index: Index, words: np.ndarray, bounds: np.ndarray, threshold: float
     units = len(index.item_of)
     seen, place = np.unique(np.repeat(half[rare], many) * units + index.unit[posting], return_inverse=True)
     reach = np.bincount(place, index.impact[posting], minlength=len(seen))
+    alone = reach
     after = np.searchsorted(seen, seen + units)
     follows = (seen[np.minimum(after, len(seen) - 1)] == seen + units) & ~np.isin(seen // units, halves[1:] - 1) if len(seen) else np.zeros(0, bool)
     reach = reach + np.where(follows, reach[np.minimum(after, len(seen) - 1)], 0.0) if len(seen) else reach
     best: dict[tuple[int, int], list[float]] = {}
-    for h in np.unique(seen[reach + given >= threshold - 1e-9] // units).tolist():
+    # a window is tried for what its second half has alone too: its first may have common terms of the unit only
+    back = seen[alone + given >= threshold - 1e-9] // units
+    back = back[~np.isin(back, halves[:-1])] - 1
+    for h in np.unique(np.concatenate([seen[reach + given >= threshold - 1e-9] // units, back])).tolist():
         r = int(np.searchsorted(halves, h, "right") - 1)
         last = min(h + 1, halves[r + 1] - 1)
         terms = np.unique(term[np.searchsorted(half, h) : np.searchsorted(half, last, "right")]).tolist()
@@ -195,18 +227,54 @@ def _held(words: np.ndarray, wanted: np.ndarray, grams: np.ndarray, ngram: int)
     return np.isin(wanted, grams).mean()
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, ngram: int) -> Iterator[Index]:
-    """Indexes of at most INDEX_ITEMS items and about INDEX_BYTES of text, one at a time."""
-    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
-    items, size = [], 0
-    for id_, text, own in benchmark.select(F.col(id_col).cast("long"), F.col(text_col), answer).where(F.col(text_col).isNotNull()).toLocalIterator():
-        items.append((id_, *(split_answer(text) if answer_col is None else (text, own or ""))))
+def _items(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> DataFrame:
+    """(id, text, answer) of the items with a text; ids are longs or strings."""
+    whole = benchmark.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    answer = F.coalesce(F.col(answer_col), F.lit("")) if answer_col else F.lit(None).cast("string")
+    return benchmark.select(F.col(id_col).cast("long" if whole else "string").alias("id"), F.col(text_col).alias("text"), answer.alias("answer")).where("text is not null")
+
+
+def _parts(text: str, answer: str | None) -> tuple[str, str]:
+    return split_answer(text) if answer is None else (text, answer)
+
+
+def _unit_terms(items: DataFrame) -> DataFrame:
+    """(term, units, words): in how many units each term is; and for a null term how many units and words there are."""
+
+    def run(batches):
+        for batch in batches:
+            units = [u for text, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for u in item_units(*_parts(text, answer))[2]]
+            terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, units)]), return_counts=True)
+            none = pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(terms.view(np.int64)), none]), pa.array(np.append(df, len(units))), pa.array(np.append(0 * df, sum(map(len, units))))], ["term", "units", "words"])
+
+    return items.select("text", "answer").mapInArrow(run, "term long, units long, words long").groupBy("term").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
+
+
+def _indexes(items: DataFrame, ngram: int) -> Iterator[Index]:
+    """Indexes of at most INDEX_ITEMS items and about INDEX_BYTES of text, by id, one at a time; weights are of all items."""
+    counts = kept(_unit_terms(items))
+    total = counts.where("term is null").first()
+    if total is None or not total["units"]:
+        return
+
+    def index(own: list[tuple]) -> Index:
+        terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(u for _, q, a in own for u in item_units(q, a)[2])]))
+        wanted = items.sparkSession.createDataFrame([(int(t),) for t in terms.view(np.int64)], "term long")
+        df = counts.join(F.broadcast(wanted), "term").select("term", "units").toPandas()
+        of, n = df["term"].to_numpy(np.int64).view(np.uint64), df["units"].to_numpy(np.int64)
+        order = np.argsort(of)
+        return Index(own, ngram, Frequencies(int(total["units"]), total["words"] / total["units"], of[order], n[order]))
+
+    own, size = [], 0
+    for id_, text, answer in items.orderBy("id", "text", "answer").toLocalIterator():
+        own.append((id_, *_parts(text, answer)))
         size += len(text)
-        if len(items) >= INDEX_ITEMS or size >= INDEX_BYTES:
-            yield Index(items, ngram)
-            items, size = [], 0
-    if items:
-        yield Index(items, ngram)
+        if len(own) >= INDEX_ITEMS or size >= INDEX_BYTES:
+            yield index(own)
+            own, size = [], 0
+    if own:
+        yield index(own)
 
 
 def contaminated(
@@ -218,17 +286,19 @@ def contaminated(
     A find is a window that scores at least `threshold` for a unit of the item, in whose surroundings at least `overlap`
     of the n-grams of the question, and of the answer, occur. Without answer_col, an item's last sentence is its answer.
     Words are runs of letters, digits and apostrophes, A-Z as a-z. score is the highest of a document's windows. Items
-    without words, and null texts, are found nowhere and find nothing; repeated items and rows each count. Items are
-    taken in indexes of a fixed size (INDEX_ITEMS, INDEX_BYTES), each of which meets all documents; the term weights are
-    of the index. Nothing is shuffled. Further columns are left out.
+    without words, and null texts, are found nowhere and find nothing; repeated items and rows each count. Ids may be of
+    any type that can be cast from and to a string. Items are taken in indexes of a fixed size (INDEX_ITEMS, INDEX_BYTES), each of which meets
+    all documents; the term weights are of all items, whatever the index. Documents aren't shuffled. Further columns are left out.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     read, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
-    schema = f"id {kind.simpleString()}, item long, score double, question double, answer double"
-    for index in _indexes(benchmark, item_col, item_text_col, answer_col, ngram):
+    items = _items(benchmark, item_col, item_text_col, answer_col)
+    schema = f"id {kind.simpleString()}, item {items.schema['id'].dataType.simpleString()}, score double, question double, answer double"
+    item_kind = pa.int64() if items.schema["id"].dataType.typeName() == "long" else pa.string()
+    for index in _indexes(items, ngram):
         shared = spark.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, item_kind=item_kind):
             index = shared.value
             for batch in batches:
                 data, offsets = buffers(batch.column(1))
@@ -238,13 +308,13 @@ def contaminated(
                     found += [(low + r, index.ids[i], *v) for r, i, *v in search(index, words, bounds, threshold, overlap, ngram)] if len(index.ids) else []
                 if found:
                     rows, items, *values = zip(*found)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, pa.int64()), *(pa.array(v, pa.float64()) for v in values)], ["id", "item", "score", "question", "answer"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, item_kind), *(pa.array(v, pa.float64()) for v in values)], ["id", "item", "score", "question", "answer"])
 
         part = read.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], schema)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", F.col("question").alias("question_overlap"), F.col("answer").alias("answer_overlap"))
+    return out.select(F.col("id").alias(id_col), F.col("item").cast(benchmark.schema[item_col].dataType).alias(item_col), "score", F.col("question").alias("question_overlap"), F.col("answer").alias("answer_overlap"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

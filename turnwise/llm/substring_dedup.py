@@ -5,10 +5,11 @@ subsequences in its range that hold its n-gram, which is their min-hash. Nodes w
 wide as a passage must be are just the runs of equal minima of windows of that width, so they are found
 without building the narrower part of the tree: about 2 / width of the positions remain.
 
-Windows that share hash and value are joined to the first of them (within a task, then over all), and where
-three or more different ones share them, all are compared with one another by their n-grams, in blocks. Pairs of
-documents whose windows meet under enough hashes, or have enough n-grams in common, are aligned and their common
-passages verified exactly.
+Windows that share hash and value are joined to the first of them (within a task, then over all). Pairs of documents
+whose windows meet under enough hashes are aligned and their common passages verified exactly. Where a document's
+windows led to nothing under so many hashes that another document could have been missed, because the first ones hold
+only a part of what is there (a common line, an older text), the n-grams that it has in common with those are masked,
+and windows of what is left are joined again, until no document is left so.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 from turnwise.llm._spark import fresh, group_bounds, kept, only, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
-#: Hash functions (8 at most: the number is kept in a key's low bits) and how many must meet.
-HASHES, ENOUGH = 5, 2
+#: Hash functions (8 at most: the number is kept in a key's low bits), how many must meet, and hash functions of masked texts.
+HASHES, ENOUGH, AGAIN_HASHES = 5, 2, 8
+#: How many of the hashes are left over: where all others led astray (one in five of near copies differs anyway), a text is joined again.
+SPARE, AGAIN_SPARE = 3, 4
 #: Windows that a task joins among themselves before it sends one for each value.
 BLOCK_WINDOWS = 1_500_000
-#: Windows of one value in a block of their comparison.
-SIDE = 400
 _U = np.uint64
 _DRAW = np.random.Generator(np.random.PCG64(23))
 _XOR, _MULTIPLY = _DRAW.integers(0, 2**63, 8, dtype=np.uint64), _DRAW.integers(0, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
@@ -81,22 +82,37 @@ def _batch(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["key", "id", "span", "to_id", "to_span"])
 
 
+class _Block:
+    """Windows of a task, joined among themselves: heads (to_id null: the first of each value) and links to them."""
+
+    def __init__(self):
+        self.parts: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, spans: np.ndarray):
+        self.parts.append([keys, ids, spans])
+        self.size += len(keys)
+        if self.size >= BLOCK_WINDOWS:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.size:
+            return
+        keys, ids, spans = map(np.concatenate, zip(*self.parts))
+        self.parts, self.size = [], 0
+        order, first, other = _to_first(keys, ids, spans)
+        heads = order == first
+        none = pa.nulls(int(heads.sum()), pa.int64())
+        yield _batch(keys[order][heads].view(np.int64), ids[order][heads], spans[order][heads], none, none)
+        at, to = order[other], first[other]
+        yield _batch(keys[at].view(np.int64), ids[at], spans[at], ids[to], spans[to])
+
+
 def _windows(texts: DataFrame, width: int, ngram: int, hashes: int) -> DataFrame:
     """Rows to join over all (to_id null: the first of each value in a block), and links within a block. A span is first << 32 | last."""
 
     def run(batches):
-        block: list[list[np.ndarray]] = []
-
-        def flush():
-            keys, ids, spans = map(np.concatenate, zip(*block))
-            block.clear()
-            order, first, other = _to_first(keys, ids, spans)
-            heads = order == first
-            yield _batch(keys[order][heads].view(np.int64), ids[order][heads], spans[order][heads], pa.nulls(int(heads.sum()), pa.int64()), pa.nulls(int(heads.sum()), pa.int64()))
-            at, to = order[other], first[other]
-            yield _batch(keys[at].view(np.int64), ids[at], spans[at], ids[to], spans[to])
-
-        seen: set[int] = set()
+        block, seen = _Block(), set()
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -105,13 +121,10 @@ def _windows(texts: DataFrame, width: int, ngram: int, hashes: int) -> DataFrame
                 grams, at = shingle_hashes(words, bounds, ngram)
                 row, key, first, last = compact_windows(grams, at, width, hashes)
                 fresh = np.array([not (t in seen or seen.add(t)) for t in ts[low:high].tolist()], bool)[row]
-                block.append([key[fresh], ids[low:high][row[fresh]], first[fresh] << 32 | last[fresh]])
+                yield from block.add(key[fresh], ids[low:high][row[fresh]], first[fresh] << 32 | last[fresh])
             if len(seen) > 1_000_000:
                 seen.clear()
-            if sum(len(x[0]) for x in block) >= BLOCK_WINDOWS:
-                yield from flush()
-        if block:
-            yield from flush()
+        yield from block.flush()
 
     return texts.mapInArrow(run, _LINK)
 
@@ -130,99 +143,50 @@ def _joined(windows: DataFrame) -> DataFrame:
     return windows.select("key", "id", "span").repartition("key").sortWithinPartitions("key").mapInArrow(run, _LINK)
 
 
-def near_pairs(ids: np.ndarray, grams: list[np.ndarray], left: int, width: int, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of windows (in order of id) that may hold similar passages; with left < len(ids), only pairs across left.
-
-    Passages as similar as asked have enough n-grams in common. A pair is left out only if its later window as a whole
-    is as similar as asked to an earlier one that it is paired with, or if an earlier window is in pairs with both and has
-    all that they share, in one unbroken run: each then has with that one what it has with the other.
-    """
-    n = len(ids)
-    lengths = np.array([len(x) for x in grams])
-    rows, starts = np.repeat(np.arange(n), lengths), np.cumsum(lengths) - lengths
-    place = np.arange(len(rows)) - starts[rows]
-    values, column = np.unique(np.concatenate(grams), return_inverse=True)
-    cells = np.unique(column.astype(np.int64) * n + rows)
-    columns, members = cells // n, cells % n
-    least = np.maximum(1, width - lengths + np.bincount(members, minlength=n))  # different n-grams of a passage
-    shared = np.bincount(columns, minlength=len(values)) > 1
-    inside = shared[columns]
-    dense, who = (np.cumsum(shared) - 1)[columns[inside]], members[inside]
-    common, step = np.zeros((n, n), np.float32), max(1, (1 << 23) // n)
-    for low in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(dense, [low, low + step])
-        grid = np.zeros((n, min(step, int(shared.sum()) - low)), np.float32)
-        grid[who[a:b], dense[a:b] - low] = 1
-        common += grid @ grid.T
-    near = (common >= similarity * np.maximum(least[:, None], least[None, :]) - 1e-6) & (ids[:, None] != ids[None, :])
-    if left < n:
-        near[:left, :left] = False
-        near[left:, left:] = False
-    open_, out = near.copy(), []
-    for h in np.argsort(ids, kind="stable").tolist():
-        to = np.flatnonzero(open_[h])
-        if not len(to):
-            continue
-        out += [(h, k) for k in to.tolist()]
-        open_[h] = open_[:, h] = False
-        if not open_.any():
-            break
-        own = column[starts[h] : starts[h] + lengths[h]]
-        names, at = np.unique(own, return_inverse=True)
-        index = np.minimum(np.searchsorted(names, column), len(names) - 1)
-        hit = names[index] == column
-        has = np.zeros((n, len(names)), np.float32)
-        has[rows[hit], index[hit]] = 1
-        run = has[:, at] > 0
-        whole = run.sum(1) == run.shape[1] - run[:, ::-1].argmax(1) - run.argmax(1)
-        first, last = np.full(n, len(rows)), np.full(n, -1)
-        np.minimum.at(first, rows[hit], place[hit])
-        np.maximum.at(last, rows[hit], place[hit])
-        whole &= (np.bincount(rows[hit], minlength=n) == last - first + 1) & near[h] & (ids > ids[h])
-        spread, many = np.where(run.any(1), run.shape[1] - run[:, ::-1].argmax(1) - run.argmax(1), 0), has.sum(1)
-        similar = many >= similarity * (np.bincount(members, minlength=n) + np.maximum(spread, width) - many) - 1e-6
-        settled = near[h] & (ids > ids[h]) & similar & (last - first + 1 >= width)
-        later = settled[None, :] & (ids[:, None] < ids[None, :])
-        open_ &= ~(later | later.T)
-        open_ &= ~(whole[:, None] & whole[None, :] & (has @ has.T == common))
-    return out
+def masked_windows(grams: np.ndarray, width: int, starts: np.ndarray, places: np.ndarray, keys: np.ndarray, hashes: int = AGAIN_HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, last) of the nodes of one text, as compact_windows has them, for windows beginning in the ranges `starts` (rows of first and last),
+    without the n-grams at the places, and those of the keys."""
+    allowed = np.zeros(len(grams) - width + 2, np.int32)
+    np.add.at(allowed, starts[:, 0], 1)
+    np.add.at(allowed, starts[:, 1] + 1, -1)
+    at = np.flatnonzero(np.cumsum(allowed[:-1]) > 0)
+    dark, out = np.zeros(len(grams), bool), []
+    dark[places] = True
+    most = np.iinfo(np.uint64).max
+    for f in range(hashes):
+        drawn = (grams ^ _XOR[f]) * _MULTIPLY[f]
+        own = (mix(drawn, f) & ~_U(7)) | _U(f)
+        drawn[dark | np.isin(own, keys)] = most
+        least = window_minima(drawn, width)[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (least[1:] != least[:-1]) | (np.diff(at) > 1)
+        low = np.flatnonzero(new)
+        high = np.append(low[1:], len(at)) - 1
+        bright = least[low] != most
+        low, high = low[bright], high[bright]
+        out.append(((mix(least[low], f) & ~_U(7)) | _U(f), at[low], at[high] + width - 1))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
-def _among(links: DataFrame, texts: DataFrame, width: int, ngram: int, similarity: float, side: int) -> DataFrame:
-    """Links among all windows of the values that three or more have, less those that near_pairs leaves out."""
-    ends = links.select("key", "id", "span").union(links.select("key", F.col("to_id").alias("id"), F.col("to_span").alias("span"))).distinct()
-    many = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 2 and low < high").select("key")
-    members = kept(ends.join(many, "key"))
-    ids = kept(members.select("id").distinct())
-    cut = F.expr("substring(grams, 4 * cast(shiftright(span, 32) as int) + 1, 4 * cast((span & 4294967295L) - shiftright(span, 32) + 1 as int))")
-    members = members.join(_sequences(texts, ids, ngram), "id").select("key", "id", "span", cut.alias("grams"))
-    # windows of the same n-grams are met as the first of them
-    first = F.min(F.struct("id", "span", "grams")).alias("first")
-    same = kept(members.groupBy("key", F.xxhash64("grams").alias("t")).agg(first, F.collect_set(F.struct("id", "span")).alias("all")))
-    equal = same.select("key", "first", F.explode("all").alias("m")).select("key", F.col("m.id").alias("id"), F.col("m.span").alias("span"), F.col("first.id").alias("to_id"), F.col("first.span").alias("to_span")).where("id <> to_id")
-    sized = same.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    unlike = same.select("key", "t", "first.*").join(sized, "key").withColumn("blocks", F.expr(f"cast(ceil(n / {side}) as int)"))
-    dealt = unlike.withColumn("own", F.expr("cast(pmod(xxhash64(t, 3), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "span", "grams")
+def _windows_again(texts: DataFrame, opened: DataFrame, width: int, ngram: int) -> DataFrame:
+    """As _windows, of the texts and ranges of _opened, less what is masked."""
 
     def run(batches):
-        for table in whole_groups(batches, ["key", "i", "j"]):
-            bounds = group_bounds(table, ["key", "i", "j"])
-            keys, i, j, own, ids, spans = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "span"))
-            raw = table.column("grams").combine_chunks()
-            a, b = [], []
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                if high - low < 2:
-                    continue
-                left = int((own[low:high] == i[low]).sum()) if i[low] < j[low] else high - low
-                pairs = near_pairs(ids[low:high], [np.frombuffer(raw[k].as_buffer(), "<u4") for k in range(low, high)], left, width, similarity)
-                a += [low + x for x, _ in pairs]
-                b += [low + y for _, y in pairs]
-            if a:
-                yield _batch(keys[a], ids[a], spans[a], ids[b], spans[b])
+        block = _Block()
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            ids, masks = batch.column(0).to_numpy(), [batch.column(k).to_pylist() for k in (2, 3, 4)]
+            for low, high in slices(offsets):
+                words, bounds, _ = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                grams, at = shingle_hashes(words, bounds, ngram)
+                for i in range(low, high):
+                    starts, places, keys = (np.frombuffer(m[i], kind) for m, kind in zip(masks, (np.int64, np.int32, np.uint64)))
+                    key, first, last = masked_windows(grams[at[i - low] : at[i - low + 1]], width, starts.reshape(-1, 2), places, keys)
+                    yield from block.add(key, np.full(len(key), ids[i]), first << 32 | last)
+        yield from block.flush()
 
-    order = ["key", "i", "j"]
-    return equal.union(dealt.repartition(*order).sortWithinPartitions(*order, "own", "id", "span").mapInArrow(run, _LINK))
+    own = only(texts.select("id", "text"), opened, "id").dropDuplicates(["id"]).join(opened, "id")
+    return own.select("id", "text", "starts", "places", "keys").mapInArrow(run, _LINK)
 
 
 def _sequences(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
@@ -241,15 +205,33 @@ def _sequences(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     return only(texts.select("id", "text"), ids, "id").mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
 
 
-def meeting(windows: list[tuple[int, int, int]], width: int, enough: int) -> bool:
-    """Whether a passage of this width lies in windows (hash, first, last) of enough hashes."""
-    edges = sorted([(a, 0, f) for f, a, b in windows] + [(b - width + 1, 1, f) for f, a, b in windows])
-    open_: dict[int, int] = {}
-    for _, end, f in edges:
-        open_[f] = open_.get(f, 0) + (-1 if end else 1)
-        if not end and sum(v > 0 for v in open_.values()) >= enough:
-            return True
-    return False
+def stretches(windows: list[tuple[int, int, int]], width: int, enough: int) -> list[tuple[int, int]]:
+    """The ranges of the beginnings of passages of this width that lie in windows (hash, first, last) of enough hashes."""
+    edges = sorted([(a, 0, f) for f, a, b in windows] + [(b - width + 2, -1, f) for f, a, b in windows])
+    open_, many, out, k = {}, 0, [], 0
+    while k < len(edges):
+        at, before = edges[k][0], many
+        while k < len(edges) and edges[k][0] == at:
+            _, end, f = edges[k]
+            was = open_.get(f, 0)
+            open_[f] = was + (end or 1)
+            many += (open_[f] > 0) - (was > 0)
+            k += 1
+        if before < enough <= many:
+            out.append((at, at))
+        elif many < enough <= before:
+            out[-1] = (out[-1][0], at - 1)
+    return [(a, b) for a, b in out if b >= a]
+
+
+def covered(first: np.ndarray, last: np.ndarray, passages: list[tuple[int, int]]) -> np.ndarray:
+    """Whether half of a window first to last (inclusive) at least is in the passages (first, end)."""
+    marks = np.zeros(int(max(last.max(initial=0) + 1, max((b for _, b in passages), default=0))) + 1, np.int64)
+    for a, b in passages:
+        marks[a] += 1
+        marks[b] -= 1
+    inside = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
+    return 2 * (inside[last + 1] - inside[first]) >= last - first + 1
 
 
 def common_passages(a: np.ndarray, b: np.ndarray, width: int, ngram: int, similarity: float) -> list[tuple[int, int, int, int]]:
@@ -299,7 +281,9 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, ngram: int, simila
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, similarity: float, enough: int) -> DataFrame:
-    """(id, first, end, to_id, to_first, to_end) in words, of pairs (id, to_id, met: structs of hash, spans, whether one hash is enough)."""
+    """Common passages (id, first, end, to_id, to_first, to_end), in words, of pairs (id, to_id, met: structs of hash, spans and whose window led
+    to the other's), and masks: for a document whose windows led to another and aren't covered by what both have in common, its id and the places
+    of its n-grams that the other has."""
     ends = lambda name: (F.expr(f"array_min(transform(met, m -> shiftright(m.{name}, 32)))").cast("int"), F.expr(f"array_max(transform(met, m -> m.{name} & 4294967295L))").cast("int"))
     (low, high), (to_low, to_high) = ends("span"), ends("to_span")
     ranged = pairs.select("*", low.alias("low"), high.alias("high"), to_low.alias("to_low"), to_high.alias("to_high"))
@@ -307,22 +291,77 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
     left = ranged.join(sequences, "id").withColumn("own", cut("low", "high")).drop("grams")
     both = left.join(sequences.withColumnRenamed("id", "to_id"), "to_id").withColumn("other", cut("to_low", "to_high")).select("id", "to_id", "low", "to_low", "met", "own", "other")
 
+    def mask(met, mine: bool, name: str, grams: np.ndarray, others: np.ndarray, low: int, passages) -> bytes | None:
+        spans = np.array([m[name] for m in met if m["mine"] == mine], np.int64)
+        if not len(spans) or covered((spans >> 32) - low, (spans & 0xFFFFFFFF) - low, passages).all():
+            return None
+        return (low + np.flatnonzero(np.isin(grams, others))).astype(np.int32).tobytes()
+
     def run(batches):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                if not any(m["alone"] for m in r["met"]) and not meeting([(m["f"], m["span"] >> 32, m["span"] & 0xFFFFFFFF) for m in r["met"]], width, enough):
+                met = r["met"]
+                if enough > 1 and not stretches([(m["f"], m["span"] >> 32, m["span"] & 0xFFFFFFFF) for m in met], width, enough):
+                    continue
+                own, other = np.frombuffer(r["own"], "<u4"), np.frombuffer(r["other"], "<u4")
+                passages = common_passages(own, other, width, ngram, similarity)
+                for a, b, p, q in passages:
+                    rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1, None))
+                for id_, places in ((r["id"], mask(met, True, "span", own, other, r["low"], [x[:2] for x in passages])), (r["to_id"], mask(met, False, "to_span", other, own, r["to_low"], [x[2:] for x in passages]))):
+                    if places is not None:
+                        rows.append((id_, None, None, None, None, None, places))
+            if rows:
+                *numbers, masks = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(masks, pa.binary())], ["id", "first", "end", "to_id", "to_first", "to_end", "mask"])
+
+    return both.mapInArrow(run, "id long, first long, end long, to_id long, to_first long, to_end long, mask binary")
+
+
+def _opened(links: DataFrame, found: DataFrame, before: DataFrame | None, width: int, ngram: int, many: int) -> DataFrame:
+    """(id, starts, places, keys) of the documents in which a passage may lie in windows of `many` hashes that led to
+    other documents and to nothing: the ranges where it may begin, and what is masked so far (before: this table of the pass before)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda kind, a, b, raw: [F.col("id"), F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), raw.alias("raw")]
+    other = links.where("id <> to_id")
+    passages = found.where("mask is null")
+    passages = passages.select("id", "first", "end").union(passages.select(F.col("to_id").alias("id"), F.col("to_first").alias("first"), F.col("to_end").alias("end"))).distinct()
+    parts = [
+        other.select(row(0, F.col("key"), F.col("span"), none("binary"))), passages.select(row(1, F.col("first"), F.col("end") - (ngram - 1), none("binary"))),
+        found.where("mask is not null").select(row(2, none("long"), none("long"), F.col("mask"))),
+    ]
+    if before is not None:
+        parts += [before.select(row(2, none("long"), none("long"), F.col("places"))), before.select(row(3, none("long"), none("long"), F.col("keys")))]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+
+    def run(batches):
+        for table in whole_groups(batches, ["id"]):
+            bounds, rows = group_bounds(table, ["id"]), []
+            ids, kind = (table.column(c).to_numpy() for c in ("id", "kind"))
+            a, b = (table.column(c).fill_null(0).to_numpy() for c in ("a", "b"))
+            raw = table.column("raw")
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                cuts = low + np.searchsorted(kind[low:high], [1, 2, 3])
+                if len(set((a[low : cuts[0]] & 7).tolist())) < many:
                     continue
-                for a, b, p, q in common_passages(np.frombuffer(r["own"], "<u4"), np.frombuffer(r["other"], "<u4"), width, ngram, similarity):
-                    rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1))
+                first, last = b[low : cuts[0]] >> 32, b[low : cuts[0]] & 0xFFFFFFFF
+                left = ~covered(first, last, list(zip(a[cuts[0] : cuts[1]].tolist(), b[cuts[0] : cuts[1]].tolist())))
+                starts = stretches(list(zip((a[low : cuts[0]][left] & 7).tolist(), first[left].tolist(), last[left].tolist())), width, many)
+                if starts:
+                    places = [np.frombuffer(raw[k].as_py(), np.int32) for k in range(cuts[1], cuts[2])]
+                    keys = [a[low : cuts[0]][left], *(np.frombuffer(raw[k].as_py(), np.int64) for k in range(cuts[2], high))]
+                    rows.append((int(ids[low]), np.array(starts, np.int64).tobytes(), np.unique(np.concatenate([np.zeros(0, np.int32), *places])).tobytes(), np.unique(np.concatenate(keys)).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["id", "first", "end", "to_id", "to_first", "to_end"])
+                id_, *rest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["id", "starts", "places", "keys"])
 
-    return both.mapInArrow(run, "id long, first long, end long, to_id long, to_first long, to_end long")
+    return every.repartition("id").sortWithinPartitions("id", "kind").mapInArrow(run, "id long, starts binary, places binary, keys binary")
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, similarity: float = 0.8, ngram: int = 5, hashes: int = HASHES, enough: int = ENOUGH, side: int = SIDE,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, similarity: float = 0.8, ngram: int = 5, hashes: int = HASHES, enough: int = ENOUGH,
 ) -> DataFrame:
     """Passages of at least min_words words that are near-duplicates of one in another document.
 
@@ -338,26 +377,35 @@ def repeated_passages(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).where("id is not null")
     ids = kept(texts.select("id", "t"))
     copies = ids.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("t", "least")
-    again = kept(ids.join(copies, "t").where("id <> least").select("id", "t", "least").distinct())
+    copied = kept(ids.join(copies, "t").where("id <> least").select("id", "t", "least").distinct())
     windows = kept(_windows(texts, width, ngram, hashes))
     links = windows.where("to_id is not null").union(_joined(windows.where("to_id is null")))
-    # a copy's windows count as those of its first copy; the later document is linked to the earlier one
-    first_copy = again.groupBy("id").agg(F.min("least").alias("least"))
+    # a copy's windows count as those of its first copy
+    first_copy = copied.groupBy("id").agg(F.min("least").alias("least"))
     links = links.join(first_copy, "id", "left").withColumn("id", F.coalesce("least", "id")).drop("least")
     links = links.join(first_copy.withColumnRenamed("id", "to_id"), "to_id", "left").withColumn("to_id", F.coalesce("least", "to_id")).drop("least").select("key", "id", "span", "to_id", "to_span")
-    links = kept(links)
-    among = _among(links, texts, width, ngram, similarity, side).withColumn("alone", F.lit(True))
-    links = links.where("id <> to_id").withColumn("alone", F.lit(False)).union(among)
-    late = F.col("id") > F.col("to_id")
-    swap = lambda a, b: F.when(late, F.col(a)).otherwise(F.col(b))
-    met = F.struct((F.col("key").bitwiseAND(7)).cast("int").alias("f"), swap("span", "to_span").alias("span"), swap("to_span", "span").alias("to_span"), "alone")
-    pairs = links.select(swap("id", "to_id").alias("id"), swap("to_id", "id").alias("to_id"), met.alias("m")).groupBy("id", "to_id").agg(F.collect_set("m").alias("met"))
-    pairs = kept(pairs.where((F.size(F.expr("array_distinct(met.f)")) >= enough) | F.exists("met", lambda m: m["alone"])))
-    needed = kept(pairs.select("id").union(pairs.select("to_id").withColumnRenamed("to_id", "id")).distinct())
-    sequences = kept(_sequences(texts, needed, ngram))
-    found = kept(_verified(pairs, sequences, width, ngram, similarity, enough))
-    words = _word_counts(only(texts, kept(again.select("t").distinct()), "t"))
-    whole = again.join(words, "t").where(F.col("n") >= min_words)
+    found = opened = None
+    while True:
+        links = kept(links)
+        need = enough if opened is None else 1
+        # the later document is linked to the earlier one; mine: its window led to the other's
+        late = F.col("id") > F.col("to_id")
+        swap = lambda a, b, late=late: F.when(late, F.col(a)).otherwise(F.col(b))
+        met = F.struct((F.col("key").bitwiseAND(7)).cast("int").alias("f"), swap("span", "to_span").alias("span"), swap("to_span", "span").alias("to_span"), late.alias("mine"))
+        pairs = links.where("id <> to_id").select(swap("id", "to_id").alias("id"), swap("to_id", "id").alias("to_id"), met.alias("m")).groupBy("id", "to_id").agg(F.collect_set("m").alias("met"))
+        pairs = kept(pairs.where(F.size(F.expr("array_distinct(met.f)")) >= need))
+        needed = kept(pairs.select("id").union(pairs.select("to_id").withColumnRenamed("to_id", "id")).distinct())
+        sequences = kept(_sequences(texts, needed, ngram))
+        verified = kept(_verified(pairs, sequences, width, ngram, similarity, need))
+        found = verified if found is None else found.union(verified)
+        opened = kept(_opened(links, found, opened, width, ngram, hashes - SPARE if opened is None else AGAIN_HASHES - AGAIN_SPARE))
+        if opened.isEmpty():
+            break
+        windows = kept(_windows_again(texts, opened, width, ngram))
+        links = windows.where("to_id is not null").union(_joined(windows.where("to_id is null")))
+    found = found.where("mask is null").drop("mask").distinct()
+    words = _word_counts(only(texts, kept(copied.select("t").distinct()), "t"))
+    whole = copied.join(words, "t").where(F.col("n") >= min_words)
     row = lambda i, a, b, c, first: [F.col(i).alias(id_col), F.col(a).alias("start_word"), F.col(b).alias("end_word"), (F.col(b) - F.col(a)).alias("n_words"), F.col(c).alias("class_id"), F.lit(first).alias("first")]
     whole = whole.withColumn("zero", F.lit(0).cast("long"))
     parts = [found.select(row("id", "first", "end", "to_id", False)), found.select(row("to_id", "to_first", "to_end", "to_id", True)), whole.select(row("id", "zero", "n", "least", False)), whole.select(row("least", "zero", "n", "least", True))]
