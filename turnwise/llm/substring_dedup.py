@@ -284,7 +284,8 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
     """Common passages (id, first, end, to_id, to_first, to_end), in words, of pairs (id, to_id, met: structs of hash, spans and whose window led
     to the other's), and masks: for a document whose windows led to another and aren't covered by what both have in common, its id and the places
     of its n-grams that the other has."""
-    ends = lambda name: (F.expr(f"array_min(transform(met, m -> shiftright(m.{name}, 32)))").cast("int"), F.expr(f"array_max(transform(met, m -> m.{name} & 4294967295L))").cast("int"))
+    # a passage with an n-gram of a window may begin before the window, and end after it
+    ends = lambda name: (F.greatest(F.expr(f"array_min(transform(met, m -> shiftright(m.{name}, 32)))").cast("int") - width, F.lit(0)), F.expr(f"array_max(transform(met, m -> m.{name} & 4294967295L))").cast("int") + width)
     (low, high), (to_low, to_high) = ends("span"), ends("to_span")
     ranged = pairs.select("*", low.alias("low"), high.alias("high"), to_low.alias("to_low"), to_high.alias("to_high"))
     cut = lambda a, b: F.expr(f"substring(grams, 4 * {a} + 1, 4 * ({b} - {a} + 1))")
