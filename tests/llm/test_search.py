@@ -1,5 +1,9 @@
 """Top-k, url rules and decontamination against brute force."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +91,66 @@ def test_leaks_are_found_and_clean_documents_are_not(leaks, monkeypatch, items_o
     assert left.columns == docs.columns and left.count() == docs.count() - 4
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_scores_do_not_depend_on_how_items_are_dealt(spark, leaks, monkeypatch, kind):
+    docs, items = leaks
+    got = []
+    for n in (20_000, 2, 1):
+        monkeypatch.setattr(D, "INDEX_ITEMS", n)
+        found = D.contaminated(docs, items.withColumn("item_id", F.col("item_id").cast(kind)))
+        assert dict(found.dtypes)["item_id"] == {"long": "bigint"}.get(kind, kind)
+        got.append(sorted((r.doc_id, str(r.item_id), round(r.score, 9), r.question_overlap, r.answer_overlap) for r in found.collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4
+
+
+def found_by_hand(docs, items, threshold=0.7, overlap=0.8, unit=64):
+    """Every window of every text against every unit, with BM25 written out."""
+    words = lambda t: re.findall(r"[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    parts, units = {}, []
+    for i, text in items:
+        q, a = (words(x) for x in D.split_answer(text))
+        parts[i] = (grams(q), grams(a), len(q + a))
+        units += [(i, list(u)) for u in np.array_split(q + a, max(1, -(-len(q + a) // unit)))]
+    df = Counter(t for _, u in units for t in set(u))
+    mean = sum(len(u) for _, u in units) / len(units)
+    impacts = []
+    for i, u in units:
+        weight = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * (D.K1 + 1) / (n + D.K1 * (1 - D.B + D.B * len(u) / mean)) for t, n in Counter(u).items()}
+        impacts.append((i, {t: x / sum(weight.values()) for t, x in weight.items()}))
+    out = set()
+    for d, text in docs:
+        w = words(text)
+        for low in range(0, len(w), unit):
+            inside = set(w[low : low + 2 * unit])
+            for i, impact in impacts:
+                if sum(x for t, x in impact.items() if t in inside) >= threshold - 1e-9:
+                    q, a, room = parts[i]
+                    near = grams(w[max(0, low - room) : low + 2 * unit + room])
+                    if all(not g or len(g & near) / len(g) >= overlap - 1e-9 for g in (q, a)):
+                        out.add((d, i))
+    return out
+
+
+def test_finds_equal_brute_force_at_every_offset(spark):
+    r = np.random.default_rng(12)
+    common, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(400)]
+    some = lambda n: [str(r.choice(common)) if r.random() < 0.6 else str(r.choice(rare)) for _ in range(n)]
+    items = []
+    for i in range(40):
+        begin = [str(x) for x in r.choice(common, 8)] if i % 2 else []  # begins with common words only
+        items.append((i, " ".join(begin + some(22)) + ". " + " ".join(some(6))))
+    docs = []
+    for k in range(256):
+        text = items[k % 40][1].split()
+        if k % 3 == 0:
+            text[r.integers(len(text))] = "changed"
+        docs.append((k, " ".join(some(100 + k % 64) + text + some(int(r.integers(0, 150))))))
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = found_by_hand(docs, items)
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(want) >= 200
+
+
 def test_no_items_and_no_documents(leaks, no_docs):
     docs, items = leaks
     assert D.contaminated(docs, items.limit(0)).count() == 0 and D.contaminated(no_docs, items).count() == 0
