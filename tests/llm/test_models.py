@@ -65,6 +65,76 @@ def test_toxicity_on_held_out_rows(labelled, no_docs):
     assert len({r.score for r in X.toxicity_scores(docs, labels.limit(0)).collect()}) == 1
 
 
+def test_toxicity_sample_is_bounded_and_repeated_rows_are_one(labelled):
+    docs, labels, *_ = labelled
+    known = Q.majority(labels, "doc_id", "toxic")
+    seen = []
+    real, X.train = X.train, lambda texts, y: seen.append((len(texts), sum(map(len, texts)))) or real(texts[:4], y[:4], epochs=1)
+    try:
+        X.fit(docs.union(docs), known, "doc_id", "text", 50, 60, 10**6)
+        X.fit(docs, known, "doc_id", "text", 50, 60, 10**6)
+        X.fit(docs, known, "doc_id", "text", 50, 60, 1000)
+    finally:
+        X.train = real
+    assert seen[0] == seen[1] and 50 <= seen[0][0] <= 110 and seen[2][1] <= 2000
+
+
+def test_toxicity_slopes_equal_differences():
+    r = np.random.default_rng(3)
+    net = X.new_network(r)
+    net.embeddings *= 6
+    texts = [r.integers(0, X.BUCKETS, (n, 3)).astype(np.int32) + np.array([0, 1, 2], np.int32) * X.BUCKETS for n in (7, 12, 5)]
+    texts = [np.concatenate([t, np.full((3, 3), X.PAD, np.int32)]) for t in texts]
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        z = net.logits(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+        return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
+
+    grads, touched, sums = X.slopes(net, texts, y)
+    checks = [(net.weights, (k,), grads["weights"][k]) for k in range(4)] + [(net.bias, (k,), grads["bias"][k]) for k in range(4)]
+    checks += [(net.filters, i, grads["filters"][i]) for i in [(0, 0, 0), (3, 2, 1), (7, 5, 3), (2, 4, 2)]]
+    checks += [(net.embeddings, (int(w), k), sums[i, k]) for i, w in enumerate(touched[:6]) for k in (0, 5) if w != X.PAD]
+    for array, at, slope in checks:
+        was = array[at]
+        array[at] = was + 1e-6
+        up = loss()
+        array[at] = was - 1e-6
+        down = loss()
+        array[at] = was
+        assert abs((up - down) / 2e-6 - slope) < 1e-6
+
+
+def test_longest_answer_counts_wherever_it_is():
+    r = np.random.default_rng(5)
+    net = X.new_network(r)
+    ids = np.concatenate([r.integers(0, X.BUCKETS, (40, 3)).astype(np.int32), np.full((3, 3), X.PAD, np.int32)])
+    rows = net.embeddings[ids].sum(1)
+    best = []
+    for k, width in enumerate(X.WIDTHS):
+        start = sum(X.WIDTHS[:k])
+        for f in range(X.FILTERS):
+            best.append(max(sum(rows[i + j] @ net.filters[:, start + j, f] for j in range(width) if i + j < len(ids)) for i in range(len(ids))))
+    want = np.maximum(np.array(best) + net.bias, 0) @ net.weights
+    assert np.allclose(net.logits(ids, np.array([0, len(ids)])), want) and np.allclose(net.logits(ids, np.array([0, len(ids)]), net.table()), want, atol=1e-5)
+
+
+def test_thresholds_by_language_are_the_best():
+    r = np.random.default_rng(7)
+    rows = [(0, int(y), int(b), 1) for y, b in zip(r.random(300) < 0.3, r.integers(-50, 50, 300))]
+    rows += [(1, 1, 90 + k, 1) for k in range(12)] + [(1, 0, 70 - k, 1) for k in range(12)] + [(2, 1, 5, 3), (2, 0, 1, 3)]
+    got = X.thresholds(rows)
+
+    def f1(own, t):
+        said = sum(n for _, _, b, n in own if b * X.BIN >= t - 1e-9)
+        return 2 * sum(n for _, y, b, n in own if y and b * X.BIN >= t - 1e-9) / (said + sum(n for _, y, _, n in own if y))
+
+    first = [x for x in rows if x[0] == 0]
+    assert f1(first, got[0]) >= max(f1(first, b * X.BIN) for b in range(-51, 52)) - 1e-9
+    assert 70 * X.BIN < got[1] <= 90 * X.BIN and got[2] == got[3]  # too few rows: the common one
+    assert X.thresholds([]) == [0.0] * 4
+
+
 def test_languages_are_told_by_letters():
     raw = ["plain words", "grün und schön", "el niño ñu", "où est-ce très près"]
     b = [t.encode() for t in raw]
