@@ -130,17 +130,23 @@ def _windows(texts: DataFrame, width: int, ngram: int, hashes: int) -> DataFrame
 
 
 def _joined(windows: DataFrame) -> DataFrame:
-    """Links of the windows of the blocks to the first of all."""
+    """The links within blocks, as they are, and those of the windows of the blocks to the first of all."""
 
     def run(batches):
         for table in whole_groups(batches, ["key"]):
-            keys, ids, spans = (table.column(c).to_numpy() for c in ("key", "id", "span"))
-            order, first, other = _to_first(keys, ids, spans)
-            if other.any():
-                at, to = order[other], first[other]
-                yield _batch(keys[at], ids[at], spans[at], ids[to], spans[to])
+            new = table.column("to_id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+            if not new.all():
+                yield from table.filter(pa.array(~new)).to_batches()
+            if new.sum() > 1:
+                keys, ids, spans = (table.column(c).to_numpy()[new] for c in ("key", "id", "span"))
+                order, first, other = _to_first(keys, ids, spans)
+                if other.any():
+                    at, to = order[other], first[other]
+                    yield _batch(keys[at], ids[at], spans[at], ids[to], spans[to])
 
-    return windows.select("key", "id", "span").repartition("key").sortWithinPartitions("key").mapInArrow(run, _LINK)
+    # links only pass, so those of one value needn't meet
+    by = F.when(F.col("to_id").isNull(), F.col("key")).otherwise(F.col("id") + F.col("span"))
+    return windows.repartition(by).sortWithinPartitions("key").mapInArrow(run, _LINK)
 
 
 def masked_windows(grams: np.ndarray, width: int, starts: np.ndarray, places: np.ndarray, keys: np.ndarray, hashes: int = AGAIN_HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -379,8 +385,7 @@ def repeated_passages(
     ids = kept(texts.select("id", "t"))
     copies = ids.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("t", "least")
     copied = kept(ids.join(copies, "t").where("id <> least").select("id", "t", "least").distinct())
-    windows = kept(_windows(texts, width, ngram, hashes))
-    links = windows.where("to_id is not null").union(_joined(windows.where("to_id is null")))
+    links = _joined(_windows(texts, width, ngram, hashes))
     # a copy's windows count as those of its first copy
     first_copy = copied.groupBy("id").agg(F.min("least").alias("least"))
     links = links.join(first_copy, "id", "left").withColumn("id", F.coalesce("least", "id")).drop("least")
@@ -402,8 +407,7 @@ def repeated_passages(
         opened = kept(_opened(links, found, opened, width, ngram, hashes - SPARE if opened is None else AGAIN_HASHES - AGAIN_SPARE))
         if opened.isEmpty():
             break
-        windows = kept(_windows_again(texts, opened, width, ngram))
-        links = windows.where("to_id is not null").union(_joined(windows.where("to_id is null")))
+        links = _joined(_windows_again(texts, opened, width, ngram))
     found = found.where("mask is null").drop("mask").distinct()
     words = _word_counts(only(texts, kept(copied.select("t").distinct()), "t"))
     whole = copied.join(words, "t").where(F.col("n") >= min_words)
