@@ -35,13 +35,28 @@ def classes_by_hand(rows, least=0.8):
     return sorted((own, least_id[find(i)], links[i]) for i, (own, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("leaf, block", [(128, 400), (2, 2)])
-def test_classes_equal_brute_force(corpus, leaf, block):
+@pytest.mark.parametrize("leaf, block, salted", [(128, 400, 2048), (2, 2, 2), (128, 400, 3)])
+def test_classes_equal_brute_force(corpus, leaf, block, salted, monkeypatch):
+    monkeypatch.setattr(J, "SALTED", salted)
     frame, rows = corpus
     got = J.jaccard_classes(frame, leaf=leaf, block=block).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == classes_by_hand(rows)
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Lone pairs of similarity 0.8 to 0.85: what is found of them, counted."""
+    r, rows = np.random.default_rng(17), []
+    for k in range(300):
+        own = [f"w{x}" for x in r.integers(0, 10**7, 100)]
+        changed = [w if i not in (20, 60) else "changed" for i, w in enumerate(own)][: 100 - k % 2]
+        a, b = grams(" ".join(own)), grams(" ".join(changed))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(changed))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id // 2 for x in J.jaccard_classes(frame).collect() if x.n_links}
+    assert len(got) >= 0.99 * 300
+
+
 def test_one_of_each_class_stays(corpus, spark):
     frame, rows = corpus
     kept = J.one_of_each(frame.union(spark.createDataFrame([(None, "no id", "t", 1, "k", 0.5, 7)], frame.schema)))

@@ -26,6 +26,8 @@ from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 SKETCH, TIGHT, LOOSE = 64, 0.70, 0.35
 #: Sets in a leaf, levels below the first, sets of a leaf that meet in one task, sets in a block of the exact comparison.
 LEAF, DEPTH, SALTED, BLOCK = 128, 4, 2048, 400
+#: Sketches that a task may hold; beyond that they are joined by a shuffle.
+HELD_SKETCHES = 50_000
 #: A bucket is not split if its sets agree with its first in this share of hashes on the mean.
 DENSE = 0.25
 _U = np.uint64
@@ -130,7 +132,9 @@ def _split(over: DataFrame, texts: DataFrame, ngram: int, threshold: float) -> D
 def _dense(over: DataFrame, signed: DataFrame) -> DataFrame:
     """The keys of the buckets of over (t, key, n) whose sets are alike."""
     marked = over.join(signed.select("t", "sketch"), "t")
-    first = marked.groupBy("key").agg(F.min(F.struct("t", "sketch")).alias("first")).select("key", F.col("first.sketch").alias("first"))
+    first = kept(marked.groupBy("key").agg(F.min(F.struct("t", "sketch")).alias("first")).select("key", F.col("first.sketch").alias("first")))
+    # a hot bucket's rows stay where they are if the sketches of all buckets fit a task
+    first = F.broadcast(first) if first.count() <= HELD_SKETCHES else first
 
     def run(batches):
         for batch in batches:
@@ -162,12 +166,13 @@ def leaders(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _candidates(members: DataFrame, signed: DataFrame) -> DataFrame:
     """Edges (a, b) between the sets of a leaf and its leaders. members: t, key, n."""
-    salted = members.join(signed.select("t", "sketch"), "t").select("key", F.expr(f"cast(pmod(xxhash64(t), greatest(1, ceil(n / {SALTED}))) as long)").alias("salt"), "t", "sketch", "n")
+    salt = F.expr(f"cast(pmod(xxhash64(t), greatest(1, ceil(n / {SALTED}))) as long)")
+    salted = members.join(signed.select("t", "sketch"), "t").select("key", salt.alias("i"), salt.alias("j"), "t", "sketch", (F.col("n") > SALTED).alias("many"))
 
     def run(batches):
-        for table in whole_groups(batches, ["key", "salt"]):
-            bounds = group_bounds(table, ["key", "salt"])
-            ts, keys, many = table.column("t").to_numpy(), table.column("key").to_numpy(), table.column("n").to_numpy() > SALTED
+        for table in whole_groups(batches, ["key", "i", "j"]):
+            bounds = group_bounds(table, ["key", "i", "j"])
+            ts, keys, many = table.column("t").to_numpy(), table.column("key").to_numpy(), table.column("many").to_numpy()
             marks = np.frombuffer(table.column("sketch").combine_chunks().buffers()[2], np.uint16)
             start = int(np.frombuffer(table.column("sketch").combine_chunks().buffers()[1], np.int32)[table.column("sketch").combine_chunks().offset])
             marks = marks[start // 2 : start // 2 + SKETCH * len(ts)].reshape(-1, SKETCH)
@@ -189,10 +194,15 @@ def _candidates(members: DataFrame, signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*pairs, pa.array([None] * n + lead_key, pa.int64()), pa.array([None] * n + lead_mark, pa.binary())], ["a", "b", "key", "sketch"])
 
     def led(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "t").mapInArrow(run, "a long, b long, key long, sketch binary")
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "t").mapInArrow(run, "a long, b long, key long, sketch binary")
 
     first = kept(led(salted))
-    again = first.where("key is not null").select("key", F.lit(0).cast("long").alias("salt"), F.col("a").alias("t"), "sketch", F.lit(0).cast("long").alias("n"))
+    # leaders of the parts of a bucket meet: in one task, or in blocks, each with each, where there are too many
+    heads = first.where("key is not null").select("key", F.col("a").alias("t"), "sketch")
+    heads = heads.join(heads.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {SALTED}) as long)").alias("blocks")), "key")
+    own, other = F.expr("pmod(xxhash64(t, 5), blocks)").alias("own"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")
+    dealt = heads.select("key", "t", "sketch", own, "blocks").select("*", other)
+    again = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "t", "sketch", F.lit(False).alias("many"))
     return first.where("key is null").select("a", "b").union(led(again).select("a", "b")).where("a <> b").distinct()
 
 
