@@ -196,6 +196,7 @@ def test_masked_windows_are_those_of_the_rest():
     again, *_ = S.masked_windows(grams, width, whole, none, key[:3], 2)
     assert not set(key[:3].tolist()) & set(again.tolist()) and len(again)
     assert not len(S.masked_windows(grams, width, whole, np.arange(60), key[:0], 2)[0])
+    assert not len(S.masked_windows(grams[:5], width, whole, none, key[:0], 2)[0])  # a shorter text of the same id
     assert set(S.masked_windows(grams, width, np.array([[5, 8]]), none, key[:0], 2)[1].tolist()) <= {5, 6, 7, 8}
 
 

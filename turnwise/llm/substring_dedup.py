@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.llm._spark import fresh, group_bounds, kept, only, whole_groups
+from turnwise.llm._spark import HELD_IDS, fresh, group_bounds, kept, only, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Hash functions (8 at most: the number is kept in a key's low bits), how many must meet, and hash functions of masked texts.
@@ -152,10 +152,13 @@ def _joined(windows: DataFrame) -> DataFrame:
 def masked_windows(grams: np.ndarray, width: int, starts: np.ndarray, places: np.ndarray, keys: np.ndarray, hashes: int = AGAIN_HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first, last) of the nodes of one text, as compact_windows has them, for windows beginning in the ranges `starts` (rows of first and last),
     without the n-grams at the places, and those of the keys."""
-    allowed = np.zeros(len(grams) - width + 2, np.int32)
-    np.add.at(allowed, starts[:, 0], 1)
-    np.add.at(allowed, starts[:, 1] + 1, -1)
+    last = max(len(grams) - width, -1)
+    allowed = np.zeros(last + 2, np.int32)
+    np.add.at(allowed, np.clip(starts[:, 0], 0, last + 1), 1)
+    np.add.at(allowed, np.clip(starts[:, 1] + 1, 0, last + 1), -1)
     at = np.flatnonzero(np.cumsum(allowed[:-1]) > 0)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
     dark, out = np.zeros(len(grams), bool), []
     dark[places] = True
     most = np.iinfo(np.uint64).max
@@ -180,35 +183,35 @@ def _windows_again(texts: DataFrame, opened: DataFrame, width: int, ngram: int)
     def run(batches):
         block = _Block()
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            ids, masks = batch.column(0).to_numpy(), [batch.column(k).to_pylist() for k in (2, 3, 4)]
-            for low, high in slices(offsets):
-                words, bounds, _ = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                grams, at = shingle_hashes(words, bounds, ngram)
-                for i in range(low, high):
-                    starts, places, keys = (np.frombuffer(m[i], kind) for m, kind in zip(masks, (np.int64, np.int32, np.uint64)))
-                    key, first, last = masked_windows(grams[at[i - low] : at[i - low + 1]], width, starts.reshape(-1, 2), places, keys)
-                    yield from block.add(key, np.full(len(key), ids[i]), first << 32 | last)
+            ids, low = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, raw in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))):
+                grams, starts, places, keys = (np.frombuffer(x, kind) for x, kind in zip(raw, ("<u8", np.int64, np.int32, np.uint64)))
+                places = places - low[i]
+                inside = places[(places >= 0) & (places < len(grams))]
+                key, first, last = masked_windows(grams, width, starts.reshape(-1, 2) - low[i], inside, keys)
+                yield from block.add(key, np.full(len(key), ids[i]), (first + low[i]) << 32 | (last + low[i]))
         yield from block.flush()
 
-    own = only(texts.select("id", "text"), opened, "id").dropDuplicates(["id"]).join(opened, "id")
-    return own.select("id", "text", "starts", "places", "keys").mapInArrow(run, _LINK)
+    own = _sequences(texts, opened.select("id", "low", "high"), ngram, whole=True).join(opened.select("id", "starts", "places", "keys"), "id")
+    return own.select("id", "low", "grams", "starts", "places", "keys").mapInArrow(run, _LINK)
 
 
-def _sequences(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
-    """(id, grams): the n-gram hashes of each text in order, upper 32 bits, of the ids given."""
+def _sequences(texts: DataFrame, ranges: DataFrame, ngram: int, whole: bool = False) -> DataFrame:
+    """(id, low, grams): the n-gram hashes in order, low to high of each text, of the ids given; upper 32 bits, or all."""
 
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            own = batch.column(0).to_numpy()
+            own, first, last = (batch.column(k).to_numpy() for k in (0, 2, 3))
             for low, high in slices(offsets):
                 words, bounds, _ = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 grams, at = shingle_hashes(words, bounds, ngram)
-                raw = (grams >> _U(32)).astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(own[low:high]), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())], ["id", "grams"])
+                grams = grams.astype("<u8") if whole else (grams >> _U(32)).astype("<u4")
+                cut = [grams[min(a + x, b) : min(a + y + 1, b)].tobytes() for a, b, x, y in zip(at[:-1].tolist(), at[1:].tolist(), first[low:high].tolist(), last[low:high].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(own[low:high]), pa.array(first[low:high]), pa.array(cut, pa.binary())], ["id", "low", "grams"])
 
-    return only(texts.select("id", "text"), ids, "id").mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
+    near = F.broadcast(ranges) if ranges.count() <= HELD_IDS else ranges
+    return texts.select("id", "text").join(near, "id").select("id", "text", "low", "high").mapInArrow(run, "id long, low long, grams binary").dropDuplicates(["id"])
 
 
 def stretches(windows: list[tuple[int, int, int]], width: int, enough: int) -> list[tuple[int, int]]:
@@ -286,16 +289,20 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, ngram: int, simila
     return out
 
 
+def _ranged(pairs: DataFrame, width: int) -> DataFrame:
+    """pairs with low, high, to_low and to_high: the n-grams in which what their windows have in common lies; it may begin before a window, and end after it."""
+    low = lambda name: F.greatest(F.expr(f"array_min(transform(met, m -> shiftright(m.{name}, 32)))") - width, F.lit(0))
+    high = lambda name: F.expr(f"array_max(transform(met, m -> m.{name} & 4294967295L))") + width
+    return pairs.select("*", low("span").alias("low"), high("span").alias("high"), low("to_span").alias("to_low"), high("to_span").alias("to_high"))
+
+
 def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, similarity: float, enough: int) -> DataFrame:
     """Common passages (id, first, end, to_id, to_first, to_end), in words, of pairs (id, to_id, met: structs of hash, spans and whose window led
     to the other's), and masks: for a document whose windows led to another and aren't covered by what both have in common, its id and the places
     of its n-grams that the other has."""
-    # a passage with an n-gram of a window may begin before the window, and end after it
-    ends = lambda name: (F.greatest(F.expr(f"array_min(transform(met, m -> shiftright(m.{name}, 32)))").cast("int") - width, F.lit(0)), F.expr(f"array_max(transform(met, m -> m.{name} & 4294967295L))").cast("int") + width)
-    (low, high), (to_low, to_high) = ends("span"), ends("to_span")
-    ranged = pairs.select("*", low.alias("low"), high.alias("high"), to_low.alias("to_low"), to_high.alias("to_high"))
-    cut = lambda a, b: F.expr(f"substring(grams, 4 * {a} + 1, 4 * ({b} - {a} + 1))")
-    left = ranged.join(sequences, "id").withColumn("own", cut("low", "high")).drop("grams")
+    cut = lambda a, b: F.expr(f"substring(grams, cast(4 * ({a} - own_low) + 1 as int), cast(4 * ({b} - {a} + 1) as int))")
+    sequences = sequences.withColumnRenamed("low", "own_low")
+    left = pairs.join(sequences, "id").withColumn("own", cut("low", "high")).drop("grams", "own_low")
     both = left.join(sequences.withColumnRenamed("id", "to_id"), "to_id").withColumn("other", cut("to_low", "to_high")).select("id", "to_id", "low", "to_low", "met", "own", "other")
 
     def mask(met, mine: bool, name: str, grams: np.ndarray, others: np.ndarray, low: int, passages) -> bytes | None:
@@ -326,8 +333,8 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
 
 
 def _opened(links: DataFrame, found: DataFrame, before: DataFrame | None, width: int, ngram: int, many: int) -> DataFrame:
-    """(id, starts, places, keys) of the documents in which a passage may lie in windows of `many` hashes that led to
-    other documents and to nothing: the ranges where it may begin, and what is masked so far (before: this table of the pass before)."""
+    """(id, low, high, starts, places, keys) of the documents in which a passage may lie in windows of `many` hashes that led to
+    other documents and to nothing: its n-grams, the ranges where it may begin, and what is masked so far (before: this table of the pass before)."""
     none = lambda kind: F.lit(None).cast(kind)
     row = lambda kind, a, b, raw: [F.col("id"), F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), raw.alias("raw")]
     other = links.where("id <> to_id")
@@ -357,14 +364,15 @@ def _opened(links: DataFrame, found: DataFrame, before: DataFrame | None, width:
                 left = ~covered(first, last, list(zip(a[cuts[0] : cuts[1]].tolist(), b[cuts[0] : cuts[1]].tolist())))
                 starts = stretches(list(zip((a[low : cuts[0]][left] & 7).tolist(), first[left].tolist(), last[left].tolist())), width, many)
                 if starts:
+                    low_, high_ = starts[0][0], starts[-1][1] + width - 1
                     places = [np.frombuffer(raw[k].as_py(), np.int32) for k in range(cuts[1], cuts[2])]
                     keys = [a[low : cuts[0]][left], *(np.frombuffer(raw[k].as_py(), np.int64) for k in range(cuts[2], high))]
-                    rows.append((int(ids[low]), np.array(starts, np.int64).tobytes(), np.unique(np.concatenate([np.zeros(0, np.int32), *places])).tobytes(), np.unique(np.concatenate(keys)).tobytes()))
+                    rows.append((int(ids[low]), low_, high_, np.array(starts, np.int64).tobytes(), np.unique(np.concatenate([np.zeros(0, np.int32), *places])).tobytes(), np.unique(np.concatenate(keys)).tobytes()))
             if rows:
-                id_, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["id", "starts", "places", "keys"])
+                *numbers, starts, places, keys = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(x, pa.binary()) for x in (starts, places, keys))], ["id", "low", "high", "starts", "places", "keys"])
 
-    return every.repartition("id").sortWithinPartitions("id", "kind").mapInArrow(run, "id long, starts binary, places binary, keys binary")
+    return every.repartition("id").sortWithinPartitions("id", "kind").mapInArrow(run, "id long, low long, high long, starts binary, places binary, keys binary")
 
 
 def repeated_passages(
@@ -399,8 +407,9 @@ def repeated_passages(
         swap = lambda a, b, late=late: F.when(late, F.col(a)).otherwise(F.col(b))
         met = F.struct((F.col("key").bitwiseAND(7)).cast("int").alias("f"), swap("span", "to_span").alias("span"), swap("to_span", "span").alias("to_span"), late.alias("mine"))
         pairs = links.where("id <> to_id").select(swap("id", "to_id").alias("id"), swap("to_id", "id").alias("to_id"), met.alias("m")).groupBy("id", "to_id").agg(F.collect_set("m").alias("met"))
-        pairs = kept(pairs.where(F.size(F.expr("array_distinct(met.f)")) >= need))
-        needed = kept(pairs.select("id").union(pairs.select("to_id").withColumnRenamed("to_id", "id")).distinct())
+        pairs = kept(_ranged(pairs.where(F.size(F.expr("array_distinct(met.f)")) >= need), width))
+        sides = pairs.select("id", "low", "high").union(pairs.select(F.col("to_id").alias("id"), F.col("to_low").alias("low"), F.col("to_high").alias("high")))
+        needed = kept(sides.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")))
         sequences = kept(_sequences(texts, needed, ngram))
         verified = kept(_verified(pairs, sequences, width, ngram, similarity, need))
         found = verified if found is None else found.union(verified)
