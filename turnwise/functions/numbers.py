@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def rounded(x: str | Column, places: int) -> Column:
+    """A double rounded by its exact binary value, ties to even: 1.025 is below the middle and gives 1.02. NaN, infinities and 0 stay, -0 is 0."""
+    x = F.col(x) if isinstance(x, str) else x
+    x = x.cast("double")
+    return F.when(F.abs(x) < 1e15, F.translate(F.format_number(x, places), ",", "").cast("double") + F.lit(0.0)).otherwise(x)
+
+
 def exact_sum(column: str | Column, places: int = 2) -> Column:
     """A sum in decimals of so many places: the same in whatever order the rows come."""
     return F.sum(F.col(column).cast(f"decimal(18,{places})") if isinstance(column, str) else column.cast(f"decimal(18,{places})"))
@@ -24,18 +31,11 @@ def exclusive_quartile(a: Column, i: int) -> Column:
     return F.when(n >= 2, (F.get(a, j - 1) * (4 - d) + F.get(a, j) * d) / 4.0)
 
 
-def spread(a: Column) -> Column:
-    """Struct of median (3 places), scale and mad (4 places) and n of an ascending array, null below two values.
-
-    The scale is 1.4826 times the median deviation or, where that is 0, the quartile range over 1.349.
-    """
-    centre = sorted_median(a)
-    mad = sorted_median(F.array_sort(F.transform(a, lambda v: F.abs(v - centre))))
-    quartiles = F.greatest((exclusive_quartile(a, 3) - exclusive_quartile(a, 1)) / 1.349, F.lit(0.0))
-    scale = F.when(mad * 1.4826 > 0, mad * 1.4826).otherwise(quartiles)
-    return F.when(F.size(a) >= 2, F.struct(F.round(centre, 3).alias("median"), F.round(scale, 4).alias("scale"), F.round(mad, 4).alias("mad"), F.size(a).cast("long").alias("n")))
+def quartile_range(a: Column) -> Column:
+    """The scale of an ascending array by its quartiles: their range over 1.349, 0 at least."""
+    return F.greatest((exclusive_quartile(a, 3) - exclusive_quartile(a, 1)) / 1.349, F.lit(0.0))
 
 
 def z_score(x: Column, median: Column, scale: Column) -> Column:
     """(x - median) / scale, 2 places; null where the scale is 0 or null."""
-    return F.round((x - median) / F.nullif(scale, F.lit(0.0)), 2)
+    return rounded((x - median) / F.nullif(scale, F.lit(0.0)), 2)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from turnwise.functions.numbers import rounded
 from turnwise.functions.lexicons import HEDGES, NEGATIVE, NEGATORS, POSITIVE
 
 
@@ -39,7 +40,7 @@ def sentiment(text: Column, scores: Mapping[str, float] = POSITIVE | NEGATIVE, n
     pairs = F.filter(F.zip_with(tokens, F.concat(F.array(F.lit("")), tokens), lambda t, p: F.struct(t.alias("t"), p.alias("p"))), lambda x: x["t"].isin(*scores))
     scored = F.transform(pairs, lambda x: F.element_at(known, x["t"]) * F.when(x["p"].isin(*negators), flip).otherwise(1.0))
     total = F.aggregate(scored, F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.round(total / F.sqrt(total * total + alpha), 3), F.lit(0.0))
+    return F.coalesce(rounded(total / F.sqrt(total * total + alpha), 3), F.lit(0.0))
 
 
 #: fixed values: the filled pauses that are taken out before sentiment
@@ -49,7 +50,7 @@ FILLERS = ("um", "uh", "uhm", "umm", "uhh", "erm", "er", "ehm")
 def without_fillers(text: Column, fillers: Sequence[str] = FILLERS) -> Column:
     """text less the filled pauses (with a comma or full stop after them) and [events]."""
     words = "|".join(sorted(fillers, key=len, reverse=True))
-    return F.regexp_replace(F.regexp_replace(text, rf"(?i)\b(?:{words})\b[,.]?", ""), r"\[[^\]]*\]", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"(?iU)\b(?:{words})\b[,.]?", ""), r"\[[^\]]*\]", "")
 
 
 def normalised(text: Column) -> Column:
@@ -103,3 +104,8 @@ def json_object(reply: Column) -> Column:
     bare = F.regexp_replace(reply, r"```[a-z]*", "")
     first, last = F.instr(bare, "{"), F.length(bare) - F.instr(F.reverse(bare), "}") + 1
     return F.when((first > 0) & (F.instr(bare, "}") > 0) & (last >= first), F.substring(bare, first, last - first + 1))
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A double with so many places, rounded by its exact value, without signs between thousands."""
+    return F.translate(F.format_number(x, places), ",", "")

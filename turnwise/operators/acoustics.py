@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnwise.functions.numbers import rounded
+
 
 def despiked(frames: DataFrame, value: str = "f0", voiced: str = "voiced", reach: int = 2) -> DataFrame:
     """Each value as the median of the voiced ones within `reach` frames; itself where there are none, or in tracks of under five frames."""
@@ -33,7 +35,7 @@ def pitch_summary(frames: DataFrame, least: int = 12, below_peak: float = 45.0)
     marked = frames.withColumn("_a", F.col("db") > peak - below_peak).withColumn("_v", F.col("voiced") & F.col("_a"))
     pitch = F.when(F.col("_v"), F.col("f0"))
     made = marked.groupBy("track").agg(F.count_if("_v").alias("_n"), F.count("*").alias("_all"), F.median(pitch).alias("_m"), F.percentile(pitch, F.lit(0.1)).alias("_lo"), F.percentile(pitch, F.lit(0.9)).alias("_hi"), F.stddev_pop(F.when(F.col("_a"), F.col("db"))).alias("_sd"))
-    return made.where(F.col("_n") >= least).select("track", F.round("_m", 1).alias("f0_median"), F.round(12 * F.log2(F.col("_hi") / F.col("_lo")), 2).alias("range_semitones"), F.round("_sd", 2).alias("loudness_sd"), F.round(F.col("_n") / F.col("_all"), 3).alias("voiced_share"))
+    return made.where(F.col("_n") >= least).select("track", rounded("_m", 1).alias("f0_median"), rounded(12 * F.log2(F.col("_hi") / F.col("_lo")), 2).alias("range_semitones"), rounded("_sd", 2).alias("loudness_sd"), rounded(F.col("_n") / F.col("_all"), 3).alias("voiced_share"))
 
 
 def terminal_rise(frames: DataFrame, tail: int = 40, least: int = 12) -> DataFrame:
@@ -43,13 +45,13 @@ def terminal_rise(frames: DataFrame, tail: int = 40, least: int = 12) -> DataFra
     voiced = frames.withColumn("_late", late).where("voiced")
     made = voiced.groupBy("track").agg(F.count_if("_late").alias("_t"), F.count_if(~F.col("_late")).alias("_b"), F.median(F.when(F.col("_late"), F.col("f0"))).alias("_mt"), F.median(F.when(~F.col("_late"), F.col("f0"))).alias("_mb"))
     enough = (F.col("_t") >= least) & (F.col("_b") >= least)
-    return made.select("track", F.when(enough, F.round(12 * F.log2(F.col("_mt") / F.col("_mb")), 2)).alias("terminal_rise"))
+    return made.select("track", F.when(enough, rounded(12 * F.log2(F.col("_mt") / F.col("_mb")), 2)).alias("terminal_rise"))
 
 
 def pooled(vectors: DataFrame, key: str, vector: str, places: int = 4) -> DataFrame:
     """Mean and population deviation of each component."""
     long_ = vectors.select(key, F.posexplode(vector).alias("component", "_x"))
-    return long_.groupBy(key, "component").agg(F.round(F.avg(F.col("_x").cast("double")), places).alias("mean"), F.round(F.stddev_pop(F.col("_x").cast("double")), places).alias("deviation"))
+    return long_.groupBy(key, "component").agg(rounded(F.avg(F.col("_x").cast("double")), places).alias("mean"), rounded(F.stddev_pop(F.col("_x").cast("double")), places).alias("deviation"))
 
 
 def linear_scores(vector: Column, weights: list[list[float]], bias: list[float]) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.functions.lexicons import NOTES
-from turnwise.functions.numbers import exclusive_quartile, spread, z_score
+from turnwise.functions.numbers import exclusive_quartile, quartile_range, rounded, sorted_median, z_score
 
 LEAST, BEHIND, NOTABLE = 12, 30, 1.5
 
@@ -34,23 +34,27 @@ def references(rows: DataFrame, keys: list[str], value: str = "value") -> DataFr
     quartile = lambda i: (pick(i, 0) * (4 - F.max(rest(i))) + pick(i, 1) * F.max(rest(i))) / 4.0
     ranges = ranked.groupBy(*keys).agg(F.greatest((quartile(3) - quartile(1)) / 1.349, F.lit(0.0)).alias("_iqr"))
     scale = F.when(F.col("_mad") * 1.4826 > 0, F.col("_mad") * 1.4826).otherwise(F.coalesce("_iqr", F.lit(0.0)))
-    return base.join(ranges, keys, "left").where("n >= 2").select(*keys, F.round("_c", 3).alias("median"), F.round(scale, 4).alias("scale"), F.round("_mad", 4).alias("mad"), "n")
+    return base.join(ranges, keys, "left").where("n >= 2").select(*keys, rounded("_c", 3).alias("median"), rounded(scale, 4).alias("scale"), rounded("_mad", 4).alias("mad"), "n")
 
 
 def quartile_scales(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Exclusive quartile range over 1.349 of each group, of arrays: for groups of bounded size."""
-    grouped = rows.where(finite(F.col(value))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_a"))
+    grouped = rows.where(finite(F.col(value))).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_a"))
     a = F.col("_a")
-    return grouped.select(*keys, F.round(exclusive_quartile(a, 1), 4).alias("q1"), F.round(exclusive_quartile(a, 3), 4).alias("q3"), F.round(F.greatest((exclusive_quartile(a, 3) - exclusive_quartile(a, 1)) / 1.349, F.lit(0.0)), 4).alias("iqr_scale"))
+    return grouped.select(*keys, rounded(exclusive_quartile(a, 1), 4).alias("q1"), rounded(exclusive_quartile(a, 3), 4).alias("q3"), rounded(F.greatest((exclusive_quartile(a, 3) - exclusive_quartile(a, 1)) / 1.349, F.lit(0.0)), 4).alias("iqr_scale"))
 
 
 def trailing(rows: DataFrame, keys: list[str], order: list[str], value: str = "value", least: int = LEAST, behind: int = BEHIND) -> DataFrame:
     """Each row with the reference of the `behind` rows before it (t_median, t_scale, t_n); null until there are `least`."""
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-behind, -1)
     kept = F.when(finite(F.col(value)), F.col(value).cast("double"))
-    seen = rows.withColumn("_a", F.array_sort(F.collect_list(kept).over(frame))).withColumn("_rows", F.count("*").over(frame))
-    found = seen.withColumn("_s", F.when(F.col("_rows") >= least, spread(F.col("_a"))))
-    return found.select(*rows.columns, F.col("_s.median").alias("t_median"), F.col("_s.scale").alias("t_scale"), F.col("_s.n").alias("t_n"))
+    seen = rows.withColumn("_a", F.collect_list(kept).over(frame)).withColumn("_rows", F.count("*").over(frame))
+    # columns of their own, so that each array is sorted once
+    ordered = seen.withColumn("_n", F.when((F.col("_rows") >= least) & (F.size("_a") >= 2), F.size("_a"))).withColumn("_a", F.when(F.col("_n").isNotNull(), F.sort_array("_a")))
+    centred = ordered.withColumn("_c", sorted_median(F.col("_a")))
+    apart = centred.withColumn("_d", F.sort_array(F.transform("_a", lambda v: F.abs(v - F.col("_c"))))).withColumn("_mad", sorted_median(F.col("_d")) * 1.4826)
+    scale = F.when(F.col("_mad") > 0, F.col("_mad")).when(F.col("_n").isNotNull(), quartile_range(F.col("_a")))
+    return apart.select(*rows.columns, rounded("_c", 3).alias("t_median"), rounded(scale, 4).alias("t_scale"), F.col("_n").cast("long").alias("t_n"))
 
 
 def departures(rows: DataFrame, reference: DataFrame, keys: list[str], value: str = "value", least: int = LEAST) -> DataFrame:
@@ -106,4 +110,4 @@ def percentile_of_history(current: DataFrame, history: DataFrame, lower_is_bette
     worse = F.when(lower, F.col("value") < F.col("past")).otherwise(F.col("value") > F.col("past"))
     past = history.select("entity", "feature", F.col("value").alias("past"))
     shares = current.join(past, ["entity", "feature"]).groupBy("entity", "feature").agg(F.count("*").alias("n"), F.avg(worse.cast("double")).alias("share")).where(F.col("n") >= least)
-    return shares.groupBy("entity").agg(F.round(100 * F.avg("share"), 0).cast("long").alias("composite"), F.count("*").alias("features"))
+    return shares.groupBy("entity").agg(rounded(100 * F.avg("share"), 0).cast("long").alias("composite"), F.count("*").alias("features"))

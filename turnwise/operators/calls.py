@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from turnwise.functions.numbers import exact_sum
+from turnwise.functions.numbers import exact_sum, rounded
 from turnwise.operators.segments import reply_latencies
 
 
@@ -13,15 +13,15 @@ def speaker_baselines(turns: DataFrame, scored_seconds: float = 4.0, least: int
     late = reply_latencies(turns).withColumn("_total", exact_sum("speech_seconds").over(Window.partitionBy("call_id")).cast("double"))
     scored = F.count_if(F.col("speech_seconds") >= scored_seconds)
     return late.groupBy("call_id", "speaker").agg(
-        F.count("*").alias("turns"), scored.alias("scored_turns"), F.round(exact_sum("speech_seconds"), 1).cast("double").alias("speech_seconds"),
-        F.round(F.try_divide(exact_sum("speech_seconds").cast("double"), F.any_value("_total")), 3).alias("talk_share"), F.median("speech_seconds").alias("median_turn_seconds"),
+        F.count("*").alias("turns"), scored.alias("scored_turns"), rounded(exact_sum("speech_seconds"), 1).cast("double").alias("speech_seconds"),
+        rounded(F.try_divide(exact_sum("speech_seconds").cast("double"), F.any_value("_total")), 3).alias("talk_share"), F.median("speech_seconds").alias("median_turn_seconds"),
         F.median("reply_latency").alias("median_reply_latency"), F.when(scored >= least, scored).otherwise(0).alias("baseline_turns"),
     )
 
 
 def speaker_facts(turns: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Average turn, floor-takes and backchannels of each speaker; who has none has 0."""
-    spoken = turns.groupBy("call_id", "speaker").agg(F.count("*").alias("turns"), F.round(F.try_divide(exact_sum("speech_seconds").cast("double"), F.count("*")), 1).alias("average_turn"))
+    spoken = turns.groupBy("call_id", "speaker").agg(F.count("*").alias("turns"), rounded(F.try_divide(exact_sum("speech_seconds").cast("double"), F.count("*")), 1).alias("average_turn"))
     by = overlaps.groupBy("call_id", F.col("by").alias("speaker")).agg(F.count_if(F.col("kind") == "floor_taking").alias("floor_takes"), F.count_if(F.col("kind") == "backchannel").alias("backchannels"))
     return spoken.join(by, ["call_id", "speaker"], "left").na.fill(0, ["floor_takes", "backchannels"])
 
@@ -47,7 +47,7 @@ def near_duplicates_dropped(rows: DataFrame, others: DataFrame, within: float, a
 def view_index(turns: DataFrame) -> DataFrame:
     """Milliseconds, words and the gap before each turn (0 for the first)."""
     gap = F.col("start_s") - F.lag("end_s").over(Window.partitionBy("call_id").orderBy("turn_idx"))
-    return turns.withColumn("start_ms", F.floor(F.col("start_s") * 1000)).withColumn("end_ms", F.floor(F.col("end_s") * 1000)).withColumn("gap_before_s", F.coalesce(F.round(gap, 2), F.lit(0.0)))
+    return turns.withColumn("start_ms", F.floor(F.col("start_s") * 1000)).withColumn("end_ms", F.floor(F.col("end_s") * 1000)).withColumn("gap_before_s", F.coalesce(rounded(gap, 2), F.lit(0.0)))
 
 
 def inconsistent(a: DataFrame, b: DataFrame, tolerance: float = 0.001) -> DataFrame:
@@ -70,7 +70,7 @@ def progress(stages: DataFrame, weight: str, order: list[str], key: str) -> Data
     """Where each stage begins and ends as a share of the whole, by weights."""
     group = Window.partitionBy(key)
     total, done = F.sum(weight).over(group), F.sum(weight).over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return stages.withColumn("begins", F.round(F.try_divide(done - F.col(weight), total), 4)).withColumn("ends", F.round(F.try_divide(done, total), 4))
+    return stages.withColumn("begins", rounded(F.try_divide(done - F.col(weight), total), 4)).withColumn("ends", rounded(F.try_divide(done, total), 4))
 
 
 def context_problems(meeting_type: Column, goal: Column, consent: Column, types: list[str]) -> Column:
@@ -95,7 +95,7 @@ def topic_contrast(spans: DataFrame, turns: DataFrame) -> DataFrame:
     turns: call_id, turn_idx, observations (a count), scored ones of one speaker only. most and least mark the extremes of a call with two topics or more.
     """
     covered = spans.select("call_id", "topic", F.explode(F.sequence("first", "last")).alias("turn_idx")).distinct()
-    rates = covered.join(turns, ["call_id", "turn_idx"]).groupBy("call_id", "topic").agg(F.count("*").alias("turns"), F.round(F.sum("observations") / F.count("*"), 2).alias("rate"))
+    rates = covered.join(turns, ["call_id", "turn_idx"]).groupBy("call_id", "topic").agg(F.count("*").alias("turns"), rounded(F.sum("observations") / F.count("*"), 2).alias("rate"))
     call = Window.partitionBy("call_id")
     enough = F.count("*").over(call) >= 2
     return rates.withColumn("most", enough & (F.row_number().over(call.orderBy(F.desc("rate"), "topic")) == 1)).withColumn("least", enough & (F.row_number().over(call.orderBy("rate", "topic")) == 1))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from turnwise.functions.numbers import rounded
+
 
 def group_metrics(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Of cells with status ok: count, mean seconds and kept, and the ratio of sums rejected to proposed (null without any)."""
     return cells.where("status = 'ok'").groupBy(*keys).agg(
-        F.count("*").alias("cells"), F.round(F.avg("seconds"), 2).alias("mean_seconds"), F.round(F.avg("kept"), 3).alias("mean_kept"), F.round(F.expr("try_divide(sum(rejected), sum(proposed))"), 3).alias("rejected_share"),
+        F.count("*").alias("cells"), rounded(F.avg("seconds"), 2).alias("mean_seconds"), rounded(F.avg("kept"), 3).alias("mean_kept"), rounded(F.expr("try_divide(sum(rejected), sum(proposed))"), 3).alias("rejected_share"),
     )
 
 
@@ -25,7 +27,7 @@ def set_recall(wanted: DataFrame, found: DataFrame, keys: list[str], ids: str =
     """
     w = wanted.withColumn("_row", F.xxhash64(*keys, "item"))
     hit = w.select(*keys, "_row", F.explode(ids).alias("_id")).join(found.select(*keys, F.explode(ids).alias("_id")).distinct(), [*keys, "_id"], "left_semi").select(*keys, "_row").distinct().withColumn("_hit", F.lit(1))
-    return w.join(hit, [*keys, "_row"], "left").groupBy(*keys).agg(F.count("*").alias("wanted"), F.count("_hit").alias("hit"), F.round(F.count("_hit") / F.count("*"), 4).alias("recall"))
+    return w.join(hit, [*keys, "_row"], "left").groupBy(*keys).agg(F.count("*").alias("wanted"), F.count("_hit").alias("hit"), rounded(F.count("_hit") / F.count("*"), 4).alias("recall"))
 
 
 def confusion(rows: DataFrame, gold: str, said: str) -> DataFrame:
@@ -39,7 +41,7 @@ def class_scores(rows: DataFrame, gold: str, said: str) -> DataFrame:
     by_gold = cells.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("_g"), right.alias("_r"))
     by_said = cells.groupBy(F.col("said").alias("label")).agg(F.sum("n").alias("_s"))
     both = by_gold.join(by_said, "label", "full").select("label", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("_g", "_s", "_r")))
-    return both.select("label", F.round(F.expr("try_divide(_r, _s)"), 4).alias("precision"), F.round(F.expr("try_divide(_r, _g)"), 4).alias("recall"), F.round(F.expr("try_divide(2 * _r, _g + _s)"), 4).alias("f1"))
+    return both.select("label", rounded(F.expr("try_divide(_r, _s)"), 4).alias("precision"), rounded(F.expr("try_divide(_r, _g)"), 4).alias("recall"), rounded(F.expr("try_divide(2 * _r, _g + _s)"), 4).alias("f1"))
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
@@ -47,13 +49,13 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     by_score = rows.groupBy(F.col(score).alias("_x")).agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
     below = F.sum(F.col("_n")).over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1))
     ranked = by_score.withColumn("_mean", F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2)
-    return ranked.agg(F.sum(F.col("_p") * F.col("_mean")).alias("_sum"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_all")).select(F.round(F.expr("try_divide(_sum - _pos * (_pos + 1) / 2, _pos * (_all - _pos))"), 6).alias("auc"))
+    return ranked.agg(F.sum(F.col("_p") * F.col("_mean")).alias("_sum"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_all")).select(rounded(F.expr("try_divide(_sum - _pos * (_pos + 1) / 2, _pos * (_all - _pos))"), 6).alias("auc"))
 
 
 def judge_agreement(votes: DataFrame) -> DataFrame:
     """A preference counts if both orders agree, else it is a tie; agreement is the share equal to the human's."""
     said = votes.withColumn("said", F.when(F.col("first") == F.col("second"), F.col("first")).otherwise("tie"))
-    return said.groupBy("judge").agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("said") == F.col("human")).cast("double")), 4).alias("agreement"))
+    return said.groupBy("judge").agg(F.count("*").alias("pairs"), rounded(F.avg((F.col("said") == F.col("human")).cast("double")), 4).alias("agreement"))
 
 
 def run_matrix(*axes: DataFrame) -> DataFrame:
@@ -97,4 +99,4 @@ def test_retest(cells: DataFrame, keys: list[str]) -> DataFrame:
             out.append(1.0 if not a and not b else m / (len(a) + len(b) - m))
         return pd.Series(out)
 
-    return pairs.withColumn("_j", jaccard("readings", "_next")).groupBy(*keys).agg(F.count("*").alias("pairs"), F.round(F.avg("_j"), 3).alias("jaccard"))
+    return pairs.withColumn("_j", jaccard("readings", "_next")).groupBy(*keys).agg(F.count("*").alias("pairs"), rounded(F.avg("_j"), 3).alias("jaccard"))

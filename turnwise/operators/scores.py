@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from turnwise.functions.numbers import rounded
+
 
 def turn_scores(segments: DataFrame, scored_seconds: float = 4.0, least_segment: float = 1.0) -> DataFrame:
     """A turn's score: null below scored_seconds of speech; that of the first segment measured over the turn, if there is one; else the
@@ -11,15 +13,15 @@ def turn_scores(segments: DataFrame, scored_seconds: float = 4.0, least_segment:
     long_ = (F.col("seconds") >= least_segment) & F.col("score").isNotNull()
     mean = F.try_divide(F.sum(F.when(long_, F.col("seconds") * F.col("score"))), F.sum(F.when(long_, F.col("seconds"))))
     made = segments.groupBy("call_id", "turn_idx").agg(F.sum("seconds").alias("_s"), F.bool_or("measured").alias("_m"), F.min_by("score", F.when(F.col("measured"), F.col("seg_idx"))).alias("_first"), mean.alias("_mean"))
-    return made.select("call_id", "turn_idx", F.when(F.col("_s") >= scored_seconds, F.round(F.when(F.col("_m"), F.col("_first")).otherwise(F.col("_mean")), 3)).alias("score"))
+    return made.select("call_id", "turn_idx", F.when(F.col("_s") >= scored_seconds, rounded(F.when(F.col("_m"), F.col("_first")).otherwise(F.col("_mean")), 3)).alias("score"))
 
 
 def delivery(words: DataFrame, keys: list[str], per: int = 100) -> DataFrame:
     """Medial fillers, cutoffs and hedges a hundred words and articulation of each speaker; words have kind, medial, start_s and end_s."""
     n = F.count("*")
-    rate = lambda c: F.round(per * F.count_if(c) / n, 2)
+    rate = lambda c: rounded(per * F.count_if(c) / n, 2)
     spoken = F.sum((F.col("end_s") - F.col("start_s")).cast("decimal(18,3)")).cast("double")
-    return words.groupBy(*keys).agg(n.alias("words"), rate(F.col("kind") == "filler").alias("fillers"), rate(F.col("kind") == "cutoff").alias("cutoffs"), F.round(F.try_divide(n, spoken / 60), 1).alias("articulation_wpm"))
+    return words.groupBy(*keys).agg(n.alias("words"), rate(F.col("kind") == "filler").alias("fillers"), rate(F.col("kind") == "cutoff").alias("cutoffs"), rounded(F.try_divide(n, spoken / 60), 1).alias("articulation_wpm"))
 
 
 def coverage(turns: DataFrame, tracks: DataFrame, slack: float = 1.0) -> DataFrame:
@@ -38,7 +40,7 @@ def word_intensity(frames: DataFrame, words: DataFrame, least_frames: int = 9, l
     third = F.floor(3 * (F.col("frame") - F.col("first")) / (F.col("last") - F.col("first") + 1))
     by_word = held.withColumn("_t", third).groupBy("track", "word").agg(F.count("*").alias("_n"), F.avg("db").alias("_m"), F.avg(F.when(F.col("_t") == 0, F.col("db"))).alias("_a"), F.avg(F.when(F.col("_t") == 1, F.col("db"))).alias("_b"))
     good = by_word.where(F.col("_n") >= least_frames)
-    made = good.groupBy("track").agg(F.count("*").alias("words"), F.round(F.median(F.col("_a") - F.col("_m")), 2).alias("onset_db"), F.round(F.median(F.col("_b") - F.col("_m")), 2).alias("mid_db"))
+    made = good.groupBy("track").agg(F.count("*").alias("words"), rounded(F.median(F.col("_a") - F.col("_m")), 2).alias("onset_db"), rounded(F.median(F.col("_b") - F.col("_m")), 2).alias("mid_db"))
     return made.where(F.col("words") >= least_words)
 
 

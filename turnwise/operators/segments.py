@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from turnwise.functions.numbers import exact_sum
+from turnwise.functions.numbers import exact_sum, rounded
 
 def _call():
     return Window.partitionBy("call_id")
@@ -32,7 +32,7 @@ def build_turns(segments: DataFrame, gap: float = 2.0) -> DataFrame:
     speech = F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.0))
     return with_turns(segments, gap).groupBy("call_id", "turn_idx").agg(
         F.min("speaker").alias("speaker"), F.min_by("start_s", "seg_idx").alias("start_s"), F.max_by("end_s", "seg_idx").alias("end_s"),
-        F.round(F.sum(speech), 2).alias("speech_seconds"), F.count("*").alias("segments"),
+        rounded(F.sum(speech), 2).alias("speech_seconds"), F.count("*").alias("segments"),
     )
 
 
@@ -40,7 +40,7 @@ def reply_latencies(turns: DataFrame) -> DataFrame:
     """reply_latency: from the turn before to this one, if the speaker changed."""
     order = _call().orderBy("turn_idx")
     changed = F.col("speaker") != F.lag("speaker").over(order)
-    return turns.withColumn("reply_latency", F.when(changed, F.round(F.col("start_s") - F.lag("end_s").over(order), 2)))
+    return turns.withColumn("reply_latency", F.when(changed, rounded(F.col("start_s") - F.lag("end_s").over(order), 2)))
 
 
 def utterances(segments: DataFrame, gap: float = 1.5) -> DataFrame:
@@ -65,21 +65,21 @@ def overlap_events(spoken: DataFrame, least: float = 0.1, bin_seconds: float = 6
     end = F.least("a_end", "b_end")
     pairs = over.join(by, ["call_id", "bin"]).where(later & (F.col("over") != F.col("by")) & (end - F.col("b_start") > least))
     kind = F.when(F.col("b_end") <= F.col("a_end"), "backchannel").otherwise("floor_taking")
-    return pairs.select("call_id", F.round("b_start", 2).alias("start_s"), F.round(end, 2).alias("end_s"), F.round(end - F.col("b_start"), 2).alias("seconds"), "by", "over", kind.alias("kind"))
+    return pairs.select("call_id", rounded("b_start", 2).alias("start_s"), rounded(end, 2).alias("end_s"), rounded(end - F.col("b_start"), 2).alias("seconds"), "by", "over", kind.alias("kind"))
 
 
 def overlap_summary(events: DataFrame, turns: DataFrame) -> DataFrame:
     """Of each call with overlaps: their number and seconds, share of speech, longest, and kinds."""
     speech = turns.groupBy("call_id").agg(exact_sum("speech_seconds").cast("double").alias("speech"))
-    found = events.groupBy("call_id").agg(F.count("*").alias("overlaps"), F.round(exact_sum("seconds"), 1).cast("double").alias("overlap_seconds"), F.max("seconds").alias("longest"), F.count_if(F.col("kind") == "backchannel").alias("backchannels"), F.count_if(F.col("kind") == "floor_taking").alias("floor_takings"), exact_sum("seconds").cast("double").alias("_s"))
-    return found.join(speech, "call_id").select("call_id", "overlaps", "overlap_seconds", "longest", "backchannels", "floor_takings", F.round(F.expr("try_divide(_s, speech)"), 4).alias("share"))
+    found = events.groupBy("call_id").agg(F.count("*").alias("overlaps"), rounded(exact_sum("seconds"), 1).cast("double").alias("overlap_seconds"), F.max("seconds").alias("longest"), F.count_if(F.col("kind") == "backchannel").alias("backchannels"), F.count_if(F.col("kind") == "floor_taking").alias("floor_takings"), exact_sum("seconds").cast("double").alias("_s"))
+    return found.join(speech, "call_id").select("call_id", "overlaps", "overlap_seconds", "longest", "backchannels", "floor_takings", rounded(F.expr("try_divide(_s, speech)"), 4).alias("share"))
 
 
 def overlap_by_speaker(events: DataFrame) -> DataFrame:
     """Seconds of overlap of each speaker; an overlap counts for both."""
     both = events.select("call_id", F.explode(F.array("by", "over")).alias("speaker"), "seconds", "by", "kind")
     took = F.count_if((F.col("kind") == "floor_taking") & (F.col("by") == F.col("speaker")))
-    return both.groupBy("call_id", "speaker").agg(F.round(exact_sum("seconds"), 1).cast("double").alias("seconds"), took.alias("floor_takes"))
+    return both.groupBy("call_id", "speaker").agg(rounded(exact_sum("seconds"), 1).cast("double").alias("seconds"), took.alias("floor_takes"))
 
 
 def call_summary(turns: DataFrame, scored_seconds: float = 4.0) -> DataFrame:
@@ -88,15 +88,15 @@ def call_summary(turns: DataFrame, scored_seconds: float = 4.0) -> DataFrame:
     marked = turns.withColumn("_change", (F.col("speaker") != F.lag("speaker").over(order)).cast("long"))
     changes = F.coalesce(F.sum("_change"), F.lit(0))
     return marked.groupBy("call_id").agg(
-        F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"), changes.alias("speaker_changes"), F.round(exact_sum("speech_seconds"), 1).cast("double").alias("speech"),
-        F.round(F.try_divide(exact_sum("speech_seconds").cast("double"), F.sum("_change")), 2).alias("seconds_a_change"), F.max_by("turn_idx", F.struct("speech_seconds", -F.col("turn_idx"))).alias("longest_turn"), F.count_if(F.col("speech_seconds") >= scored_seconds).alias("scored_turns"),
+        F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"), changes.alias("speaker_changes"), rounded(exact_sum("speech_seconds"), 1).cast("double").alias("speech"),
+        rounded(F.try_divide(exact_sum("speech_seconds").cast("double"), F.sum("_change")), 2).alias("seconds_a_change"), F.max_by("turn_idx", F.struct("speech_seconds", -F.col("turn_idx"))).alias("longest_turn"), F.count_if(F.col("speech_seconds") >= scored_seconds).alias("scored_turns"),
     )
 
 
 def silences(turns: DataFrame, least: float = 2.0) -> DataFrame:
     """Gaps between turns of a call, whoever speaks."""
     gap = F.col("start_s") - F.lag("end_s").over(_call().orderBy("turn_idx"))
-    return turns.withColumn("_gap", gap).where(F.col("_gap") >= least).select("call_id", "turn_idx", F.round("_gap", 2).alias("seconds"))
+    return turns.withColumn("_gap", gap).where(F.col("_gap") >= least).select("call_id", "turn_idx", rounded("_gap", 2).alias("seconds"))
 
 
 def trimmed(segments: DataFrame, start: float, end: float) -> DataFrame:
@@ -142,7 +142,7 @@ def clip_windows(turns: DataFrame, pad: float, media_seconds: Column) -> DataFra
 def nearest_label(points: DataFrame, spans: DataFrame, at: str = "at_s") -> DataFrame:
     """The speaker of the span with the least distance to each point (0 inside); of equals the earlier."""
     away = F.greatest(F.col("start_s") - F.col(at), F.col(at) - F.col("end_s"), F.lit(0.0))
-    return points.join(spans, "call_id").groupBy("call_id", "point").agg(F.min_by("speaker", F.struct(away, "start_s", "end_s", "speaker")).alias("speaker"), F.round(F.min(away), 3).alias("distance"))
+    return points.join(spans, "call_id").groupBy("call_id", "point").agg(F.min_by("speaker", F.struct(away, "start_s", "end_s", "speaker")).alias("speaker"), rounded(F.min(away), 3).alias("distance"))
 
 
 def other_speaker_nearby(turns: DataFrame) -> DataFrame:

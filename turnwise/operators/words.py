@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnwise.functions.numbers import rounded
 from turnwise.functions.lexicons import FILLERS, VOCALISATIONS
 from turnwise.operators.segments import islands
 
@@ -46,7 +47,7 @@ def pauses(words: DataFrame, least: float = 1.0, longest_word: float = 2.0) -> D
     seen = timed.select("call_id", "turn_idx", "word_idx", "word", "start_s", "end_s", F.lead("word").over(order).alias("before_word"), F.lead("start_s").over(order).alias("_s"), F.lead("end_s").over(order).alias("_e"))
     gap = F.col("_s") - F.col("end_s")
     kept = seen.where((gap >= least) & fine(F.col("start_s"), F.col("end_s")) & fine(F.col("_s"), F.col("_e")))
-    return kept.select("call_id", "turn_idx", F.round("end_s", 2).alias("at"), F.round(gap, 2).alias("seconds"), F.col("word").alias("after_word"), "before_word")
+    return kept.select("call_id", "turn_idx", rounded("end_s", 2).alias("at"), rounded(gap, 2).alias("seconds"), F.col("word").alias("after_word"), "before_word")
 
 
 def pace(words: DataFrame, held: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def pace(words: DataFrame, held: DataFrame) -> DataFrame:
     still = held.groupBy("call_id", "turn_idx").agg(F.sum(F.col("seconds").cast("decimal(18,2)")).cast("double").alias("_held"))
     wall = F.greatest(F.col("_b") - F.col("_a"), F.lit(0.01))
     speaking = F.greatest(wall - F.coalesce("_held", F.lit(0.0)), F.lit(0.01))
-    return spoken.join(still, ["call_id", "turn_idx"], "left").select("call_id", "turn_idx", "word_count", F.round(F.col("word_count") / (wall / 60), 1).alias("wpm"), F.round(F.col("word_count") / (speaking / 60), 1).alias("articulation_wpm"))
+    return spoken.join(still, ["call_id", "turn_idx"], "left").select("call_id", "turn_idx", "word_count", rounded(F.col("word_count") / (wall / 60), 1).alias("wpm"), rounded(F.col("word_count") / (speaking / 60), 1).alias("articulation_wpm"))
 
 
 def disfluency(words: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def disfluency(words: DataFrame) -> DataFrame:
     medial, initial = count(filler & before & after), count(filler & ~F.coalesce(before, F.lit(False)) & after)
     return seen.groupBy("call_id", "turn_idx").agg(
         count(filler).alias("filled_pauses"), initial.alias("initial"), medial.alias("medial"), (count(filler) - initial - medial).alias("final"), count(F.col("kind") == "cutoff").alias("cutoffs"),
-        count(F.col("kind") == "vocalisation").alias("vocalisations"), F.round(100 * count(filler) / F.greatest(F.count("*"), F.lit(1)), 2).alias("per_100_words"),
+        count(F.col("kind") == "vocalisation").alias("vocalisations"), rounded(100 * count(filler) / F.greatest(F.count("*"), F.lit(1)), 2).alias("per_100_words"),
     )
 
 

@@ -15,14 +15,14 @@ LATE_SQL = f"""{TURNS_SQL}, lt AS (SELECT *, CASE WHEN speaker <> lag(speaker) O
     CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) OVER (PARTITION BY call_id) AS DOUBLE) AS total FROM turns WINDOW o AS (PARTITION BY call_id ORDER BY turn_idx))"""
 
 
-@query(f"""WITH {LATE_SQL} SELECT call_id, speaker, count(*) AS turns, count(*) FILTER (speech_seconds >= 4.0) AS scored_turns, CAST(round({SPEECH}, 1) AS DOUBLE) AS speech_seconds,
-    round(CAST({SPEECH} AS DOUBLE) / any_value(total), 3) AS talk_share, median(speech_seconds) AS median_turn_seconds, median(reply_latency) AS median_reply_latency,
+@query(f"""WITH {LATE_SQL} SELECT call_id, speaker, count(*) AS turns, count(*) FILTER (speech_seconds >= 4.0) AS scored_turns, CAST((CAST(printf('%.1f', CAST({SPEECH} AS DOUBLE)) AS DOUBLE) + 0.0) AS DOUBLE) AS speech_seconds,
+    (CAST(printf('%.3f', CAST(CAST({SPEECH} AS DOUBLE) / any_value(total) AS DOUBLE)) AS DOUBLE) + 0.0) AS talk_share, median(speech_seconds) AS median_turn_seconds, median(reply_latency) AS median_reply_latency,
     CASE WHEN count(*) FILTER (speech_seconds >= 4.0) >= 12 THEN count(*) FILTER (speech_seconds >= 4.0) ELSE 0 END AS baseline_turns FROM lt GROUP BY ALL""")
 def speaker_baselines(spark, sf_dir):
     return C.speaker_baselines(_turns(spark, sf_dir))
 
 
-@query(f"""WITH {TURNS_SQL}, {OVERLAPS_SQL.split(SEGMENTS_SQL + ",")[1]}, s AS (SELECT call_id, speaker, count(*) AS turns, round(CAST({SPEECH} AS DOUBLE) / count(*), 1) AS average_turn FROM turns GROUP BY ALL),
+@query(f"""WITH {TURNS_SQL}, {OVERLAPS_SQL.split(SEGMENTS_SQL + ",")[1]}, s AS (SELECT call_id, speaker, count(*) AS turns, (CAST(printf('%.1f', CAST(CAST({SPEECH} AS DOUBLE) / count(*) AS DOUBLE)) AS DOUBLE) + 0.0) AS average_turn FROM turns GROUP BY ALL),
     b AS (SELECT call_id, "by" AS speaker, count(*) FILTER (kind = 'floor_taking') AS floor_takes, count(*) FILTER (kind = 'backchannel') AS backchannels FROM ov GROUP BY ALL)
     SELECT call_id, speaker, turns, average_turn, coalesce(floor_takes, 0) AS floor_takes, coalesce(backchannels, 0) AS backchannels FROM s LEFT JOIN b USING (call_id, speaker)""")
 def speaker_facts(spark, sf_dir):
@@ -61,7 +61,7 @@ def tier_lookup(spark, sf_dir):
     return C.tier_of(read(spark, sf_dir, "events"), "value", [("large", 100.0), ("medium", 30.0), ("small", 5.0)]).select("event_id", "tier")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, round((sum(l_quantity) OVER o - l_quantity) / sum(l_quantity) OVER g, 4) AS begins, round(sum(l_quantity) OVER o / sum(l_quantity) OVER g, 4) AS ends FROM lineitem
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, (CAST(printf('%.4f', CAST((sum(l_quantity) OVER o - l_quantity) / sum(l_quantity) OVER g AS DOUBLE)) AS DOUBLE) + 0.0) AS begins, (CAST(printf('%.4f', CAST(sum(l_quantity) OVER o / sum(l_quantity) OVER g AS DOUBLE)) AS DOUBLE) + 0.0) AS ends FROM lineitem
     WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY l_orderkey)""")
 def progress_fraction(spark, sf_dir):
     return C.progress(read(spark, sf_dir, "lineitem"), "l_quantity", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "begins", "ends")
@@ -91,7 +91,7 @@ def merge_names(spark, sf_dir):
 
 
 @query(f"""WITH {TURNS_SQL}, sp AS (SELECT DISTINCT call_id, turn_idx // 40 AS topic, turn_idx // 40 * 40 AS a FROM turns), cv AS (SELECT DISTINCT call_id, topic, unnest(range(a, a + 61)) AS turn_idx FROM sp),
-    r AS (SELECT call_id, topic, count(*) AS turns, round(sum(segments) / count(*), 2) AS rate FROM cv JOIN turns USING (call_id, turn_idx) WHERE speech_seconds >= 4.0 GROUP BY ALL)
+    r AS (SELECT call_id, topic, count(*) AS turns, (CAST(printf('%.2f', CAST(sum(segments) / count(*) AS DOUBLE)) AS DOUBLE) + 0.0) AS rate FROM cv JOIN turns USING (call_id, turn_idx) WHERE speech_seconds >= 4.0 GROUP BY ALL)
     SELECT *, count(*) OVER c >= 2 AND row_number() OVER (PARTITION BY call_id ORDER BY rate DESC, topic) = 1 AS most, count(*) OVER c >= 2 AND row_number() OVER (PARTITION BY call_id ORDER BY rate, topic) = 1 AS least FROM r WINDOW c AS (PARTITION BY call_id)""")
 def topic_contrast(spark, sf_dir):
     found = _turns(spark, sf_dir)

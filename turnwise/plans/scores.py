@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from turnwise.functions.numbers import rounded
 from turnwise.operators import aligning, baselines as B, calls as C, rendering as R, scores as X, segments as S, words as W
 from turnwise.plans.people import KIND_SQL
 from turnwise.plans.segments import TURNS_SQL, _turns
@@ -17,7 +18,7 @@ SCORE_SQL = f"""{TURNS_SQL}, sc AS (SELECT call_id, turn_idx, seg_idx, end_s - s
 
 @query(f"""WITH {SCORE_SQL}, g AS (SELECT call_id, turn_idx, sum(seconds) AS s, bool_or(measured) AS m, arg_min(score, seg_idx) FILTER (measured) AS f,
     sum(seconds * score) FILTER (seconds >= 1.0 AND score IS NOT NULL) / sum(seconds) FILTER (seconds >= 1.0 AND score IS NOT NULL) AS mean FROM sc GROUP BY ALL)
-    SELECT call_id, turn_idx, CASE WHEN s >= 4.0 THEN {dround("round(CASE WHEN m THEN f ELSE mean END, 9)", 3)} END AS score FROM g""")
+    SELECT call_id, turn_idx, CASE WHEN s >= 4.0 THEN {dround("(CAST(printf('%.9f', CAST(CASE WHEN m THEN f ELSE mean END AS DOUBLE)) AS DOUBLE) + 0.0)", 3)} END AS score FROM g""")
 def turn_emotion(spark, sf_dir):
     rows = S.with_turns(segments(spark, sf_dir), 120.0)
     score = F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 100) / 100.0)
@@ -25,8 +26,8 @@ def turn_emotion(spark, sf_dir):
     return X.turn_scores(scored)
 
 
-@query(f"""WITH {KIND_SQL} SELECT speaker, count(*) AS words, round(100 * count(*) FILTER (kind = 'filler') / count(*), 2) AS fillers, round(100 * count(*) FILTER (kind = 'cutoff') / count(*), 2) AS cutoffs,
-    round(count(*) / (CAST(sum(CAST(end_s - start_s AS DECIMAL(18, 3))) AS DOUBLE) / 60), 1) AS articulation_wpm FROM kw GROUP BY 1""")
+@query(f"""WITH {KIND_SQL} SELECT speaker, count(*) AS words, (CAST(printf('%.2f', CAST(100 * count(*) FILTER (kind = 'filler') / count(*) AS DOUBLE)) AS DOUBLE) + 0.0) AS fillers, (CAST(printf('%.2f', CAST(100 * count(*) FILTER (kind = 'cutoff') / count(*) AS DOUBLE)) AS DOUBLE) + 0.0) AS cutoffs,
+    (CAST(printf('%.1f', CAST(count(*) / (CAST(sum(CAST(end_s - start_s AS DECIMAL(18, 3))) AS DOUBLE) / 60) AS DOUBLE)) AS DOUBLE) + 0.0) AS articulation_wpm FROM kw GROUP BY 1""")
 def delivery_features(spark, sf_dir):
     return X.delivery(words(spark, sf_dir).withColumn("kind", W.word_class(F.col("word"))), ["speaker"])
 
@@ -40,7 +41,7 @@ def coverage(spark, sf_dir):
 
 @query(f"""WITH {FRAMES_SQL}, wd AS (SELECT DISTINCT track, frame // 10 AS word, frame // 10 * 10 AS f, frame // 10 * 10 + 9 AS l FROM fr),
     g AS (SELECT fr.track, word, count(*) AS n, avg(db) AS m, avg(db) FILTER (3 * (frame - f) // 10 = 0) AS a, avg(db) FILTER (3 * (frame - f) // 10 = 1) AS b FROM fr JOIN wd ON fr.track = wd.track AND frame BETWEEN f AND l GROUP BY ALL)
-    SELECT track, count(*) AS words, round(median(a - m), 2) AS onset_db, round(median(b - m), 2) AS mid_db FROM g WHERE n >= 9 GROUP BY 1 HAVING count(*) >= 5""")
+    SELECT track, count(*) AS words, (CAST(printf('%.2f', CAST(median(a - m) AS DOUBLE)) AS DOUBLE) + 0.0) AS onset_db, (CAST(printf('%.2f', CAST(median(b - m) AS DOUBLE)) AS DOUBLE) + 0.0) AS mid_db FROM g WHERE n >= 9 GROUP BY 1 HAVING count(*) >= 5""")
 def word_intensity(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     word = F.floor(F.col("frame") / 10)
@@ -85,7 +86,7 @@ def render_md_lines(spark, sf_dir):
 
 
 @query(f"""WITH {TURNS_SQL}, t AS (SELECT *, CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) OVER (PARTITION BY call_id) AS DOUBLE) AS total FROM turns),
-    f AS (SELECT call_id, speaker, count(*) AS n, round(CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / any_value(total), 3) AS share FROM t GROUP BY ALL)
+    f AS (SELECT call_id, speaker, count(*) AS n, (CAST(printf('%.3f', CAST(CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / any_value(total) AS DOUBLE)) AS DOUBLE) + 0.0) AS share FROM t GROUP BY ALL)
     SELECT call_id, speaker, '| ' || speaker || ' | ' || CAST(floor(share * 100 + 0.5) AS BIGINT) || '% | ' || n || ' |' AS line FROM f""")
 def participants(spark, sf_dir):
     return R.participants(C.speaker_baselines(_turns(spark, sf_dir)))
@@ -98,11 +99,11 @@ def context_block(spark, sf_dir):
     return R.name_block(names)
 
 
-@query("SELECT event_id, round(least(greatest(value / 120.0, 0), 1) * 1000, 1) AS x, CASE WHEN value < 5 THEN 'pin' WHEN value < 60 THEN 'tick' ELSE 'silence' END AS hit FROM events WHERE CAST(value * 100 AS BIGINT) % 6 <> 3")
+@query("SELECT event_id, (CAST(printf('%.1f', CAST(least(greatest(value / 120.0, 0), 1) * 1000 AS DOUBLE)) AS DOUBLE) + 0.0) AS x, CASE WHEN value < 5 THEN 'pin' WHEN value < 60 THEN 'tick' ELSE 'silence' END AS hit FROM events")
 def time_to_x(spark, sf_dir):
-    x = F.round(F.least(F.greatest(F.col("value") / 120.0, F.lit(0.0)), F.lit(1.0)) * 1000, 1)
+    x = rounded(F.least(F.greatest(F.col("value") / 120.0, F.lit(0.0)), F.lit(1.0)) * 1000, 1)
     hit = F.when(F.col("value") < 5, "pin").when(F.col("value") < 60, "tick").otherwise("silence")
-    return read(spark, sf_dir, "events").where(F.round(F.col("value") * 100).cast("long") % 6 != 3).select("event_id", x.alias("x"), hit.alias("hit"))
+    return read(spark, sf_dir, "events").select("event_id", x.alias("x"), hit.alias("hit"))
 
 
 @query()

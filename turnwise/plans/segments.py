@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
-from turnwise.functions.numbers import exact_sum
+from turnwise.functions.numbers import exact_sum, rounded
 from turnwise.operators import segments as S
 from turnwise.registry import query
 from turnwise.sources.tables import SEGMENTS_SQL, segments
@@ -17,13 +17,13 @@ TURNS_SQL = f"""{SEGMENTS_SQL},
     sf AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER o AND start_s - lag(end_s) OVER o <= {GAP} THEN 0 ELSE 1 END AS b FROM segs WINDOW o AS (PARTITION BY call_id ORDER BY seg_idx)),
     st AS (SELECT *, CAST(sum(b) OVER (PARTITION BY call_id ORDER BY seg_idx) - 1 AS BIGINT) AS turn_idx FROM sf),
     turns AS (SELECT call_id, turn_idx, min(speaker) AS speaker, arg_min(start_s, seg_idx) AS start_s, arg_max(end_s, seg_idx) AS end_s,
-              round(sum(greatest(end_s - start_s, 0)), 2) AS speech_seconds, count(*) AS segments FROM st GROUP BY ALL)"""
+              (CAST(printf('%.2f', CAST(sum(greatest(end_s - start_s, 0)) AS DOUBLE)) AS DOUBLE) + 0.0) AS speech_seconds, count(*) AS segments FROM st GROUP BY ALL)"""
 UTTERANCES_SQL = f"""{SEGMENTS_SQL},
     ur AS (SELECT *, max(end_s) OVER (PARTITION BY call_id, speaker ORDER BY start_s, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM segs),
     ui AS (SELECT *, CAST(sum(CASE WHEN start_s - reach <= 1.5 THEN 0 ELSE 1 END) OVER (PARTITION BY call_id, speaker ORDER BY start_s, seg_idx) - 1 AS BIGINT) AS utterance FROM ur),
     utt AS (SELECT call_id, speaker, utterance, min(start_s) AS start_s, max(end_s) AS end_s FROM ui GROUP BY ALL)"""
 OVERLAPS_SQL = f"""{UTTERANCES_SQL},
-    ov AS (SELECT a.call_id, round(b.start_s, 2) AS start_s, round(least(a.end_s, b.end_s), 2) AS end_s, round(least(a.end_s, b.end_s) - b.start_s, 2) AS seconds, b.speaker AS "by", a.speaker AS "over",
+    ov AS (SELECT a.call_id, (CAST(printf('%.2f', CAST(b.start_s AS DOUBLE)) AS DOUBLE) + 0.0) AS start_s, (CAST(printf('%.2f', CAST(least(a.end_s, b.end_s) AS DOUBLE)) AS DOUBLE) + 0.0) AS end_s, (CAST(printf('%.2f', CAST(least(a.end_s, b.end_s) - b.start_s AS DOUBLE)) AS DOUBLE) + 0.0) AS seconds, b.speaker AS "by", a.speaker AS "over",
            CASE WHEN b.end_s <= a.end_s THEN 'backchannel' ELSE 'floor_taking' END AS kind
            FROM utt a JOIN utt b ON a.call_id = b.call_id AND a.speaker <> b.speaker AND (a.start_s, a.end_s, a.speaker) < (b.start_s, b.end_s, b.speaker)
            WHERE least(a.end_s, b.end_s) - b.start_s > 0.1)"""
@@ -42,7 +42,7 @@ def turns(spark, sf_dir):
     return _turns(spark, sf_dir).select("call_id", "turn_idx", "speaker", "start_s", "end_s", "speech_seconds", "segments")
 
 
-@query(f"""WITH {TURNS_SQL} SELECT call_id, turn_idx, CASE WHEN speaker <> lag(speaker) OVER o THEN round(start_s - lag(end_s) OVER o, 2) END AS reply_latency
+@query(f"""WITH {TURNS_SQL} SELECT call_id, turn_idx, CASE WHEN speaker <> lag(speaker) OVER o THEN (CAST(printf('%.2f', CAST(start_s - lag(end_s) OVER o AS DOUBLE)) AS DOUBLE) + 0.0) END AS reply_latency
     FROM turns WINDOW o AS (PARTITION BY call_id ORDER BY turn_idx)""")
 def reply_latency(spark, sf_dir):
     return S.reply_latencies(_turns(spark, sf_dir)).select("call_id", "turn_idx", "reply_latency")
@@ -59,27 +59,27 @@ def overlap_events(spark, sf_dir):
 
 
 @query(f"""WITH {OVERLAPS_SQL}, {TURNS_SQL.split(SEGMENTS_SQL + ",")[1]}, sp AS (SELECT call_id, CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) AS speech FROM turns GROUP BY 1)
-    SELECT ov.call_id, count(*) AS overlaps, CAST(round(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)), 1) AS DOUBLE) AS overlap_seconds, max(seconds) AS longest, count(*) FILTER (kind = 'backchannel') AS backchannels,
-           count(*) FILTER (kind = 'floor_taking') AS floor_takings, round(CAST(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / any_value(speech), 4) AS share FROM ov JOIN sp USING (call_id) GROUP BY 1""")
+    SELECT ov.call_id, count(*) AS overlaps, CAST((CAST(printf('%.1f', CAST(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE)) AS DOUBLE) + 0.0) AS DOUBLE) AS overlap_seconds, max(seconds) AS longest, count(*) FILTER (kind = 'backchannel') AS backchannels,
+           count(*) FILTER (kind = 'floor_taking') AS floor_takings, (CAST(printf('%.4f', CAST(CAST(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / any_value(speech) AS DOUBLE)) AS DOUBLE) + 0.0) AS share FROM ov JOIN sp USING (call_id) GROUP BY 1""")
 def overlap_summary(spark, sf_dir):
     return S.overlap_summary(_overlaps(spark, sf_dir), _turns(spark, sf_dir))
 
 
 @query(f"""WITH {OVERLAPS_SQL}, b AS (SELECT call_id, unnest(["by", "over"]) AS speaker, seconds, "by", kind FROM ov)
-    SELECT call_id, speaker, CAST(round(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)), 1) AS DOUBLE) AS seconds, count(*) FILTER (kind = 'floor_taking' AND "by" = speaker) AS floor_takes FROM b GROUP BY ALL""")
+    SELECT call_id, speaker, CAST((CAST(printf('%.1f', CAST(CAST(sum(CAST(seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE)) AS DOUBLE) + 0.0) AS DOUBLE) AS seconds, count(*) FILTER (kind = 'floor_taking' AND "by" = speaker) AS floor_takes FROM b GROUP BY ALL""")
 def overlap_by_speaker(spark, sf_dir):
     return S.overlap_by_speaker(_overlaps(spark, sf_dir))
 
 
 @query(f"""WITH {TURNS_SQL}, c AS (SELECT *, CAST(speaker <> lag(speaker) OVER (PARTITION BY call_id ORDER BY turn_idx) AS INT) AS ch FROM turns)
-    SELECT call_id, count(*) AS turns, count(DISTINCT speaker) AS speakers, CAST(coalesce(sum(ch), 0) AS BIGINT) AS speaker_changes, CAST(round(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)), 1) AS DOUBLE) AS speech,
-           round(CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / nullif(sum(ch), 0), 2) AS seconds_a_change, arg_max(turn_idx, (speech_seconds, -turn_idx)) AS longest_turn,
+    SELECT call_id, count(*) AS turns, count(DISTINCT speaker) AS speakers, CAST(coalesce(sum(ch), 0) AS BIGINT) AS speaker_changes, CAST((CAST(printf('%.1f', CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE)) AS DOUBLE) + 0.0) AS DOUBLE) AS speech,
+           (CAST(printf('%.2f', CAST(CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / nullif(sum(ch), 0) AS DOUBLE)) AS DOUBLE) + 0.0) AS seconds_a_change, arg_max(turn_idx, (speech_seconds, -turn_idx)) AS longest_turn,
            count(*) FILTER (speech_seconds >= 4.0) AS scored_turns FROM c GROUP BY 1""")
 def call_summary(spark, sf_dir):
     return S.call_summary(_turns(spark, sf_dir))
 
 
-@query(f"WITH {TURNS_SQL}, g AS (SELECT *, start_s - lag(end_s) OVER (PARTITION BY call_id ORDER BY turn_idx) AS gap FROM turns) SELECT call_id, turn_idx, round(gap, 2) AS seconds FROM g WHERE gap >= 2.0")
+@query(f"WITH {TURNS_SQL}, g AS (SELECT *, start_s - lag(end_s) OVER (PARTITION BY call_id ORDER BY turn_idx) AS gap FROM turns) SELECT call_id, turn_idx, (CAST(printf('%.2f', CAST(gap AS DOUBLE)) AS DOUBLE) + 0.0) AS seconds FROM g WHERE gap >= 2.0")
 def silence_gaps(spark, sf_dir):
     return S.silences(_turns(spark, sf_dir))
 
@@ -134,7 +134,7 @@ def covering_clip(spark, sf_dir):
 
 @query(f"""WITH {TURNS_SQL}, p AS (SELECT call_id, unnest(range(24)) AS point, unnest(range(24)) * 3600.0 + 7.5 AS at_s FROM (SELECT DISTINCT call_id FROM turns)),
     d AS (SELECT p.call_id, p.point, t.speaker, greatest(t.start_s - at_s, at_s - t.end_s, 0) AS away, t.start_s, t.end_s FROM p JOIN turns t USING (call_id))
-    SELECT call_id, point, arg_min(speaker, (away, start_s, end_s, speaker)) AS speaker, round(min(away), 3) AS distance FROM d GROUP BY ALL""")
+    SELECT call_id, point, arg_min(speaker, (away, start_s, end_s, speaker)) AS speaker, (CAST(printf('%.3f', CAST(min(away) AS DOUBLE)) AS DOUBLE) + 0.0) AS distance FROM d GROUP BY ALL""")
 def assign_speaker(spark, sf_dir):
     found = _turns(spark, sf_dir)
     points = found.select("call_id").distinct().withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long")))).withColumn("at_s", F.col("point") * 3600.0 + 7.5)
@@ -155,14 +155,14 @@ def one_clock_monotone(spark, sf_dir):
     return S.monotone(segments(spark, sf_dir), ["event_id"]).select("call_id", "event_id", "clock_start", "clock_end")
 
 
-@query(f"""WITH {TURNS_SQL}, s AS (SELECT call_id, speaker, CAST(round(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)), 1) AS DOUBLE) AS speech, round(CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / any_value(total), 3) AS share
+@query(f"""WITH {TURNS_SQL}, s AS (SELECT call_id, speaker, CAST((CAST(printf('%.1f', CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE)) AS DOUBLE) + 0.0) AS DOUBLE) AS speech, (CAST(printf('%.3f', CAST(CAST(CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS DOUBLE) / any_value(total) AS DOUBLE)) AS DOUBLE) + 0.0) AS share
     FROM (SELECT *, CAST(sum(CAST(speech_seconds AS DECIMAL(18, 2))) OVER (PARTITION BY call_id) AS DOUBLE) AS total FROM turns) GROUP BY ALL)
     SELECT call_id, speaker, speech, share, row_number() OVER (PARTITION BY call_id ORDER BY share DESC, speaker) AS place FROM s""")
 def speakers_by_share(spark, sf_dir):
     from pyspark.sql import Window
 
     total = exact_sum("speech_seconds").over(Window.partitionBy("call_id")).cast("double")
-    shares = _turns(spark, sf_dir).withColumn("_total", total).groupBy("call_id", "speaker").agg(F.round(exact_sum("speech_seconds"), 1).cast("double").alias("speech"), F.round(F.try_divide(exact_sum("speech_seconds").cast("double"), F.any_value("_total")), 3).alias("share"))
+    shares = _turns(spark, sf_dir).withColumn("_total", total).groupBy("call_id", "speaker").agg(rounded(exact_sum("speech_seconds"), 1).cast("double").alias("speech"), rounded(F.try_divide(exact_sum("speech_seconds").cast("double"), F.any_value("_total")), 3).alias("share"))
     return shares.withColumn("place", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("share"), "speaker")).cast("long"))
 
 
@@ -202,10 +202,10 @@ def render_txt(spark, sf_dir):
 
 @query(f"""WITH {TURNS_SQL}, m AS (SELECT call_id, turn_idx, start_s, 'tick' AS kind FROM turns WHERE speech_seconds >= 100 UNION ALL
     SELECT call_id, turn_idx, g, 'silence' FROM (SELECT call_id, turn_idx, start_s AS g, start_s - lag(end_s) OVER (PARTITION BY call_id ORDER BY turn_idx) AS gap FROM turns) WHERE gap >= 1800)
-    SELECT m.call_id, m.turn_idx, m.kind, round(1000 * m.start_s / greatest(t.total, 0.001), 2) AS x FROM m JOIN (SELECT call_id, greatest(max(end_s), 86400.0) AS total FROM turns GROUP BY 1) t USING (call_id)""")
+    SELECT m.call_id, m.turn_idx, m.kind, (CAST(printf('%.2f', CAST(1000 * m.start_s / greatest(t.total, 0.001) AS DOUBLE)) AS DOUBLE) + 0.0) AS x FROM m JOIN (SELECT call_id, greatest(max(end_s), 86400.0) AS total FROM turns GROUP BY 1) t USING (call_id)""")
 def timeline_marks(spark, sf_dir):
     found = _turns(spark, sf_dir)
     ticks = found.where("speech_seconds >= 100").select("call_id", "turn_idx", "start_s", F.lit("tick").alias("kind"))
     quiet = S.silences(found, 1800.0).join(found.select("call_id", "turn_idx", "start_s"), ["call_id", "turn_idx"]).select("call_id", "turn_idx", "start_s", F.lit("silence").alias("kind"))
     total = found.groupBy("call_id").agg(F.greatest(F.max("end_s"), F.lit(86400.0)).alias("total"))
-    return ticks.union(quiet).join(total, "call_id").select("call_id", "turn_idx", "kind", F.round(1000 * F.col("start_s") / F.greatest("total", F.lit(0.001)), 2).alias("x"))
+    return ticks.union(quiet).join(total, "call_id").select("call_id", "turn_idx", "kind", rounded(1000 * F.col("start_s") / F.greatest("total", F.lit(0.001)), 2).alias("x"))

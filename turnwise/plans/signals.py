@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
+from turnwise.functions.numbers import rounded
 from turnwise.functions.text import semitones as to_semitones
 from turnwise.operators import acoustics as A
 from turnwise.operators.pitch import tracked
@@ -26,32 +27,32 @@ def despike(spark, sf_dir):
     return A.despiked(_frames(spark, sf_dir)).select("event_id", "smooth")
 
 
-@query(f"WITH {FRAMES_SQL} SELECT event_id, CASE WHEN count(*) OVER w = 4 THEN round(sqrt(sum(db * db) OVER w / 4), 4) END AS rms FROM fr WINDOW w AS (PARTITION BY track ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)")
+@query(f"WITH {FRAMES_SQL} SELECT event_id, CASE WHEN count(*) OVER w = 4 THEN (CAST(printf('%.4f', CAST(sqrt(sum(db * db) OVER w / 4) AS DOUBLE)) AS DOUBLE) + 0.0) END AS rms FROM fr WINDOW w AS (PARTITION BY track ORDER BY frame ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)")
 def frame_rms(spark, sf_dir):
-    return A.frame_energy(_frames(spark, sf_dir), 4, "db").select("event_id", F.round("rms", 4).alias("rms"))
+    return A.frame_energy(_frames(spark, sf_dir), 4, "db").select("event_id", rounded("rms", 4).alias("rms"))
 
 
 @query(f"""WITH {FRAMES_SQL}, p AS (SELECT *, db > max(db) OVER (PARTITION BY track) - 45.0 AS a FROM fr), v AS (SELECT *, voiced AND a AS v FROM p),
     g AS (SELECT track, count(*) FILTER (v) AS n, count(*) AS k, median(f0) FILTER (v) AS m, quantile_cont(f0, 0.1) FILTER (v) AS lo, quantile_cont(f0, 0.9) FILTER (v) AS hi, stddev_pop(db) FILTER (a) AS sd FROM v GROUP BY 1)
-    SELECT track, round(m, 1) AS f0_median, round(12 * log2(hi / lo), 2) AS range_semitones, round(sd, 2) AS loudness_sd, round(n / k, 3) AS voiced_share FROM g WHERE n >= 12""")
+    SELECT track, (CAST(printf('%.1f', CAST(m AS DOUBLE)) AS DOUBLE) + 0.0) AS f0_median, (CAST(printf('%.2f', CAST(12 * log2(hi / lo) AS DOUBLE)) AS DOUBLE) + 0.0) AS range_semitones, (CAST(printf('%.2f', CAST(sd AS DOUBLE)) AS DOUBLE) + 0.0) AS loudness_sd, (CAST(printf('%.3f', CAST(n / k AS DOUBLE)) AS DOUBLE) + 0.0) AS voiced_share FROM g WHERE n >= 12""")
 def turn_prosody(spark, sf_dir):
     return A.pitch_summary(_frames(spark, sf_dir))
 
 
 @query(f"""WITH {FRAMES_SQL}, l AS (SELECT *, frame >= max(frame) FILTER (voiced) OVER (PARTITION BY track) - 20 AS late FROM fr),
     g AS (SELECT track, count(*) FILTER (late) AS t, count(*) FILTER (NOT late) AS b, median(f0) FILTER (late) AS mt, median(f0) FILTER (NOT late) AS mb FROM l WHERE voiced GROUP BY 1)
-    SELECT track, CASE WHEN t >= 12 AND b >= 12 THEN round(12 * log2(mt / mb), 2) END AS terminal_rise FROM g""")
+    SELECT track, CASE WHEN t >= 12 AND b >= 12 THEN (CAST(printf('%.2f', CAST(12 * log2(mt / mb) AS DOUBLE)) AS DOUBLE) + 0.0) END AS terminal_rise FROM g""")
 def terminal_rise(spark, sf_dir):
     return A.terminal_rise(_frames(spark, sf_dir), tail=20)
 
 
-@query("SELECT event_id, CASE WHEN value > 0 THEN round(12 * log2(value / 100.0), 3) END AS semitones FROM events")
+@query("SELECT event_id, CASE WHEN value > 0 THEN (CAST(printf('%.3f', CAST(12 * log2(value / 100.0) AS DOUBLE)) AS DOUBLE) + 0.0) END AS semitones FROM events")
 def semitones(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.round(to_semitones(F.col("value"), F.lit(100.0)), 3).alias("semitones"))
+    return read(spark, sf_dir, "events").select("event_id", rounded(to_semitones(F.col("value"), F.lit(100.0)), 3).alias("semitones"))
 
 
 @query("""WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS component FROM embeddings)
-    SELECT label, component, round(avg(CAST(v AS DOUBLE)), 4) AS mean, round(stddev_pop(CAST(v AS DOUBLE)), 4) AS deviation FROM x GROUP BY ALL""")
+    SELECT label, component, (CAST(printf('%.4f', CAST(avg(CAST(v AS DOUBLE)) AS DOUBLE)) AS DOUBLE) + 0.0) AS mean, (CAST(printf('%.4f', CAST(stddev_pop(CAST(v AS DOUBLE)) AS DOUBLE)) AS DOUBLE) + 0.0) AS deviation FROM x GROUP BY ALL""")
 def pooled_stats(spark, sf_dir):
     return A.pooled(read(spark, sf_dir, "embeddings"), "label", "embedding")
 
@@ -61,10 +62,10 @@ _dot = lambda k: " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * {WEIGHTS[k][i
 
 
 @query(f"""WITH z AS (SELECT vec_id, {_dot(0)} AS a, {_dot(1)} AS b, {_dot(2)} AS c FROM embeddings), e AS (SELECT vec_id, exp(a - greatest(a, b, c)) AS a, exp(b - greatest(a, b, c)) AS b, exp(c - greatest(a, b, c)) AS c FROM z)
-    SELECT vec_id, round(a / (a + b + c), 4) AS p0, round(b / (a + b + c), 4) AS p1, round(a / (a + b + c) - c / (a + b + c), 4) AS certainty FROM e""")
+    SELECT vec_id, (CAST(printf('%.4f', CAST(a / (a + b + c) AS DOUBLE)) AS DOUBLE) + 0.0) AS p0, (CAST(printf('%.4f', CAST(b / (a + b + c) AS DOUBLE)) AS DOUBLE) + 0.0) AS p1, (CAST(printf('%.4f', CAST(a / (a + b + c) - c / (a + b + c) AS DOUBLE)) AS DOUBLE) + 0.0) AS certainty FROM e""")
 def softmax_score(spark, sf_dir):
     scored = read(spark, sf_dir, "embeddings").withColumn("p", A.linear_scores(F.col("embedding"), WEIGHTS, [0.0, 0.0, 0.0]))
-    return scored.select("vec_id", F.round(F.col("p")[0], 4).alias("p0"), F.round(F.col("p")[1], 4).alias("p1"), F.round(F.col("p")[0] - F.col("p")[2], 4).alias("certainty"))
+    return scored.select("vec_id", rounded(F.col("p")[0], 4).alias("p0"), rounded(F.col("p")[1], 4).alias("p1"), rounded(F.col("p")[0] - F.col("p")[2], 4).alias("certainty"))
 
 
 @query()

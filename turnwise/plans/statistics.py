@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnwise.functions.numbers import rounded
 from turnwise.operators import baselines as B
 from turnwise.registry import dround, query
 from turnwise.sources.tables import read, series
@@ -36,7 +37,7 @@ def spread_mad(spark, sf_dir):
     return B.references(series(spark, sf_dir), KEYS)
 
 
-@query(f"WITH {REFERENCE_SQL} SELECT series, round({quartile_sql(1)}, 4) AS q1, round({quartile_sql(3)}, 4) AS q3, round(iqr, 4) AS iqr_scale FROM e")
+@query(f"WITH {REFERENCE_SQL} SELECT series, (CAST(printf('%.4f', CAST({quartile_sql(1)} AS DOUBLE)) AS DOUBLE) + 0.0) AS q1, (CAST(printf('%.4f', CAST({quartile_sql(3)} AS DOUBLE)) AS DOUBLE) + 0.0) AS q3, (CAST(printf('%.4f', CAST(iqr AS DOUBLE)) AS DOUBLE) + 0.0) AS iqr_scale FROM e")
 def iqr_scale(spark, sf_dir):
     return B.quartile_scales(series(spark, sf_dir), KEYS)
 
@@ -73,19 +74,19 @@ def feature_long(spark, sf_dir):
     return B.long_features(rows, KEYS, ["price", "customer"])
 
 
-@query(f"""WITH {REFERENCE_SQL}, lref AS (SELECT median(length(props)) AS lm FROM events), z AS (SELECT ev.event_id, {dround("((ev.value - r.median) / nullif(r.scale, 0))", 2)} AS voice_z, round(lm - length(props) * 1.0, 2) AS words_z FROM events ev JOIN ref r ON ev.user_id = r.series CROSS JOIN lref)
+@query(f"""WITH {REFERENCE_SQL}, lref AS (SELECT median(length(props)) AS lm FROM events), z AS (SELECT ev.event_id, {dround("((ev.value - r.median) / nullif(r.scale, 0))", 2)} AS voice_z, (CAST(printf('%.2f', CAST(lm - length(props) * 1.0 AS DOUBLE)) AS DOUBLE) + 0.0) AS words_z FROM events ev JOIN ref r ON ev.user_id = r.series CROSS JOIN lref)
     SELECT event_id, voice_z, words_z FROM z WHERE abs(words_z) >= 1.0 AND abs(voice_z) >= 1.0 AND (words_z > 0) <> (voice_z > 0)""")
 def mismatch(spark, sf_dir):
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("series"), "event_id", "value", "props")
     middle = events.agg(F.median(F.length("props")).alias("lm"))
-    rows = B.departures(events, B.references(events, KEYS), KEYS, least=0).crossJoin(F.broadcast(middle)).select("event_id", F.col("z").alias("voice_z"), F.round(F.col("lm") - F.length("props") * 1.0, 2).alias("words_z"))
+    rows = B.departures(events, B.references(events, KEYS), KEYS, least=0).crossJoin(F.broadcast(middle)).select("event_id", F.col("z").alias("voice_z"), rounded(F.col("lm") - F.length("props") * 1.0, 2).alias("words_z"))
     return B.mismatches(rows, least=1.0)
 
 
 @query("""WITH v AS (SELECT user_id AS entity, event_type AS feature, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events),
     s AS (SELECT c.entity, c.feature, count(*) AS n, avg(CASE WHEN (CASE WHEN c.feature IN ('error', 'view') THEN c.value < h.value ELSE c.value > h.value END) THEN 1.0 ELSE 0.0 END) AS share
           FROM v c JOIN v h ON c.entity = h.entity AND c.feature = h.feature AND h.k > 1 WHERE c.k = 1 GROUP BY ALL HAVING count(*) >= 8)
-    SELECT entity, CAST(round(100 * avg(share), 0) AS BIGINT) AS composite, count(*) AS features FROM s GROUP BY 1""")
+    SELECT entity, CAST((CAST(printf('%.0f', CAST(100 * avg(share) AS DOUBLE)) AS DOUBLE) + 0.0) AS BIGINT) AS composite, count(*) AS features FROM s GROUP BY 1""")
 def composite(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -95,7 +96,7 @@ def composite(spark, sf_dir):
 
 @query(f"SELECT user_id AS entity, event_type AS feature, {dround('median(value)', 2)} AS usual, count(*) AS n FROM events GROUP BY ALL")
 def usual_features(spark, sf_dir):
-    return series(spark, sf_dir).groupBy(F.col("series").alias("entity"), F.col("event_type").alias("feature")).agg(F.round(F.median("value"), 2).alias("usual"), F.count("*").alias("n"))
+    return series(spark, sf_dir).groupBy(F.col("series").alias("entity"), F.col("event_type").alias("feature")).agg(rounded(F.median("value"), 2).alias("usual"), F.count("*").alias("n"))
 
 
 @query("""SELECT user_id AS series, CASE WHEN count(*) FILTER (value >= 60) >= 2 THEN count(*) FILTER (value >= 60) || ' long pauses' WHEN count(*) FILTER (value >= 60) = 1 THEN 'pauses for ' || printf('%.1f', max(value)) || 's' END AS note FROM events GROUP BY 1""")
@@ -105,15 +106,15 @@ def pause_notes(spark, sf_dir):
     return series(spark, sf_dir).groupBy("series").agg(note.alias("note"))
 
 
-@query("SELECT event_type, round(sum(user_id * value) / sum(user_id), 4) AS mean FROM events GROUP BY 1")
+@query("SELECT event_type, (CAST(printf('%.4f', CAST(sum(user_id * value) / sum(user_id) AS DOUBLE)) AS DOUBLE) + 0.0) AS mean FROM events GROUP BY 1")
 def weighted_mean(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.expr("try_divide(sum(user_id * value), sum(user_id))"), 4).alias("mean"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(rounded(F.expr("try_divide(sum(user_id * value), sum(user_id))"), 4).alias("mean"))
 
 
 @query(f"SELECT event_id, {dround('least(greatest(value / 100 - 0.1, 0), 1)', 3)} AS clipped, {dround('(value / 100 - 0.1)', 6)} AS raw, value / 100 - 0.1 < 0 OR value / 100 - 0.1 > 1 AS out_of_range FROM events")
 def clip_scores(spark, sf_dir):
     x = F.col("value") / 100 - 0.1
-    return read(spark, sf_dir, "events").select("event_id", F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), 3).alias("clipped"), F.round(x, 6).alias("raw"), ((x < 0) | (x > 1)).alias("out_of_range"))
+    return read(spark, sf_dir, "events").select("event_id", rounded(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), 3).alias("clipped"), rounded(x, 6).alias("raw"), ((x < 0) | (x > 1)).alias("out_of_range"))
 
 
 @query(f"""WITH {REFERENCE_SQL}, z AS (SELECT ev.event_id, ev.event_type, CASE WHEN r.n >= 12 THEN {dround("((ev.value - r.median) / nullif(r.scale, 0))", 2)} END AS z FROM events ev LEFT JOIN ref r ON ev.user_id = r.series),

@@ -16,14 +16,14 @@ TOKENS_SQL = "regexp_extract_all(lower(text), '([a-z'']+)', 1)"
 @query(f"""WITH t AS (SELECT doc_id, {TOKENS_SQL} AS tk FROM documents), s AS (SELECT doc_id, list_sum(list_transform(range(1, len(tk) + 1), lambda i: coalesce(
         (CASE WHEN tk[i] IN ({_in(POSITIVE)}) THEN 1.0::DOUBLE WHEN tk[i] IN ({_in(NEGATIVE)}) THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END)
         * (CASE WHEN i > 1 AND tk[i - 1] IN ({_in(NEGATORS)}) THEN -0.6::DOUBLE ELSE 1.0::DOUBLE END), 0.0::DOUBLE))) AS total FROM t)
-    SELECT doc_id, coalesce({dround("round(total / sqrt(total * total + 15), 12)", 3)}, 0.0) AS lexical FROM s""")
+    SELECT doc_id, coalesce({dround("(CAST(printf('%.12f', CAST(total / sqrt(total * total + 15) AS DOUBLE)) AS DOUBLE) + 0.0)", 3)}, 0.0) AS lexical FROM s""")
 def lexical_sentiment(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.sentiment(F.col("text"), {**dict.fromkeys(POSITIVE, 1.0), **dict.fromkeys(NEGATIVE, -1.0)}, NEGATORS).alias("lexical"))
 
 
-@query(r"""WITH s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\b(?:the|of|to)\b[,.]?', '', 'g'), '\[[^\]]*\]', '', 'g') AS t FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*')) SELECT conv_id, turn, md5(t) AS hash FROM s""")
+@query(r"""WITH s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\b(?:the|of|to)\b[,.]?', '', 'g'), '\[[^\]]*\]', '', 'g') AS t FROM conversations) SELECT conv_id, turn, md5(t) AS hash FROM s""")
 def strip_fillers(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    rows = read(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.md5(T.without_fillers(F.col("text"), ["the", "of", "to"])).alias("hash"))
 
 
@@ -44,16 +44,16 @@ NORM_SQL = r"""array_to_string(list_filter(list_transform(list_filter(regexp_spl
     lambda x: regexp_replace(regexp_replace(x, '[^a-z0-9'']', '', 'g'), '^''+|''+$', '', 'g') || CASE WHEN ends_with(regexp_replace(x, '[.,!?;:]+$', '', 'g'), '-') THEN '-' ELSE '' END), lambda x: x NOT IN ('', '-')), ' ')"""
 
 
-@query(f"SELECT conv_id, turn, md5({NORM_SQL.replace('{t}', 'text')}) AS hash FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query(f"SELECT conv_id, turn, md5({NORM_SQL.replace('{t}', 'text')}) AS hash FROM conversations")
 def normalise(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    rows = read(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.md5(T.normalised(F.col("text"))).alias("hash"))
 
 
-@query(f"""WITH n AS (SELECT conv_id, turn, {NORM_SQL.replace('{t}', 'text')} AS t FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')), q AS (SELECT *, array_to_string(string_split(t, ' ')[2:4], ' ') AS q FROM n)
+@query(f"""WITH n AS (SELECT conv_id, turn, {NORM_SQL.replace('{t}', 'text')} AS t FROM conversations), q AS (SELECT *, array_to_string(string_split(t, ' ')[2:4], ' ') AS q FROM n)
     SELECT a.conv_id, a.turn, a.q <> '' AND contains(' ' || a.t || ' ', ' ' || a.q || ' ') AS own, count(b.turn) AS others FROM q a LEFT JOIN q b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND a.q <> '' AND contains(' ' || b.t || ' ', ' ' || a.q || ' ') GROUP BY ALL""")
 def quote_contains(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("conv_id", "turn", T.normalised(F.col("text")).alias("t"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalised(F.col("text")).alias("t"))
     asked = rows.withColumn("q", F.array_join(F.slice(F.split("t", " "), 2, 3), " "))
     other = rows.select("conv_id", F.col("turn").alias("_turn"), F.col("t").alias("_t"))
     hits = asked.join(other, "conv_id", "left").groupBy("conv_id", "turn", "t", "q").agg(F.count_if((F.col("turn") != F.col("_turn")) & T.holds(F.col("_t"), F.col("q"))).alias("others"))
@@ -77,9 +77,9 @@ def banned_wording(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"(?i)(then|the)\s+(of|ed)[ .]").alias("banned"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN printf('%.1f', floor(value)) || '%' WHEN 'view' THEN printf('%02d:%02d', CAST(floor(floor(value) / 60) AS BIGINT), CAST(floor(value) AS BIGINT) % 60) ELSE printf('%.2f', floor(value)) END AS shown FROM events")
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN printf('%.1f', value) || '%' WHEN 'view' THEN printf('%02d:%02d', CAST(floor(floor(value) / 60) AS BIGINT), CAST(floor(value) AS BIGINT) % 60) ELSE printf('%.2f', value) END AS shown FROM events")
 def fmt_feature(spark, sf_dir):
-    shown = F.when(F.col("event_type") == "error", F.concat(F.format_string("%.1f", F.floor("value").cast("double")), F.lit("%"))).when(F.col("event_type") == "view", T.minutes(F.col("value"))).otherwise(F.format_string("%.2f", F.floor("value").cast("double")))
+    shown = F.when(F.col("event_type") == "error", F.concat(T.fixed(F.col("value"), 1), F.lit("%"))).when(F.col("event_type") == "view", T.minutes(F.col("value"))).otherwise(T.fixed(F.col("value"), 2))
     return read(spark, sf_dir, "events").select("event_id", shown.alias("shown"))
 
 

@@ -23,5 +23,5 @@ def query(sql: str | None = None):
 
 
 def dround(expr: str, places: int) -> str:
-    """SQL that rounds a double by its shortest decimal form, half up, as Spark does."""
-    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {places}) AS DOUBLE)"
+    """SQL that rounds a double by its exact binary value, ties to even, as functions.numbers.rounded does."""
+    return f"(CAST(printf('%.{places}f', CAST({expr} AS DOUBLE)) AS DOUBLE) + 0.0)"

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from turnwise.functions.numbers import rounded
+
 WORD = "struct<word:string,start:double,end:double,speaker:string,kind:string,score:double>"
 SEGMENT = f"struct<start:double,end:double,speaker:string,text:string,words:array<{WORD}>,pacing:struct<word_count:int,duration_seconds:double,wpm:double>,emotion:struct<valence:double,arousal:double,dominance:double,measured_over:array<double>>,stance:struct<certainty:double,measured_over:array<double>>>"
 
@@ -50,7 +52,7 @@ def wave_files(spark: SparkSession, path: str, piece_seconds: float = 30.0) -> D
 
 def flat(segments: DataFrame) -> DataFrame:
     """One flat row for each segment, for CSV."""
-    return segments.select("call_id", "seg_idx", F.round("start_s", 2).alias("start"), F.round("end_s", 2).alias("end"), "speaker", "text", "pacing.word_count", "pacing.wpm", "emotion.valence", "emotion.arousal", "emotion.dominance")
+    return segments.select("call_id", "seg_idx", rounded("start_s", 2).alias("start"), rounded("end_s", 2).alias("end"), "speaker", "text", "pacing.word_count", "pacing.wpm", "emotion.valence", "emotion.arousal", "emotion.dominance")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
