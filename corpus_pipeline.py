@@ -2,16 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. run() writes every stage as Parquet beneath spark.checkpoint.dir and reads it again for the next.
+
+Null and empty texts are scored like any other by the first stage, are never copies, repeats or leaks, and are packed as
+their end alone. Rows with a null id stay in the filtering stages. Repeated rows are copies: one stays. Empty tables give
+an empty result. Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
+from turnwise.llm._spark import shared_folder
 from turnwise.llm.queries import table, vocabulary
 
 
@@ -47,13 +51,13 @@ STAGES = [
     ("benchmark decontamination", drop_leaks),
     ("packing", pack),
 ]
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds each, on what the one before kept, against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='turnwise-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

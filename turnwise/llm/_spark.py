@@ -7,15 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it isn't set, a temporary folder, if all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="turnwise-checkpoint-")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder in spark.checkpoint.dir (a temporary one only where none is set)."""
+    """df, written to the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnwise-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
