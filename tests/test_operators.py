@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
-from turnwise.functions.numbers import exclusive_quartile, spread
-from turnwise.operators import baselines as B, evaluating as E, logs as L, segments as S, verifying as V, words as W
+from turnwise.functions.numbers import exclusive_quartile, quartile_range, rounded
+from turnwise.operators import baselines as B, checking as K, evaluating as E, logs as L, segments as S, verifying as V, words as W
 
 
 def segs(spark, rows):
@@ -41,10 +41,32 @@ def test_exclusive_quartiles(spark, values, quartiles):
 
 def test_spread_falls_back_on_quartiles(spark):
     a = F.array(*map(F.lit, (0.0, 0.0, 0.0, 0.0, 1.0, 5.0)))
-    s = spark.range(1).select(spread(a).alias("s")).first().s
+    assert spark.range(1).select(quartile_range(a).alias("s")).first().s == pytest.approx(2.0 / 1.349)
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate((0.0, 0.0, 0.0, 0.0, 1.0, 5.0, 9.0))], "series int, k int, value double")
+    s = B.references(rows.where("k < 6"), ["series"]).first()
     assert (s.median, s.mad, s.n) == (0.0, 0.0, 6) and s.scale == pytest.approx(2.0 / 1.349, abs=1e-4)
-    rows = spark.createDataFrame([(1, x) for x in (0.0, 0.0, 0.0, 0.0, 1.0, 5.0)], "series int, value double")
-    assert B.references(rows, ["series"]).first().scale == s.scale
+    late = B.trailing(rows, ["series"], ["k"], least=6).orderBy("k").collect()
+    assert [r.t_scale for r in late] == [None] * 6 + [s.scale] and late[6].t_n == 6
+
+
+def test_doubles_are_rounded_by_their_exact_value(spark):
+    values = [1.025, 0.125, 2.675, 1.115, -0.001, 1e16, 12345.675, float("inf")]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(rounded("v", 2).alias("x")).collect()]
+    assert got == [round(v, 2) for v in values[:-1]] + [float("inf")]
+
+
+def test_replies_are_checked_by_channel(spark):
+    """A timing claim needs a long gap, an overlap claim an overlap, a disfluency claim two stumbles in its quote."""
+    words = "array<struct<norm:string,kind:string>>"
+    turns = spark.createDataFrame(
+        [("c", 0, [("um", "filler"), ("uh", "filler"), ("yes", "content")], 2.5, 0.8, [0.5], True), ("c", 1, [("yes", "content"), ("um", "filler")], 2.5, 0.9, [], False)],
+        f"call_id string, turn_idx int, words {words}, reply_latency double, median_latency double, pauses array<double>, overlapped boolean",
+    )
+    said = [("timing", 0, "", ""), ("timing", 1, "", ""), ("interaction", 0, "", "they talked over it"), ("interaction", 1, "", "an interruption"), ("interaction", 1, "", "a question"), ("disfluency", 0, "um uh", ""), ("disfluency", 1, "yes um", ""), ("lexical", 1, "", ""), ("prosody", 0, "", ""), ("prosody", 1, "", ""), (None, 0, "", "")]
+    evidence = spark.createDataFrame([("c", 1, i, t, ch, q, q != "", d, ["M1"]) for i, (ch, t, q, d) in enumerate(said)], "call_id string, claim int, item int, turn_idx int, channel string, quote string, matched boolean, description string, moments array<string>")
+    moments = spark.createDataFrame([("c", "M1", 0, ["arousal", None])], "call_id string, moment_id string, turn_idx int, features array<string>")
+    got = [r.problem for r in K.channel_problems(evidence, turns, moments).orderBy("item").collect()]
+    assert got == [None, "timing_unsupported", None, "interaction_unsupported", None, None, "disfluency_unsupported", "lexical_needs_quote", None, "prosody_unsupported", "unknown_channel"]
 
 
 def test_ids_and_times(spark):

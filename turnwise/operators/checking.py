@@ -32,13 +32,19 @@ def meets(rows: DataFrame, spans: DataFrame, name: str = "overlapped", bin_secon
     return rows.join(hit, ["call_id", "turn_idx"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def span_kinds(words: Column, quote: Column) -> Column:
-    """Kinds of the words (array of norm, kind) that a normalised quote first covers; words without letters are passed over; none if it isn't there."""
-    told = F.filter(words, lambda w: w["norm"] != "")
-    tokens = F.filter(F.split(quote, " "), lambda t: t != "")
-    n = F.size(tokens)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(told) - n + 1, F.lit(1))), lambda i: F.slice(F.transform(told, lambda w: w["norm"]), i, F.greatest(n, F.lit(1))) == tokens)
-    return F.when((n > 0) & (F.size(starts) > 0), F.transform(F.slice(told, F.get(starts, 0), F.greatest(n, F.lit(1))), lambda w: w["kind"])).otherwise(F.array().cast("array<string>"))
+def stumbling_quotes(quotes: DataFrame, turns: DataFrame, least: int = 2) -> DataFrame:
+    """quotes (call_id, turn_idx, _q: normalised) with _stumbles: whether the words that the quote first covers have `least` disfluent ones.
+
+    turns: call_id, turn_idx, words (array of norm, kind); words without letters are passed over. Turns are met once for each of their quotes.
+    """
+    told = turns.select("call_id", "turn_idx", F.filter("words", lambda w: w["norm"] != "").alias("_told"))
+    told = told.select("call_id", "turn_idx", F.transform("_told", lambda w: w["norm"]).alias("_norms"), F.transform("_told", lambda w: w["kind"].isin(*DISFLUENT).cast("int")).alias("_off"))
+    both = quotes.join(told, ["call_id", "turn_idx"]).withColumn("_tokens", F.split("_q", " ")).withColumn("_k", F.size("_tokens"))
+    both = both.where("size(_norms) >= _k and array_contains(_norms, _tokens[0])")
+    starts = F.filter(F.sequence(F.lit(1), F.size("_norms") - F.col("_k") + 1), lambda i: F.slice("_norms", i, F.col("_k")) == F.col("_tokens"))
+    found = both.withColumn("_start", F.get(starts, 0)).where("_start is not null")
+    off = F.aggregate(F.slice("_off", F.col("_start"), F.col("_k")), F.lit(0), lambda a, x: a + x)
+    return found.select("call_id", "turn_idx", "_q", (off >= least).alias("_stumbles"))
 
 
 def channel_problems(evidence: DataFrame, turns: DataFrame, moments: DataFrame) -> DataFrame:
@@ -51,17 +57,17 @@ def channel_problems(evidence: DataFrame, turns: DataFrame, moments: DataFrame)
     cited = cited.groupBy("call_id", "claim", "item").agg(
         F.max(F.exists("features", lambda f: f.isNotNull() & (f != "medial_fillers"))).alias("_voice"), F.max(F.array_contains("features", "medial_fillers")).alias("_filled"),
     )
-    both = evidence.join(turns, ["call_id", "turn_idx"]).join(cited, ["call_id", "claim", "item"], "left")
+    asked = evidence.withColumn("_q", F.when(F.col("channel") == "disfluency", normalised(F.coalesce("quote", F.lit("")))))
+    stumbling = stumbling_quotes(asked.where("_q <> ''").select("call_id", "turn_idx", "_q").distinct(), turns)
+    both = asked.join(turns.drop("words"), ["call_id", "turn_idx"]).join(cited, ["call_id", "claim", "item"], "left").join(stumbling, ["call_id", "turn_idx", "_q"], "left")
     no = F.lit(False)
-    kinds = span_kinds(F.col("words"), normalised(F.coalesce("quote", F.lit(""))))
     late = (F.col("reply_latency") >= GAP_SECONDS) & (F.col("median_latency") > 0) & (F.col("reply_latency") >= GAP_TIMES * F.col("median_latency"))
     still = F.exists("pauses", lambda p: p >= PAUSE_SECONDS)
-    stumbles = F.size(F.filter(kinds, lambda k: k.isin(*DISFLUENT))) >= 2
     over = F.coalesce("description", F.lit("")).rlike(OVERLAP_WORDS)
     channel = F.col("channel")
     problem = (
         F.when((channel == "prosody") & ~F.coalesce("_voice", no), "prosody_unsupported")
-        .when((channel == "disfluency") & ~(F.coalesce("_filled", no) | F.coalesce(stumbles, no)), "disfluency_unsupported")
+        .when((channel == "disfluency") & ~(F.coalesce("_filled", no) | F.coalesce("_stumbles", no)), "disfluency_unsupported")
         .when((channel == "timing") & ~(F.coalesce(late, no) | F.coalesce(still, no)), "timing_unsupported")
         .when((channel == "lexical") & ~F.coalesce("matched", no), "lexical_needs_quote")
         .when((channel == "interaction") & over & ~F.col("overlapped"), "interaction_unsupported")

@@ -16,12 +16,15 @@ def check_evidence(evidence: DataFrame, turns: DataFrame, longest_quote: int = 2
 
     turn_missing, wrong_speaker, quote_too_long or quote_mismatch; an empty quote is no mismatch.
     """
-    known = turns.select("call_id", "turn_idx", F.col("speaker").alias("_who"), normalised(F.col("text")).alias("_text"))
-    joined = evidence.join(known, ["call_id", "turn_idx"], "left")
-    quote = normalised(F.coalesce("quote", F.lit("")))
+    known = turns.select("call_id", "turn_idx", F.col("speaker").alias("_who"))
+    asked = evidence.withColumn("_q", normalised(F.coalesce("quote", F.lit(""))))
+    # texts meet each different quote of a turn once, and lines only what came of it
+    said = asked.where("_q <> ''").select("call_id", "turn_idx", "_q").distinct().join(turns.select("call_id", "turn_idx", normalised(F.col("text")).alias("_text")), ["call_id", "turn_idx"])
+    said = said.select("call_id", "turn_idx", "_q", holds(F.col("_text"), F.col("_q")).alias("_held"))
+    joined = asked.join(known, ["call_id", "turn_idx"], "left").join(said, ["call_id", "turn_idx", "_q"], "left")
     long_ = F.size(F.filter(F.split(F.coalesce("quote", F.lit("")), r"[ \t\n]+"), lambda w: w != "")) > longest_quote
-    problem = F.when(F.col("_who").isNull(), "turn_missing").when(F.col("_who") != F.col("claim_speaker"), "wrong_speaker").when(long_, "quote_too_long").when((quote != "") & ~holds(F.col("_text"), quote), "quote_mismatch")
-    return joined.withColumn("problem", problem).drop("_who", "_text")
+    problem = F.when(F.col("_who").isNull(), "turn_missing").when(F.col("_who") != F.col("claim_speaker"), "wrong_speaker").when(long_, "quote_too_long").when((F.col("_q") != "") & ~F.col("_held"), "quote_mismatch")
+    return joined.withColumn("problem", problem).select(*evidence.columns, "problem")
 
 
 def claim_reasons(claims: DataFrame, evidence: DataFrame, showable: list[str], banned: str) -> DataFrame:
