@@ -395,7 +395,8 @@ def repeated_passages(
     copied = kept(ids.join(copies, "t").where("id <> least").select("id", "t", "least").distinct())
     links = _joined(_windows(texts, width, ngram, hashes))
     # a copy's windows count as those of its first copy
-    first_copy = copied.groupBy("id").agg(F.min("least").alias("least"))
+    first_copy = kept(copied.groupBy("id").agg(F.min("least").alias("least")))
+    first_copy = F.broadcast(first_copy) if first_copy.count() <= HELD_IDS else first_copy
     links = links.join(first_copy, "id", "left").withColumn("id", F.coalesce("least", "id")).drop("least")
     links = links.join(first_copy.withColumnRenamed("id", "to_id"), "to_id", "left").withColumn("to_id", F.coalesce("least", "to_id")).drop("least").select("key", "id", "span", "to_id", "to_span")
     found = opened = None
