@@ -40,7 +40,7 @@ def _cited(spark, sf_dir):
     wn AS (SELECT call_id, turn_idx, list_filter(ws, lambda w: w.n <> '') AS ws FROM wl),
     j AS (SELECT ev.*, cv.turn_idx % 5 = 0 AS still, cv.turn_idx % 4 * 1.5 AS late, cv.turn_idx % 3 = 0 AS over, CASE WHEN quoted THEN cv.two ELSE '' END AS quote, string_split(CASE WHEN quoted THEN {NORM_SQL.replace('{t}', 'cv.two')} ELSE '' END, ' ') AS tk,
         coalesce(wn.ws, []) AS ws, ev.moment = 'M' || (ev.turn_idx % 4) AS here FROM ev JOIN cv USING (call_id, turn_idx) LEFT JOIN wn USING (call_id, turn_idx)),
-    h AS (SELECT *, list_filter(range(1, len(ws) - len(tk) + 2), lambda i: list_transform(ws[i:i + len(tk) - 1], lambda w: w.n) = tk) AS hits FROM j)
+    h AS (SELECT *, CASE WHEN channel = 'disfluency' AND tk <> [''] THEN list_filter(range(1, len(ws) - len(tk) + 2), lambda i: list_transform(ws[i:i + len(tk) - 1], lambda w: w.n) = tk) ELSE [] END AS hits FROM j)
     SELECT call_id, claim, item, CASE WHEN channel = 'prosody' AND NOT (here AND turn_idx % 3 = 1) THEN 'prosody_unsupported'
         WHEN channel = 'disfluency' AND NOT ((here AND turn_idx % 3 = 0) OR (tk <> [''] AND len(hits) > 0 AND len(list_filter(ws[hits[1]:hits[1] + len(tk) - 1], lambda w: w.k IN ('filler', 'cutoff', 'repetition'))) >= 2)) THEN 'disfluency_unsupported'
         WHEN channel = 'timing' AND NOT ((late >= 2.0 AND late >= 3 * 0.9) OR still) THEN 'timing_unsupported' WHEN channel = 'lexical' AND NOT quoted THEN 'lexical_needs_quote'
