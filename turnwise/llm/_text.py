@@ -24,6 +24,9 @@ _ROW[~_WORD] = 0
 _LETTERS = _WORD.copy()
 _LETTERS[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 _ROW_LETTERS = np.where(_LETTERS, _ROW, _U(0))
+#: Digits, letters and all bytes beyond ASCII, for word_hashes(only=TERMS): words of lexical search.
+TERMS = _LETTERS.copy()
+TERMS[[*range(0x30), 0x7F]] = False
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _GRAM = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
@@ -72,15 +75,18 @@ def slices(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         low = high
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, ends: bool = False, letters: bool = False) -> tuple[np.ndarray, ...]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, ends: bool = False, letters: bool = False, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Hashes of all words, the word range of each row, the first byte of each word (and its end).
 
-    letters: ASCII signs other than the apostrophe end a word too.
+    letters: ASCII signs other than the apostrophe end a word too. only: a table of 256 that says which bytes belong to words.
     """
+    table, row = (_LETTERS, _ROW_LETTERS) if letters else (_WORD, _ROW)
+    if only is not None:
+        table, row = only, np.where(only, _ROW, _U(0))
     if not len(data):
         none = np.zeros(0, np.int64)
         return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none) + ((none,) if ends else ())
-    inside = (_LETTERS if letters else _WORD)[data]
+    inside = table[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     rows = offsets[:-1][offsets[:-1] < len(data)]
@@ -93,7 +99,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, ends: bool = False, lette
         at, to = int(starts[low]), int(starts[high]) if high < len(starts) else len(data)
         power, inverse = _powers(to - at)
         here = starts[low:high] - at
-        out[low:high] = np.add.reduceat((_ROW_LETTERS if letters else _ROW)[data[at:to]] * power[: to - at], here) * inverse[here]
+        out[low:high] = np.add.reduceat(row[data[at:to]] * power[: to - at], here) * inverse[here]
         low = high
     bounds = np.searchsorted(starts, offsets)
     if not ends:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnwise.llm import decontamination, jaccard_join, maxent_lm, packing, quality_rules, substring_dedup, token_counts, topk, toxicity, url_filter
+from turnwise.llm import collocations, decontamination, jaccard_join, lexical_search, maxent_lm, packing, quality_rules, substring_dedup, token_counts, topk, toxicity, url_filter
 
 RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
 
@@ -60,7 +60,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_decontamination, op3_quality_rules, op4_toxicity, op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_decontamination, op3_quality_rules, op4_toxicity, op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing, op12_lexical_search, op13_collocations)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
@@ -79,4 +87,32 @@ ORACLE_SQL = {
                      row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
               FROM p LEFT JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT count(*) AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        x AS (SELECT item_id, doc_id, sum(CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll))))::BIGINT AS score
+              FROM q JOIN f USING (term) JOIN t USING (term), s GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w, count(*) AS m FROM p GROUP BY ALL),
+        g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(list_slice(w, i, i + size - 1), ' '))) AS phrase, m
+              FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size),
+        c AS (SELECT lang, phrase, size, sum(m)::HUGEINT AS a FROM g GROUP BY ALL HAVING sum(m) >= 30),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM (SELECT lang, sum(m) AS a FROM g WHERE size = 1 GROUP BY lang, phrase) GROUP BY lang),
+        b AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w FROM c WHERE size > 1),
+        k AS (SELECT *, unnest(range(1, size)) AS k FROM b),
+        s AS (SELECT k.lang, k.phrase, k.size, k.a, k.k, x.a AS l, y.a AS r, (2000000 * k.a) // (x.a + y.a) AS score FROM k
+              JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(list_slice(k.w, 1, k.k), ' ')
+              JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(list_slice(k.w, k.k + 1, k.size), ' ')),
+        o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS phrase, max(a) AS longer
+              FROM (SELECT b.lang, b.w, b.a, z.size, unnest(range(1, b.size - z.size + 2)) AS pos FROM b JOIN (SELECT unnest([2, 3]) AS size) z ON z.size < b.size) GROUP BY ALL),
+        e AS (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, score
+              FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = o.lang AND i.phrase = o.phrase AND 100 * i.longer >= 80 * o.a))
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM e JOIN n USING (lang) WHERE rank <= 2000""",
 }
