@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnwise.llm import collocations, decontamination, jaccard_join, lexical_search, maxent_lm, packing, quality_rules, substring_dedup, token_counts, topk, toxicity, url_filter
+from turnwise.llm import collocations, decontamination, html_extraction, jaccard_join, lexical_search, maxent_lm, packing, quality_rules, substring_dedup, token_counts, topk, toxicity, url_filter
 
 RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
 
@@ -60,6 +60,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +72,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_decontamination, op3_quality_rules, op4_toxicity, op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing, op12_lexical_search, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_maxent_lm, op2_decontamination, op3_quality_rules, op4_toxicity, op5_exact_topk, op6_url_filter, op7_substring_dedup, op8_jaccard_join, op9_token_counts, op10_packing, op11_html_extraction, op12_lexical_search, op13_collocations)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
