@@ -1,36 +1,120 @@
-"""Alignment of two word streams of a call, for merging a verbatim transcript into a recognised one."""
+"""Alignment of two word streams of a call, without a call in one group.
+
+Large calls are cut at anchors first: words that both streams hold once, of which the longest chain that rises in both is
+kept. Pieces between anchors that are too large still are cut again, by words that are single within them, and where there
+are none by time. Each piece is bounded, and aligned by a dynamic program: the most equal words, then the closest in time.
+"""
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+from turnwise.operators.storing import kept
+
+#: Cells of a piece's table (words of one side times the other's), and words of a piece that is cut by time.
+CELLS, A_SLICE = 160_000, 600
+#: Words further apart in time count as this far when ties are broken.
+FAR_SECONDS = 5.0
+
+
+def longest_rise(values: list[int]) -> list[int]:
+    """Places of a longest rising subsequence."""
+    tops: list[int] = []
+    at: list[int] = []
+    behind: list[int] = []
+    for k, v in enumerate(values):
+        pile = bisect_left(tops, v)
+        behind.append(at[pile - 1] if pile else -1)
+        if pile == len(tops):
+            tops.append(v)
+            at.append(k)
+        else:
+            tops[pile], at[pile] = v, k
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(k)
+        k = behind[k]
+    return out[::-1]
+
+
+def best_pairs(a: list[str], b: list[str], times_a: np.ndarray, times_b: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j), rising in both, of the most equal words; of such, those closest in time, to the millisecond; of such, those that end first."""
+    _, codes = np.unique(np.array([*a, *b], object).astype(str), return_inverse=True)
+    left, right = codes[: len(a)], codes[len(a) :]
+    apart = np.rint(1000 * np.minimum(np.nan_to_num(np.abs(times_a[:, None] - times_b[None, :]), nan=FAR_SECONDS), FAR_SECONDS)).astype(np.int64)
+    gain = np.where(left[:, None] == right[None, :], int(1000 * FAR_SECONDS) * (min(len(a), len(b)) + 1) - apart, 0)
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    for i in range(len(a)):
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(gain[i] > 0, table[i, :-1] + gain[i], 0)))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _anchors(table: pa.Table) -> pa.Table:
+    order = np.argsort(table.column("i").to_numpy())
+    i, j = table.column("i").to_numpy()[order], table.column("j").to_numpy()[order]
+    keep = longest_rise(j.tolist())
+    return pa.table({"call_id": table.column("call_id").take(pa.array(order[keep], pa.int64())), "i": i[keep], "j": j[keep]})
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
 
+def _piece(table: pa.Table) -> pa.Table:
+    side, at = table.column("side").to_numpy(), table.column("at").to_numpy()
+    order = np.lexsort((at, side))
+    first = int((side == 0).sum())
+    words = [table.column("key")[int(k)].as_py() for k in order]
+    times = table.column("t").to_numpy()[order]
+    found = best_pairs(words[:first], words[first:], times[:first], times[first:])
+    i, j = (np.array([p[s] for p in found], np.int64) for s in (0, 1))
+    return pa.table({"call_id": table.column("call_id").take(pa.array(np.zeros(len(found), np.int64))), "i": at[order][i], "j": at[order][first:][j]})
 
-def opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
 
+def word_pairs(left: DataFrame, right: DataFrame, cells: int = CELLS, a_slice: int = A_SLICE) -> DataFrame:
+    """(call_id, i, j): which word of left is which of right; each word once at most, rising in both.
 
-def aligned(recognised: DataFrame, verbatim: DataFrame, order: str = "place", word: str = "word") -> DataFrame:
-    """(call_id, source, place, word, kind) of the merged stream: what both have, what only the verbatim one has (inserted),
-    and recognised words without a counterpart (kept). Sequential within a call, so a call is one task's work; calls are many.
+    left, right: call_id, at (the word's place in its call's stream), key (words are equal by it), t (seconds, nullable).
+    Calls of one side, empty tables and null keys (equal to nothing) have no pairs. A call within `cells` is aligned whole.
     """
-    rows = recognised.select("call_id", F.lit("recognised").alias("source"), F.col(order).cast("long").alias("place"), F.col(word).alias("word")).union(verbatim.select("call_id", F.lit("verbatim").alias("source"), F.col(order).cast("long").alias("place"), F.col(word).alias("word")))
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place", kind="stable")
-        a, b = (frame[frame["source"] == s] for s in ("recognised", "verbatim"))
-        plain = [[str(w).lower().strip(".,!?;:") for w in x["word"]] for x in (a, b)]
-        out = []
-        for tag, i, j, k, m in opcodes(*plain):
-            if tag in ("insert", "replace"):
-                out += [(frame["call_id"].iloc[0], "verbatim", int(p), w, "inserted" if tag == "insert" else "replacing") for p, w in zip(b["place"][k:m], b["word"][k:m])]
-            elif tag == "equal":
-                out += [(frame["call_id"].iloc[0], "recognised", int(p), w, "both") for p, w in zip(a["place"][i:j], a["word"][i:j])]
-            else:
-                out += [(frame["call_id"].iloc[0], "recognised", int(p), w, "kept") for p, w in zip(a["place"][i:j], a["word"][i:j])]
-        return pd.DataFrame(out, columns=["call_id", "source", "place", "word", "kind"])
-
-    kind = recognised.schema["call_id"].dataType.simpleString()
-    return rows.groupBy("call_id").applyInPandas(merge, f"call_id {kind}, source string, place long, word string, kind string")
+    kind = left.schema["call_id"].dataType.simpleString()
+    pair = f"call_id {kind}, i bigint, j bigint"
+    side = lambda df, n: df.where("key is not null").select("call_id", F.lit(n).alias("side"), F.col("at").cast("long").alias("at"), "key", F.col("t").cast("double").alias("t"))
+    stream = Window.partitionBy("call_id", "side").orderBy("at")
+    # times that never fall along a stream, so that cuts by time cut both streams
+    rows = side(left, 0).union(side(right, 1)).withColumn("ever", F.coalesce(F.max("t").over(stream.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).withColumn("piece", F.lit(0).cast("long"))
+    rows, found, cuts = kept(rows), [], 0
+    while True:
+        sizes = rows.groupBy("call_id", "piece").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where("n0 > 0 and n1 > 0")
+        rows = rows.join(sizes, ["call_id", "piece"])
+        small = rows.where(F.col("n0") * F.col("n1") <= cells)
+        found.append(small.select("call_id", "piece", "side", "at", "key", "t").groupBy("call_id", "piece").applyInArrow(_piece, pair))
+        rows = kept(rows.where(F.col("n0") * F.col("n1") > cells).drop("n0", "n1"))
+        if rows.isEmpty():
+            break
+        single = rows.groupBy("call_id", "piece", "key").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"), F.max(F.when(F.col("side") == 0, F.col("at"))).alias("i"), F.max(F.when(F.col("side") == 1, F.col("at"))).alias("j")).where("a = 1 and b = 1")
+        chain = kept(single.select("call_id", "piece", "i", "j").groupBy("call_id", "piece").applyInArrow(_anchors, pair))
+        found.append(chain)
+        marks = chain.select("call_id", F.lit(0).alias("side"), F.col("i").alias("at")).union(chain.select("call_id", F.lit(1).alias("side"), F.col("j").alias("at"))).withColumn("mark", F.lit(1))
+        marked = rows.join(marks, ["call_id", "side", "at"], "left")
+        before = F.count("mark").over(Window.partitionBy("call_id", "piece", "side").orderBy("at"))
+        cut = marked.withColumn("cut", before).where("mark is null").drop("mark")
+        # a piece without an anchor, cut by time
+        whole = Window.partitionBy("call_id", "piece")
+        by_time = F.floor((F.row_number().over(whole.orderBy("ever", "side", "at")) - 1) / a_slice)
+        cut = cut.withColumn("any", F.max("cut").over(whole)).withColumn("cut", F.when(F.col("any") > 0, F.col("cut")).otherwise(by_time)).drop("any")
+        cuts += 1
+        rows = kept(cut.withColumn("piece", F.xxhash64("piece", "cut", F.lit(cuts))).drop("cut"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.functions.lexicons import BANNED, NOT_NAMES
-from turnwise.functions.text import normalised
+from turnwise.functions.text import json_object, normalised
 
 # fixed values: what an interaction claim says of an overlap, how long a telling gap is, and how many times the usual one
 OVERLAP_WORDS = r"(?i)\b(?:overlap\w*|interrupt\w*|floor|talks? over|talked over|cuts? in|cut in)\b"
@@ -202,13 +202,16 @@ def reading_key(evidence: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge_replies(replies: DataFrame, reply: str = "reply", swapped: str = "swapped") -> DataFrame:
-    """The columns of replies with prefer (A, B or tie, as if not swapped) and problem: not JSON, a dimension without a number, or no such preference."""
-    side = "struct<" + ",".join(f"{d}:string" for d in DIMENSIONS) + ">"
-    said = F.from_json(F.col(reply), f"A {side}, B {side}, prefer string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    number = lambda s, d: F.coalesce(F.col(f"_said.{s}.{d}").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), F.lit(False))
+    """The columns of replies with prefer (A, B or tie, as if not swapped) and problem: not JSON, a dimension without a number, or no such preference.
+
+    Code fences and what stands around the outermost braces go first. A number in quotes is none; true and false count as numbers.
+    """
+    said = F.try_parse_json(json_object(F.col(reply)))
+    kind = lambda s, d: F.schema_of_variant(F.try_variant_get("_said", f"$.{s}.{d}", "variant"))
+    number = lambda s, d: F.coalesce(kind(s, d).rlike(r"^(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)$"), F.lit(False))
     missing = F.filter(F.array(*(F.when(~number(s, d), F.lit(f"missing score {s}.{d}")) for s in "AB" for d in DIMENSIONS)), lambda x: x.isNotNull())
-    prefer = F.col("_said.prefer")
-    problem = F.when(F.col("_said").isNull() | F.col("_said._bad").isNotNull(), "not JSON").when(F.size(missing) > 0, F.get(missing, 0)).when(~F.coalesce(prefer.isin("A", "B", "tie"), F.lit(False)), "prefer must be A, B or tie")
+    prefer = F.when(F.schema_of_variant(F.try_variant_get("_said", "$.prefer", "variant")) == "STRING", F.try_variant_get("_said", "$.prefer", "string"))
+    problem = F.when(F.col("_said").isNull(), "not JSON").when(F.size(missing) > 0, F.get(missing, 0)).when(~F.coalesce(prefer.isin("A", "B", "tie"), F.lit(False)), "prefer must be A, B or tie")
     turned = F.when(~F.col(swapped) | (prefer == "tie"), prefer).when(prefer == "A", "B").otherwise("A")
     return replies.withColumn("_said", said).withColumn("problem", problem).withColumn("prefer", F.when(F.col("problem").isNull(), turned)).drop("_said")
 

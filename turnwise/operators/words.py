@@ -5,6 +5,8 @@ Words have call_id, turn_idx (or seg_idx), word_idx, word, start_s and end_s; ki
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.functions.numbers import rounded
@@ -74,11 +76,12 @@ def disfluency(words: DataFrame) -> DataFrame:
     )
 
 
-def without_loops(words: DataFrame, most: int = 4) -> DataFrame:
-    """Drop what a decoder repeats: the same word with a kind goes from its fifth in a row."""
-    order = Window.partitionBy("call_id").orderBy("turn_idx", "word_idx")
-    runs = islands(words, F.col("kind").isNull() | (F.lower("word") != F.lag(F.lower("word")).over(order)), ["turn_idx", "word_idx"], name="_run")
-    place = F.row_number().over(Window.partitionBy("call_id", "_run").orderBy("turn_idx", "word_idx"))
+def without_loops(words: DataFrame, most: int = 4, keys: Sequence[str] = ("call_id",), order: Sequence[str] = ("turn_idx", "word_idx"), key: str | None = None) -> DataFrame:
+    """Drop what a decoder repeats: the same word with a kind goes from its fifth in a row. key: the column by which words are equal (lower case, if none is given)."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    same = F.col(key) if key else F.lower("word")
+    runs = islands(words, F.col("kind").isNull() | (same != F.lag(same).over(window)), list(order), tuple(keys), "_run")
+    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order))
     return runs.withColumn("_place", place).where(F.col("_place") <= most).drop("_run", "_place")
 
 
@@ -90,15 +93,15 @@ def speaker_runs(words: DataFrame) -> DataFrame:
     return runs.groupBy("call_id", "run").agg(F.min("speaker").alias("speaker"), F.count("*").alias("words"), said.alias("text"))
 
 
-def filled_owners(words: DataFrame, farthest: float = 5.0) -> DataFrame:
-    """Words without an owner take the nearest owner in the call's order (before, on a tie); none within `farthest`: dropped."""
-    order = Window.partitionBy("call_id").orderBy("turn_idx", "word_idx")
-    back, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+def filled_owners(words: DataFrame, farthest: float = 5.0, order: Sequence[str] = ("turn_idx", "word_idx")) -> DataFrame:
+    """Words without an owner take that of both neighbours with one, or of the nearer (the next, on a tie); over `farthest` from both: dropped."""
+    past = (Window.unboundedPreceding, -1)
+    on, back = Window.partitionBy("call_id").orderBy(*order).rowsBetween(*past), Window.partitionBy("call_id").orderBy(*(F.col(c).desc() for c in order)).rowsBetween(*past)
     owned = F.when(F.col("owner").isNotNull(), F.struct("owner", "start_s", "end_s"))
-    seen = words.withColumn("_b", F.last(owned, ignorenulls=True).over(back)).withColumn("_a", F.first(owned, ignorenulls=True).over(on))
+    seen = words.withColumn("_b", F.last(owned, ignorenulls=True).over(on)).withColumn("_a", F.last(owned, ignorenulls=True).over(back))
     far = F.lit(float("inf"))
     to_before, to_after = F.coalesce(F.col("start_s") - F.col("_b.end_s"), far), F.coalesce(F.col("_a.start_s") - F.col("end_s"), far)
-    nearest = F.when(F.least(to_before, to_after) > farthest, F.lit(None)).when(to_before <= to_after, F.col("_b.owner")).otherwise(F.col("_a.owner"))
+    nearest = F.when(F.col("_b.owner") == F.col("_a.owner"), F.col("_b.owner")).when(F.least(to_before, to_after) > farthest, F.lit(None)).when(to_before < to_after, F.col("_b.owner")).otherwise(F.col("_a.owner"))
     return seen.withColumn("owner", F.coalesce("owner", nearest)).where("owner is not null").drop("_a", "_b")
 
 

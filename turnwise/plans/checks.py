@@ -195,14 +195,20 @@ def reading_key(spark, sf_dir):
     return K.reading_key(evidence, ["claim"]).select("claim", F.array_join(F.col("turns").cast("array<string>"), ",").alias("turns"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS swapped, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'A' END AS p, o_custkey % 5 = 0 AS short, o_orderkey % 13 = 0 AS broken FROM orders)
-    SELECT o_orderkey, CASE WHEN broken THEN 'not JSON' WHEN short THEN 'missing score B.tone' WHEN p IS NULL OR p = 'C' THEN 'prefer must be A, B or tie' END AS problem,
-        CASE WHEN NOT broken AND NOT short AND p IN ('A', 'B') THEN CASE WHEN swapped THEN CASE p WHEN 'A' THEN 'B' ELSE 'A' END ELSE p END END AS prefer FROM r""")
-def judge_agreement(spark, sf_dir):
+#: the fifth score of B by o_custkey % 5: a number in each JSON form, a number in quotes, a list, null
+TONES = ("2", "-0.5e1", '"4"', "[3]", "null")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS swapped, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'tie' ELSE 'A' END AS p, o_custkey % 5 >= 2 AS short, o_orderkey % 13 = 0 AS broken, o_orderkey % 17 = 0 AS half FROM orders)
+    SELECT o_orderkey, CASE WHEN broken THEN 'not JSON' WHEN half THEN 'missing score A.faithfulness' WHEN short THEN 'missing score B.tone' WHEN p IS NULL OR p = 'C' THEN 'prefer must be A, B or tie' END AS problem,
+        CASE WHEN NOT broken AND NOT half AND NOT short AND p IN ('A', 'B', 'tie') THEN CASE WHEN swapped THEN CASE p WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' ELSE p END ELSE p END END AS prefer FROM r""")
+def judge_replies(spark, sf_dir):
     scores = '{"faithfulness": 4, "usefulness": 3.5, "non_obviousness": 1, "over_reach": 0, "tone": '
-    prefer = F.when(F.col("o_custkey") % 6 == 0, "").when(F.col("o_custkey") % 6 == 1, ', "prefer": "B"').when(F.col("o_custkey") % 6 == 2, ', "prefer": "C"').otherwise(', "prefer": "A"')
-    reply = F.concat(F.lit('{"A": ' + scores + '5}, "B": ' + scores), F.when(F.col("o_custkey") % 5 == 0, '"good"}').otherwise("2}"), prefer, F.lit("}"))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, "no reply {").otherwise(reply).alias("reply"), (F.col("o_orderkey") % 2 == 0).alias("swapped"))
+    tone = F.element_at(F.array(*map(F.lit, TONES)), (F.col("o_custkey") % 5 + 1).cast("int"))
+    prefer = F.element_at(F.array(*map(F.lit, ("", ', "prefer": "B"', ', "prefer": "C"', ', "prefer": "tie"', ', "prefer": "A"', ', "prefer": "A"'))), (F.col("o_custkey") % 6 + 1).cast("int"))
+    both = F.concat(F.lit('{"A": ' + scores + '5}, "B": ' + scores), tone, F.lit("}"), prefer, F.lit("}"))
+    reply = F.when(F.col("o_orderkey") % 13 == 0, "no reply {").when(F.col("o_orderkey") % 17 == 0, '{"A": 3, "prefer": "A"}').otherwise(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), both, F.lit("\n```"))).otherwise(both))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", reply.alias("reply"), (F.col("o_orderkey") % 2 == 0).alias("swapped"))
     return K.judge_replies(rows).select("o_orderkey", "problem", "prefer")
 
 

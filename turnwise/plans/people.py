@@ -92,7 +92,7 @@ def split_by_speaker(spark, sf_dir):
     n AS (SELECT *, last_value(CASE WHEN owner IS NOT NULL THEN {{'o': owner, 't': end_s}} END IGNORE NULLS) OVER (PARTITION BY call_id ORDER BY turn_idx, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
           first_value(CASE WHEN owner IS NOT NULL THEN {{'o': owner, 't': start_s}} END IGNORE NULLS) OVER (PARTITION BY call_id ORDER BY turn_idx, word_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM o),
     m AS (SELECT *, coalesce(start_s - b.t, 1e300) AS db, coalesce(a.t - end_s, 1e300) AS da FROM n),
-    r AS (SELECT *, coalesce(owner, CASE WHEN least(db, da) > 5.0 THEN NULL WHEN db <= da THEN b.o ELSE a.o END) AS own FROM m)
+    r AS (SELECT *, coalesce(owner, CASE WHEN b.o = a.o THEN b.o WHEN least(db, da) > 5.0 THEN NULL WHEN db < da THEN b.o ELSE a.o END) AS own FROM m)
     SELECT call_id, turn_idx, word_idx, own AS owner FROM r WHERE own IS NOT NULL""")
 def owner_fill(spark, sf_dir):
     rows = words(spark, sf_dir).withColumn("owner", F.when(F.length("word") % 3 == 0, F.col("turn_idx")))

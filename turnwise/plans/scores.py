@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from turnwise.functions.numbers import rounded
-from turnwise.operators import aligning, baselines as B, calls as C, rendering as R, scores as X, segments as S, words as W
+from turnwise.operators import baselines as B, calls as C, rendering as R, scores as X, segments as S, words as W
 from turnwise.plans.people import KIND_SQL
 from turnwise.plans.segments import TURNS_SQL, _turns
 from turnwise.plans.signals import FRAMES_SQL, _frames
@@ -104,9 +104,3 @@ def time_to_x(spark, sf_dir):
     x = rounded(F.least(F.greatest(F.col("value") / 120.0, F.lit(0.0)), F.lit(1.0)) * 1000, 1)
     hit = F.when(F.col("value") < 5, "pin").when(F.col("value") < 60, "tick").otherwise("silence")
     return read(spark, sf_dir, "events").select("event_id", x.alias("x"), hit.alias("hit"))
-
-
-@query()
-def verbatim_align(spark, sf_dir):
-    rows = words(spark, sf_dir).withColumn("place", F.col("turn_idx") * 100_000 + F.col("word_idx"))
-    return aligning.aligned(rows.where("length(word) % 11 <> 0"), rows.where("length(word) % 13 <> 0"))

@@ -11,9 +11,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its own name."""
+    """Register a function of (spark, sf_dir) under its own name, which must be new."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
