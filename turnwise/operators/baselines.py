@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.functions.lexicons import NOTES
 from turnwise.functions.numbers import exclusive_quartile, quartile_range, rounded, sorted_median, z_score
+from turnwise.operators.ranking import held, selected
+from turnwise.operators.storing import kept
 
 LEAST, BEHIND, NOTABLE = 12, 30, 1.5
 
@@ -17,24 +19,62 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def references(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+#: Values of a series whose median one task takes; larger ones are selected by rank.
+HELD_VALUES = 1_000_000
+
+
+def references(rows: DataFrame, keys: list[str], value: str = "value", held_values: int = HELD_VALUES) -> DataFrame:
     """median, scale, mad and n of each group: the median of a window, then that of the deviations, so no group is gathered.
 
-    Quartiles are needed only where the median deviation is 0; they are taken from the ranks of those groups.
+    Quartiles are needed only where the median deviation is 0; they are taken from the ranks of those groups. Groups of more than
+    held_values values are taken out and their medians and quartiles selected by rank, so that no task has such a group.
     """
-    by = Window.partitionBy(*keys)
     clean = rows.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_x"))
+    hot = kept(clean.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > held_values))
+    if hot.isEmpty():
+        return _named(_window_references(clean, keys), keys)
+    few = held(hot.select(*keys))
+    return _named(_window_references(clean.join(few, keys, "left_anti"), keys).unionByName(_ranked_references(clean.join(few, keys), hot, keys)), keys)
+
+
+def _named(base: DataFrame, keys: list[str]) -> DataFrame:
+    scale = F.when(F.col("_mad") * 1.4826 > 0, F.col("_mad") * 1.4826).otherwise(F.coalesce("_iqr", F.lit(0.0)))
+    return base.where("n >= 2").select(*keys, rounded("_c", 3).alias("median"), rounded(scale, 4).alias("scale"), rounded("_mad", 4).alias("mad"), "n")
+
+
+def _quartile_place(n: Column, i: int) -> tuple[Column, Column]:
+    """The rank (from 1) below quartile i by the exclusive method, and how many fourths beyond it the quartile lies."""
+    at = F.greatest(F.lit(1), F.least(n - 1, F.floor(F.lit(i) * (n + 1) / 4)))
+    return at, F.lit(i) * (n + 1) - 4 * at
+
+
+def _ranked_references(clean: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, _c, _mad, _iqr) of the groups of hot (keys, n), by selection."""
+    n = F.col("n")
+    q1, q3 = _quartile_place(n, 1), _quartile_place(n, 3)
+    middle = F.array(F.floor((n - 1) / 2), F.floor(n / 2))
+    asked = hot.select(*keys, F.explode(F.concat(middle, *(F.array(q[0] - 1, q[0]) for q in (q1, q3)))).alias("rank"))
+    at = lambda found, k: F.max(F.when(F.col("rank") == k, F.col("value"))).alias(found)
+    wanted = hot.join(selected(clean, keys, "_x", asked), keys).groupBy(*keys, "n").agg(at("_m1", middle[0]), at("_m2", middle[1]), *(at(f"_{name}{j}", q[0] - 1 + j) for name, q in (("a", q1), ("b", q3)) for j in (0, 1)))
+    quartile = lambda name, q: (F.col(f"_{name}0") * (4 - q[1]) + F.col(f"_{name}1") * q[1]) / 4.0
+    base = kept(wanted.select(*keys, "n", ((F.col("_m1") + F.col("_m2")) / 2).alias("_c"), F.greatest((quartile("b", q3) - quartile("a", q1)) / 1.349, F.lit(0.0)).alias("_iqr")))
+    apart = clean.join(held(base.select(*keys, "_c")), keys).select(*keys, F.abs(F.col("_x") - F.col("_c")).alias("_d"))
+    spread = selected(apart, keys, "_d", hot.select(*keys, F.explode(middle).alias("rank")))
+    mad = hot.join(spread, keys).groupBy(*keys).agg(((F.max(F.when(F.col("rank") == middle[0], F.col("value"))) + F.max(F.when(F.col("rank") == middle[1], F.col("value")))) / 2).alias("_mad"))
+    return base.join(mad, keys).select(*keys, "n", "_c", "_mad", "_iqr")
+
+
+def _window_references(clean: DataFrame, keys: list[str]) -> DataFrame:
+    by = Window.partitionBy(*keys)
     centred = clean.withColumn("_c", F.median("_x").over(by))
     base = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.first("_c").alias("_c"), F.median(F.abs(F.col("_x") - F.col("_c"))).alias("_mad"))
     flat = base.where("_mad <= 0").select(*keys, F.col("n").alias("_n"))
     ranked = clean.join(flat, keys).withColumn("_k", F.row_number().over(by.orderBy("_x")))
-    at = lambda i: F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.lit(i) * (F.col("_n") + 1) / 4)))
-    pick = lambda i, k: F.max(F.when(F.col("_k") == at(i) + k, F.col("_x")))
-    rest = lambda i: F.lit(i) * (F.col("_n") + 1) - 4 * at(i)
-    quartile = lambda i: (pick(i, 0) * (4 - F.max(rest(i))) + pick(i, 1) * F.max(rest(i))) / 4.0
+    places = {i: _quartile_place(F.col("_n"), i) for i in (1, 3)}
+    pick = lambda i, k: F.max(F.when(F.col("_k") == places[i][0] + k, F.col("_x")))
+    quartile = lambda i: (pick(i, 0) * (4 - F.max(places[i][1])) + pick(i, 1) * F.max(places[i][1])) / 4.0
     ranges = ranked.groupBy(*keys).agg(F.greatest((quartile(3) - quartile(1)) / 1.349, F.lit(0.0)).alias("_iqr"))
-    scale = F.when(F.col("_mad") * 1.4826 > 0, F.col("_mad") * 1.4826).otherwise(F.coalesce("_iqr", F.lit(0.0)))
-    return base.join(ranges, keys, "left").where("n >= 2").select(*keys, rounded("_c", 3).alias("median"), rounded(scale, 4).alias("scale"), rounded("_mad", 4).alias("mad"), "n")
+    return base.join(ranges, keys, "left").select(*keys, "n", "_c", "_mad", "_iqr")
 
 
 def quartile_scales(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from turnwise.functions.numbers import rounded
+from turnwise.operators.ranking import running_sums
 
 
 def group_metrics(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,10 +46,9 @@ def class_scores(rows: DataFrame, gold: str, said: str) -> DataFrame:
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the curve by ranks, ties at their mean. Scores are counted first, so the running sum is over distinct scores."""
+    """Area under the curve by ranks, ties at their mean. Scores are counted first, and distinct scores summed by ranges of them: no task has all."""
     by_score = rows.groupBy(F.col(score).alias("_x")).agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
-    below = F.sum(F.col("_n")).over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = by_score.withColumn("_mean", F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2)
+    ranked = running_sums(by_score, ["_x"], {"_below": F.col("_n")}).withColumn("_mean", F.col("_below") + (F.col("_n") + 1) / 2)
     return ranked.agg(F.sum(F.col("_p") * F.col("_mean")).alias("_sum"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_all")).select(rounded(F.expr("try_divide(_sum - _pos * (_pos + 1) / 2, _pos * (_all - _pos))"), 6).alias("auc"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.operators import evaluating as E
+from turnwise.functions.numbers import rounded
+from turnwise.operators import evaluating as E, ranking, training
 from turnwise.registry import query
 from turnwise.sources.tables import read
 
@@ -96,3 +97,28 @@ def test_retest(spark, sf_dir):
     reading = F.struct(F.col("l_linestatus").alias("speaker"), F.when(F.col("l_suppkey") % 2 == 0, "stance").otherwise("unsaid").alias("layer"), F.array(F.col("l_partkey") % 9, F.col("l_partkey") % 5).alias("turns"))
     cells = line.agg(F.array_sort(F.collect_list(F.struct("l_orderkey", reading.alias("r")))).alias("_r")).select(F.col("l_returnflag").alias("model"), "call", "seed", F.transform("_r", lambda x: x["r"]).alias("readings"))
     return E.test_retest(cells, ["model"])
+
+
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY value, event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id % 3 ORDER BY value, event_id) * 2 - 2 AS doubled FROM events""")
+def running_places(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("user_id") % 3).alias("third"))
+    return ranking.running_sums(rows, ["value", "event_id"], {"place": F.lit(1), "doubled": F.lit(2)}, ["third"]).select("user_id", "event_id", "place", "doubled")
+
+
+@query("""WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rank, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, rank, value FROM k WHERE rank IN (0, n // 10, n // 2, n - 1)""")
+def selected_ranks(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_type", "value")
+    asked = rows.groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(F.col("n") / 10), F.floor(F.col("n") / 2), F.col("n") - 1))).alias("rank"))
+    return ranking.selected(rows, ["event_type"], "value", asked)
+
+
+@query()
+def trained_head(spark, sf_dir):
+    """Macro-F1 of each penalty, over all folds and in each, of the languages of texts by counts of their letters."""
+    letters = "aeiounrstldcmäéñçßöüèó"
+    text = F.lower(F.col("text"))
+    share = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.length(text)
+    docs = read(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").alias("id"), F.array(*map(share, letters)).alias("x"), F.col("lang").alias("label"))
+    report = training.cross_validated(docs.dropDuplicates(["id"]))[1]
+    return report.select("penalty", "fold", rounded("f1", 3).alias("f1"))
