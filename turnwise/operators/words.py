@@ -41,15 +41,20 @@ def split_by_speaker(words: DataFrame, least_words: int = 4, least_seconds: floa
     return islands(named, F.col("piece_speaker") != F.lag("piece_speaker").over(order), by, tuple(key), "piece").drop("_who", "_run", "_held")
 
 
-def pauses(words: DataFrame, least: float = 1.0, longest_word: float = 2.0) -> DataFrame:
-    """Gaps of at least `least` between timed words of a turn; not beside a word that lasts over `longest_word` or not at all."""
+def pauses(words: DataFrame, least: float = 1.0, longest_word: float = 2.0, within: bool = False) -> DataFrame:
+    """Gaps of at least `least` between timed words of a turn; not beside a word that lasts over `longest_word` or not at all.
+
+    within: adds within_segment, whether the gap lies in the segment of either word (words have its bounds, _low and _high)."""
     order = Window.partitionBy("call_id", "turn_idx").orderBy("word_idx")
     fine = lambda a, b: (b - a > 0) & (b - a <= longest_word)
     timed = words.where("start_s is not null and end_s is not null")
-    seen = timed.select("call_id", "turn_idx", "word_idx", "word", "start_s", "end_s", F.lead("word").over(order).alias("before_word"), F.lead("start_s").over(order).alias("_s"), F.lead("end_s").over(order).alias("_e"))
+    bounds = ["_low", "_high", F.lead("_low").over(order).alias("_low2"), F.lead("_high").over(order).alias("_high2")] if within else []
+    seen = timed.select("call_id", "turn_idx", "word_idx", "word", "start_s", "end_s", F.lead("word").over(order).alias("before_word"), F.lead("start_s").over(order).alias("_s"), F.lead("end_s").over(order).alias("_e"), *bounds)
     gap = F.col("_s") - F.col("end_s")
+    inside = lambda low, high: (F.col(low) <= F.col("end_s")) & (F.col("_s") <= F.col(high))
+    extra = [(inside("_low", "_high") | inside("_low2", "_high2")).alias("within_segment")] if within else []
     kept = seen.where((gap >= least) & fine(F.col("start_s"), F.col("end_s")) & fine(F.col("_s"), F.col("_e")))
-    return kept.select("call_id", "turn_idx", rounded("end_s", 2).alias("at"), rounded(gap, 2).alias("seconds"), F.col("word").alias("after_word"), "before_word")
+    return kept.select("call_id", "turn_idx", rounded("end_s", 2).alias("at"), rounded(gap, 2).alias("seconds"), F.col("word").alias("after_word"), "before_word", *extra)
 
 
 def pace(words: DataFrame, held: DataFrame) -> DataFrame:
