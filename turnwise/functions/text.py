@@ -54,11 +54,18 @@ def without_fillers(text: Column, fillers: Sequence[str] = FILLERS) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """The form in which quotes are compared: lower case, brackets as spaces, tokens of a-z 0-9 ' with one closing - kept."""
-    spaced = F.regexp_replace(F.lower(text), r"[\[\]]", " ")
-    parts = F.filter(F.split(spaced, r"[ \t\n]+"), lambda t: t != "")
-    clean = lambda t: F.concat(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9']", ""), r"^'+|'+$", ""), F.when(F.regexp_replace(t, r"[.,!?;:]+$", "").endswith("-"), "-").otherwise(""))
-    return F.array_join(F.filter(F.transform(parts, clean), lambda t: ~t.isin("", "-")), " ")
+    """The form in which quotes are compared: lower case, brackets as spaces, tokens of a-z 0-9 ' with one closing - kept.
+
+    Whole texts are replaced by patterns, without a function on each token; \\x01 stands for a closing - meanwhile.
+    """
+    steps = (
+        ("\x01", "_"), (r"[\[\]]", " "), (r"-(?=[.,!?;:]*(?:[ \t\n]|\z))", "\x01"), (r"[^a-z0-9' \t\n\x01]", ""), (r"(?<![^ \t\n])'+|'+(?=\x01?(?:[ \t\n]|\z))", ""),
+        (r"(?<![a-z0-9'])\x01", ""), ("\x01", "-"), (r"[ \t\n]+", " "),
+    )
+    out = F.lower(text)
+    for pattern, to in steps:
+        out = F.regexp_replace(out, pattern, to)
+    return F.trim(out)
 
 
 def holds(text: Column, quote: Column) -> Column:

@@ -95,3 +95,58 @@ def slot_diff(spark, sf_dir):
     given = F.filter(F.array(F.lit("goal"), F.when(F.col("user_id") % 2 == 0, "extra")), lambda x: x.isNotNull())
     missing, unknown = V.slots(template, given)
     return read(spark, sf_dir, "events").select("event_id", F.array_join(missing, ",").alias("missing"), F.array_join(unknown, ",").alias("unknown"))
+
+
+CHECKED_CHANNELS = ("lexical", "timing", "prosody", "interaction", "disfluency", "smell")
+LONG_QUOTE = " ".join(["the"] * 26)
+VERIFIED_SQL = f"""n AS (SELECT conv_id AS call_id, turn AS turn_idx, role AS speaker, {NORM_SQL.replace('{t}', 'text')} AS t FROM conversations),
+    c AS (SELECT max(conv_id) + 1 AS m FROM conversations),
+    cl AS (SELECT o_orderkey % 40 AS call_id, o_orderkey AS claim, CASE WHEN o_orderkey % 9 = 1 THEN 'nobody' WHEN o_custkey % 2 = 0 THEN 'user' ELSE 'assistant' END AS speaker, CASE o_custkey % 7 WHEN 0 THEN 'unlikely' WHEN 1 THEN 'very likely' WHEN 2 THEN 'roughly even chance' ELSE 'likely' END AS likelihood,
+        CASE o_custkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'low' END AS conf, o_orderkey % 7 <> 0 AS alt, o_orderkey % 11 = 0 AS bad FROM orders WHERE o_orderkey % 40 IN (SELECT conv_id FROM conversations)),
+    sp AS (SELECT cl.*, CASE WHEN call_id % 4 = 0 AND speaker = 'user' THEN 'about_reader' WHEN speaker = 'nobody' THEN 'unknown_speaker' WHEN call_id % 10 = 3 THEN 'no_baseline' END AS who FROM cl),
+    ev AS (SELECT sp.call_id, claim, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS item, sp.speaker, l_linenumber - 1 AS turn_idx, CASE WHEN l_suppkey % 17 = 0 THEN '{LONG_QUOTE}' WHEN l_partkey % 3 = 0 THEN 'The' WHEN l_partkey % 3 = 1 THEN '' ELSE 'of' END AS quote,
+        ['{"', '".join(CHECKED_CHANNELS)}'][l_suppkey % 6 + 1] AS channel, l_quantity % 2 = 0 AS over, l_partkey % 4 AS mo FROM lineitem JOIN sp ON l_orderkey = claim WHERE who IS NULL),
+    ck AS (SELECT ev.*, CASE WHEN n.speaker IS NULL THEN 'turn_missing' WHEN n.speaker <> ev.speaker THEN 'wrong_speaker' WHEN quote = '{LONG_QUOTE}' THEN 'quote_too_long' WHEN quote <> '' AND NOT contains(' ' || n.t || ' ', ' ' || lower(quote) || ' ') THEN 'quote_mismatch' END AS p FROM ev LEFT JOIN n USING (call_id, turn_idx)),
+    ch AS (SELECT call_id, claim, item, CASE WHEN p IS NOT NULL THEN p WHEN channel = 'prosody' AND NOT (mo = turn_idx % 4 AND turn_idx % 3 = 1) THEN 'prosody_unsupported' WHEN channel = 'disfluency' AND NOT (mo = turn_idx % 4 AND turn_idx % 3 = 0) THEN 'disfluency_unsupported'
+        WHEN channel = 'timing' AND NOT (turn_idx >= 3 OR call_id % 5 = 0) THEN 'timing_unsupported' WHEN channel = 'lexical' AND quote = '' THEN 'lexical_needs_quote' WHEN channel = 'interaction' AND over AND turn_idx % 2 = 1 THEN 'interaction_unsupported' WHEN channel = 'smell' THEN 'unknown_channel' END AS problem, channel FROM ck),
+    se AS (SELECT call_id, claim, list_sort(list(DISTINCT channel) FILTER (problem IS NULL)) AS channels, bool_or(coalesce(problem IN ('quote_mismatch', 'quote_too_long'), false)) AS q FROM ch GROUP BY ALL),
+    rs AS (SELECT sp.*, coalesce(channels, []) AS channels, CASE WHEN who IS NOT NULL THEN who WHEN NOT (len(coalesce(channels, [])) >= 2 AND (list_contains(coalesce(channels, []), 'lexical') OR list_contains(coalesce(channels, []), 'interaction'))) THEN CASE WHEN coalesce(q, false) THEN 'quote_mismatch' ELSE 'convergence' END
+        WHEN likelihood = 'unlikely' THEN 'not_likely_enough' WHEN NOT alt THEN 'no_alternative' WHEN bad THEN 'wording' END AS reason FROM sp LEFT JOIN se USING (call_id, claim)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY call_id, reason IS NULL, speaker ORDER BY CASE conf WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END DESC, len(channels) DESC, CASE likelihood WHEN 'very likely' THEN 2 WHEN 'likely' THEN 1 ELSE 0 END DESC, claim) AS own FROM rs),
+    rp AS (SELECT *, row_number() OVER (PARTITION BY call_id, reason IS NULL AND own <= 3 ORDER BY CASE conf WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END DESC, len(channels) DESC, CASE likelihood WHEN 'very likely' THEN 2 WHEN 'likely' THEN 1 ELSE 0 END DESC, claim) AS place FROM rk),
+    vc AS (SELECT call_id, claim, array_to_string(channels, ',') AS channels, CASE WHEN reason IS NULL AND (own > 3 OR place > 4) THEN 'cap' ELSE reason END AS reason, CASE WHEN reason IS NULL AND own <= 3 AND place <= 4 THEN place ELSE 0 END AS shown_place FROM rp)"""
+
+
+def _verified(spark, sf_dir):
+    spoken = conversations(spark, sf_dir)
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c + 1).cast("int"))
+    call = (F.col("o_orderkey") % 40).alias("call_id")
+    claims = read(spark, sf_dir, "orders").select(
+        call, F.col("o_orderkey").alias("claim"), F.col("o_orderkey").alias("place"), F.when(F.col("o_orderkey") % 9 == 1, "nobody").when(F.col("o_custkey") % 2 == 0, "user").otherwise("assistant").alias("speaker"), F.lit("a claim").alias("text"),
+        F.when(F.col("o_orderkey") % 11 == 0, "Is he HIDING it?").otherwise("and then?").alias("follow_up"), pick(("unlikely", "very likely", "roughly even chance", "likely", "likely", "likely", "likely"), F.col("o_custkey") % 7).alias("likelihood"),
+        pick(("high", "moderate", "low"), F.col("o_custkey") % 3).alias("evidence_confidence"), F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(F.array(F.lit("other"))).alias("alternatives"),
+    ).join(spoken.select("call_id").distinct(), "call_id", "left_semi")
+    evidence = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 40).alias("call_id"), F.col("l_orderkey").alias("claim"), ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("item"), (F.col("l_linenumber") - 1).cast("long").alias("turn_idx"),
+        F.when(F.col("l_suppkey") % 17 == 0, LONG_QUOTE).when(F.col("l_partkey") % 3 == 0, "The").when(F.col("l_partkey") % 3 == 1, "").otherwise("of").alias("quote"), pick(CHECKED_CHANNELS, F.col("l_suppkey") % 6).alias("channel"),
+        F.when(F.col("l_quantity") % 2 == 0, "they talked over it").otherwise("a turn").alias("description"), F.array(F.concat(F.lit("M"), (F.col("l_partkey") % 4).cast("string"))).alias("moments"),
+    )
+    turns = spoken.select(
+        "call_id", "turn_idx", "speaker", "text", F.array().cast("array<struct<norm:string,kind:string>>").alias("words"), F.col("turn_idx").cast("double").alias("reply_latency"),
+        F.when(F.col("call_id") % 5 == 0, F.array(F.lit(2.5))).otherwise(F.array(F.lit(1.0))).alias("pauses"), (F.col("turn_idx") % 2 == 0).alias("overlapped"),
+    )
+    features = F.when(F.col("turn_idx") % 3 == 0, F.array(F.lit("medial_fillers"))).when(F.col("turn_idx") % 3 == 1, F.array(F.lit("arousal"))).otherwise(F.array(F.lit(None).cast("string")))
+    moments = spoken.select("call_id", F.concat(F.lit("M"), (F.col("turn_idx") % 4).cast("string")).alias("moment_id"), "turn_idx", features.alias("features"))
+    speakers = spoken.select("call_id").distinct().select("call_id", F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("speaker"), F.when(F.col("call_id") % 10 == 3, 0).otherwise(12).alias("baseline_turns"), F.lit(1.0).alias("median_reply_latency"))
+    readers = spoken.where("call_id % 4 = 0").select("call_id", F.lit("user").alias("me")).distinct()
+    return V.verified(claims, evidence, turns, moments, speakers, readers, a_call=4)
+
+
+@query(f"WITH {VERIFIED_SQL} SELECT * FROM vc")
+def verified_replies(spark, sf_dir):
+    return _verified(spark, sf_dir)[0].select("call_id", "claim", F.array_join("channels", ",").alias("channels"), "reason", F.coalesce("shown_place", F.lit(0)).alias("shown_place"))
+
+
+@query(f"WITH {VERIFIED_SQL} SELECT call_id, claim, item, problem FROM ch")
+def verified_evidence(spark, sf_dir):
+    return _verified(spark, sf_dir)[1].select("call_id", "claim", "item", "problem")
