@@ -16,9 +16,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from turnwise.llm._spark import connected_components, fresh, group_bounds, kept, only, whole_groups
+from turnwise.llm._spark import HELD_IDS, connected_components, fresh, group_bounds, kept, only, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Hashes of a sketch. In a leaf, a set goes with a leader if LOOSE of them agree and leads itself unless TIGHT of
@@ -38,11 +38,25 @@ _SHIFTS = _DRAW.integers(0, 2**32, SKETCH, dtype=np.uint32)
 
 def runs_for(recall: float, threshold: float, levels: int = 1) -> int:
     """Runs after which a pair at the threshold has shared a path of chosen n-grams of so many levels with this probability."""
-    shared = 1.0  # expected n-grams that both choose, at the threshold and with sizes as unlike as it allows
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - _meets(levels))))
+
+
+def _meets(levels: int) -> float:
+    """How likely a pair at the threshold shares a path of so many levels: both choose one n-gram a level on the mean, with sizes as unlike as the threshold allows."""
     meets = 1.0
     for _ in range(levels):
-        meets = 1 - math.exp(-shared * meets)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+        meets = 1 - math.exp(-meets)
+    return meets
+
+
+def further_runs(whole: Column, split: Column, recall: float, threshold: float, depth: int) -> Column:
+    """Further runs of a set, so many of whose buckets are whole and split, after which a partner at the threshold is missed with 1 - recall at most.
+
+    The partner is in each of the set's buckets with the probability `threshold` at least; from a split one they go down `depth` levels
+    together, or part. A pair has the fewer further runs of both, and either's count may be that one, so each may miss half.
+    """
+    missed = whole * math.log(1 - threshold) + split * math.log(1 - threshold * _meets(depth))
+    return F.greatest(F.ceil((F.lit(math.log((1 - recall) / 2)) - missed) / math.log(1 - _meets(depth + 1))), F.lit(0)).cast("int")
 
 
 def sets_of(column: pa.Array, ngram: int):
@@ -79,17 +93,22 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _signed(texts: DataFrame, ngram: int, runs: range, threshold: float) -> DataFrame:
-    """(t, keys, sketch) of each distinct text with words; keys of these runs."""
+    """(t, keys, sketch) of each distinct text with words; keys of these runs. A third column of texts says how many of the runs a text takes."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            takes = batch.column(2).to_numpy() if batch.num_columns > 2 else np.full(len(ids), len(runs))
             for rows, grams, bounds in sets_of(batch.column(1), ngram):
                 sizes = np.repeat(np.diff(bounds), np.diff(bounds))
                 marks = sketches(grams, bounds)
-                index, keys = map(np.concatenate, zip(*(chosen(grams, sizes, (r + 1) * 0x9E3779B97F4A7C15, threshold) for r in runs)))
+                found = [chosen(grams, sizes, (r + 1) * 0x9E3779B97F4A7C15, threshold) for r in runs]
+                index, keys = map(np.concatenate, zip(*found))
+                turn = np.repeat(np.arange(len(runs)), [len(at) for at, _ in found])
                 of = np.searchsorted(bounds, index, "right") - 1
+                own = turn < takes[rows][of]
+                keys, of = keys[own], of[own]
                 order = np.argsort(of, kind="stable")
                 counts = np.bincount(of, minlength=len(rows))
                 new = np.array([not (t in seen or seen.add(t)) for t in ids[rows].tolist()], bool)
@@ -310,11 +329,16 @@ def jaccard_classes(
         return sized(signed.select("t", F.explode(F.array_distinct("keys")).alias("key"))).select("key", "t", "n")
 
     members = kept(met(signed))
-    # a pair all of whose buckets are split has to share longer paths: its sets take further runs
+    # a pair most of whose buckets are split has to share longer paths: its sets take further runs, as many as their other buckets leave to do
     split = members.where(F.col("n") > leaf)
     if depth and not split.isEmpty():
-        split = kept(split.join(kept(_dense(split, signed)), "key", "left_anti").select("t").distinct())
-        members = members.union(kept(met(_signed(only(texts, split, "t"), ngram, range(first, deepest), threshold))))
+        split = split.join(kept(_dense(split, signed)), "key", "left_anti").groupBy("t").agg(F.count("*").alias("split"))
+        both = split.join(signed.select("t", F.size(F.array_distinct("keys")).alias("all")), "t")
+        takes = both.select("t", F.least(further_runs(F.col("all") - F.col("split"), F.col("split"), each, threshold, depth), F.lit(deepest)).alias("takes"))
+        takes = kept(takes.where("takes > 0"))
+        if not takes.isEmpty():
+            takes = F.broadcast(takes) if takes.count() <= HELD_IDS else takes
+            members = members.union(kept(met(_signed(texts.join(takes, "t").select("t", "text", "takes"), ngram, range(first, first + deepest), threshold))))
     leaves, over, level = members.where(F.col("n") <= leaf), members.where(F.col("n") > leaf), 0
     while level < depth and not over.isEmpty():
         alike = kept(_dense(over, signed))
