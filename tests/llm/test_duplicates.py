@@ -1,7 +1,7 @@
 """Near-duplicate classes and repeated passages against brute force."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -163,6 +163,46 @@ def test_passages_beside_a_common_line_are_found(spark, passage, line):
     assert not {d for d, _ in found} & {3 * k for k in range(60)}
 
 
+@pytest.mark.parametrize("size, first, second", [(64, {10}, {40}), (100, {10, 50}, {30, 75}), (150, {10, 60, 110}, {35, 85, 135})])
+def test_chains_of_edits_are_found(spark, size, first, second):
+    """F, its near copy C, and C's near copy B, which isn't near to F: B is found with C; and pairs without F."""
+    r = np.random.default_rng(size)
+    some = lambda n: [f"w{x}" for x in r.integers(0, 10**7, n)]
+    jaccard = lambda x, y: len(grams(" ".join(x)) & grams(" ".join(y))) / len(grams(" ".join(x)) | grams(" ".join(y)))
+    rows, alone = [], []
+    for k in range(60):
+        f = some(size)
+        c = [f"c{k}" if i in first else w for i, w in enumerate(f)]
+        b = [f"b{k}" if i in second else w for i, w in enumerate(c)]
+        assert jaccard(f, c) >= 0.8 and jaccard(c, b) >= 0.8 > jaccard(f, b)
+        rows += [(3 * k + j, some(40) + x + some(40)) for j, x in enumerate((f, c, b))]
+        alone += [(3 * k + j, some(40) + x + some(40)) for j, x in ((1, c), (2, b))]
+    found = lambda rows: {x.doc_id for x in S.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(5)).collect() if not x.first}
+    got = found(rows)
+    assert sum(3 * k + 1 in got for k in range(60)) >= 58 and sum(3 * k + 2 in got for k in range(60)) >= 57
+    assert sum(3 * k + 2 in found(alone) for k in range(60)) >= 59
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_ids_with_two_texts(spark, turn):
+    r = np.random.default_rng(5)
+    some = lambda n: [f"w{x}" for x in r.integers(0, 10**7, n)]
+    rows = []
+    for k in range(20):
+        passage = some(70)
+        pair = [(100 + k, " ".join(some(90))), (100 + k, " ".join(some(20) + passage + some(20)))]
+        rows += [(k, " ".join(some(30) + passage)), *(pair[::-1] if turn else pair)]
+    rows += [(500, " ".join(some(60))), (500, None), (500, ""), (501, rows[-1][1]), (501, rows[-1][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(x.doc_id, x.class_id, x.n_words) for x in S.repeated_passages(frame).collect() if not x.first}
+    assert {(100 + k, k, 70) for k in range(20)} <= got and {d for d, _, _ in got} <= {*range(100, 120), 501}
+    left = S.without_repeats(frame).collect()
+    texts = Counter((x.doc_id, x.text) for x in left)
+    cut = {(100 + k) for k in range(20)}
+    assert all(texts[i, t] == 1 for i, t in rows if i not in cut and i != 501) and sum(n for (i, t), n in texts.items() if i in cut) == 40
+    assert sorted(len((t or "").split()) for i, t in texts if i in cut) == [40] * 20 + [90] * 20
+
+
 def test_recall_of_near_passages_beside_common_lines(spark):
     """Passages of 80 words, changed so that they are just as similar as asked, beside lines that all texts have."""
     r = np.random.default_rng(31)

@@ -9,7 +9,8 @@ Windows that share hash and value are joined to the first of them (within a task
 whose windows meet under enough hashes are aligned and their common passages verified exactly. Where a document's
 windows led to nothing under so many hashes that another document could have been missed, because the first ones hold
 only a part of what is there (a common line, an older text), the n-grams that it has in common with those are masked,
-and windows of what is left are joined again, until no document is left so.
+and windows of what is left are joined again, with those of the settled documents that share its keys, masked likewise
+(one of them may be near to it though the first is not), until no document is left so.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ HASHES, ENOUGH, AGAIN_HASHES = 5, 2, 8
 #: How many of the hashes are left over: where all others led astray (one in five of near copies differs anyway), a text is joined again.
 SPARE, AGAIN_SPARE = 3, 4
 #: Windows that a task joins among themselves before it sends one for each value.
-BLOCK_WINDOWS = 1_500_000
+BLOCK_WINDOWS = 1_000_000
 _U = np.uint64
 _DRAW = np.random.Generator(np.random.PCG64(23))
 _XOR, _MULTIPLY = _DRAW.integers(0, 2**63, 8, dtype=np.uint64), _DRAW.integers(0, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
@@ -298,18 +299,19 @@ def _ranged(pairs: DataFrame, width: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, similarity: float, enough: int) -> DataFrame:
     """Common passages (id, first, end, to_id, to_first, to_end), in words, of pairs (id, to_id, met: structs of hash, spans and whose window led
-    to the other's), and masks: for a document whose windows led to another and aren't covered by what both have in common, its id and the places
-    of its n-grams that the other has."""
+    to the other's), and masks: the id of a document whose windows led to another, the places of its n-grams that the other has, and settled,
+    whether its windows are covered by what both have in common."""
     cut = lambda a, b: F.expr(f"substring(grams, cast(4 * ({a} - own_low) + 1 as int), cast(4 * ({b} - {a} + 1) as int))")
     sequences = sequences.withColumnRenamed("low", "own_low")
     left = pairs.join(sequences, "id").withColumn("own", cut("low", "high")).drop("grams", "own_low")
     both = left.join(sequences.withColumnRenamed("id", "to_id"), "to_id").withColumn("other", cut("to_low", "to_high")).select("id", "to_id", "low", "to_low", "met", "own", "other")
 
-    def mask(met, mine: bool, name: str, grams: np.ndarray, others: np.ndarray, low: int, passages) -> bytes | None:
+    def mask(met, mine: bool, name: str, grams: np.ndarray, others: np.ndarray, low: int, passages) -> tuple[bytes | None, bool]:
         spans = np.array([m[name] for m in met if m["mine"] == mine], np.int64)
-        if not len(spans) or covered((spans >> 32) - low, (spans & 0xFFFFFFFF) - low, passages).all():
-            return None
-        return (low + np.flatnonzero(np.isin(grams, others))).astype(np.int32).tobytes()
+        settled = not len(spans) or bool(covered((spans >> 32) - low, (spans & 0xFFFFFFFF) - low, passages).all())
+        if settled and not passages:
+            return None, True
+        return (low + np.flatnonzero(np.isin(grams, others))).astype(np.int32).tobytes(), settled
 
     def run(batches):
         for batch in batches:
@@ -321,15 +323,15 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
                 own, other = np.frombuffer(r["own"], "<u4"), np.frombuffer(r["other"], "<u4")
                 passages = common_passages(own, other, width, ngram, similarity)
                 for a, b, p, q in passages:
-                    rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1, None))
-                for id_, places in ((r["id"], mask(met, True, "span", own, other, r["low"], [x[:2] for x in passages])), (r["to_id"], mask(met, False, "to_span", other, own, r["to_low"], [x[2:] for x in passages]))):
+                    rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1, None, None))
+                for id_, (places, settled) in ((r["id"], mask(met, True, "span", own, other, r["low"], [x[:2] for x in passages])), (r["to_id"], mask(met, False, "to_span", other, own, r["to_low"], [x[2:] for x in passages]))):
                     if places is not None:
-                        rows.append((id_, None, None, None, None, None, places))
+                        rows.append((id_, None, None, None, None, None, places, settled))
             if rows:
-                *numbers, masks = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(masks, pa.binary())], ["id", "first", "end", "to_id", "to_first", "to_end", "mask"])
+                *numbers, masks, settled = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(masks, pa.binary()), pa.array(settled, pa.bool_())], ["id", "first", "end", "to_id", "to_first", "to_end", "mask", "settled"])
 
-    return both.mapInArrow(run, "id long, first long, end long, to_id long, to_first long, to_end long, mask binary")
+    return both.mapInArrow(run, "id long, first long, end long, to_id long, to_first long, to_end long, mask binary, settled boolean")
 
 
 def _opened(links: DataFrame, found: DataFrame, before: DataFrame | None, width: int, ngram: int, many: int) -> DataFrame:
@@ -342,7 +344,7 @@ def _opened(links: DataFrame, found: DataFrame, before: DataFrame | None, width:
     passages = passages.select("id", "first", "end").union(passages.select(F.col("to_id").alias("id"), F.col("to_first").alias("first"), F.col("to_end").alias("end"))).distinct()
     parts = [
         other.select(row(0, F.col("key"), F.col("span"), none("binary"))), passages.select(row(1, F.col("first"), F.col("end") - (ngram - 1), none("binary"))),
-        found.where("mask is not null").select(row(2, none("long"), none("long"), F.col("mask"))),
+        found.where("not settled").select(row(2, none("long"), none("long"), F.col("mask"))),
     ]
     if before is not None:
         parts += [before.select(row(2, none("long"), none("long"), F.col("places"))), before.select(row(3, none("long"), none("long"), F.col("keys")))]
@@ -375,6 +377,65 @@ def _opened(links: DataFrame, found: DataFrame, before: DataFrame | None, width:
     return every.repartition("id").sortWithinPartitions("id", "kind").mapInArrow(run, "id long, low long, high long, starts binary, places binary, keys binary")
 
 
+def _targets(links: DataFrame, found: DataFrame, opened: DataFrame, width: int) -> DataFrame:
+    """Rows as those of _opened, of other documents that share a key with an opened one: it may be near to them, and not to the first of the key.
+
+    What they have in common with the documents that they were compared with is masked, as it is for the opened one, so that both meet in the rest.
+    """
+
+    def keys_of(batches):
+        for batch in batches:
+            keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(0)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["key"])
+
+    astray = kept(opened.select("keys").mapInArrow(keys_of, "key long").distinct())
+    shared = only(links.where("id <> to_id"), astray, "key")
+    spans = shared.select("id", "span").union(shared.select(F.col("to_id").alias("id"), F.col("to_span").alias("span")))
+    spans = spans.groupBy("id").agg(F.min(F.shiftright("span", 32)).alias("low"), F.max(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("high"))
+    spans = only(spans, opened, "id", "left_anti")
+
+    def masked(batches):
+        for table in whole_groups(batches, ["id"]):
+            bounds, ids, rows = group_bounds(table, ["id"]), table.column("id").to_numpy(), []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                low, high = table.column("low")[a].as_py(), table.column("high")[a].as_py()
+                places = np.unique(np.concatenate([np.frombuffer(table.column("mask")[k].as_py() or b"", np.int32) for k in range(a, b)]))
+                rows.append((int(ids[a]), low, high, np.array([[low, max(low, high - width + 1)]], np.int64).tobytes(), places.tobytes(), b""))
+            *numbers, starts, places, keys = zip(*rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), *(pa.array(x, pa.binary()) for x in (starts, places, keys))], ["id", "low", "high", "starts", "places", "keys"])
+
+    told = spans.join(found.where("mask is not null").select("id", "mask"), "id", "left")
+    return told.repartition("id").sortWithinPartitions("id").mapInArrow(masked, "id long, low long, high long, starts binary, places binary, keys binary")
+
+
+def _own_ids(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """texts with an id for each different text of an id, and (nid, real, t): the further texts' ids, and the first texts of such ids (nid = real)."""
+    ids = kept(texts.select("id", "t").distinct())
+    several = kept(ids.groupBy("id").agg(F.count("*").alias("n"), F.min("t").alias("least")).where("n > 1").select("id", "least"))
+    if several.isEmpty():
+        return texts, None
+    few = F.broadcast(several) if several.count() <= HELD_IDS else several
+    top, bottom = ids.agg(F.max("id"), F.min("id")).first()
+    number = F.monotonically_increasing_id()
+    number = F.lit(top + 1) + number if top < 1 << 62 else F.lit(bottom - 1) - number
+    further = kept(ids.join(few, "id").select(F.when(F.col("t") == F.col("least"), F.col("id")).otherwise(number).alias("nid"), F.col("id").alias("real"), "t"))
+    other = further.where("nid <> real").select("nid", F.col("real").alias("id"), "t")
+    other = F.broadcast(other) if other.count() <= HELD_IDS else other
+    return texts.join(other, ["id", "t"], "left").select(F.coalesce("nid", "id").alias("id"), "t", "text"), further
+
+
+def _real_ids(rows: DataFrame, further: DataFrame) -> DataFrame:
+    """Rows (id, a, b, to_id, to_a, to_b) with the ids that the texts came with, and the hashes t and to_t of texts of ids with several; the greater id first."""
+    few = F.broadcast(further) if further.count() <= HELD_IDS else further
+    rows = rows.join(few.select(F.col("nid").alias("id"), F.col("real").alias("_id"), "t"), "id", "left").join(few.select(F.col("nid").alias("to_id"), F.col("real").alias("_to"), F.col("t").alias("to_t")), "to_id", "left")
+    rows = rows.withColumn("id", F.coalesce("_id", "id")).withColumn("to_id", F.coalesce("_to", "to_id")).where("id <> to_id")
+    late = F.col("id") > F.col("to_id")
+    side = lambda x, y: F.when(late, F.col(x)).otherwise(F.col(y))
+    names = [("id", "to_id"), ("a", "to_a"), ("b", "to_b"), ("t", "to_t")]
+    return rows.select(*(side(x, y).alias(x) for x, y in names), *(side(y, x).alias(y) for x, y in names))
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, similarity: float = 0.8, ngram: int = 5, hashes: int = HASHES, enough: int = ENOUGH,
 ) -> DataFrame:
@@ -385,11 +446,18 @@ def repeated_passages(
     one's passage is a row too, with its own id and first true. Passages are similar if the Jaccard similarity of
     their n-word runs reaches `similarity`. A text equal to an earlier one is a passage as a whole. What repeats
     within one document alone isn't reported, nor are texts below min_words; null texts have no words. Repeated rows
-    of an id are one document; null ids take no part. Ids are longs; further columns are left out; an empty table gives no rows.
+    of an id are one document; different texts of an id are compared each, and not with one another. Null ids take no part. Ids are
+    longs; further columns are left out; an empty table gives no rows.
     """
+    return _passages(docs, id_col, text_col, min_words, similarity, ngram, hashes, enough).drop("_t").distinct()
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = 50, similarity: float = 0.8, ngram: int = 5, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
+    """The rows of repeated_passages, with _t, the hash of the text where an id has several, else null."""
     width = min_words - ngram + 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).where("id is not null")
+    texts, further = _own_ids(texts)
     ids = kept(texts.select("id", "t"))
     copies = ids.groupBy("t").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("t", "least")
     copied = kept(ids.join(copies, "t").where("id <> least").select("id", "t", "least").distinct())
@@ -399,7 +467,7 @@ def repeated_passages(
     first_copy = F.broadcast(first_copy) if first_copy.count() <= HELD_IDS else first_copy
     links = links.join(first_copy, "id", "left").withColumn("id", F.coalesce("least", "id")).drop("least")
     links = links.join(first_copy.withColumnRenamed("id", "to_id"), "to_id", "left").withColumn("to_id", F.coalesce("least", "to_id")).drop("least").select("key", "id", "span", "to_id", "to_span")
-    found = opened = None
+    found = opened = targets = None
     while True:
         links = kept(links)
         need = enough if opened is None else 1
@@ -414,17 +482,30 @@ def repeated_passages(
         sequences = kept(_sequences(texts, needed, ngram))
         verified = kept(_verified(pairs, sequences, width, ngram, similarity, need))
         found = verified if found is None else found.union(verified)
-        opened = kept(_opened(links, found, opened, width, ngram, hashes - SPARE if opened is None else AGAIN_HASHES - AGAIN_SPARE))
+        opened = _opened(links, found, opened, width, ngram, hashes - SPARE if opened is None else AGAIN_HASHES - AGAIN_SPARE)
+        if targets is not None:
+            opened = only(opened, targets, "id", "left_anti")
+        opened = kept(opened)
         if opened.isEmpty():
             break
-        links = _joined(_windows_again(texts, opened, width, ngram))
-    found = found.where("mask is null").drop("mask").distinct()
+        if targets is not None:
+            links = _joined(_windows_again(texts, opened, width, ngram))
+            continue
+        targets = kept(_targets(links, found, opened, width))
+        links = _joined(_windows_again(texts, opened.union(targets), width, ngram))
+        # links between targets alone are known
+        settled = targets.select(F.col("id").alias("to_id")).withColumn("_known", F.lit(True))
+        settled = F.broadcast(settled) if settled.count() <= HELD_IDS else settled
+        links = links.join(settled, "to_id", "left").join(settled.select(F.col("to_id").alias("id"), F.col("_known").alias("_own")), "id", "left").where("_known is null or _own is null").select("key", "id", "span", "to_id", "to_span")
+    found = found.where("mask is null").drop("mask", "settled").distinct()
     words = _word_counts(only(texts, kept(copied.select("t").distinct()), "t"))
     whole = copied.join(words, "t").where(F.col("n") >= min_words)
-    row = lambda i, a, b, c, first: [F.col(i).alias(id_col), F.col(a).alias("start_word"), F.col(b).alias("end_word"), (F.col(b) - F.col(a)).alias("n_words"), F.col(c).alias("class_id"), F.lit(first).alias("first")]
-    whole = whole.withColumn("zero", F.lit(0).cast("long"))
-    parts = [found.select(row("id", "first", "end", "to_id", False)), found.select(row("to_id", "to_first", "to_end", "to_id", True)), whole.select(row("id", "zero", "n", "least", False)), whole.select(row("least", "zero", "n", "least", True))]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
+    zero = F.lit(0).cast("long")
+    every = found.select("id", F.col("first").alias("a"), F.col("end").alias("b"), "to_id", F.col("to_first").alias("to_a"), F.col("to_end").alias("to_b"))
+    every = every.union(whole.select("id", zero, "n", F.col("least"), zero, "n"))
+    every = _real_ids(every, further) if further is not None else every.withColumn("t", F.lit(None).cast("long")).withColumn("to_t", F.lit(None).cast("long"))
+    row = lambda i, a, b, t, first: [F.col(i).alias(id_col), F.col(a).alias("start_word"), F.col(b).alias("end_word"), (F.col(b) - F.col(a)).alias("n_words"), F.col("to_id").alias("class_id"), F.lit(first).alias("first"), F.col(t).alias("_t")]
+    return every.select(row("id", "a", "b", "t", False)).union(every.select(row("to_id", "to_a", "to_b", "to_t", True))).distinct()
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -444,19 +525,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Columns stay, and length_col becomes the length of the text where one was cut. The earliest document keeps its passage.
     """
-    spans = repeated_passages(docs, id_col, text_col, **options).where(~F.col("first"))
+    spans = _passages(docs, id_col, text_col, **options).where(~F.col("first"))
     cut, new = fresh(docs, "_cuts"), fresh(docs, "_text")
-    cuts = kept(spans.groupBy(id_col).agg(F.collect_set(F.struct("start_word", "end_word")).alias(cut)))
+    cuts = kept(spans.groupBy(id_col).agg(F.collect_set(F.struct("start_word", "end_word", "_t")).alias(cut)))
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches):
         for batch in batches:
-            out = [cut_words(text, [(s["start_word"], s["end_word"]) for s in spans]) for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], [new, *rest])
+            rows = zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)))
+            out = [cut_words(text or "", [(s["start_word"], s["end_word"]) for s in spans if s["_t"] is None or s["_t"] == t]) for text, spans, t in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[3:]], [new, *rest])
 
     untouched = only(docs, cuts, id_col, "left_anti").select(docs.columns)
     schema = ", ".join([f"`{new}` string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)])
-    touched = only(docs, cuts, id_col).join(cuts, id_col).select(text_col, cut, *rest).mapInArrow(run, schema).where(F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    met = only(docs, cuts, id_col).join(cuts, id_col)
+    if not cuts.where(F.exists(cut, lambda c: c["_t"].isNotNull())).isEmpty():
+        # of ids with several texts, those that have nothing to cut
+        own = F.exists(cut, lambda c: c["_t"].isNull() | (c["_t"] == text_hash))
+        untouched, met = untouched.union(met.where(~own).select(docs.columns)), met.where(own)
+    touched = met.select(text_col, cut, text_hash, *rest).mapInArrow(run, schema).where(F.col(new).rlike(r"[^\x20\x09-\x0D]"))
     if length_col in docs.columns:
         touched = touched.withColumn(length_col, F.length(new).cast(docs.schema[length_col].dataType))
     return untouched.union(touched.select([F.col(new).alias(c) if c == text_col else F.col(c) for c in docs.columns]))
