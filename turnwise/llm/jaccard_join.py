@@ -25,7 +25,7 @@ from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 #: them agree with some leader. Two sets that agree in 1 - (TIGHT - LOOSE) of them always share a leader.
 SKETCH, TIGHT, LOOSE = 64, 0.70, 0.35
 #: Sets in a leaf, levels below the first, sets of a leaf that meet in one task, sets in a block of the exact comparison.
-LEAF, DEPTH, SALTED, BLOCK = 128, 4, 2048, 400
+LEAF, DEPTH, SALTED, BLOCK = 128, 4, 2048, 1000
 #: Sketches that a task may hold; beyond that they are joined by a shuffle.
 HELD_SKETCHES = 50_000
 #: A bucket is not split if its sets agree with its first in this share of hashes on the mean.
