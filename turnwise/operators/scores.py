@@ -31,12 +31,15 @@ def coverage(turns: DataFrame, tracks: DataFrame, slack: float = 1.0) -> DataFra
     return both.groupBy("call_id").agg(F.count_if(inside).alias("covered"), F.count("*").alias("turns")).withColumn("complete", F.col("covered") == F.col("turns"))
 
 
-def word_intensity(frames: DataFrame, words: DataFrame, least_frames: int = 9, least_words: int = 5) -> DataFrame:
+def word_intensity(frames: DataFrame, words: DataFrame, least_frames: int = 9, least_words: int = 5, bin_frames: int = 256) -> DataFrame:
     """Loudness of the first and middle third of words against the whole word, in decibels: medians over a track's words.
 
     words: track, word, first and last (frames); those of fewer frames than least_frames don't count, nor tracks of fewer than least_words.
+    Frames and words are joined on the track and bins of frames.
     """
-    held = frames.join(words, "track").where((F.col("frame") >= F.col("first")) & (F.col("frame") <= F.col("last")))
+    bin_ = lambda c: F.floor(F.col(c) / bin_frames).cast("long")
+    dealt = words.where("first <= last").withColumn("_bin", F.explode(F.sequence(bin_("first"), bin_("last"))))
+    held = frames.withColumn("_bin", bin_("frame")).join(dealt, ["track", "_bin"]).where((F.col("frame") >= F.col("first")) & (F.col("frame") <= F.col("last")))
     third = F.floor(3 * (F.col("frame") - F.col("first")) / (F.col("last") - F.col("first") + 1))
     by_word = held.withColumn("_t", third).groupBy("track", "word").agg(F.count("*").alias("_n"), F.avg("db").alias("_m"), F.avg(F.when(F.col("_t") == 0, F.col("db"))).alias("_a"), F.avg(F.when(F.col("_t") == 1, F.col("db"))).alias("_b"))
     good = by_word.where(F.col("_n") >= least_frames)

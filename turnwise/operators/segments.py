@@ -5,6 +5,11 @@ Segments have call_id, seg_idx, speaker, start_s and end_s; windows are always w
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.functions.numbers import exact_sum, rounded
@@ -113,9 +118,13 @@ def pieces(spans: DataFrame, longest: float = 30.0, shortest: float = 1.0) -> Da
 
 
 def untouched(turns: DataFrame, events: DataFrame) -> DataFrame:
-    """Turns that no overlap touches."""
-    touches = (turns["call_id"] == events["call_id"]) & (events["start_s"] < turns["end_s"]) & (events["end_s"] > turns["start_s"])
-    return turns.join(events, touches, "left_anti")
+    """Turns that no overlap touches: of the events that begin before a turn ends, none ends after it begins. One sorted pass, no join."""
+    asked = turns.withColumn("_t", F.col("end_s")).withColumn("_event", F.lit(0)).withColumn("_end", F.lit(None).cast("double"))
+    seen = events.select("call_id", F.col("start_s").alias("_t"), F.lit(1).alias("_event"), F.col("end_s").alias("_end"))
+    # an event that begins when the turn ends comes after it
+    furthest = F.max("_end").over(_call().orderBy("_t", "_event").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = asked.unionByName(seen, allowMissingColumns=True).withColumn("_far", furthest)
+    return both.where((F.col("_event") == 0) & (F.col("_far").isNull() | (F.col("_far") <= F.col("start_s")))).select(*turns.columns)
 
 
 def as_of(points: DataFrame, turns: DataFrame, at: str = "at_s") -> DataFrame:
@@ -127,10 +136,53 @@ def as_of(points: DataFrame, turns: DataFrame, at: str = "at_s") -> DataFrame:
     return both.where("point is not null").select("call_id", "point", at, "turn_idx")
 
 
+def _swept(rows: DataFrame, order: list[str], schema: str, start) -> DataFrame:
+    """What a sweep says of rows (call_id first), sorted by call and order: start() gives a function of a row that returns one for the result, or none.
+
+    Each call is swept by a new function, which holds what is open at the moment; batches pass through, calls aren't gathered.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, see, columns = None, None, [c.split()[0] for c in schema.split(",")]
+        for frame in batches:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                if see is None or row[0] != call:
+                    call, see = row[0], start()
+                if (found := see(row)) is not None:
+                    out.append(found)
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows.repartition("call_id").sortWithinPartitions("call_id", *order).mapInPandas(run, schema)
+
+
 def first_covering(spans: DataFrame, clips: DataFrame) -> DataFrame:
-    """The first clip (by number) of the call that covers each span."""
-    inside = (F.col("clip_start") <= F.col("start_s")) & (F.col("end_s") <= F.col("clip_end"))
-    return spans.join(clips, "call_id").where(inside).groupBy("call_id", "span").agg(F.min("clip").alias("clip"))
+    """The first clip (by number) of the call that covers each span; spans that none covers have no row. A sweep with the clips that are open."""
+    kind = spans.schema["call_id"].dataType.simpleString()
+    opened = clips.select("call_id", F.col("clip_start").alias("t"), F.lit(0).alias("asks"), F.col("clip").cast("long").alias("n"), F.col("clip_end").alias("end"))
+    asked = spans.select("call_id", F.col("start_s").alias("t"), F.lit(1).alias("asks"), F.col("span").cast("long").alias("n"), F.col("end_s").alias("end"))
+
+    def start():
+        open_: list[tuple[int, float]] = []
+
+        def see(row):
+            call, t, asks, n, end = row
+            if not asks:
+                insort(open_, (n, end))
+                return None
+            k = 0
+            while k < len(open_):
+                if open_[k][1] < t:
+                    del open_[k]
+                elif open_[k][1] >= end:
+                    return call, n, open_[k][0]
+                else:
+                    k += 1
+            return None
+
+        return see
+
+    return _swept(opened.union(asked).where("t is not null and end is not null"), ["t", "asks", "n"], f"call_id {kind}, span long, clip long", start)
 
 
 def clip_windows(turns: DataFrame, pad: float, media_seconds: Column) -> DataFrame:
@@ -140,9 +192,47 @@ def clip_windows(turns: DataFrame, pad: float, media_seconds: Column) -> DataFra
 
 
 def nearest_label(points: DataFrame, spans: DataFrame, at: str = "at_s") -> DataFrame:
-    """The speaker of the span with the least distance to each point (0 inside); of equals the earlier."""
-    away = F.greatest(F.col("start_s") - F.col(at), F.col(at) - F.col("end_s"), F.lit(0.0))
-    return points.join(spans, "call_id").groupBy("call_id", "point").agg(F.min_by("speaker", F.struct(away, "start_s", "end_s", "speaker")).alias("speaker"), rounded(F.min(away), 3).alias("distance"))
+    """The speaker of the span with the least distance to each point (0 inside); of equals the earlier. Calls without spans have no rows.
+
+    The next span of each point comes from a window, the spans around and before it from a sweep: the first that is still open, else the
+    one that ended last.
+    """
+    kind = points.schema["call_id"].dataType.simpleString()
+    told = spans.groupBy("call_id", "start_s", "end_s").agg(F.min("speaker").alias("speaker"))
+    marks = told.select("call_id", F.col("start_s").alias("t"), F.lit(0).alias("asks"), F.col("end_s").alias("end"), "speaker", F.lit(None).cast("long").alias("point"))
+    asked = points.select("call_id", F.col(at).alias("t"), F.lit(1).alias("asks"), F.lit(None).cast("double").alias("end"), F.lit(None).cast("string").alias("speaker"), F.col("point").cast("long").alias("point"))
+    both = marks.union(asked)
+    later = F.when(F.col("asks") == 0, F.struct("t", "end", "speaker"))
+    back = _call().orderBy(F.desc("t"), F.desc("asks"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_next", F.last(later, ignorenulls=True).over(back))
+    rows = both.select("call_id", "t", "asks", "end", "speaker", "point", F.col("_next.t").alias("next_t"), F.col("_next.speaker").alias("next_speaker"))
+
+    def start():
+        open_: deque = deque()
+        last = None
+
+        def see(row):
+            nonlocal last
+            call, t, asks, end, speaker, point, next_t, next_speaker = row
+            if not asks:
+                open_.append((end, speaker))
+                if last is None or end > last[0]:
+                    last = (end, speaker)
+                return None
+            while open_ and open_[0][0] < t:
+                open_.popleft()
+            if open_:
+                return call, int(point), open_[0][1], 0.0
+            before = None if last is None else t - last[0]
+            after = None if next_t is None or next_t != next_t else next_t - t
+            if before is not None and (after is None or before <= after):
+                return call, int(point), last[1], before
+            return None if after is None else (call, int(point), next_speaker, after)
+
+        return see
+
+    found = _swept(rows, ["t", "asks", "end"], f"call_id {kind}, point long, speaker string, distance double", start)
+    return found.withColumn("distance", rounded("distance", 3))
 
 
 def other_speaker_nearby(turns: DataFrame) -> DataFrame:
