@@ -21,7 +21,7 @@ def segment_files(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one value, so that the place in its list is certain; unknown fields are dropped, missing ones null.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("call_id"), F.from_json("value", f"array<{SEGMENT}>").alias("list"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("call_id"), F.from_json("value", f"array<{SEGMENT}>").alias("list"))
     return files.select("call_id", F.posexplode("list").alias("seg_idx", "s")).select("call_id", F.col("seg_idx").cast("long").alias("seg_idx"), F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.speaker", "s.text", "s.words", "s.pacing", "s.emotion", "s.stance")
 
 
