@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from turnwise.functions.text import minutes, turn_id
+from turnwise.functions.text import fixed, minutes, turn_id
 
 
 def moment_lines(moments: DataFrame, keys: list[str], note: str = "note", z: str = "z", n: str = "n", order: str = "place") -> DataFrame:
     """One line for each key: `note (z +1.5, n 12)`, several joined by semicolons."""
-    signed = F.concat(F.when(F.col(z) >= 0, "+").otherwise("-"), F.format_string("%.1f", F.abs(F.col(z))))
+    signed = F.concat(F.when(F.col(z) >= 0, "+").otherwise("-"), fixed(F.abs(F.col(z)), 1))
     line = F.concat(F.col(note), F.lit(" (z "), signed, F.lit(", n "), F.col(n).cast("string"), F.lit(")"))
     made = moments.withColumn("_line", line).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "_line"))).alias("_l"))
     return made.select(*keys, F.array_join(F.transform("_l", lambda x: x["_line"]), "; ").alias("line"))

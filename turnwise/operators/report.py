@@ -54,16 +54,18 @@ def annotated(segments: DataFrame, words: DataFrame, prosody: DataFrame | None =
     turns = reply_latencies(dealt.groupBy(*key).agg(F.min("speaker").alias("speaker"), F.min_by("start_s", "seg_idx").alias("start_s"), F.max_by("end_s", "seg_idx").alias("end_s"), F.sum(seconds).alias("speech_seconds"), F.trim(said).alias("text")))
     in_turns = words.join(dealt.select("call_id", "seg_idx", "turn_idx", F.col("start_s").alias("_low"), F.col("end_s").alias("_high")), ["call_id", "seg_idx"])
     place = F.row_number().over(Window.partitionBy(*key).orderBy("seg_idx", "word_idx")).alias("word_idx")
-    in_turns = in_turns.select(*key, place, "word", "start_s", "end_s", "kind", "_low", "_high")
+    in_turns = in_turns.select(*key, "seg_idx", place, "word", "start_s", "end_s", "kind", "_low", "_high")
     held = pauses(in_turns, within=True)
-    lexical = in_turns.where(F.coalesce(F.col("kind"), F.lit("content")) != "event")
-    turns = paced(turns, held, lexical.groupBy(*key).agg(F.count("*").alias("word_count")))
+    # events are no words; a segment without words has those of its text
+    told = in_turns.where(F.coalesce(F.col("kind"), F.lit("content")) != "event").groupBy(*key, "seg_idx").agg(F.count("*").alias("_n"))
+    counted = dealt.join(told, [*key, "seg_idx"], "left").select(*key, F.coalesce("_n", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))).alias("_n"))
+    turns = paced(turns, held, counted.groupBy(*key).agg(F.sum("_n").alias("word_count")))
     scored = lambda name: turn_scores(dealt.select(*key, "seg_idx", seconds.alias("seconds"), F.col(name).alias("score"), "measured"), SCORED).withColumnRenamed("score", name)
     for name in ("arousal", "valence"):
         turns = turns.join(scored(name), key, "left")
     turns = turns.join(turn_stance(dealt), key, "left").withColumn("lexical", sentiment(without_fillers(F.col("text"))))
     verbatim = in_turns.where("kind is not null").select("call_id").distinct().withColumn("_verbatim", F.lit(True))
-    spoken = disfluency(in_turns.withColumn("kind", F.coalesce("kind", F.lit("content")))).select(*key, "medial", "filled_pauses")
+    spoken = disfluency(in_turns.withColumn("kind", F.coalesce("kind", F.lit("content"))), "seg_idx").select(*key, "medial", "filled_pauses")
     turns = turns.join(verbatim, "call_id", "left").join(spoken, key, "left")
     known = lambda c: F.when(F.col("_verbatim"), F.coalesce(c, F.lit(0).cast("long")))
     turns = turns.withColumn("filled_pauses", known("filled_pauses")).withColumn("medial", known("medial"))

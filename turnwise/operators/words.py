@@ -66,10 +66,13 @@ def pace(words: DataFrame, held: DataFrame) -> DataFrame:
     return spoken.join(still, ["call_id", "turn_idx"], "left").select("call_id", "turn_idx", "word_count", rounded(F.col("word_count") / (wall / 60), 1).alias("wpm"), rounded(F.col("word_count") / (speaking / 60), 1).alias("articulation_wpm"))
 
 
-def disfluency(words: DataFrame) -> DataFrame:
-    """Counts of each turn by class; a filler is initial, medial or final by whether content stands before and after it."""
-    turn = Window.partitionBy("call_id", "turn_idx")
-    content = F.when(F.col("kind").isin("content", "cutoff"), F.col("word_idx"))
+def disfluency(words: DataFrame, segment: str | None = None) -> DataFrame:
+    """Counts of each turn by class; a filler is initial, medial or final by whether words stand before and after it in its segment.
+
+    segment: the column of a word's segment; without one, a turn is one segment.
+    """
+    turn = Window.partitionBy("call_id", "turn_idx", *([segment] if segment else []))
+    content = F.when(F.col("kind").isin("content", "cutoff", "repetition"), F.col("word_idx"))
     seen = words.withColumn("_first", F.min(content).over(turn)).withColumn("_last", F.max(content).over(turn))
     filler = F.col("kind") == "filler"
     before, after = F.col("_first") < F.col("word_idx"), F.col("_last") > F.col("word_idx")

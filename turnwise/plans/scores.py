@@ -71,12 +71,11 @@ def is_repetition(spark, sf_dir):
 
 
 @query(f"""WITH {REFERENCE_SQL}, z AS (SELECT ev.user_id AS series, ev.event_id, ev.event_type, r.n, CASE WHEN r.n >= 12 THEN {dround("((ev.value - r.median) / nullif(r.scale, 0))", 2)} END AS z FROM events ev JOIN ref r ON ev.user_id = r.series)
-    SELECT series, string_agg(event_type || ' (z ' || CASE WHEN z >= 0 THEN '+' ELSE '-' END || printf('%.1f', floor(abs(z))) || ', n ' || n || ')', '; ' ORDER BY event_id) AS line FROM z WHERE abs(z) >= 2.5 GROUP BY 1""")
+    SELECT series, string_agg(event_type || ' (z ' || CASE WHEN z >= 0 THEN '+' ELSE '-' END || printf('%.1f', abs(z)) || ', n ' || n || ')', '; ' ORDER BY event_id) AS line FROM z WHERE abs(z) >= 2.5 GROUP BY 1""")
 def moment_lines(spark, sf_dir):
     rows = series(spark, sf_dir)
     departed = B.departures(rows, B.references(rows, KEYS), KEYS).where(F.abs("z") >= 2.5)
-    whole = departed.withColumn("z", F.when(F.col("z") >= 0, F.floor("z")).otherwise(-F.floor(F.abs("z"))).cast("double"))
-    return R.moment_lines(whole, KEYS, note="event_type", order="event_id")
+    return R.moment_lines(departed, KEYS, note="event_type", order="event_id")
 
 
 @query(f"""WITH {TURNS_SQL}, g AS (SELECT *, start_s - lag(end_s) OVER (PARTITION BY call_id ORDER BY turn_idx) AS gap FROM turns)
