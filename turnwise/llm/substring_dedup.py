@@ -299,19 +299,23 @@ def _ranged(pairs: DataFrame, width: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, similarity: float, enough: int) -> DataFrame:
     """Common passages (id, first, end, to_id, to_first, to_end), in words, of pairs (id, to_id, met: structs of hash, spans and whose window led
-    to the other's), and masks: the id of a document whose windows led to another, the places of its n-grams that the other has, and settled,
-    whether its windows are covered by what both have in common."""
+    to the other's), and masks: the id of a document whose windows led to another, the places of its n-grams that the other has, settled,
+    whether its windows are covered by what both have in common, and near, whether these are as many as a third text that is near to both leaves."""
     cut = lambda a, b: F.expr(f"substring(grams, cast(4 * ({a} - own_low) + 1 as int), cast(4 * ({b} - {a} + 1) as int))")
     sequences = sequences.withColumnRenamed("low", "own_low")
     left = pairs.join(sequences, "id").withColumn("own", cut("low", "high")).drop("grams", "own_low")
     both = left.join(sequences.withColumnRenamed("id", "to_id"), "to_id").withColumn("other", cut("to_low", "to_high")).select("id", "to_id", "low", "to_low", "met", "own", "other")
 
-    def mask(met, mine: bool, name: str, grams: np.ndarray, others: np.ndarray, low: int, passages) -> tuple[bytes | None, bool]:
+    # what two near copies of one passage have in common at least
+    chained = 2 * (2 * similarity - 1) / (2 * similarity) * width
+
+    def mask(met, mine: bool, name: str, grams: np.ndarray, others: np.ndarray, low: int, passages) -> tuple[bytes | None, bool, bool]:
         spans = np.array([m[name] for m in met if m["mine"] == mine], np.int64)
         settled = not len(spans) or bool(covered((spans >> 32) - low, (spans & 0xFFFFFFFF) - low, passages).all())
         if settled and not passages:
-            return None, True
-        return (low + np.flatnonzero(np.isin(grams, others))).astype(np.int32).tobytes(), settled
+            return None, True, False
+        places = np.flatnonzero(np.isin(grams, others))
+        return (low + places).astype(np.int32).tobytes(), settled, len(places) >= chained
 
     def run(batches):
         for batch in batches:
@@ -323,15 +327,15 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
                 own, other = np.frombuffer(r["own"], "<u4"), np.frombuffer(r["other"], "<u4")
                 passages = common_passages(own, other, width, ngram, similarity)
                 for a, b, p, q in passages:
-                    rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1, None, None))
-                for id_, (places, settled) in ((r["id"], mask(met, True, "span", own, other, r["low"], [x[:2] for x in passages])), (r["to_id"], mask(met, False, "to_span", other, own, r["to_low"], [x[2:] for x in passages]))):
+                    rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1, None, None, None))
+                for id_, (places, settled, near) in ((r["id"], mask(met, True, "span", own, other, r["low"], [x[:2] for x in passages])), (r["to_id"], mask(met, False, "to_span", other, own, r["to_low"], [x[2:] for x in passages]))):
                     if places is not None:
-                        rows.append((id_, None, None, None, None, None, places, settled))
+                        rows.append((id_, None, None, None, None, None, places, settled, near))
             if rows:
-                *numbers, masks, settled = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(masks, pa.binary()), pa.array(settled, pa.bool_())], ["id", "first", "end", "to_id", "to_first", "to_end", "mask", "settled"])
+                *numbers, masks, settled, near = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(masks, pa.binary()), pa.array(settled, pa.bool_()), pa.array(near, pa.bool_())], ["id", "first", "end", "to_id", "to_first", "to_end", "mask", "settled", "near"])
 
-    return both.mapInArrow(run, "id long, first long, end long, to_id long, to_first long, to_end long, mask binary, settled boolean")
+    return both.mapInArrow(run, "id long, first long, end long, to_id long, to_first long, to_end long, mask binary, settled boolean, near boolean")
 
 
 def _opened(links: DataFrame, found: DataFrame, before: DataFrame | None, width: int, ngram: int, many: int) -> DataFrame:
@@ -389,7 +393,9 @@ def _targets(links: DataFrame, found: DataFrame, opened: DataFrame, width: int)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["key"])
 
-    astray = kept(opened.select("keys").mapInArrow(keys_of, "key long").distinct())
+    # only where the first of the key has so much of it that a third may be near to both
+    near = kept(found.where("not settled and near").select("id").distinct())
+    astray = kept(only(opened, near, "id").select("keys").mapInArrow(keys_of, "key long").distinct())
     shared = only(links.where("id <> to_id"), astray, "key")
     spans = shared.select("id", "span").union(shared.select(F.col("to_id").alias("id"), F.col("to_span").alias("span")))
     spans = spans.groupBy("id").agg(F.min(F.shiftright("span", 32)).alias("low"), F.max(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("high"))
@@ -497,7 +503,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = 50,
         settled = targets.select(F.col("id").alias("to_id")).withColumn("_known", F.lit(True))
         settled = F.broadcast(settled) if settled.count() <= HELD_IDS else settled
         links = links.join(settled, "to_id", "left").join(settled.select(F.col("to_id").alias("id"), F.col("_known").alias("_own")), "id", "left").where("_known is null or _own is null").select("key", "id", "span", "to_id", "to_span")
-    found = found.where("mask is null").drop("mask", "settled").distinct()
+    found = found.where("mask is null").drop("mask", "settled", "near").distinct()
     words = _word_counts(only(texts, kept(copied.select("t").distinct()), "t"))
     whole = copied.join(words, "t").where(F.col("n") >= min_words)
     zero = F.lit(0).cast("long")
