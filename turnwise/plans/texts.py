@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import text as T
 from turnwise.registry import dround, query
+from turnwise.sources.sinks import turn_bodies
 from turnwise.sources.tables import conversations, read
 
 POSITIVE, NEGATIVE, NEGATORS = ["the", "and", "best", "to", "de"], ["no", "is", "for", "la"], ["of", "in"]
@@ -109,3 +110,16 @@ def media_filter(spark, sf_dir):
 @query("SELECT page_id, sha1(url || '|' || length(html)) AS call_id, sha256(html) AS digest FROM pages")
 def call_id(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.call_id(F.col("url"), F.length("html")).alias("call_id"), F.sha2("html", 256).alias("digest"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, role, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS word, generate_subscripts(list_filter(string_split(text, ' '), lambda w: w <> ''), 1) - 1 AS k FROM conversations),
+    p AS (SELECT *, 'w' || (k % 12) AS tok, k % 5 = 1 AND k < 12 AS stops FROM w)
+    SELECT conv_id AS call_id, turn AS turn_idx, string_agg(tok || CASE WHEN stops THEN printf(' (...%.1fs)', 1 + k / 4.0) ELSE '' END, ' ' ORDER BY k) AS body FROM p GROUP BY ALL""")
+def turn_body(spark, sf_dir):
+    """Words w0 to w11 in turn, with pauses behind some of the first twelve and one behind a word that isn't there."""
+    words = F.expr("filter(split(text, ' '), w -> w <> '')")
+    turns = conversations(spark, sf_dir).where(F.size(words) > 0).select("call_id", "turn_idx", F.array_join(F.transform(words, lambda w, k: F.concat(F.lit("w"), (k % 12).cast("string"))), " ").alias("text"), F.size(words).alias("n"))
+    stops = turns.select("call_id", "turn_idx", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(12)) - 1)).alias("k")).where("k % 5 = 1")
+    held = stops.select("call_id", "turn_idx", F.col("k").cast("double").alias("at"), (1 + F.col("k") / 4).alias("seconds"), F.concat(F.lit("w"), F.col("k").cast("string")).alias("after_word"))
+    absent = turns.select("call_id", "turn_idx", F.lit(0.5).alias("at"), F.lit(9.0).alias("seconds"), F.lit("w").alias("after_word"))
+    return turn_bodies(turns, held.union(absent)).select("call_id", "turn_idx", "body")
