@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
-from turnwise.operators import scores as X, segments as S
+from pyspark.sql import Window, functions as F
+
+from turnwise.operators import baselines as B, scores as X, segments as S
 
 
 def test_lookups_equal_all_pairs(spark):
@@ -45,3 +47,23 @@ def test_word_intensity_across_bins(spark):
     frames = spark.createDataFrame([("t", k, float(k % 7)) for k in range(200)], "track string, frame long, db double")
     words = spark.createDataFrame([("t", w, 25 * w + 3, 25 * w + 20) for w in range(7)], "track string, word long, first long, last long")
     assert X.word_intensity(frames, words, bin_frames=8).collect() == X.word_intensity(frames, words, bin_frames=10**6).collect() != []
+
+
+def test_first_covering_over_union_of_shuffled_tables(spark):
+    rows = spark.range(40_000).selectExpr("cast(id % 30 as string) as call_id", "id div 30 as n", "cast(id div 30 as double) as start_s")
+    numbered = rows.withColumn("span", F.row_number().over(Window.partitionBy("call_id").orderBy("start_s")) - 1)
+    spans = numbered.withColumn("end_s", F.col("start_s") + 1)
+    turns = numbered.where("n % 10 = 0").withColumn("end_s", F.col("start_s") + 2)
+    clips = S.clip_windows(turns, 1.0, F.lit(1e6))
+    # partitions of both sides are merged, each by its own sizes
+    sizes = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        found = S.first_covering(spans, clips).count()
+        want = spans.join(clips, "call_id").where("clip_start <= start_s and end_s <= clip_end").select("call_id", "span").distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == want > 0

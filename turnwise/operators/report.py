@@ -13,6 +13,7 @@ from turnwise.functions.text import sentiment, without_fillers
 from turnwise.operators.baselines import BEHIND, LEAST, NOTABLE, finite, long_features, observations, references
 from turnwise.operators.scores import turn_scores
 from turnwise.operators.segments import reply_latencies, with_turns
+from turnwise.operators.storing import together
 from turnwise.operators.words import disfluency, pauses
 
 #: fixed values: the features that are compared, and where they are on a turn
@@ -138,7 +139,7 @@ def trailing_features(turns: DataFrame, features: tuple[str, ...] = FEATURES, le
                 past, seen = whole[behind:][-behind:], seen + b - a
                 last_key = (frame["call_id"].iloc[a], frame["speaker"].iloc[a])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "turn_idx").mapInPandas(run, out)
+    return together(rows, *keys).sortWithinPartitions(*keys, "turn_idx").mapInPandas(run, out)
 
 
 def feature_references(turns: DataFrame, features: tuple[str, ...] = FEATURES, least: int = LEAST, scored_seconds: float = SCORED) -> DataFrame:

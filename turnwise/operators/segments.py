@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.functions.numbers import exact_sum, rounded
+from turnwise.operators.storing import together
 
 def _call():
     return Window.partitionBy("call_id")
@@ -153,7 +154,7 @@ def _swept(rows: DataFrame, order: list[str], schema: str, start) -> DataFrame:
                     out.append(found)
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.repartition("call_id").sortWithinPartitions("call_id", *order).mapInPandas(run, schema)
+    return together(rows, "call_id").sortWithinPartitions("call_id", *order).mapInPandas(run, schema)
 
 
 def first_covering(spans: DataFrame, clips: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -19,3 +19,12 @@ def kept(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="turnwise-kept-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def together(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with equal keys in one partition, by a shuffle of its own.
+
+    Spark leaves out a repartition by the keys themselves where it takes rows to lie so already; over a union of shuffled tables, whose
+    partitions are then merged one by one, they don't.
+    """
+    return rows.repartition(F.xxhash64(*keys))
