@@ -120,3 +120,18 @@ def test_split_cuts_only_between_sustained_speakers(spark):
 def test_empty_tables(spark):
     rows = spark.createDataFrame([], "call_id string, seg_idx long, speaker string, start_s double, end_s double")
     assert S.build_turns(rows).count() == 0 and S.overlap_events(S.utterances(rows)).count() == 0 and S.call_summary(S.build_turns(rows)).count() == 0
+
+
+def test_related_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
+    rows = [(k % 23, "pq"[k % 2], k * k % 11) for k in range(300)] + [(1, None, 3), (2, "p", None), (None, "p", 3)]
+    frame = spark.createDataFrame(rows, "item long, p string, b long")
+    of = {}
+    for item, p, b in rows:
+        if None not in (item, p, b):
+            of.setdefault(item, set()).add((p, b))
+    want = sorted((x, y) for x in of for y in of if x < y and of[x] & of[y])
+    many = [len([r for r in rows if r[0] == k]) for k in range(23)]
+    for held in (64, max(many) - 1, 1):
+        assert sorted(tuple(r) for r in L.related(frame, "item", ["p", "b"], held=held).collect()) == want, held
+    plan = L.related(frame, "item", ["p", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
