@@ -135,3 +135,14 @@ def test_related_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
         assert sorted(tuple(r) for r in L.related(frame, "item", ["p", "b"], held=held).collect()) == want, held
     plan = L.related(frame, "item", ["p", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_words_of_more_messages_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    from turnwise.sources import tables
+
+    text = "some words. and more"
+    spark.createDataFrame([(c, t, "user", text) for c in range(40) for t in range(5)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(tables, "MESSAGES", 10, raising=False)
+    rows = tables.words(spark, str(tmp_path))
+    assert rows.count() == 800 and rows.rdd.getNumPartitions() == 21
+    assert rows.select("call_id", F.spark_partition_id().alias("p")).distinct().count() == 40
