@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from turnwise.operators.storing import kept
+from turnwise.operators.storing import ROWS, by_call, kept_by_call as kept
 
 #: Cells of a piece's table (words of one side times the other's), and words of a piece that is cut by time.
 CELLS, A_SLICE = 160_000, 600
@@ -80,25 +80,27 @@ def _piece(table: pa.Table) -> pa.Table:
     return pa.table({"call_id": table.column("call_id").take(pa.array(np.zeros(len(found), np.int64))), "i": at[order][i], "j": at[order][first:][j]})
 
 
-def word_pairs(left: DataFrame, right: DataFrame, cells: int = CELLS, a_slice: int = A_SLICE) -> DataFrame:
+def word_pairs(left: DataFrame, right: DataFrame, cells: int = CELLS, a_slice: int = A_SLICE, tasks: int | None = None) -> DataFrame:
     """(call_id, i, j): which word of left is which of right; each word once at most, rising in both.
 
     left, right: call_id, at (the word's place in its call's stream), key (words are equal by it), t (seconds, nullable).
-    Calls of one side, empty tables and null keys (equal to nothing) have no pairs. A call within `cells` is aligned whole.
+    Calls of one side, empty tables and null keys (equal to nothing) have no pairs. A call within `cells` is aligned whole. Words are
+    dealt by call once, to `tasks` (as many as there are ROWS of them, if none is given), and stay there.
     """
     kind = left.schema["call_id"].dataType.simpleString()
     pair = f"call_id {kind}, i bigint, j bigint"
     side = lambda df, n: df.where("key is not null").select("call_id", F.lit(n).alias("side"), F.col("at").cast("long").alias("at"), "key", F.col("t").cast("double").alias("t"))
     stream = Window.partitionBy("call_id", "side").orderBy("at")
     # times that never fall along a stream, so that cuts by time cut both streams
-    rows = side(left, 0).union(side(right, 1)).withColumn("ever", F.coalesce(F.max("t").over(stream.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).withColumn("piece", F.lit(0).cast("long"))
-    rows, found, cuts = kept(rows), [], 0
+    tasks = tasks or (left.count() + right.count()) // ROWS + 1
+    rows = by_call(side(left, 0).union(side(right, 1)), tasks).withColumn("ever", F.coalesce(F.max("t").over(stream.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))).withColumn("piece", F.lit(0).cast("long"))
+    found, cuts = [], 0
     while True:
-        sizes = rows.groupBy("call_id", "piece").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).where("n0 > 0 and n1 > 0")
-        rows = rows.join(sizes, ["call_id", "piece"])
+        whole = Window.partitionBy("call_id", "piece")
+        rows = kept(rows.withColumn("n0", F.count_if(F.col("side") == 0).over(whole)).withColumn("n1", F.count_if(F.col("side") == 1).over(whole)).where("n0 > 0 and n1 > 0"))
         small = rows.where(F.col("n0") * F.col("n1") <= cells)
         found.append(small.select("call_id", "piece", "side", "at", "key", "t").groupBy("call_id", "piece").applyInArrow(_piece, pair))
-        rows = kept(rows.where(F.col("n0") * F.col("n1") > cells).drop("n0", "n1"))
+        rows = rows.where(F.col("n0") * F.col("n1") > cells).drop("n0", "n1")
         if rows.isEmpty():
             break
         single = rows.groupBy("call_id", "piece", "key").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"), F.max(F.when(F.col("side") == 0, F.col("at"))).alias("i"), F.max(F.when(F.col("side") == 1, F.col("at"))).alias("j")).where("a = 1 and b = 1")
@@ -109,11 +111,10 @@ def word_pairs(left: DataFrame, right: DataFrame, cells: int = CELLS, a_slice: i
         before = F.count("mark").over(Window.partitionBy("call_id", "piece", "side").orderBy("at"))
         cut = marked.withColumn("cut", before).where("mark is null").drop("mark")
         # a piece without an anchor, cut by time
-        whole = Window.partitionBy("call_id", "piece")
         by_time = F.floor((F.row_number().over(whole.orderBy("ever", "side", "at")) - 1) / a_slice)
         cut = cut.withColumn("any", F.max("cut").over(whole)).withColumn("cut", F.when(F.col("any") > 0, F.col("cut")).otherwise(by_time)).drop("any")
         cuts += 1
-        rows = kept(cut.withColumn("piece", F.xxhash64("piece", "cut", F.lit(cuts))).drop("cut"))
+        rows = cut.withColumn("piece", F.xxhash64("piece", "cut", F.lit(cuts))).drop("cut")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

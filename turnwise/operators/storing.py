@@ -3,8 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Words (or rows as small) of the calls that one task takes, where rows are dealt by call.
+ROWS = 100_000
+
+
+@contextmanager
+def _dealt(spark: SparkSession) -> Iterator[None]:
+    """While this is open, rows dealt by one key of a join count as dealt for the join, and plans aren't changed as they run: how rows of
+    such plans lie isn't known any more when they are kept."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def by_call(df: DataFrame, tasks: int) -> DataFrame:
+    """df dealt by call to so many tasks; as it is where it lies so already."""
+    return df.repartition(tasks, "call_id")
+
+
+def kept_by_call(df: DataFrame) -> DataFrame:
+    """As kept, of what is made of tables dealt by call: rows stay in their tasks, in joins on the call and further keys and when the table is read again."""
+    with _dealt(df.sparkSession):
+        return kept(df)
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from turnwise.operators.storing import by_call
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +40,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 MESSAGES = 1_000
 
 
+def tasks_of(turns: DataFrame) -> int:
+    return turns.count() // MESSAGES + 1
+
+
 def words(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """The words of the conversations as timed words: a word lasts 0.05 s a letter and is followed by 0.1 s, or by 1.3 s after a full stop.
 
@@ -48,7 +54,7 @@ def words(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     split = F.expr("filter(split(text, ' '), w -> w <> '')")
     turns = conversations(spark, sf_dir)
     if dealt:
-        turns = turns.repartition(turns.count() // MESSAGES + 1, "call_id")
+        turns = by_call(turns, tasks_of(turns))
     rows = turns.select("call_id", "turn_idx", "speaker", F.posexplode(split).alias("word_idx", "word"))
     lasts = F.length("word") * F.lit(50)
     order = Window.partitionBy("call_id").orderBy("turn_idx", "word_idx")
