@@ -14,7 +14,7 @@ from turnwise.functions.numbers import rounded
 from turnwise.operators.aligning import word_pairs
 from turnwise.operators.calls import near_duplicates_dropped
 from turnwise.operators.clock import one_clock
-from turnwise.operators.storing import kept
+from turnwise.operators.storing import ROWS, by_call, kept_by_call as kept
 from turnwise.operators.words import filled_owners, without_loops
 
 # fixed values: seconds within which equal words are one occurrence, and fillers of both streams one sound; words of a restart at
@@ -70,23 +70,24 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy("call_id").orderBy("place")) - 1)
 
 
-def walk(recognised: DataFrame, verbatim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(words, counts): the merged stream in order (k1, k2, k3), before times are fitted, and (call_id, counter, n) of what was done.
+def walk(recognised: DataFrame, verbatim: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """(words, dropped): the merged stream in order (k1, k2, k3) with what was done (op), before times are fitted, and (call_id, counter, n) of what was left out.
 
     recognised: call_id, place, word, start_s, end_s (nullable), segment; verbatim: call_id, place, word, start_s, end_s.
     """
-    rec = kept(_numbered(recognised.where("trim(word) <> ''").select("call_id", "place", F.trim("word").alias("word"), "start_s", "end_s", "segment").where(token_kind(F.col("word")) != "filler"), "i").withColumn("key", word_key(F.col("word"))))
+    rec = _numbered(recognised.where("trim(word) <> ''").select("call_id", "place", F.trim("word").alias("word"), "start_s", "end_s", "segment").where(token_kind(F.col("word")) != "filler"), "i").withColumn("key", word_key(F.col("word")))
     ver = verbatim.where("trim(word) <> ''").select("call_id", "place", "word", "start_s", "end_s").withColumn("kind", token_kind(F.col("word")))
-    said = kept(_numbered(ver.where("kind = 'content'"), "j").withColumn("key", word_key(F.col("word"))))
-    pairs = kept(word_pairs(rec.select("call_id", F.col("i").alias("at"), "key", F.col("start_s").alias("t")), said.select("call_id", F.col("j").alias("at"), "key", F.col("start_s").alias("t"))))
+    said = _numbered(ver.where("kind = 'content'"), "j").withColumn("key", word_key(F.col("word")))
+    pairs = kept(word_pairs(rec.select("call_id", F.col("i").alias("at"), "key", F.col("start_s").alias("t")), said.select("call_id", F.col("j").alias("at"), "key", F.col("start_s").alias("t")), tasks=tasks))
 
     by_i, by_j = Window.partitionBy("call_id").orderBy("i"), Window.partitionBy("call_id").orderBy("j")
     upto = (Window.unboundedPreceding, 0)
     around = lambda name, ks: F.filter(F.array(*(F.lag(name, k).over(by_i) if k > 0 else F.col(name) if k == 0 else F.lead(name, -k).over(by_i) for k in ks)), lambda x: x.isNotNull())
     left = rec.join(pairs, ["call_id", "i"], "left").withColumn("gap", F.count("j").over(by_i.rowsBetween(*upto)))
-    left = left.withColumn("after", around("key", (0, -1, -2))).withColumn("before", around("key", (2, 1, 0)))
     right = said.join(pairs, ["call_id", "j"], "left").withColumn("gap", F.count("i").over(by_j.rowsBetween(*upto)))
     left, right = kept(left), kept(right)
+    # the keys around a pair are taken where gaps are looked at, so that they aren't kept with every word
+    beside = left.withColumn("after", around("key", (0, -1, -2))).withColumn("before", around("key", (2, 1, 0))).where("j is not null")
     matched = left.where("j is not null").join(right.select("call_id", "j", F.col("place").alias("v"), F.col("start_s").alias("vs"), F.col("end_s").alias("ve")), ["call_id", "j"])
     near = F.col("start_s").isNull() | (F.abs(F.col("vs") - F.col("start_s")) <= SAME_WORD)
 
@@ -99,8 +100,8 @@ def walk(recognised: DataFrame, verbatim: DataFrame) -> tuple[DataFrame, DataFra
     # gaps: what stands between two pairs
     n_left = left.where("j is null").groupBy("call_id", "gap").agg(F.count("*").alias("n_left"))
     n_right = right.where("i is null").groupBy("call_id", "gap").agg(F.count("*").alias("n_right"), F.max("place").alias("last_v"), F.when(F.count("*") <= RESTART, F.transform(F.array_sort(F.collect_list(F.struct("j", "key"))), lambda x: x["key"])).alias("run"))
-    ends = matched.select("call_id", (F.col("gap")).alias("gap"), F.col("v").alias("before_v"), F.col("before"))
-    begins = matched.select("call_id", (F.col("gap") - 1).alias("gap"), F.col("after"))
+    ends = matched.select("call_id", "gap", F.col("v").alias("before_v")).join(beside.select("call_id", "gap", "before"), ["call_id", "gap"])
+    begins = beside.select("call_id", (F.col("gap") - 1).alias("gap"), "after")
     gaps = n_left.join(n_right, ["call_id", "gap"], "full").join(ends, ["call_id", "gap"], "left").join(begins, ["call_id", "gap"], "left").fillna(0, ["n_left", "n_right"])
     gaps = kept(gaps.withColumn("repeats", F.coalesce((F.col("n_left") == 0) & repeats(F.col("run"), F.coalesce("before", F.array().cast("array<string>")), F.coalesce("after", F.array().cast("array<string>"))), F.lit(False))))
     slim = gaps.select("call_id", "gap", "n_left", "n_right", "last_v", "before_v", "repeats")
@@ -121,12 +122,13 @@ def walk(recognised: DataFrame, verbatim: DataFrame) -> tuple[DataFrame, DataFra
     for part in parts[1:]:
         merged = merged.union(part)
     # calls of one stream alone aren't merged
-    merged = kept(merged.join(rec.select("call_id").distinct(), "call_id", "left_semi").join(ver.select("call_id").distinct(), "call_id", "left_semi"))
-    dropped = theirs.where("n_left = 0 and not repeats").join(rec.select("call_id").distinct(), "call_id", "left_semi").groupBy("call_id").agg(F.count("*").alias("n")).select("call_id", F.lit("dropped_content").alias("counter"), "n")
-    return merged, merged.groupBy("call_id", F.col("op").alias("counter")).agg(F.count("*").alias("n")).union(dropped)
+    ours_too, theirs_too = left.select("call_id").distinct(), ver.select("call_id").distinct()
+    merged = by_call(merged, tasks).join(ours_too, "call_id", "left_semi").join(theirs_too, "call_id", "left_semi")
+    dropped = theirs.where("n_left = 0 and not repeats").join(ours_too, "call_id", "left_semi").groupBy("call_id").agg(F.count("*").alias("n")).select("call_id", F.lit("dropped_content").alias("counter"), "n")
+    return merged, kept(dropped)
 
 
-def restored_fillers(walked: DataFrame, fillers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def restored_fillers(walked: DataFrame, fillers: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """walked with the fillers that only the recognised stream has, in the gap where they were heard, and how many came back or were merged.
 
     walked: with times, in order (k1, k2, k3); fillers: call_id, place, word, start_s, end_s, segment. A filler within SAME_FILLER of one in
@@ -142,7 +144,7 @@ def restored_fillers(walked: DataFrame, fillers: DataFrame) -> tuple[DataFrame,
         "call_id", F.lit(None).cast("long").alias("k1"), F.lit(1).alias("k2"), F.lit(None).cast("long").alias("k3"), shown(F.col("word"), F.lit("filler")).alias("word"), F.lit("filler").alias("kind"), F.lit("whisper_fillers_kept").alias("op"),
         F.lit(False).alias("native"), "start_s", "end_s", F.lit(None).cast("double").alias("hint_start"), F.lit(None).cast("double").alias("hint_end"), "segment", F.col("place").cast("long").alias("k4"),
     )
-    rows = walked.withColumn("k4", F.lit(-1).cast("long")).union(new).withColumn("new", F.col("k4") >= 0).withColumn("t", F.col("start_s"))
+    rows = by_call(walked.withColumn("k4", F.lit(-1).cast("long")).union(new), tasks).withColumn("new", F.col("k4") >= 0).withColumn("t", F.col("start_s"))
     order = [F.col("t"), F.col("new"), F.col("k1"), F.col("k2"), F.col("k3"), F.col("k4")]
     on, back = Window.partitionBy("call_id").orderBy(*order), Window.partitionBy("call_id").orderBy(*(c.desc() for c in order))
     old = F.when(~F.col("new"), F.struct("k1", "k2", "k3", "start_s", "end_s"))
@@ -161,28 +163,32 @@ def restored_fillers(walked: DataFrame, fillers: DataFrame) -> tuple[DataFrame,
     return out, counts
 
 
-def merged_words(recognised: DataFrame, verbatim: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merged_words(recognised: DataFrame, verbatim: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(words, counts) of the merge of a verbatim transcript into a recognised one.
 
     words: call_id, word_idx, word, start_s, end_s (3 places), kind (null for recognised words), segment; counts: call_id, counter, n of COUNTERS, those above 0.
     recognised: call_id, place, word, start_s, end_s (nullable), segment; verbatim: call_id, place, word, start_s, end_s (all timed).
     Blank words don't count. A call without recognised content or without verbatim words stays as it is recognised. A token that only the
     verbatim stream has goes to the segment of its neighbours, or the nearer of two (the next, on a tie); over 5 s from both it goes.
+    Words are dealt by call once, to `tasks` (as many as there are ROWS of them, if none is given), and stay there.
     """
-    walked, counts = walk(recognised, verbatim)
+    tasks = tasks or (recognised.count() + verbatim.count()) // ROWS + 1
+    recognised, verbatim = by_call(recognised, tasks), by_call(verbatim, tasks)
+    walked, dropped = walk(recognised, verbatim, tasks)
     timed = kept(one_clock(walked, ["k1", "k2", "k3"]))
+    counts = timed.groupBy("call_id", F.col("op").alias("counter")).agg(F.count("*").alias("n")).union(dropped)
     fillers = recognised.where(token_kind(F.col("word")) == "filler")
-    whole, more = restored_fillers(timed, fillers)
+    whole, more = restored_fillers(timed, fillers, tasks)
     order = ["t", "k1", "k2", "k3", "k4"]
     number = F.row_number().over(Window.partitionBy("call_id").orderBy("k1", "k2", "k3", F.col("k4") >= 0, "t", "k4")) - 1
-    rows = kept(whole.withColumn("word_idx", number.cast("long")).withColumn("owner", F.col("segment")).drop(*order))
+    rows = whole.withColumn("word_idx", number.cast("long")).withColumn("owner", F.col("segment")).drop(*order)
     owned = kept(filled_owners(rows, order=["word_idx"]))
     inserted = owned.withColumn("_key", word_key(F.col("word")))
-    looped = kept(without_loops(inserted, COPIES, ["call_id", "owner"], ["word_idx"], "_key"))
+    looped = without_loops(inserted, COPIES, ["call_id", "owner"], ["word_idx"], "_key")
     lost = lambda before, after, name: before.groupBy("call_id").agg(F.count("*").alias("a")).join(after.groupBy("call_id").agg(F.count("*").alias("b")), "call_id", "left").select("call_id", F.lit(name).alias("counter"), (F.col("a") - F.coalesce("b", F.lit(0))).alias("n")).where("n > 0")
     counts = counts.union(more).union(lost(rows, owned, "dropped_misplaced")).union(lost(owned, looped, "dropped_loop"))
     merged = looped.select("call_id", "word_idx", "word", rounded("start_s", 3).alias("start_s"), rounded("end_s", 3).alias("end_s"), "kind", F.col("owner").alias("segment"))
-    alone = recognised.where("trim(word) <> ''").join(walked.select("call_id").distinct(), "call_id", "left_anti")
+    alone = recognised.where("trim(word) <> ''").join(timed.select("call_id").distinct(), "call_id", "left_anti")
     alone = alone.select("call_id", (F.row_number().over(Window.partitionBy("call_id").orderBy("place")) - 1).cast("long").alias("word_idx"), F.trim("word").alias("word"), "start_s", "end_s", F.lit(None).cast("string").alias("kind"), "segment")
     return merged.union(alone), counts
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from turnwise.operators import aligning, merging
 from turnwise.operators.clock import one_clock as clock
 from turnwise.registry import query
-from turnwise.sources.tables import WORDS_SQL, words
+from turnwise.sources.tables import WORDS_SQL, conversations, tasks_of, words
 
 
 def _numbered(spark, sf_dir):
@@ -15,6 +15,11 @@ def _numbered(spark, sf_dir):
     return words(spark, sf_dir).withColumn("n", F.row_number().over(order) - 1)
 
 
+def _tasks(spark, sf_dir):
+    """The tasks that words are dealt to where they are made, so that the merge finds them dealt."""
+    return tasks_of(conversations(spark, sf_dir))
+
+
 def _streams(spark, sf_dir):
     """The conversations' words as they were recognised and, with other gaps and with fillers, as they were said."""
     rows = _numbered(spark, sf_dir)
@@ -27,14 +32,14 @@ def _streams(spark, sf_dir):
 
 @query()
 def verbatim_merge(spark, sf_dir):
-    return merging.merged_words(*_streams(spark, sf_dir))[0]
+    return merging.merged_words(*_streams(spark, sf_dir), tasks=_tasks(spark, sf_dir))[0]
 
 
 @query()
 def verbatim_align(spark, sf_dir):
     rec, ver = _streams(spark, sf_dir)
     side = lambda df: df.select("call_id", F.col("place").alias("at"), merging.word_key(F.col("word")).alias("key"), F.col("start_s").alias("t"))
-    return aligning.word_pairs(side(rec), side(ver.where(merging.token_kind(F.col("word")) == "content")))
+    return aligning.word_pairs(side(rec), side(ver.where(merging.token_kind(F.col("word")) == "content")), tasks=_tasks(spark, sf_dir))
 
 
 def _numbered_words(spark, sf_dir):
@@ -60,7 +65,7 @@ def _numbered_words(spark, sf_dir):
           UNION ALL SELECT call_id, CASE WHEN near THEN 'whisper_fillers_merged' ELSE 'whisper_fillers_kept' END FROM u)
     SELECT call_id, counter, count(*) AS n FROM c GROUP BY ALL""")
 def merge_counters(spark, sf_dir):
-    counts = merging.merged_words(*_numbered_words(spark, sf_dir))[1]
+    counts = merging.merged_words(*_numbered_words(spark, sf_dir), tasks=_tasks(spark, sf_dir))[1]
     return counts.groupBy("call_id", "counter").agg(F.sum("n").alias("n"))
 
 
