@@ -252,3 +252,18 @@ def test_pairs_that_meet_only_in_split_buckets_reach_the_recall(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = J.jaccard_classes(frame, leaf=4).collect()
     assert sorted((x.doc_id, x.class_id, x.n_links) for x in got) == classes_by_hand(rows)
+
+
+def test_windows_are_handed_over_in_small_batches(monkeypatch):
+    """Heads and links of a block, each window once, in batches of BATCH_ROWS at most."""
+    monkeypatch.setattr(S, "BATCH_ROWS", 7)
+    r = np.random.default_rng(3)
+    keys, ids, spans = r.integers(0, 40, 100).astype(np.uint64), np.arange(100), r.integers(0, 9, 100)
+    block = S._Block()
+    assert not list(block.add(keys, ids, spans))
+    out = list(block.flush())
+    assert max(b.num_rows for b in out) <= 7
+    got = [x for b in out for x in zip(*(b.column(k).to_pylist() for k in range(5)))]
+    first = {k: min(i for i in ids.tolist() if keys[i] == k) for k in keys.tolist()}
+    assert sorted(x[:3] for x in got) == sorted(zip(keys.tolist(), ids.tolist(), spans.tolist()))
+    assert {x[1]: x[3:] for x in got} == {i: (None, None) if first[k] == i else (first[k], spans[first[k]]) for i, k in zip(ids.tolist(), keys.tolist())}

@@ -28,6 +28,8 @@ HASHES, ENOUGH, AGAIN_HASHES = 5, 2, 8
 SPARE, AGAIN_SPARE = 3, 4
 #: Windows that a task joins among themselves before it sends one for each value.
 BLOCK_WINDOWS = 1_000_000
+#: Rows of a batch that a task hands to Spark.
+BATCH_ROWS = 50_000
 _U = np.uint64
 _DRAW = np.random.Generator(np.random.PCG64(23))
 _XOR, _MULTIPLY = _DRAW.integers(0, 2**63, 8, dtype=np.uint64), _DRAW.integers(0, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
@@ -69,7 +71,7 @@ def compact_windows(grams: np.ndarray, bounds: np.ndarray, width: int, hashes: i
 def _to_first(keys: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key, id and span; for each row in that order its key's first row, and whether it is another row."""
     order = np.lexsort((spans, ids, keys))
-    keys, ids = keys[order], ids[order]
+    keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -83,6 +85,10 @@ def _batch(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["key", "id", "span", "to_id", "to_span"])
 
 
+def _parts(rows: np.ndarray):
+    return (rows[k : k + BATCH_ROWS] for k in range(0, len(rows), BATCH_ROWS))
+
+
 class _Block:
     """Windows of a task, joined among themselves: heads (to_id null: the first of each value) and links to them."""
 
@@ -102,11 +108,12 @@ class _Block:
         keys, ids, spans = map(np.concatenate, zip(*self.parts))
         self.parts, self.size = [], 0
         order, first, other = _to_first(keys, ids, spans)
-        heads = order == first
-        none = pa.nulls(int(heads.sum()), pa.int64())
-        yield _batch(keys[order][heads].view(np.int64), ids[order][heads], spans[order][heads], none, none)
-        at, to = order[other], first[other]
-        yield _batch(keys[at].view(np.int64), ids[at], spans[at], ids[to], spans[to])
+        # in small batches, as Spark holds each whole beside the heap
+        for at in _parts(order[order == first]):
+            yield _batch(keys[at].view(np.int64), ids[at], spans[at], pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()))
+        for place in _parts(np.flatnonzero(other)):
+            at, to = order[place], first[place]
+            yield _batch(keys[at].view(np.int64), ids[at], spans[at], ids[to], spans[to])
 
 
 def _windows(texts: DataFrame, width: int, ngram: int, hashes: int) -> DataFrame:
