@@ -267,3 +267,33 @@ def test_windows_are_handed_over_in_small_batches(monkeypatch):
     first = {k: min(i for i in ids.tolist() if keys[i] == k) for k in keys.tolist()}
     assert sorted(x[:3] for x in got) == sorted(zip(keys.tolist(), ids.tolist(), spans.tolist()))
     assert {x[1]: x[3:] for x in got} == {i: (None, None) if first[k] == i else (first[k], spans[first[k]]) for i, k in zip(ids.tolist(), keys.tolist())}
+
+
+def test_masked_windows_are_the_same_however_many_hashes_at_once(monkeypatch):
+    r = np.random.default_rng(4)
+    grams, width = r.integers(0, 2**63, 90).astype(np.uint64), 7
+    key = S.compact_windows(grams, np.array([0, 90]), width, 5)[1][::2]
+    given = (grams, width, np.array([[3, 30], [41, 80]]), np.array([5, 6, 44]), key)
+    whole = S.masked_windows(*given)
+    for at_once in (1, 200):
+        monkeypatch.setattr(S, "HASHED_AT_ONCE", at_once)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, S.masked_windows(*given)))
+
+
+def test_places_in_are_those_of_isin():
+    r = np.random.default_rng(5)
+    for n, m in ((0, 3), (3, 0), (50, 40), (300, 7)):
+        a, b = (r.integers(0, 60, k).astype("<u4") for k in (n, m))
+        assert np.array_equal(S.places_in(a, b), np.flatnonzero(np.isin(a, b)))
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    """Steps that hand whole texts to Python hand over few at a time, and the session is as it was afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    seen = []
+    monkeypatch.setattr(S, "kept", lambda df, kept=S.kept: seen.append(spark.conf.get(name)) or kept(df))
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text + " a b"), (2, "c d " + text)], "doc_id long, text string")
+    assert {r["doc_id"] for r in S.repeated_passages(docs).collect()} == {1, 2}
+    assert seen and max(map(int, seen)) <= 2_000 and spark.conf.get(name) == before

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,30 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a batch that Spark hands to Python where rows hold whole texts or sequences; each batch lies in both at once.
+TEXT_ROWS = 2_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """While this is open, what is run hands Python batches of so many rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """In a task: memory that was freed goes back to the system. A Python worker serves one step after the other, and what it once held counts for all."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.llm._spark import kept, only
+from turnwise.llm._spark import give_back, kept, only, small_batches
 from turnwise.llm._text import buffers, shingle_hashes, slices, word_hashes
 
 #: Words of a unit, items of an index (and bytes of their texts), postings of a block, and BM25's constants.
@@ -299,6 +299,7 @@ def contaminated(
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared, item_kind=item_kind):
+            give_back()
             index = shared.value
             for batch in batches:
                 data, offsets = buffers(batch.column(1))
@@ -320,4 +321,6 @@ def contaminated(
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is not that of a contaminated one. Null ids stay."""
     bad = contaminated(docs, benchmark, id_col, text_col, **options).where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    return only(docs, kept(bad), id_col, "left_anti").select(docs.columns)
+    with small_batches(docs.sparkSession):
+        bad = kept(bad)
+    return only(docs, bad, id_col, "left_anti").select(docs.columns)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from turnwise.llm._spark import give_back
 from turnwise.llm.token_counts import byte_alphabet
 
 #: Words, and chunks between spaces, whose ids a worker keeps; a full store keeps what the texts at hand use. Documents tokenised at once.
@@ -161,6 +162,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        give_back()
         known, number = words(vocabulary_text.value), (TaskContext.get().partitionId()) << 33
 
         def flush(block, number):

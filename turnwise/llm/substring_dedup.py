@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.llm._spark import HELD_IDS, fresh, group_bounds, kept, only, whole_groups
+from turnwise.llm._spark import HELD_IDS, fresh, give_back, group_bounds, kept, only, small_batches, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Hash functions (8 at most: the number is kept in a key's low bits), how many must meet, and hash functions of masked texts.
@@ -30,21 +30,28 @@ SPARE, AGAIN_SPARE = 3, 4
 BLOCK_WINDOWS = 1_000_000
 #: Rows of a batch that a task hands to Spark.
 BATCH_ROWS = 50_000
+#: Hashes of n-grams that are searched at once in a text of which parts are masked.
+HASHED_AT_ONCE = 1 << 16
 _U = np.uint64
 _DRAW = np.random.Generator(np.random.PCG64(23))
 _XOR, _MULTIPLY = _DRAW.integers(0, 2**63, 8, dtype=np.uint64), _DRAW.integers(0, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Minima of all windows of this width."""
+    """Minima of all windows of this width, along the last axis."""
     out, have = values, 1
     while have * 2 <= width:
-        out, have = np.minimum(out[:-have], out[have:]), have * 2
+        out, have = np.minimum(out[..., :-have], out[..., have:]), have * 2
     if have < width:
-        out = np.minimum(out[: len(values) - width + 1], out[width - have :])
+        out = np.minimum(out[..., : values.shape[-1] - width + 1], out[..., width - have :])
     return out
 
 
+def _mixed(values: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """mix, with a hash function's number for each value."""
+    return mix(values + f.astype(np.uint64))
+
+
 def compact_windows(grams: np.ndarray, bounds: np.ndarray, width: int, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
     """(row, key, first, last) of the Cartesian tree nodes at least `width` n-grams wide, of each hash; places within the row."""
     none = np.zeros(0, np.int64)
@@ -120,6 +127,7 @@ def _windows(texts: DataFrame, width: int, ngram: int, hashes: int) -> DataFrame
     """Rows to join over all (to_id null: the first of each value in a block), and links within a block. A span is first << 32 | last."""
 
     def run(batches):
+        give_back()
         block, seen = _Block(), set()
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -170,18 +178,27 @@ def masked_windows(grams: np.ndarray, width: int, starts: np.ndarray, places: np
     dark, out = np.zeros(len(grams), bool), []
     dark[places] = True
     most = np.iinfo(np.uint64).max
-    for f in range(hashes):
+    keys = np.sort(keys)
+    # all hashes of a short text at once
+    many = max(1, HASHED_AT_ONCE // len(grams))
+    for low_f in range(0, hashes, many):
+        f = np.arange(low_f, min(low_f + many, hashes))[:, None]
         drawn = (grams ^ _XOR[f]) * _MULTIPLY[f]
-        own = (mix(drawn, f) & ~_U(7)) | _U(f)
-        drawn[dark | np.isin(own, keys)] = most
-        least = window_minima(drawn, width)[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (np.diff(at) > 1)
-        low = np.flatnonzero(new)
-        high = np.append(low[1:], len(at)) - 1
-        bright = least[low] != most
-        low, high = low[bright], high[bright]
-        out.append(((mix(least[low], f) & ~_U(7)) | _U(f), at[low], at[high] + width - 1))
+        if len(keys):
+            own = (_mixed(drawn, f) & ~_U(7)) | f.astype(np.uint64)
+            drawn[dark | (keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own)] = most
+        else:
+            drawn[:, dark] = most
+        least = window_minima(drawn, width)[:, at]
+        new = np.ones(least.shape, bool)
+        new[:, 1:] = (least[:, 1:] != least[:, :-1]) | (np.diff(at) > 1)
+        h, low = np.nonzero(new)
+        high = np.append(np.where(h[1:] == h[:-1], low[1:], len(at)), len(at)) - 1
+        value = least[h, low]
+        bright = value != most
+        h, low, high, value = h[bright], low[bright], high[bright], value[bright]
+        h = f[h, 0]
+        out.append(((_mixed(value, h) & ~_U(7)) | h.astype(np.uint64), at[low], at[high] + width - 1))
     return tuple(map(np.concatenate, zip(*out)))
 
 
@@ -189,11 +206,12 @@ def _windows_again(texts: DataFrame, opened: DataFrame, width: int, ngram: int)
     """As _windows, of the texts and ranges of _opened, less what is masked."""
 
     def run(batches):
+        give_back()
         block = _Block()
         for batch in batches:
             ids, low = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, raw in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))):
-                grams, starts, places, keys = (np.frombuffer(x, kind) for x, kind in zip(raw, ("<u8", np.int64, np.int32, np.uint64)))
+            for i in range(len(ids)):
+                grams, starts, places, keys = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in zip((2, 3, 4, 5), ("<u8", np.int64, np.int32, np.uint64)))
                 places = places - low[i]
                 inside = places[(places >= 0) & (places < len(grams))]
                 key, first, last = masked_windows(grams, width, starts.reshape(-1, 2) - low[i], inside, keys)
@@ -251,6 +269,20 @@ def covered(first: np.ndarray, last: np.ndarray, passages: list[tuple[int, int]]
     return 2 * (inside[last + 1] - inside[first]) >= last - first + 1
 
 
+def _sorted_places(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes in order, and their places, those of equal ones in order."""
+    both = np.sort(grams.astype(np.uint64) << _U(32) | np.arange(len(grams), dtype=np.uint64))
+    return both >> _U(32), (both & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+def places_in(grams: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places of the 32-bit hashes that are among the others, in order."""
+    if not len(grams) or not len(others):
+        return np.zeros(0, np.int64)
+    (own, places), others = _sorted_places(grams), np.sort(others).astype(np.uint64)
+    return np.sort(places[others[np.minimum(np.searchsorted(others, own), len(others) - 1)] == own])
+
+
 def common_passages(a: np.ndarray, b: np.ndarray, width: int, ngram: int, similarity: float) -> list[tuple[int, int, int, int]]:
     """(first, end, first, end) in n-grams of passages of a and b, `width` n-grams at least, as similar as asked.
 
@@ -259,11 +291,14 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, ngram: int, simila
     """
     if not len(a) or not len(b):
         return []
-    values, rank = np.unique(b, return_inverse=True)
-    places = np.sort(rank * np.int64(len(b)) + np.arange(len(b)))  # by n-gram, then place
-    of = np.minimum(np.searchsorted(values, a), len(values) - 1)
-    where = np.flatnonzero(values[of] == a)
-    of = of[where]
+    where = places_in(a, b)
+    if len(where) < similarity * width / 2:
+        return []
+    ordered, places = _sorted_places(b)
+    new = np.ones(len(b), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    places += (np.cumsum(new) - 1) * len(b)  # by n-gram, then place
+    of = np.searchsorted(ordered[new], a[where].astype(np.uint64))
 
     def nearest(low: int, high: int, shift: float) -> np.ndarray:
         wish = np.clip(where[low:high] + int(shift), 0, len(b) - 1) + of[low:high] * np.int64(len(b))
@@ -316,28 +351,33 @@ def _verified(pairs: DataFrame, sequences: DataFrame, width: int, ngram: int, si
     # what two near copies of one passage have in common at least
     chained = 2 * (2 * similarity - 1) / (2 * similarity) * width
 
-    def mask(met, mine: bool, name: str, grams: np.ndarray, others: np.ndarray, low: int, passages) -> tuple[bytes | None, bool, bool]:
-        spans = np.array([m[name] for m in met if m["mine"] == mine], np.int64)
+    def mask(spans: np.ndarray, grams: np.ndarray, others: np.ndarray, low: int, passages) -> tuple[bytes | None, bool, bool]:
         settled = not len(spans) or bool(covered((spans >> 32) - low, (spans & 0xFFFFFFFF) - low, passages).all())
         if settled and not passages:
             return None, True, False
-        places = np.flatnonzero(np.isin(grams, others))
+        places = places_in(grams, others)
         return (low + places).astype(np.int32).tobytes(), settled, len(places) >= chained
 
     def run(batches):
+        give_back()
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                met = r["met"]
-                if enough > 1 and not stretches([(m["f"], m["span"] >> 32, m["span"] & 0xFFFFFFFF) for m in met], width, enough):
+            ids, to_ids, lows, to_lows = (batch.column(k).to_numpy().tolist() for k in range(4))
+            met, own_grams, other_grams = (batch.column(k) for k in (4, 5, 6))
+            bounds = met.offsets.to_numpy()
+            f, span, to_span, mine = (met.values.field(name).to_numpy(zero_copy_only=False) for name in ("f", "span", "to_span", "mine"))
+            for i, (id_, to_id, low, to_low) in enumerate(zip(ids, to_ids, lows, to_lows)):
+                at = slice(bounds[i], bounds[i + 1])
+                if enough > 1 and not stretches(list(zip(f[at].tolist(), (span[at] >> 32).tolist(), (span[at] & 0xFFFFFFFF).tolist())), width, enough):
                     continue
-                own, other = np.frombuffer(r["own"], "<u4"), np.frombuffer(r["other"], "<u4")
+                own, other = np.frombuffer(own_grams[i].as_buffer(), "<u4"), np.frombuffer(other_grams[i].as_buffer(), "<u4")
                 passages = common_passages(own, other, width, ngram, similarity)
                 for a, b, p, q in passages:
-                    rows.append((r["id"], r["low"] + a, r["low"] + b + ngram - 1, r["to_id"], r["to_low"] + p, r["to_low"] + q + ngram - 1, None, None, None))
-                for id_, (places, settled, near) in ((r["id"], mask(met, True, "span", own, other, r["low"], [x[:2] for x in passages])), (r["to_id"], mask(met, False, "to_span", other, own, r["to_low"], [x[2:] for x in passages]))):
+                    rows.append((id_, low + a, low + b + ngram - 1, to_id, to_low + p, to_low + q + ngram - 1, None, None, None))
+                led = mine[at]
+                for one, (places, settled, near) in ((id_, mask(span[at][led], own, other, low, [x[:2] for x in passages])), (to_id, mask(to_span[at][~led], other, own, to_low, [x[2:] for x in passages]))):
                     if places is not None:
-                        rows.append((id_, None, None, None, None, None, places, settled, near))
+                        rows.append((one, None, None, None, None, None, places, settled, near))
             if rows:
                 *numbers, masks, settled, near = zip(*rows)
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(masks, pa.binary()), pa.array(settled, pa.bool_()), pa.array(near, pa.bool_())], ["id", "first", "end", "to_id", "to_first", "to_end", "mask", "settled", "near"])
@@ -467,6 +507,11 @@ def repeated_passages(
 
 def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int = 50, similarity: float = 0.8, ngram: int = 5, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """The rows of repeated_passages, with _t, the hash of the text where an id has several, else null."""
+    with small_batches(docs.sparkSession):
+        return _all_passages(docs, id_col, text_col, min_words, similarity, ngram, hashes, enough)
+
+
+def _all_passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float, ngram: int, hashes: int, enough: int) -> DataFrame:
     width = min_words - ngram + 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).where("id is not null")
