@@ -113,3 +113,21 @@ def test_cross_validation(spark):
     assert model["f1"][model["penalty"]] > 0.6
     with pytest.raises(ValueError):
         T.cross_validated(spark.createDataFrame([(1, [1.0], "a")], "id long, x array<double>, label string"))
+
+
+def test_gradients_of_models_at_once_are_those_of_each(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x, y, weights = r.normal(size=(50, 3)), r.integers(0, 4, 50), r.normal(size=(5, 4, 4))
+    each = [T.loss_and_gradient(x, y, w) for w in weights]
+    for at_once in (1, 140, 1 << 20):
+        monkeypatch.setattr(T, "SCORES", at_once)
+        losses, sums = T.losses_and_gradients(x, y, weights)
+        assert np.allclose(losses, [e[0] for e in each]) and np.allclose(sums, [e[1] for e in each])
+
+
+def test_blocks_hold_each_row_once_by_fold(spark):
+    rows = spark.createDataFrame([([float(k), k / 7], k % 3, k % 4 if k % 9 else None) for k in range(40)], "x array<double>, y int, fold int").coalesce(1)
+    blocks = T._blocks(rows, 2).toArrow().to_batches()
+    assert sum(b.num_rows for b in blocks) == 1
+    got = [(k, *a, b) for k, x, y in T._by_fold(iter(blocks), 2) for a, b in zip(x.tolist(), y.tolist())]
+    assert sorted(got) == sorted((k % 4 if k % 9 else -1, float(k), k / 7, k % 3) for k in range(40)) and [g[0] for g in got] == sorted(g[0] for g in got)

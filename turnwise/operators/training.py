@@ -17,6 +17,10 @@ PENALTIES, FOLDS = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0), 5
 SALTS = 16
 
 
+#: Rows of a block, in the order of their folds, as which a task keeps its rows; and scores (rows by models by classes) computed at once.
+BLOCK, SCORES = 4_096, 1 << 20
+
+
 def _rows(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(-1, d).astype(np.float64), batch.column("y").to_numpy(), batch.column("fold").fill_null(-1).to_numpy()
@@ -39,6 +43,49 @@ def loss_and_gradient(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tupl
     return float(loss), np.concatenate([p.T @ x, p.sum(0)[:, None]], 1)
 
 
+def losses_and_gradients(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """loss_and_gradient of several models at once: weights (models, classes, d + 1)."""
+    m, classes, d = weights.shape
+    losses, sums = np.zeros(m), np.zeros((m * classes, d))
+    every, many = weights.reshape(m * classes, d).T, max(1, SCORES // max(1, m * classes))
+    for low in range(0, len(y), many):
+        own, one = y[low : low + many], np.ones((min(many, len(y) - low), 1))
+        part = np.concatenate([x[low : low + many], one], 1)
+        p = (part @ every).reshape(-1, m, classes)
+        p -= p.max(2, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(2, keepdims=True)
+        at = np.arange(len(own))
+        losses -= np.log(np.maximum(p[at, :, own], 1e-300)).sum(0)
+        p[at, :, own] -= 1
+        sums += p.reshape(-1, m * classes).T @ part
+    return losses, sums.reshape(m, classes, d)
+
+
+def _blocks(rows: DataFrame, d: int) -> DataFrame:
+    """rows as blocks of bytes (x, y, fold), so that a step hands few rows to Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, fold = _rows(batch, d)
+            for low in range(0, len(y), BLOCK):
+                order = low + np.argsort(fold[low : low + BLOCK], kind="stable")
+                parts = (x[order], y[order].astype(np.int32), fold[order].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in parts], ["x", "y", "fold"])
+
+    return rows.mapInArrow(run, "x binary, y binary, fold binary")
+
+
+def _by_fold(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(fold, x, y) of the rows of blocks, those of a fold in a block together."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, y, fold = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in enumerate((np.float64, np.int32, np.int32)))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(fold)) + 1, [len(fold)]]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield int(fold[a]), x.reshape(-1, d)[a:b], y[a:b]
+
+
 def _summed(rows: DataFrame) -> DataFrame:
     """(model, loss, g): rows of tasks added up, a model's in two stages, so that no task has all of them."""
 
@@ -98,19 +145,17 @@ def fit(rows: DataFrame, penalties: Sequence[float], folds: int, classes: int, s
     rows: x (array of numbers, of one length), y (class from 0), fold. Rows stay in their tasks: a step sends each task's gradients, one for
     each model, and brings back their sums; what the driver holds are the models.
     """
-    data = kept(rows.select(F.col("x").cast("array<double>").alias("x"), F.col("y").cast("int").alias("y"), F.col("fold").cast("int").alias("fold")))
+    plain = rows.select(F.col("x").cast("array<double>").alias("x"), F.col("y").cast("int").alias("y"), F.col("fold").cast("int").alias("fold"))
     context = rows.sparkSession.sparkContext
-    d = len(data.first()["x"])
+    d = len(plain.first()["x"])
+    data = kept(_blocks(plain, d))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sums = np.zeros((folds, 2 * d + 1))
-        for batch in batches:
-            x, _, fold = _rows(batch, d)
-            for k in np.unique(fold):
-                mine = x[fold == k]
-                sums[k] += np.concatenate([mine.sum(0), (mine**2).sum(0), [len(mine)]])
+        for k, mine, _ in _by_fold(batches, d):
+            sums[k] += np.concatenate([mine.sum(0), (mine**2).sum(0), [len(mine)]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(folds), pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS] * folds, pa.int32()), pa.array(np.zeros(folds)), pa.array([s.tobytes() for s in sums], pa.binary())], ["model", "salt", "loss", "g"])
 
     by_fold = np.zeros((folds, 2 * d + 1))
@@ -140,14 +185,13 @@ def fit(rows: DataFrame, penalties: Sequence[float], folds: int, classes: int, s
             from pyspark import TaskContext
 
             live, out, raw = sent.value
-            losses, sums = np.zeros(len(live)), np.zeros((len(live), size))
-            for batch in batches:
-                x, y, fold = _rows(batch, d)
-                for i, (k, w) in enumerate(zip(out, raw)):
-                    mine = fold != k
-                    loss, g = loss_and_gradient(x[mine], y[mine], w)
-                    losses[i] += loss
-                    sums[i] += g.ravel()
+            losses, sums, weights = np.zeros(len(live)), np.zeros((len(live), size)), np.stack(raw)
+            for fold, x, y in _by_fold(batches, d):
+                learn = np.array(out) != fold
+                if learn.any():
+                    loss, g = losses_and_gradients(x, y, weights[learn])
+                    losses[learn] += loss
+                    sums[learn] += g.reshape(-1, size)
             salt = TaskContext.get().partitionId() % SALTS
             yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([salt] * len(live), pa.int32()), pa.array(losses), pa.array([s.tobytes() for s in sums], pa.binary())], ["model", "salt", "loss", "g"])
 
