@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
-from turnwise.llm._spark import shared_folder
+from turnwise.llm._spark import kept, shared_folder, small_batches
 from turnwise.llm.queries import table, vocabulary
 
 
@@ -41,7 +41,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    with small_batches(spark):
+        return kept(packing.pack_documents(docs, vocabulary("word_bpe_49k.json")))
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline as P
 from test_duplicates import classes_by_hand, grams, split
 from test_search import found_by_hand
+from turnwise.llm import _spark, decontamination, jaccard_join, substring_dedup
 from turnwise.llm import quality_rules as Q
 
 
@@ -108,3 +109,22 @@ def test_stages_equal_brute_force(spark, tables):
 def test_empty_tables_pass_through(spark, tmp_path):
     folder = write(spark, tmp_path / "sf", [], [], [])
     assert P.run(spark, folder).count() == 0
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, tables, monkeypatch):
+    """Whatever a stage runs, it runs with batches of TEXT_ROWS: no stage leaves workers with larger ones."""
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for (name, stage), module in zip(P.STAGES, (Q, jaccard_join, substring_dedup, decontamination, P)):
+        sizes = set()
+        with monkeypatch.context() as m:
+            m.setattr(module, "kept", lambda df: (sizes.add(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), _spark.kept(df))[1])
+            stage(spark, docs, folder)
+        assert str(_spark.TEXT_ROWS) in sizes, name
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_a_step_drops_what_others_kept():
+    _spark.store("one")["x"] = _spark.store("two")["x"] = "held"
+    _spark.give_back("two")
+    assert not _spark.store("one") and _spark.store("two").pop("x") == "held"

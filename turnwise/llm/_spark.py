@@ -47,8 +47,20 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def give_back() -> None:
-    """In a task: memory that was freed goes back to the system. A Python worker serves one step after the other, and what it once held counts for all."""
+_STORES: dict[str, dict] = {}
+
+
+def store(name: str) -> dict:
+    """What a Python worker keeps from task to task under this name."""
+    return _STORES.setdefault(name, {})
+
+
+def give_back(own: str | None = None) -> None:
+    """In a task: memory that was freed goes back to the system, with all stores but the step's own. A Python worker serves one step after the other,
+    and what it once held counts for all."""
+    for name, held in _STORES.items():
+        if name != own:
+            held.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
     if trim is not None:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnwise.llm._spark import HELD_IDS, connected_components, fresh, group_bounds, kept, only, whole_groups
+from turnwise.llm._spark import HELD_IDS, connected_components, fresh, give_back, group_bounds, kept, only, small_batches, whole_groups
 from turnwise.llm._text import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Hashes of a sketch. In a leaf, a set goes with a leader if LOOSE of them agree and leads itself unless TIGHT of
@@ -96,6 +96,7 @@ def _signed(texts: DataFrame, ngram: int, runs: range, threshold: float) -> Data
     """(t, keys, sketch) of each distinct text with words; keys of these runs. A third column of texts says how many of the runs a text takes."""
 
     def run(batches):
+        give_back()
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -125,6 +126,7 @@ def _sets(texts: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     """(t, grams) of the texts whose hash t is in ids: little-endian 64-bit n-gram hashes, ascending."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             own = batch.column(0).to_numpy()
             for rows, grams, bounds in sets_of(batch.column(1), ngram):
@@ -275,6 +277,7 @@ def _verified(groups: DataFrame, texts: DataFrame, copies: DataFrame, ngram: int
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "rows", "blocks", "grams")
 
     def run(batches):
+        give_back()
         for table in whole_groups(batches, ["component", "i", "j"]):
             bounds = group_bounds(table, ["component", "i", "j"])
             ts, rows, own, i = (table.column(c).to_numpy() for c in ("t", "rows", "own", "i"))
@@ -356,8 +359,9 @@ def jaccard_classes(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs less all but one of each class: the one with the least id stays, and one of equal rows. Null ids stay."""
-    classes = jaccard_classes(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
-    by_id = kept(classes.groupBy(id_col).agg(F.max((F.col(id_col) == F.col("class_id")).cast("int")).alias("first"), F.count("*").alias("rows")).where("first = 1"))
+    with small_batches(docs.sparkSession):
+        classes = jaccard_classes(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+        by_id = kept(classes.groupBy(id_col).agg(F.max((F.col(id_col) == F.col("class_id")).cast("int")).alias("first"), F.count("*").alias("rows")).where("first = 1"))
     known = docs.where(F.col(id_col).isNotNull())
     stay = only(known, by_id.where("rows = 1"), id_col).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
     again = by_id.where("rows > 1")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.llm._spark import give_back
+from turnwise.llm._spark import give_back, store
 from turnwise.llm.token_counts import byte_alphabet
 
 #: Words, and chunks between spaces, whose ids a worker keeps; a full store keeps what the texts at hand use. Documents tokenised at once.
@@ -25,7 +25,6 @@ KEPT, CHUNKS_KEPT, AT_ONCE = 350_000, 450_000, 400
 LEARNT = 200
 #: Tokens of a block; a block is packed by itself, in the task that has tokenised it.
 BLOCK_TOKENS = 1 << 20
-_LOADED: dict[str, "Words"] = {}
 SCHEMA = "id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -102,10 +101,11 @@ class Words(dict):
 
 
 def words(text: str) -> Words:
-    if text not in _LOADED:
-        _LOADED.clear()
-        _LOADED[text] = Words(text)
-    return _LOADED[text]
+    loaded: dict[str, Words] = store("packing")
+    if text not in loaded:
+        loaded.clear()
+        loaded[text] = Words(text)
+    return loaded[text]
 
 
 def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1e-3) -> list[list[tuple[int, int, int]]]:
@@ -162,7 +162,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        give_back()
+        give_back("packing")
         known, number = words(vocabulary_text.value), (TaskContext.get().partitionId()) << 33
 
         def flush(block, number):

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnwise.llm._spark import kept, only
+from turnwise.llm._spark import give_back, kept, only, small_batches
 from turnwise.llm._text import buffers, slices, word_hashes
 
 STATISTICS = (
@@ -169,6 +169,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType
 
     def run(batches):
+        give_back()
         for batch in batches:
             x = text_statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(x.T))], ["id", *STATISTICS])
@@ -207,5 +208,7 @@ def quality_scores(
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are predicted to be good: those whose id has a good text. Null ids stay."""
-    good = quality_scores(docs, labels, id_col, text_col, **options).where(F.col(id_col).isNotNull() & (F.col("predicted") == 1)).select(id_col).distinct()
+    with small_batches(docs.sparkSession):
+        scores = quality_scores(docs, labels, id_col, text_col, **options)
+    good = scores.where(F.col(id_col).isNotNull() & (F.col("predicted") == 1)).select(id_col).distinct()
     return only(docs, kept(good), id_col).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
