@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnwise.functions.lexicons import NOTES
 from turnwise.functions.numbers import exact_sum, rounded, z_score
 from turnwise.functions.text import sentiment, without_fillers
-from turnwise.operators.baselines import BEHIND, LEAST, NOTABLE, finite, long_features, observations, references
+from turnwise.operators.baselines import BEHIND, LEAST, NOTABLE, finite, long_features, references
 from turnwise.operators.scores import turn_scores
 from turnwise.operators.segments import reply_latencies, with_turns
-from turnwise.operators.storing import together
+from turnwise.operators.storing import kept_by_call, together
 from turnwise.operators.words import disfluency, pauses
 
 #: fixed values: the features that are compared, and where they are on a turn
@@ -56,18 +57,18 @@ def annotated(segments: DataFrame, words: DataFrame, prosody: DataFrame | None =
     in_turns = words.join(dealt.select("call_id", "seg_idx", "turn_idx", F.col("start_s").alias("_low"), F.col("end_s").alias("_high")), ["call_id", "seg_idx"])
     place = F.row_number().over(Window.partitionBy(*key).orderBy("seg_idx", "word_idx")).alias("word_idx")
     in_turns = in_turns.select(*key, "seg_idx", place, "word", "start_s", "end_s", "kind", "_low", "_high")
-    held = pauses(in_turns, within=True)
+    held = kept_by_call(pauses(in_turns, within=True))
     # events are no words; a segment without words has those of its text
-    told = in_turns.where(F.coalesce(F.col("kind"), F.lit("content")) != "event").groupBy(*key, "seg_idx").agg(F.count("*").alias("_n"))
-    counted = dealt.join(told, [*key, "seg_idx"], "left").select(*key, F.coalesce("_n", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))).alias("_n"))
-    turns = paced(turns, held, counted.groupBy(*key).agg(F.sum("_n").alias("word_count")))
+    told = disfluency(in_turns.withColumn("_kind", F.col("kind")).withColumn("kind", F.coalesce("kind", F.lit("content"))), "seg_idx", [F.nullif(F.count_if(F.col("kind") != "event"), F.lit(0)).alias("_n"), F.bool_or(F.col("_kind").isNotNull()).alias("_known")])
+    counted = dealt.select(*key, "seg_idx", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("_text")).join(told, [*key, "seg_idx"], "left")
+    facts = counted.groupBy(*key).agg(F.sum(F.coalesce("_n", "_text")).alias("word_count"), F.sum("medial").alias("medial"), F.sum("filled_pauses").alias("filled_pauses"), F.bool_or("_known").alias("_known"))
+    turns = paced(turns, held, facts)
     scored = lambda name: turn_scores(dealt.select(*key, "seg_idx", seconds.alias("seconds"), F.col(name).alias("score"), "measured"), SCORED).withColumnRenamed("score", name)
     for name in ("arousal", "valence"):
         turns = turns.join(scored(name), key, "left")
     turns = turns.join(turn_stance(dealt), key, "left").withColumn("lexical", sentiment(without_fillers(F.col("text"))))
-    verbatim = in_turns.where("kind is not null").select("call_id").distinct().withColumn("_verbatim", F.lit(True))
-    spoken = disfluency(in_turns.withColumn("kind", F.coalesce("kind", F.lit("content"))), "seg_idx").select(*key, "medial", "filled_pauses")
-    turns = turns.join(verbatim, "call_id", "left").join(spoken, key, "left")
+    turns = turns.withColumn("_verbatim", F.coalesce(F.bool_or("_known").over(Window.partitionBy("call_id")), F.lit(False)))
+    turns = turns.select(*(c for c in turns.columns if c not in ("_known", "medial", "filled_pauses")), "medial", "filled_pauses")
     known = lambda c: F.when(F.col("_verbatim"), F.coalesce(c, F.lit(0).cast("long")))
     turns = turns.withColumn("filled_pauses", known("filled_pauses")).withColumn("medial", known("medial"))
     turns = turns.withColumn("medial_fillers", rounded(100 * F.col("medial") / F.greatest("word_count", F.lit(1)), 2)).drop("_verbatim")
@@ -99,8 +100,8 @@ def _window_references(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return median, scale, n
 
 
-def trailing_features(turns: DataFrame, features: tuple[str, ...] = FEATURES, least: int = LEAST, behind: int = BEHIND, scored_seconds: float = SCORED, after: float = TRAILING_AFTER) -> DataFrame:
-    """(call_id, turn_idx, feature, median, scale, n): references of the speaker's last `behind` scored turns before each scored turn.
+def _trailing(turns: DataFrame, features: tuple[str, ...] = FEATURES, least: int = LEAST, behind: int = BEHIND, scored_seconds: float = SCORED, after: float = TRAILING_AFTER) -> DataFrame:
+    """(call_id, turn_idx, and median, scale and count of feature k as _m<k>, _s<k>, _n<k>): references of the speaker's last `behind` scored turns before each scored turn.
 
     There are none in recordings shorter than `after` (media_seconds, null counts as short), and none until there are `least` such turns.
     turns: call_id, turn_idx, speaker, speech_seconds, media_seconds and the features. One sorted pass; between batches a speaker's last
@@ -110,7 +111,7 @@ def trailing_features(turns: DataFrame, features: tuple[str, ...] = FEATURES, le
     scored = turns.where((F.col("speech_seconds") >= scored_seconds) & (F.col("media_seconds") >= after))
     rows = scored.select(*keys, "turn_idx", *(F.when(finite(F.col(f)), F.col(f).cast("double")).alias(f) for f in features))
     schema = rows.schema
-    out = f"call_id {schema['call_id'].dataType.simpleString()}, turn_idx {schema['turn_idx'].dataType.simpleString()}, feature string, median double, scale double, n long"
+    out = f"call_id {schema['call_id'].dataType.simpleString()}, turn_idx {schema['turn_idx'].dataType.simpleString()}, " + ", ".join(f"_m{k} double, _s{k} double, _n{k} long" for k in range(len(features)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, past, seen = None, np.zeros((0, len(features))), 0
@@ -131,23 +132,28 @@ def trailing_features(turns: DataFrame, features: tuple[str, ...] = FEATURES, le
                 if len(at):
                     windows = np.lib.stride_tricks.sliding_window_view(whole, behind, axis=0)[at + offset - behind]
                     median, scale, n = _window_references(windows)
-                    k, f = np.nonzero(n >= 0)
-                    yield pd.DataFrame({
-                        "call_id": frame["call_id"].to_numpy()[a + at[k]], "turn_idx": frame["turn_idx"].to_numpy()[a + at[k]], "feature": np.array(features, object)[f],
-                        "median": [round(x, 3) if x == x else None for x in median[k, f].tolist()], "scale": [round(x, 4) if x == x else None for x in scale[k, f].tolist()], "n": n[k, f],
-                    })
+                    out = {c: frame[c].to_numpy()[a + at] for c in ("call_id", "turn_idx")}
+                    for k in range(len(features)):
+                        out |= {f"_m{k}": [round(x, 3) if x == x else None for x in median[:, k].tolist()], f"_s{k}": [round(x, 4) if x == x else None for x in scale[:, k].tolist()], f"_n{k}": n[:, k]}
+                    yield pd.DataFrame(out)
                 past, seen = whole[behind:][-behind:], seen + b - a
                 last_key = (frame["call_id"].iloc[a], frame["speaker"].iloc[a])
 
     return together(rows, *keys).sortWithinPartitions(*keys, "turn_idx").mapInPandas(run, out)
 
 
+def trailing_features(turns: DataFrame, features: tuple[str, ...] = FEATURES, **options) -> DataFrame:
+    """(call_id, turn_idx, feature, median, scale, n): see _trailing, a row for each turn and feature."""
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_m{k}").alias("median"), F.col(f"_s{k}").alias("scale"), F.col(f"_n{k}").alias("n")) for k, f in enumerate(features)))
+    return _trailing(turns, features, **options).select("call_id", "turn_idx", F.inline(each))
+
+
 def feature_references(turns: DataFrame, features: tuple[str, ...] = FEATURES, least: int = LEAST, scored_seconds: float = SCORED) -> DataFrame:
     """(call_id, speaker, feature, median, scale, mad, n) over a speaker's scored turns, of speakers with `least` such turns."""
     scored = turns.where(F.col("speech_seconds") >= scored_seconds)
-    many = scored.groupBy("call_id", "speaker").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("call_id", "speaker")
     keys = ["call_id", "speaker"]
-    return references(long_features(scored.join(many, keys, "left_semi"), keys, list(features)), [*keys, "feature"])
+    many = scored.select(*keys, *features).withColumn("_turns", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_turns") >= least)
+    return references(long_features(many, keys, list(features)), [*keys, "feature"])
 
 
 def pause_notes(pauses_: DataFrame, least: float = LONG_PAUSE) -> DataFrame:
@@ -166,23 +172,32 @@ def turn_moments(turns: DataFrame, pauses_: DataFrame, features: tuple[str, ...]
     """
     key = ["call_id", "turn_idx"]
     scored = turns.where(F.col("speech_seconds") >= SCORED)
-    values = long_features(scored.select(*key, "speaker", *features), [*key, "speaker"], list(features))
-    late = trailing_features(turns, features).withColumnRenamed("median", "_tm").withColumnRenamed("scale", "_ts").withColumnRenamed("n", "_tn").withColumn("_late", F.lit(True))
-    whole = feature_references(turns, features).select("call_id", "speaker", "feature", "median", "scale", "n")
-    both = values.join(late, [*key, "feature"], "left").join(whole, ["call_id", "speaker", "feature"], "left")
-    pick = lambda a, b: F.when(F.col("_late"), F.col(a)).otherwise(F.col(b))
-    both = both.withColumn("n", pick("_tn", "n")).withColumn("z", F.when(F.col("n") >= LEAST, z_score(F.col("value"), pick("_tm", "median"), pick("_ts", "scale"))))
-    departed = both.where("z is not null").select(*key, "feature", "value", "z", "n").join(scored.select(*key, "medial"), key)
-    guards: dict[str, Column] = {"medial_fillers": F.col("medial") >= FILLERS, "certainty": F.col("value") <= LEAN}
-    said = observations(departed, [*key, "n"], NOTABLE, guards=guards).select(*key, "place", "feature", "note", "z", F.lit(None).cast("double").alias("arousal_z"), "n")
-    pair = departed.where(F.col("feature").isin("lexical", "arousal")).groupBy(*key).agg(*(F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{f}") for f in ("lexical", "arousal") for c in ("z", "n")))
-    apart = (F.abs("_z_lexical") >= MISMATCH) & (F.abs("_z_arousal") >= MISMATCH) & ((F.col("_z_lexical") > 0) != (F.col("_z_arousal") > 0))
-    note = F.when(F.col("_z_lexical") > 0, "positive words, subdued delivery").otherwise("negative words, energetic delivery")
-    mixed = pair.where(apart).select(*key, F.lit(99).alias("place"), F.lit("mismatch").alias("feature"), note.alias("note"), F.col("_z_lexical").alias("z"), F.col("_z_arousal").alias("arousal_z"), F.col("_n_lexical").alias("n"))
-    item = F.struct("place", "feature", "note", "z", "arousal_z", "n")
-    evidence = said.union(mixed).groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_e"))
-    scope = late.select(*key).distinct().withColumn("_trailing", F.lit(True))
-    found = scored.join(evidence, key, "left").join(pause_notes(pauses_), key, "left").where("_e is not null or pause_note is not null").join(scope, key, "left")
+    late = _trailing(turns, features).withColumn("_late", F.lit(True))
+    reference = F.struct("feature", F.struct("median", "scale", "n"))
+    whole = feature_references(turns, features).groupBy("call_id", "speaker").agg(F.map_from_entries(F.collect_list(reference)).alias("_whole"))
+    both = scored.join(late, key, "left").join(whole, ["call_id", "speaker"], "left")
+    pick = lambda k, f, a, b: F.when(F.col("_late"), F.col(f"{a}{k}")).otherwise(F.try_element_at("_whole", F.lit(f))[b])
+    # all features of a turn are judged in its row
+    both = both.select("*", *(F.when(finite(F.col(f)), pick(k, f, "_n", "n")).alias(f"_of_{f}") for k, f in enumerate(features)))
+    z = lambda k, f: F.when(F.col(f"_of_{f}") >= LEAST, z_score(F.col(f).cast("double"), pick(k, f, "_m", "median"), pick(k, f, "_s", "scale")))
+    both = both.select("*", *(z(k, f).alias(f"_z_{f}") for k, f in enumerate(features)))
+    guards: dict[str, Column] = {"medial_fillers": F.col("medial") >= FILLERS, "certainty": F.col("certainty") <= LEAN if "certainty" in features else F.lit(False)}
+    none, items = F.lit(None).cast("double"), []
+
+    def item(place: int, feature: str, note: Column, z: str, arousal_z: Column, n: str) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.lit(feature).alias("feature"), note.alias("note"), F.col(z).alias("z"), arousal_z.alias("arousal_z"), F.col(n).alias("n"))
+
+    for place, (feature, high, low) in enumerate(NOTES):
+        if feature in features:
+            note = F.when(F.col(f"_z_{feature}") > 0, F.lit(high)).otherwise(F.lit(low)).cast("string")
+            allowed = (F.abs(f"_z_{feature}") >= NOTABLE) & note.isNotNull() & guards.get(feature, F.lit(True))
+            items.append(F.when(allowed, item(place, feature, note, f"_z_{feature}", none, f"_of_{feature}")))
+    if {"lexical", "arousal"} <= set(features):
+        apart = (F.abs("_z_lexical") >= MISMATCH) & (F.abs("_z_arousal") >= MISMATCH) & ((F.col("_z_lexical") > 0) != (F.col("_z_arousal") > 0))
+        note = F.when(F.col("_z_lexical") > 0, "positive words, subdued delivery").otherwise("negative words, energetic delivery")
+        items.append(F.when(apart, item(99, "mismatch", note, "_z_lexical", F.col("_z_arousal"), "_of_lexical")))
+    both = both.withColumn("_e", F.filter(F.array(*items), lambda e: e.isNotNull())).withColumn("_e", F.when(F.size("_e") > 0, F.col("_e"))).withColumn("_trailing", F.col("_late"))
+    found = both.select(*turns.columns, "_e", "_trailing").join(pause_notes(pauses_), key, "left").where("_e is not null or pause_note is not null")
     voice = F.coalesce(F.transform("_e", lambda e: e["note"]), F.array().cast("array<string>"))
     items = F.transform("_e", lambda e: F.struct(e["feature"].alias("feature"), e["note"].alias("note"), e["z"].alias("z"), e["arousal_z"].alias("arousal_z"), e["n"].alias("n")))
     empty = F.array().cast("array<struct<feature:string,note:string,z:double,arousal_z:double,n:bigint>>")
@@ -196,7 +211,7 @@ def turn_moments(turns: DataFrame, pauses_: DataFrame, features: tuple[str, ...]
 def analysed(segments: DataFrame, words: DataFrame, calls: DataFrame, prosody: DataFrame | None = None) -> dict[str, DataFrame]:
     """From segments to report: turns, pauses, speakers, references and moments. calls: call_id, media_seconds. See annotated for the rest."""
     turns, held = annotated(segments, words, prosody)
-    turns = turns.join(calls.select("call_id", "media_seconds"), "call_id", "left")
+    turns = kept_by_call(turns.join(calls.select("call_id", "media_seconds"), "call_id", "left"))
     scored = F.count_if(F.col("speech_seconds") >= SCORED)
     total = exact_sum("speech_seconds", 3)
     shared = turns.groupBy("call_id").agg(total.cast("double").alias("_total"))

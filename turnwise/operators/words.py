@@ -66,10 +66,11 @@ def pace(words: DataFrame, held: DataFrame) -> DataFrame:
     return spoken.join(still, ["call_id", "turn_idx"], "left").select("call_id", "turn_idx", "word_count", rounded(F.col("word_count") / (wall / 60), 1).alias("wpm"), rounded(F.col("word_count") / (speaking / 60), 1).alias("articulation_wpm"))
 
 
-def disfluency(words: DataFrame, segment: str | None = None) -> DataFrame:
+def disfluency(words: DataFrame, segment: str | None = None, further: Sequence[Column] | None = None) -> DataFrame:
     """Counts of each turn by class; a filler is initial, medial or final by whether words stand before and after it in its segment.
 
-    segment: the column of a word's segment; without one, a turn is one segment.
+    segment: the column of a word's segment; without one, a turn is one segment. further: aggregates that are taken as well, in place of
+    rates; counts are then of each segment.
     """
     turn = Window.partitionBy("call_id", "turn_idx", *([segment] if segment else []))
     content = F.when(F.col("kind").isin("content", "cutoff", "repetition"), F.col("word_idx"))
@@ -78,6 +79,8 @@ def disfluency(words: DataFrame, segment: str | None = None) -> DataFrame:
     before, after = F.col("_first") < F.col("word_idx"), F.col("_last") > F.col("word_idx")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     medial, initial = count(filler & before & after), count(filler & ~F.coalesce(before, F.lit(False)) & after)
+    if further is not None:
+        return seen.groupBy("call_id", "turn_idx", *([segment] if segment else [])).agg(count(filler).alias("filled_pauses"), medial.alias("medial"), *further)
     return seen.groupBy("call_id", "turn_idx").agg(
         count(filler).alias("filled_pauses"), initial.alias("initial"), medial.alias("medial"), (count(filler) - initial - medial).alias("final"), count(F.col("kind") == "cutoff").alias("cutoffs"),
         count(F.col("kind") == "vocalisation").alias("vocalisations"), rounded(100 * count(filler) / F.greatest(F.count("*"), F.lit(1)), 2).alias("per_100_words"),
