@@ -51,13 +51,16 @@ def words(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     of words and no task has more words the more calls there are; windows of a call or a turn stay where its words are. Where most columns
     of the words aren't needed (dealt is false), words are shuffled instead.
     """
-    split = F.expr("filter(split(text, ' '), w -> w <> '')")
     turns = conversations(spark, sf_dir)
-    if dealt:
-        turns = by_call(turns, tasks_of(turns))
-    rows = turns.select("call_id", "turn_idx", "speaker", F.posexplode(split).alias("word_idx", "word"))
+    return timed_words(by_call(turns, tasks_of(turns)) if dealt else turns)
+
+
+def timed_words(turns: DataFrame, *within: str) -> DataFrame:
+    """The words of turns (call_id, turn_idx, speaker, text), timed as those of `words`; times begin anew with each value of the columns within a call."""
+    key, split = ["call_id", *within], F.expr("filter(split(text, ' '), w -> w <> '')")
+    rows = turns.select(*key, "turn_idx", "speaker", F.posexplode(split).alias("word_idx", "word"))
     lasts = F.length("word") * F.lit(50)
-    order = Window.partitionBy("call_id").orderBy("turn_idx", "word_idx")
+    order = Window.partitionBy(*key).orderBy("turn_idx", "word_idx")
     end = F.sum(lasts + F.when(F.col("word").endswith("."), F.lit(1300)).otherwise(F.lit(100))).over(order)
     rows = rows.withColumn("_next", end)
     start = F.coalesce(F.lag("_next").over(order), F.lit(0)) / F.lit(1000.0)
