@@ -127,3 +127,10 @@ def test_empty_report(spark):
     words = spark.createDataFrame([], "call_id string, seg_idx long, word_idx int, word string, start_s double, end_s double, kind string")
     out = P.analysed(none, words, spark.createDataFrame([], "call_id string, media_seconds double"))
     assert all(df.count() == 0 for df in out.values())
+
+
+def test_no_shuffle_by_turn_and_feature(spark):
+    """A turn's features are judged in its row: they aren't dealt one by one."""
+    frame = spark.createDataFrame(made_turns(n=20), COLUMNS)
+    plan = P.turn_moments(frame, spark.createDataFrame([("long", 0, 2.5)], "call_id string, turn_idx long, seconds double"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" in plan and not any("turn_idx" in x and "feature" in x for x in plan.split("hashpartitioning(")[1:] for x in [x.split(")")[0]])
