@@ -12,9 +12,9 @@ from collections.abc import Hashable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from turnwise.operators.batches import begins
 from turnwise.operators.storing import ROWS, by_call, kept_by_call as kept
 
 #: Cells of a piece's table (words of one side times the other's), and words of a piece that is cut by time.
@@ -115,32 +115,28 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         if not len(table):
             continue
-        new = np.zeros(len(table) - 1, bool)
-        for name in ("call_id", "piece"):
-            one, two = (table.column(name).slice(k, len(table) - 1) for k in (0, 1))
-            new |= pc.not_equal(one, two).fill_null(False).to_numpy() | pc.xor(one.is_null(), two.is_null()).to_numpy()
-        begins = [0, *(np.flatnonzero(new) + 1).tolist()]
-        if len(begins) > 1:
-            yield table.slice(0, begins[-1]), begins
-        held = table.slice(begins[-1])
+        edges = begins(table, ["call_id", "piece"]).tolist()
+        if len(edges) > 1:
+            yield table.slice(0, edges[-1]), edges
+        held = table.slice(edges[-1])
     if held is not None:
         yield held, [0, len(held)]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, begins in _whole_groups(batches):
+    for table, edges in _whole_groups(batches):
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-        keep = [start + k for start, end in zip(begins, begins[1:]) for k in longest_rise(j[start:end].tolist())]
+        keep = [start + k for start, end in zip(edges, edges[1:]) for k in longest_rise(j[start:end].tolist())]
         yield from pa.table({"call_id": table.column("call_id").take(pa.array(keep, pa.int64())), "i": i[keep], "j": j[keep]}).to_batches()
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small pieces are aligned together, one after the other, with words that are equal within a piece only."""
-    for table, begins in _whole_groups(batches):
+    for table, edges in _whole_groups(batches):
         side, at, times, keys = table.column("side").to_numpy(), table.column("at").to_numpy(), table.column("t").to_numpy(), table.column("key").to_pylist()
-        words = list(zip(np.repeat(np.arange(len(begins) - 1), np.diff(begins)).tolist(), keys))
+        words = list(zip(np.repeat(np.arange(len(edges) - 1), np.diff(edges)).tolist(), keys))
         i, j, start = [], [], 0
-        for end, after in zip(begins[1:], [*begins[2:], None]):
+        for end, after in zip(edges[1:], [*edges[2:], None]):
             if after is not None and after - start <= TOGETHER:
                 continue
             left, right = (start + np.flatnonzero(side[start:end] == s) for s in (0, 1))

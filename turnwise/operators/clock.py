@@ -2,11 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
-def clamped(x: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(x, low), high)
+from turnwise.operators.batches import begins, running
+
+
+def _times(rows: pa.Table, fresh: np.ndarray, taken: float, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of rows, the first row of each run and what each run's first row has lent to the run before.
+
+    fresh: whether a call begins at a row. taken and top: what the first row has lent and the last start before it, where its call began before.
+    A run is a trusted word and the others up to the next one; what holds for a run is computed once for it.
+    """
+    own_start, own_end, hint_start, hint_end = (rows.column(c).to_numpy() for c in ("start_s", "end_s", "hint_start", "hint_end"))
+    native, length, n = rows.column("native").to_numpy(), pc.utf8_length(rows.column("word")).to_numpy(), len(rows)
+    first = np.flatnonzero(native | fresh | (np.arange(n) == 0))
+    stop = np.append(first[1:], n)
+    run = np.repeat(np.arange(len(first)), stop - first)
+    loose = ~native
+    known = loose & ~np.isnan(hint_start) & ~np.isnan(hint_end)
+    want = np.where(loose, np.where(known & (hint_end > hint_start), hint_end - hint_start, np.maximum(0.06 * length, 0.04)), 0.0)
+    whole = lambda x: (part := running(x, first), part[stop - 1] + x[stop - 1])  # noqa: E731  sums before each row of a run, and of the run
+    done, need = whole(want)
+
+    led = native[first]
+    follows = np.append(~fresh[first[1:]], False)
+    after_start, after_end = (np.where(follows, np.append(x[first[1:]], 0.0), 0.0) for x in (own_start, own_end))
+    at = np.flatnonzero(known)
+    upto = np.searchsorted(at, first), np.searchsorted(at, stop)
+    hinted = upto[0] < upto[1]
+    at0 = np.append(at, 0)
+    low = np.where(led, own_end[first], np.where(hinted, hint_start[at0[upto[0]]], 0.0))
+    high = np.maximum(np.where(follows, after_start, np.where(hinted, hint_end[at0[upto[1] - 1]], low + need)), low)
+
+    # by hints: what has none follows the last that has one
+    lo, hi = low[run], high[run]
+    fit = np.minimum(np.maximum(hint_start, lo), hi)
+    fit_end = np.minimum(np.maximum(hint_end, fit), hi)
+    last = np.searchsorted(at, np.arange(n)) - 1
+    behind = at0[last]
+    since = np.where((last >= 0) & (behind >= first[run]), fit_end[behind], lo)
+    heads = known.copy()
+    heads[first] = True
+    follow = since + running(np.where(loose & ~known, want, 0.0), np.flatnonzero(heads))
+    fit, fit_end = np.where(known, fit, np.minimum(follow, hi)), np.where(known, fit_end, np.minimum(follow + want, hi))
+    some = np.logical_or.reduceat(loose, first)
+    roomy = high - low >= 0.5 * need
+    packed = ~roomy | np.logical_or.reduceat(loose & (fit_end - fit < 0.2 * want), first)
+
+    # packed: the gap may borrow from the trusted words beside it
+    half = np.where(roomy, 0.0, (0.5 * need - (high - low)) / 2)
+    late = np.where(some & follows, np.minimum(half, 0.5 * (after_end - after_start)), 0.0)
+    lent = np.append(0.0 if fresh[0] else taken, np.where(follows, late, 0.0)[:-1])
+    early = np.where(some & led, np.minimum(half, 0.5 * (own_end[first] - own_start[first] - lent)), 0.0)
+    low, high = low - early, high + late
+    middle = whole(np.where(known, (hint_start + hint_end) / 2, 0.0))[1] / np.maximum(upto[1] - upto[0], 1)
+    scale = np.minimum((high - low) / np.where(some, need, 1.0), 1.0)
+    begin = np.minimum(np.maximum(np.where(hinted, middle, (low + high) / 2) - need * scale / 2, low), high - need * scale)
+    begin = begin[run] + done * scale[run]
+
+    start = np.where(native, own_start + lent[run], np.where(packed[run], begin, fit))
+    end = np.where(native, own_end - early[run], np.where(packed[run], begin + want * scale[run], fit_end))
+    calls = np.flatnonzero(fresh | (np.arange(n) == 0))
+    if not fresh[0]:
+        start[0] = max(start[0], top)
+    for a, b in zip(calls, np.append(calls[1:], n)):
+        np.maximum.accumulate(start[a:b], out=start[a:b])
+    then = np.append(np.where(fresh[1:], np.inf, start[1:]), np.inf)
+    return start, np.maximum(np.minimum(np.maximum(end, start), then), start), first, lent
+
+
+def _pass(keys: list[str], columns: list[str]):
+    """Fits rows sorted by call and order; of a call only the run that may go on is held, with what its first word has lent."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = [], None
+        for batch in _closed(batches):
+            if batch is not None:
+                if not len(batch):
+                    continue
+                held.append(batch)
+                if len(held) > 1 and not pc.any(batch.column("native")).as_py() and not len(begins(pa.Table.from_batches([held[-2].slice(len(held[-2]) - 1), batch]), keys)) > 1:
+                    continue
+            if not held:
+                continue
+            rows = pa.Table.from_batches(held)
+            fresh = np.zeros(len(rows), bool)
+            fresh[begins(rows, keys)] = True
+            fresh[0] = state is None
+            start, end, first, lent = _times(rows, fresh, *(state or (0.0, 0.0)))
+            cut = len(rows) if batch is None else int(first[-1])
+            if cut:
+                out = rows.set_column(columns.index("start_s"), "start_s", pa.array(start)).set_column(columns.index("end_s"), "end_s", pa.array(end))
+                yield from out.slice(0, cut).to_batches()
+            if batch is not None and cut:
+                held, state = rows.slice(cut).to_batches(), None if fresh[cut] else (float(lent[-1]), float(start[cut - 1]))
+
+    return fitted
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def one_clock(words: DataFrame, order: list[str], keys: list[str] = ["call_id"]) -> DataFrame:  # noqa: B006
@@ -17,55 +118,10 @@ def one_clock(words: DataFrame, order: list[str], keys: list[str] = ["call_id"])
     asks for, each word keeps its hint, clamped into the gap (a word without one follows the word before); if that crushes
     any word below a fifth of its length, or the gap is too small, the run is packed around the middle of its hints,
     and a gap that is too small borrows from its neighbours, at most half of each.
-    Runs are islands of windows over the call's order, times within are prefix sums; nothing is gathered.
+    Words are fitted in one pass over each call's order, which holds one run and not the call.
     """
+    # the window deals words by call and sorts them, where they don't lie so already
     call = Window.partitionBy(*keys).orderBy(*order)
-    back = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    past = (Window.unboundedPreceding, -1)
-    trusted = F.when(F.col("native"), F.struct("start_s", "end_s"))
-    rows = words.withColumn("_before", F.last(trusted, ignorenulls=True).over(call.rowsBetween(*past))).withColumn("_after", F.last(trusted, ignorenulls=True).over(back.rowsBetween(*past)))
-    rows = rows.withColumn("_run", F.sum(F.col("native").cast("int")).over(call.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    in_order = Window.partitionBy(*keys, "_run").orderBy(*order)
-    whole, earlier = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), in_order.rowsBetween(*past)
-    loose = ~F.col("native")
-    known = loose & F.col("hint_start").isNotNull() & F.col("hint_end").isNotNull()
-    rows = rows.withColumn("_want", F.when(loose, F.when(known & (F.col("hint_end") > F.col("hint_start")), F.col("hint_end") - F.col("hint_start")).otherwise(F.greatest(0.06 * F.length("word"), F.lit(0.04)))))
-    rows = rows.withColumn("_need", F.sum("_want").over(whole)).withColumn("_done", F.coalesce(F.sum("_want").over(earlier), F.lit(0.0)))
-    first, last = F.first(F.when(known, F.col("hint_start")), ignorenulls=True).over(whole), F.last(F.when(known, F.col("hint_end")), ignorenulls=True).over(whole)
-    rows = rows.withColumn("_low", F.when(loose, F.coalesce("_before.end_s", first, F.lit(0.0))))
-    rows = rows.withColumn("_high", F.when(loose, F.greatest(F.coalesce("_after.start_s", last, F.col("_low") + F.col("_need")), F.col("_low"))))
-    low, high, need, want = (F.col(c) for c in ("_low", "_high", "_need", "_want"))
-
-    # by hints: what has none follows the last that has one
-    hinted = clamped(F.col("hint_start"), low, high)
-    rows = rows.withColumn("_fit_end", F.when(known, clamped(F.col("hint_end"), hinted, high))).withColumn("_fit", F.when(known, hinted))
-    rows = rows.withColumn("_from", F.coalesce(F.last("_fit_end", ignorenulls=True).over(earlier), low)).withColumn("_known", F.count(F.when(known, 1)).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    follow = F.coalesce(F.sum(F.when(loose & ~known, want)).over(Window.partitionBy(*keys, "_run", "_known").orderBy(*order).rowsBetween(*past)), F.lit(0.0))
-    rows = rows.withColumn("_follow", F.col("_from") + follow)
-    rows = rows.withColumn("_fit", F.when(loose, F.coalesce("_fit", F.least("_follow", high)))).withColumn("_fit_end", F.when(loose, F.coalesce("_fit_end", F.least(F.col("_follow") + want, high))))
-    roomy = high - low >= 0.5 * need
-    rows = rows.withColumn("_packed", F.when(loose, ~roomy | F.max(F.when(loose, F.col("_fit_end") - F.col("_fit") < 0.2 * want)).over(whole)))
-
-    # packed: the gap may borrow from the trusted words beside it
-    half = F.when(roomy, F.lit(0.0)).otherwise((0.5 * need - (high - low)) / 2)
-    rows = rows.withColumn("_half", F.when(loose, half))
-    rows = rows.withColumn("_late", F.when(loose, F.when(F.col("_after").isNotNull(), F.least("_half", 0.5 * (F.col("_after.end_s") - F.col("_after.start_s")))).otherwise(0.0)))
-    rows = rows.withColumn("_taken", F.when(F.col("native"), F.coalesce(F.lag("_late").over(call), F.lit(0.0))))
-    taken = F.coalesce(F.max("_taken").over(whole), F.lit(0.0))
-    rows = rows.withColumn("_early", F.when(loose, F.when(F.col("_before").isNotNull(), F.least("_half", 0.5 * (F.col("_before.end_s") - F.col("_before.start_s") - taken))).otherwise(0.0)))
-    rows = rows.withColumn("_given", F.coalesce(F.max("_early").over(whole), F.lit(0.0)))
-    low, high = low - F.coalesce("_early", F.lit(0.0)), high + F.coalesce("_late", F.lit(0.0))
-    rows = rows.withColumn("_low", low).withColumn("_high", high)
-    middle = F.avg(F.when(known, (F.col("hint_start") + F.col("hint_end")) / 2)).over(whole)
-    scale = F.least((F.col("_high") - F.col("_low")) / need, F.lit(1.0))
-    rows = rows.withColumn("_scale", scale).withColumn("_middle", F.coalesce(middle, (F.col("_low") + F.col("_high")) / 2))
-    begin = F.least(F.greatest(F.col("_middle") - need * F.col("_scale") / 2, F.col("_low")), F.col("_high") - need * F.col("_scale"))
-    rows = rows.withColumn("_begin", begin + F.col("_done") * F.col("_scale"))
-
-    start = F.when(F.col("native"), F.col("start_s") + F.col("_taken")).when(F.col("_packed"), F.col("_begin")).otherwise(F.col("_fit"))
-    end = F.when(F.col("native"), F.col("end_s") - F.col("_given")).when(F.col("_packed"), F.col("_begin") + want * F.col("_scale")).otherwise(F.col("_fit_end"))
-    rows = rows.withColumn("start_s", start).withColumn("end_s", end)
-    rows = rows.withColumn("start_s", F.max("start_s").over(call.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("end_s", F.greatest(F.least(F.greatest("end_s", "start_s"), F.lead("start_s").over(call)), "start_s"))
-    return rows.select(*words.columns)
+    rows = words.select(*words.columns, F.row_number().over(call).alias("_at")).sortWithinPartitions(*keys, *order)
+    columns = words.columns
+    return rows.select(*columns, "_at").mapInArrow(_pass(keys, [*columns, "_at"]), rows.schema).select(*columns)

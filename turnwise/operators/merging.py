@@ -35,7 +35,11 @@ def word_key(word: Column) -> Column:
 
 def token_kind(word: Column) -> Column:
     """filler, vocalisation, event, cutoff or content."""
-    key = word_key(word)
+    return key_kind(word_key(word))
+
+
+def key_kind(key: Column) -> Column:
+    """The same of a word's key."""
     bare = F.regexp_replace(key, r"^[\[\]]+|[\[\]]+$", "")
     return (
         F.when(bare.isin(*FILLERS), "filler").when(bare.isin(*VOCALISATIONS), "vocalisation").when(key.startswith("[") & key.endswith("]"), "event")
@@ -66,26 +70,38 @@ def repeats(run: Column, before: Column, after: Column) -> Column:
     return (n > 0) & (same | ((n >= 2) & (n <= RESTART) & again))
 
 
-def _numbered(rows: DataFrame, name: str) -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("call_id").orderBy("place")) - 1)
+def _numbered(rows: DataFrame, name: str, counted: Column) -> DataFrame:
+    """rows with the number of those counted, null for others. Filters follow, so that kinds are told once, before rows are sorted."""
+    upto = Window.partitionBy("call_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.when(counted, F.count_if(counted).over(upto) - 1))
 
 
-def walk(recognised: DataFrame, verbatim: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """(words, dropped): the merged stream in order (k1, k2, k3) with what was done (op), before times are fitted, and (call_id, counter, n) of what was left out.
+def walk(recognised: DataFrame, verbatim: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, dropped, fillers): the merged stream in order (k1, k2, k3) with what was done (op), before times are fitted; (call_id, counter, n) of
+    what was left out; and the fillers of recognised.
 
     recognised: call_id, place, word, start_s, end_s (nullable), segment; verbatim: call_id, place, word, start_s, end_s.
     """
-    rec = _numbered(recognised.where("trim(word) <> ''").select("call_id", "place", F.trim("word").alias("word"), "start_s", "end_s", "segment").where(token_kind(F.col("word")) != "filler"), "i").withColumn("key", word_key(F.col("word")))
-    ver = verbatim.where("trim(word) <> ''").select("call_id", "place", "word", "start_s", "end_s").withColumn("kind", token_kind(F.col("word")))
-    said = _numbered(ver.where("kind = 'content'"), "j").withColumn("key", word_key(F.col("word")))
-    pairs = kept(word_pairs(rec.select("call_id", F.col("i").alias("at"), "key", F.col("start_s").alias("t")), said.select("call_id", F.col("j").alias("at"), "key", F.col("start_s").alias("t")), tasks=tasks))
-
-    by_i, by_j = Window.partitionBy("call_id").orderBy("i"), Window.partitionBy("call_id").orderBy("j")
-    upto = (Window.unboundedPreceding, 0)
-    around = lambda name, ks: F.filter(F.array(*(F.lag(name, k).over(by_i) if k > 0 else F.col(name) if k == 0 else F.lead(name, -k).over(by_i) for k in ks)), lambda x: x.isNotNull())
-    left = rec.join(pairs, ["call_id", "i"], "left").withColumn("gap", F.count("j").over(by_i.rowsBetween(*upto)))
-    right = said.join(pairs, ["call_id", "j"], "left").withColumn("gap", F.count("i").over(by_j.rowsBetween(*upto)))
-    left, right = kept(left), kept(right)
+    told = lambda df, *more: df.where("trim(word) <> ''").select("call_id", "place", "word", word_key(F.col("word")).alias("key"), "start_s", "end_s", *more).withColumn("kind", key_kind(F.col("key")))
+    rec = _numbered(told(recognised, "segment").withColumn("word", F.trim("word")), "i", F.col("kind") != "filler")
+    ver = _numbered(told(verbatim), "j", F.col("kind") == "content")
+    side = lambda df, at: df.where(F.col(at).isNotNull()).select("call_id", F.col(at).alias("at"), "key", F.col("start_s").alias("t"))
+    pairs = kept(word_pairs(side(rec, "i"), side(ver, "j"), tasks=tasks))
+
+    by_place = Window.partitionBy("call_id").orderBy("place")
+    upto = by_place.rowsBetween(Window.unboundedPreceding, 0)
+    around = lambda name, ks: F.filter(F.array(*(F.lag(name, k).over(by_place) if k > 0 else F.col(name) if k == 0 else F.lead(name, -k).over(by_place) for k in ks)), lambda x: x.isNotNull())
+
+    def placed(rows: DataFrame, own: str, other: str, calls: DataFrame) -> DataFrame:
+        """rows with their pair (other), how many pairs are before them (gap) and their place after the last (rank); calls of one stream alone aren't merged."""
+        rows = rows.join(pairs, ["call_id", own], "left").join(calls.select("call_id").distinct(), "call_id", "left_semi")
+        last = F.coalesce(F.last(F.when(F.col(other).isNotNull(), F.col(own)), ignorenulls=True).over(upto), F.lit(-1))
+        return kept(rows.withColumn("gap", F.count(other).over(upto)).withColumn("rank", F.col(own) - last))
+
+    rec = placed(rec, "i", "j", verbatim.where("trim(word) <> ''"))
+    left = rec.where("i is not null").drop("kind")
+    ver = placed(ver, "j", "i", left)
+    right = ver.where("j is not null")
     # the keys around a pair are taken where gaps are looked at, so that they aren't kept with every word
     beside = left.withColumn("after", around("key", (0, -1, -2))).withColumn("before", around("key", (2, 1, 0))).where("j is not null")
     matched = left.where("j is not null").join(right.select("call_id", "j", F.col("place").alias("v"), F.col("start_s").alias("vs"), F.col("end_s").alias("ve")), ["call_id", "j"])
@@ -105,8 +121,8 @@ def walk(recognised: DataFrame, verbatim: DataFrame, tasks: int) -> tuple[DataFr
     gaps = n_left.join(n_right, ["call_id", "gap"], "full").join(ends, ["call_id", "gap"], "left").join(begins, ["call_id", "gap"], "left").fillna(0, ["n_left", "n_right"])
     gaps = kept(gaps.withColumn("repeats", F.coalesce((F.col("n_left") == 0) & repeats(F.col("run"), F.coalesce("before", F.array().cast("array<string>")), F.coalesce("after", F.array().cast("array<string>"))), F.lit(False))))
     slim = gaps.select("call_id", "gap", "n_left", "n_right", "last_v", "before_v", "repeats")
-    ours = left.where("j is null").withColumn("rank", F.row_number().over(Window.partitionBy("call_id", "gap").orderBy("i"))).drop("j").join(slim, ["call_id", "gap"])
-    theirs = right.where("i is null").withColumn("rank", F.row_number().over(Window.partitionBy("call_id", "gap").orderBy("j"))).drop("i").join(slim, ["call_id", "gap"])
+    ours = left.where("j is null").drop("j").join(slim, ["call_id", "gap"])
+    theirs = right.where("i is null").drop("i").join(slim, ["call_id", "gap"])
     even = ours.where("n_left = n_right").join(theirs.where("n_left = n_right").select("call_id", "gap", "rank", F.col("place").alias("v"), F.col("start_s").alias("vs"), F.col("end_s").alias("ve")), ["call_id", "gap", "rank"])
     parts.append(word(even, "v", 0, F.lit("replaced"), F.lit(True)))
     uneven = ours.where("n_left <> n_right").withColumn("vs", F.lit(None).cast("double")).withColumn("ve", F.lit(None).cast("double"))
@@ -121,11 +137,8 @@ def walk(recognised: DataFrame, verbatim: DataFrame, tasks: int) -> tuple[DataFr
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.union(part)
-    # calls of one stream alone aren't merged
-    ours_too, theirs_too = left.select("call_id").distinct(), ver.select("call_id").distinct()
-    merged = by_call(merged, tasks).join(ours_too, "call_id", "left_semi").join(theirs_too, "call_id", "left_semi")
-    dropped = theirs.where("n_left = 0 and not repeats").join(ours_too, "call_id", "left_semi").groupBy("call_id").agg(F.count("*").alias("n")).select("call_id", F.lit("dropped_content").alias("counter"), "n")
-    return merged, kept(dropped)
+    dropped = theirs.where("n_left = 0 and not repeats").groupBy("call_id").agg(F.count("*").alias("n")).select("call_id", F.lit("dropped_content").alias("counter"), "n")
+    return by_call(merged, tasks), kept(dropped), rec.where("kind = 'filler'").select("call_id", "place", "word", "start_s", "end_s", "segment")
 
 
 def restored_fillers(walked: DataFrame, fillers: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
@@ -174,10 +187,9 @@ def merged_words(recognised: DataFrame, verbatim: DataFrame, tasks: int | None =
     """
     tasks = tasks or (recognised.count() + verbatim.count()) // ROWS + 1
     recognised, verbatim = by_call(recognised, tasks), by_call(verbatim, tasks)
-    walked, dropped = walk(recognised, verbatim, tasks)
+    walked, dropped, fillers = walk(recognised, verbatim, tasks)
     timed = kept(one_clock(walked, ["k1", "k2", "k3"]))
     counts = timed.groupBy("call_id", F.col("op").alias("counter")).agg(F.count("*").alias("n")).union(dropped)
-    fillers = recognised.where(token_kind(F.col("word")) == "filler")
     whole, more = restored_fillers(timed, fillers, tasks)
     order = ["t", "k1", "k2", "k3", "k4"]
     number = F.row_number().over(Window.partitionBy("call_id").orderBy("k1", "k2", "k3", F.col("k4") >= 0, "t", "k4")) - 1

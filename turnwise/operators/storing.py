@@ -15,8 +15,8 @@ ROWS = 100_000
 @contextmanager
 def _dealt(spark: SparkSession) -> Iterator[None]:
     """While this is open, rows dealt by one key of a join count as dealt for the join, and plans aren't changed as they run: how rows of
-    such plans lie isn't known any more when they are kept."""
-    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"}
+    such plans lie isn't known any more when they are kept. Methods that are too long to be compiled at run time aren't generated."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.hugeMethodLimit": "8000"}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
