@@ -137,6 +137,22 @@ def test_related_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
     assert "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_related_pairs_compare_bits_first(spark, monkeypatch):
+    """Bits tell most items apart without their rows; where bits are common by chance (one long for many rows), rows decide."""
+    rows = [(k % 90, "pqr"[k % 3], k * (k // 90 + 3) % 97) for k in range(1800)]
+    frame = spark.createDataFrame(rows, "item long, p string, b long")
+    of = {}
+    for item, p, b in rows:
+        of.setdefault(item, set()).add((p, b))
+    want = sorted((x, y) for x in of for y in of if x < y and of[x] & of[y])
+    for longs in (1, 4):
+        monkeypatch.setattr(L, "BITS", longs)
+        found = L.related(frame, "item", ["p", "b"])
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 1000
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.index(" & ") < plan.index("arrays_overlap") and plan.count(" & ") >= longs
+
+
 def test_words_of_more_messages_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
     from turnwise.sources import tables
 
